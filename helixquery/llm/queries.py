@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixquery.llm import line_dedup, packing, quality, sharding, tokens
+from helixquery.llm import decontamination, jaccard, line_dedup, packing, quality, sharding, tokens
 
 #: The folder of the public vocabulary files; None: where the package that brings them says.
 TOKENIZER_DIR: str | None = None
@@ -33,6 +33,10 @@ def file_batches(docs: DataFrame, batches: int) -> list[DataFrame]:
     return [spark.read.schema(docs.schema).parquet(*files[i : i + each]) for i in range(0, len(files), each)] or [docs]
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -56,17 +60,47 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and an item that leaks into it."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_quality_rules, op3_line_dedup, op4_token_counts, op8_sharding, op10_best_fit_packing]
+    named = [
+        op1_ngram_jaccard_join,
+        op2_quality_rules,
+        op3_line_dedup,
+        op4_token_counts,
+        op8_sharding,
+        op9_benchmark_decontamination,
+        op10_best_fit_packing,
+    ]
     return {f.__name__: f for f in named}
 
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+OP1 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{line_dedup.UPPER}', '{line_dedup.LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, sh FROM (SELECT rid, unnest(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: w[i:i + 2])) AS sh FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+g AS (SELECT min(rid) AS gid, list(rid) AS rids FROM (SELECT rid, list(sh ORDER BY sh) AS k FROM s GROUP BY rid) GROUP BY k),
+r AS (SELECT s.rid, sh, n FROM s JOIN g ON rid = gid JOIN n USING (rid)),
+p AS (SELECT x.rid AS a, y.rid AS b, count(*) AS i, any_value(x.n + y.n) AS t FROM r x JOIN r y ON x.sh = y.sh AND x.rid <> y.rid GROUP BY x.rid, y.rid),
+l AS (SELECT a, b FROM p WHERE 100 * i >= 90 * (t - i)),
+reach AS (SELECT gid AS a, gid AS b FROM g UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+ids AS (SELECT gid, min(doc_id) AS least_id FROM (SELECT gid, unnest(rids) AS rid FROM g) JOIN d USING (rid) GROUP BY gid),
+c AS (SELECT a AS gid, min(least_id) AS component_id FROM reach JOIN ids ON b = ids.gid GROUP BY a),
+m AS (SELECT unnest(rids) AS rid, component_id, least_id FROM g JOIN c USING (gid) JOIN ids USING (gid))
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CASE WHEN n > 0 THEN component_id ELSE doc_id END AS component_id,
+       CASE WHEN n > 0 THEN least_id ELSE doc_id END AS class_id
+FROM d LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)
+"""
+
 OP2 = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text, {WORDS} AS w,
                   string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
@@ -111,4 +145,4 @@ FROM d LEFT JOIN k USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op3_line_dedup": OP3}
+    return {"op1_ngram_jaccard_join": OP1, "op2_quality_rules": OP2, "op3_line_dedup": OP3}
