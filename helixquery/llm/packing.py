@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,33 +49,60 @@ class Encoder:
     chunks' ids one after another. The memory is emptied when it holds MOST chunks.
     """
 
-    MOST = 400_000
+    MOST, GROUP = 1_200_000, 4000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.id_bytes = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.id_bytes[i] = len(token)  # a character of the vocabulary stands for a byte
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.id_bytes[i] = len(token.content.encode())
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.store, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.starts: list[int] = []
-        self.sizes: list[int] = []
-        self.end = self._put([END_ID])
-
-    def _put(self, ids: list[int]) -> int:
-        if self.used + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros(max(len(self.store), len(ids)), dtype=np.uint32)])
+        self.starts, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.end = 0
+        self._put(np.array([END_ID], dtype=np.uint32), np.ones(1, dtype=np.int64))
+
+    def _put(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Stores the ids of len(sizes) more chunks; the number of the first."""
+        while self.used + len(ids) > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
         self.store[self.used : self.used + len(ids)] = ids
-        self.starts.append(self.used)
-        self.sizes.append(len(ids))
+        first = len(self.starts)
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
         self.used += len(ids)
-        return len(self.starts) - 1
-
-    def _whole(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return first
+
+    def _each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        sizes = np.array([len(x) for x in found], dtype=np.int64)
+        return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum())), sizes
+
+    def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks that all begin with a blank, from one text: the bytes of the ids tell where chunks end."""
+        ids = np.array(self.tokenizer.encode("".join(chunks), add_special_tokens=False).ids, dtype=np.uint32)
+        ends = np.cumsum([len(x.encode()) for x in chunks])
+        reached = np.cumsum(self.id_bytes[ids])
+        at = np.searchsorted(reached, ends)
+        if len(reached) == 0 or at[-1] >= len(reached) or (reached[at] != ends).any():
+            return self._each(chunks)
+        return ids, np.diff(at + 1, prepend=0)
+
+    def _learn(self, chunks: list[str]) -> None:
+        for alone in (False, True):
+            some = [x for x in chunks if alone != (len(x) > 1 and x[0] == " ")]
+            for i in range(0, len(some), self.GROUP):
+                group = some[i : i + self.GROUP]
+                first = self._put(*(self._each if alone else self._joined)(group))
+                self.known.update(zip(group, range(first, first + len(group)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by the end id, and the offsets (n + 1)."""
@@ -87,21 +115,18 @@ class Encoder:
             whole = texts.filter(odd)
             lists = text.replaced(lists, odd, pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1, dtype=np.int32)), whole))
         parts, offsets = text.flat_list(lists)
-        first = np.zeros(len(parts), dtype=np.int64)
-        first[offsets[:-1]] = 1
         code, distinct = text.codes(parts)
-        code = 2 * code + first
-        used, inverse = np.unique(code, return_inverse=True)
         names = distinct.to_pylist()
-        chunks = [names[c >> 1] if c & 1 else " " + names[c >> 1] for c in used.tolist()]
-        new = [c for c in chunks if c not in self.known]
-        for c, ids in zip(new, self._whole(new), strict=True):
-            self.known[c] = self._put(ids)
-        number = np.fromiter((self.known[c] for c in chunks), dtype=np.int64, count=len(chunks))[inverse]
+        heads, head_code = np.unique(code[offsets[:-1]], return_inverse=True)  # a text's first chunk has no blank
+        code[offsets[:-1]] = len(names) + head_code
+        chunks = [" " + x for x in names] + [names[i] for i in heads.tolist()]
+        inverse = code
+        self._learn([c for c in chunks if c not in self.known])
+        number = np.fromiter(map(self.known.__getitem__, chunks), dtype=np.int64, count=len(chunks))[inverse]
         number = np.insert(number, offsets[1:], self.end)
-        sizes = np.asarray(self.sizes, dtype=np.int64)[number]
+        sizes = self.sizes[number]
         ends = np.cumsum(sizes)
-        at = np.repeat(np.asarray(self.starts, dtype=np.int64)[number] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        at = np.repeat(self.starts[number] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
         return self.store[at], np.concatenate(([0], ends[offsets[1:] + np.arange(len(texts))]))
 
 
@@ -116,7 +141,7 @@ def piece_sums(path: str, capacity: int):
         if path not in _encoders:
             _encoders[path] = Encoder(path)
         n_ids, sums, ends = [], [], [0]
-        for a, b in text.steps(texts):
+        for a, b in text.steps(texts, 2 * text.STEP_BYTES):
             ids, offsets = _encoders[path].encode(texts.slice(a, b - a))
             raw = memoryview(ids.astype("<u4").tobytes())
             for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
