@@ -67,9 +67,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     flat, offsets = text.words(texts, lower=True)
     code, vocabulary = text.codes(flat)
     word = text.string_hashes(vocabulary)[code]
-    weights = [K1, K2, K3]
-    while len(weights) < k:
-        weights.append(weights[-1] * K1 + K2)
+    weights = text.mix(np.arange(1, k + 1, dtype=np.uint64) * K3) | np.uint64(1)
     whole = np.zeros(max(0, len(word) - k + 1), dtype=np.uint64)
     for i in range(k):
         whole += word[i : len(word) - k + 1 + i] * weights[i] if len(whole) else whole
@@ -187,8 +185,8 @@ class Join:
     def classes(self) -> None:
         """rows: uid, doc_id, n, hi, lo, tokens; reps: one row (cid) per distinct set."""
         sets = windows_of(self.k, self.percent, whole=False)
-        rows = self.docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", sets("text").alias("s"))
-        self.rows = scratch.written(rows.select("uid", "doc_id", "s.*"), "windows")
+        rows = self.docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("text_key"), sets("text").alias("s"))
+        self.rows = scratch.written(rows.select("uid", "doc_id", "text_key", "s.*"), "windows")
         full = self.rows.where("n > 0").select("uid", "hi", "lo", "doc_id")
         self.keys = scratch.written(full.groupBy("hi", "lo").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("least_id")), "classes")
         self.reps = self.rows.where("n > 1").join(self.keys.select(F.col("cid").alias("uid")), "uid", "left_semi")
@@ -290,7 +288,7 @@ class Join:
                 return links
 
     def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id, class_id (smallest id with the same set) of every row."""
+        """doc_id, text_key, n_shingles, component_id, class_id (smallest id with the same set) of every row."""
         self.classes()
         self.index()
         links = self.frequent_links()
@@ -300,10 +298,28 @@ class Join:
         keys = scratch.written(keys.select("hi", "lo", "least_id", "root"), "labelled")
         names = keys.groupBy("root").agg(F.min("least_id").alias("component_id"))
         named = keys.join(names, "root").select("hi", "lo", "component_id", "least_id")
-        out = self.rows.select("doc_id", "n", "hi", "lo").join(named, ["hi", "lo"], "left")
-        own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-        return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.when(F.col("n") > 0, F.col("least_id")).otherwise(F.col("doc_id")).alias("class_id"))
+        out = self.rows.select("doc_id", "text_key", "n", "hi", "lo").join(named, ["hi", "lo"], "left")
+        own = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id"))
+        return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), own("component_id").alias("component_id"), own("least_id").alias("class_id"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    return Join(docs, k, percent).run()
+    """doc_id, n_shingles, component_id, class_id of every row."""
+    return Join(docs, k, percent).run().drop("text_key")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The document with the smallest id of every component, with its columns; texts without words all stay."""
+    found = scratch.written(Join(docs, k, percent).run(), "components")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    near = F.broadcast(gone) if gone.count() <= FEW_IDS else gone
+    packed = docs.select(F.struct(*docs.columns).alias("doc"))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("doc.text") == F.col("gone_key"))
+    kept = packed.join(near, same, "left_anti")
+    # the same id more than once in a component: repeated rows, of which one stays
+    repeats = found.where((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    if not repeats.isEmpty():
+        some = kept.withColumn("id", F.col("doc.doc_id")).join(repeats.select(F.col("component_id").alias("id")), "id", "left_semi")
+        rest = kept.withColumn("id", F.col("doc.doc_id")).join(repeats.select(F.col("component_id").alias("id")), "id", "left_anti")
+        kept = rest.unionByName(some.dropDuplicates(["id"]))
+    return kept.select("doc.*")

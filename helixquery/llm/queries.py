@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixquery.llm import decontamination, jaccard, line_dedup, packing, quality, sharding, tokens
+from helixquery.llm import decontamination, jaccard, kneser_ney, line_dedup, packing, quality, secrets, sharding, tokens, urls
 
 #: The folder of the public vocabulary files; None: where the package that brings them says.
 TOKENIZER_DIR: str | None = None
@@ -55,6 +55,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", tokens.over_limit(F.col("n_tokens"), 4096))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", secrets.secrets("text").alias("s")).select("doc_id", "s.*")
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.sharded(table(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -75,6 +87,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_quality_rules,
         op3_line_dedup,
         op4_token_counts,
+        op5_secret_scans,
+        op6_url_filters,
+        op7_quality_classifier,
         op8_sharding,
         op9_benchmark_decontamination,
         op10_best_fit_packing,
