@@ -13,13 +13,13 @@ Two similar sets share a signature: the one whose prefix ends first keeps one of
 the other, whose prefix holds all its tokens up to there. Cells depend on the set's size, so a set is also
 indexed with the cells of the smallest partner it may have.
 
-Which tokens are frequent is counted over all sets. Only a window of each set (its smallest hashes, a
-little more than the prefix) is counted at first; a set whose window has too few rare tokens is counted
-whole, and the classes are counted again, until no set changes sides. The result is exact.
+Any fixed division into rare and frequent gives exact results; a good one keeps the lists short. Tokens
+are counted over all sets, but only within a window of each (its smallest hashes, a little more than the
+prefix). Sets whose window has too few rare tokens are taken whole, and then all are counted once more.
 
-Rare signatures have few sets, so all their pairs are verified. A frequent combination may have any
-number of sets (a family of near copies): its sets are compared with one pivot first, links become
-components, and only pairs between different components of one combination remain.
+Signatures with few sets have all their pairs verified. Others, such as the combinations of a family of near
+copies, may have any number: their sets are compared with one pivot first, links become components, and only
+pairs between different components of one signature remain.
 
 Sets that are equal are one class from the start; every row of the result carries its class.
 
@@ -123,40 +123,44 @@ def level(n: int) -> int:
     return max(0, (n // CELL).bit_length() - 1)
 
 
-def signatures_of(percent: int):
-    """A function on (n, tokens, frequent tokens among them): whether more tokens must be counted, single and combined signatures."""
-    kind = T.StructType([T.StructField("more", T.BooleanType()), T.StructField("singles", LONGS), T.StructField("combined", LONGS)])
+SIGNED = T.StructType([T.StructField("more", T.BooleanType()), T.StructField("singles", LONGS), T.StructField("combined", LONGS)])
 
-    def combined(frequent: np.ndarray, need: int, bits: int) -> np.ndarray:
-        """Pairs within cells over the shortest prefix of `frequent` that adds `need`."""
-        cell = frequent >> np.uint64(64 - bits) if bits else np.zeros(len(frequent), dtype=np.uint64)
-        adds = np.concatenate(([False], cell[1:] == cell[:-1]))
-        enough = np.searchsorted(np.cumsum(adds), need) + 1
-        out = []
-        for c in np.split(frequent[:enough], np.flatnonzero(~adds[:enough])[1:]):
-            i, j = np.triu_indices(len(c), 1)
-            out.append(text.mix(c[i] * K1 + c[j] * K2 + np.uint64(bits)))
-        return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
-    @F.arrow_udf(kind)
-    def signatures(n: pa.Array, tokens: pa.Array, frequent: pa.Array) -> pa.Array:
-        more, singles, pairs = [], [], []
-        none = np.zeros(0, dtype=np.uint64)
-        for size, all_, often in zip(n.to_pylist(), _rows(tokens), _rows(frequent), strict=True):
-            is_often = np.isin(all_, often) if len(often) else np.zeros(len(all_), dtype=bool)
-            rare, often = all_[~is_often], all_[is_often]
-            need = slack(size, percent) + 1
-            lacks = len(rare) < need
-            more.append(bool(lacks and len(all_) < size))
-            singles.append(none if more[-1] else rare[:need])
-            found = none
-            if lacks and not more[-1]:
-                levels = {level(size), level(-(-percent * size // 100))}
-                found = np.unique(np.concatenate([combined(often, need - len(rare), b) for b in levels]))
-            pairs.append(found)
-        return pa.StructArray.from_arrays([pa.array(more, pa.bool_()), _lists(singles), _lists(pairs)], ["more", "singles", "combined"])
-
-    return signatures
+def _combined(frequent: np.ndarray, need: int, bits: int) -> np.ndarray:
+    """Pairs within cells over the shortest prefix of `frequent` that adds `need`."""
+    cell = frequent >> np.uint64(64 - bits) if bits else np.zeros(len(frequent), dtype=np.uint64)
+    adds = np.concatenate(([False], cell[1:] == cell[:-1]))
+    enough = np.searchsorted(np.cumsum(adds), need) + 1
+    out = []
+    for c in np.split(frequent[:enough], np.flatnonzero(~adds[:enough])[1:]):
+        i, j = np.triu_indices(len(c), 1)
+        out.append(text.mix(c[i] * K1 + c[j] * K2 + np.uint64(bits)))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+
+def _held(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Which values of x are in a sorted array."""
+    if not len(sorted_):
+        return np.zeros(len(x), dtype=bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+
+
+def _signed(n: pa.Array, sets: list[np.ndarray], often: list[np.ndarray], percent: int) -> pa.Array:
+    """Whether more tokens must be known, single and combined signatures. often: which tokens of a set are frequent."""
+    more, singles, pairs = [], [], []
+    none = np.zeros(0, dtype=np.uint64)
+    for size, all_, is_often in zip(n.to_pylist(), sets, often, strict=True):
+        need = slack(size, percent) + 1
+        rare = all_[~is_often]
+        lacks = len(rare) < need
+        more.append(bool(lacks and len(all_) < size))
+        singles.append(none if more[-1] else rare[:need])
+        found = none
+        if lacks and not more[-1]:
+            levels = {level(size), level(-(-percent * size // 100))}
+            found = np.unique(np.concatenate([_combined(all_[is_often], need - len(rare), b) for b in levels]))
+        pairs.append(found)
+    return pa.StructArray.from_arrays([pa.array(more, pa.bool_()), _lists(singles), _lists(pairs)], SIGNED.names)
 
 
 @F.arrow_udf(T.LongType())
@@ -199,40 +203,67 @@ class Join:
         ids = F.broadcast(ids) if wanted.count() <= FEW_IDS else ids
         texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
         sets = texts.select(windows_of(self.k, self.percent, whole=True)("text").alias("s")).select("s.*")
-        found = sets.join(wanted.select("cid", "hi", "lo"), ["hi", "lo"])
-        return scratch.written(found.dropDuplicates(["cid"]).select("cid", "n", "tokens"), "sets")
-
-    def with_frequent(self, counted: DataFrame, frequent: DataFrame) -> DataFrame:
-        """counted with a column of each set's frequent tokens."""
+        near = wanted.select("cid", "hi", "lo")
+        near = F.broadcast(near) if wanted.count() <= FEW_IDS else near
+        found = scratch.written(sets.join(near, ["hi", "lo"]).select("cid", "n", "tokens"), "sets")
+        n = found.agg(F.count(F.lit(1)).alias("all"), F.count_distinct("cid").alias("each")).first()
+        return found if n["all"] == n["each"] else scratch.written(found.dropDuplicates(["cid"]), "sets")
+
+    def frequent(self, counted: DataFrame) -> DataFrame:
+        each = counted.select(F.explode("tokens").alias("token"))
+        return scratch.written(each.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > RARE).select("token"), "frequent")
+
+    def signed(self, counted: DataFrame, frequent: DataFrame) -> DataFrame:
+        """counted (cid, n, tokens) with its signatures under a division into frequent tokens and others."""
+        percent = self.percent
         if frequent.count() <= FEW_TOKENS:
             known = self.spark.sparkContext.broadcast(np.sort(frequent.toPandas()["token"].to_numpy(dtype=np.int64)))
 
-            @F.arrow_udf(LONGS)
-            def among(tokens: pa.Array) -> pa.Array:
-                return _lists([x[np.isin(x.view(np.int64), known.value)] for x in _rows(tokens)])
+            @F.arrow_udf(SIGNED)
+            def sign(n: pa.Array, tokens: pa.Array) -> pa.Array:
+                sets = _rows(tokens)
+                flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+                held = _held(flat.view(np.int64), known.value)
+                ends = np.cumsum([len(x) for x in sets])
+                return _signed(n, sets, np.split(held, ends[:-1]) if sets else [], percent)
+
+            out = counted.select("cid", "n", sign("n", "tokens").alias("g"))
+        else:
+
+            @F.arrow_udf(SIGNED)
+            def sign_with(n: pa.Array, tokens: pa.Array, frequent: pa.Array) -> pa.Array:
+                sets = _rows(tokens)
+                return _signed(n, sets, [_held(x, np.sort(y)) for x, y in zip(sets, _rows(frequent), strict=True)], percent)
 
-            return counted.withColumn("frequent", among("tokens"))
-        each = counted.select("cid", F.explode("tokens").alias("token")).join(frequent, "token")
-        lists = each.groupBy("cid").agg(F.collect_set("token").alias("frequent"))
-        return counted.join(lists, "cid", "left").withColumn("frequent", F.coalesce("frequent", F.array().cast("array<long>")))
+            each = counted.select("cid", F.explode("tokens").alias("token")).join(frequent, "token")
+            lists = each.groupBy("cid").agg(F.collect_set("token").alias("frequent"))
+            joined = counted.join(lists, "cid", "left").withColumn("frequent", F.coalesce("frequent", F.array().cast("array<long>")))
+            out = joined.select("cid", "n", sign_with("n", "tokens", "frequent").alias("g"))
+        return scratch.written(out.select("cid", "n", "g.*"), "signatures")
 
     def index(self) -> None:
-        """singles and combined: (sig, cid, n)."""
+        """few and many: (sig, cid, n) of the signatures with few sets and with many."""
         counted = self.reps.select(F.col("uid").alias("cid"), "n", "tokens")
+        frequent = self.frequent(counted)
+        signed = self.signed(counted, frequent)
+        more = signed.where("more").select("cid")
         self.sets = None
-        while True:
-            each = counted.select(F.explode("tokens").alias("token"))
-            frequent = scratch.written(each.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > RARE).select("token"), "frequent")
-            signed = self.with_frequent(counted, frequent).select("cid", "n", signatures_of(self.percent)("n", "tokens", "frequent").alias("g"))
-            signed = scratch.written(signed.select("cid", "n", "g.*"), "signatures")
+        if not more.isEmpty():  # count again with these sets whole
+            self.sets = self.whole_sets(more)
+            counted = counted.join(self.sets.select("cid"), "cid", "left_anti").unionByName(self.sets)
+            frequent = self.frequent(counted)
+            signed = self.signed(counted, frequent)
             more = signed.where("more").select("cid")
-            if more.isEmpty():
-                break
-            sets = self.whole_sets(more)
-            self.sets = sets if self.sets is None else self.sets.unionByName(sets)
-            counted = counted.join(sets.select("cid"), "cid", "left_anti").unionByName(sets)
-        self.singles = signed.select(F.explode("singles").alias("sig"), "cid", "n")
-        self.combined = signed.select(F.explode("combined").alias("sig"), "cid", "n")
+            if not more.isEmpty():
+                sets = self.whole_sets(more)
+                self.sets = self.sets.unionByName(sets)
+                signed = signed.where("not more").unionByName(self.signed(sets, frequent))
+        each = signed.select(F.explode(F.concat("singles", "combined")).alias("sig"), "cid", "n")
+        lists = scratch.written(each.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "lists")
+        shared_ = each.join(lists, "sig")
+        shared_ = scratch.written(shared_, "postings")
+        self.few = shared_.where(F.col("c") <= RARE).drop("c")
+        self.many = shared_.where(F.col("c") > RARE).drop("c")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b)."""
@@ -247,15 +278,15 @@ class Join:
         union = F.col("n_a") + F.col("n_b") - F.col("shared")
         return scratch.written(both.where(100 * F.col("shared") >= self.percent * union).select("a", "b"), "links")
 
-    def rare_pairs(self) -> DataFrame:
-        x, y = self.singles.toDF("sig", "a", "n_a"), self.singles.toDF("sig", "b", "n_b")
+    def few_pairs(self) -> DataFrame:
+        x, y = self.few.toDF("sig", "a", "n_a"), self.few.toDF("sig", "b", "n_b")
         found = x.join(y, "sig").where((F.col("a") < F.col("b")) & size_fits(F.col("n_a"), F.col("n_b"), self.percent))
         return found.select("a", "b").distinct()
 
-    def frequent_links(self) -> list[DataFrame]:
-        """Links among the sets of each combined signature, enough of them for its components."""
-        active = scratch.written(self.combined, "combined")
-        most = 4 * active.count() + 100_000
+    def many_links(self) -> list[DataFrame]:
+        """Links among the sets of each signature with many, enough of them for its components."""
+        active = self.many
+        most = RARE * active.count() + 1_000_000  # pairs, as many a posting as signatures with few sets may make
         links: list[DataFrame] = []
         seen: DataFrame | None = None
         while True:
@@ -291,8 +322,8 @@ class Join:
         """doc_id, text_key, n_shingles, component_id, class_id (smallest id with the same set) of every row."""
         self.classes()
         self.index()
-        links = self.frequent_links()
-        links.append(self.verified(self.rare_pairs()))
+        links = self.many_links()
+        links.append(self.verified(self.few_pairs()))
         roots = components(reduce(DataFrame.union, links))
         keys = self.keys.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
         keys = scratch.written(keys.select("hi", "lo", "least_id", "root"), "labelled")
