@@ -175,6 +175,20 @@ def shared(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
+@F.arrow_udf(T.LongType())
+def known_difference(n: pa.Array, a: pa.Array, m: pa.Array, b: pa.Array) -> pa.Array:
+    """Tokens that one of two sets has and the other lacks, as far as their windows tell: up to the smaller of their last hashes
+    (a window that holds all n tokens tells about all hashes)."""
+    out = []
+    for k, x, l, y in zip(n.to_pylist(), _rows(a), m.to_pylist(), _rows(b), strict=True):
+        if len(x) < k and (len(y) == l or x[-1] < y[-1]):
+            y = y[: np.searchsorted(y, x[-1], side="right")]
+        elif len(y) < l:
+            x = x[: np.searchsorted(x, y[-1], side="right")]
+        out.append(len(x) + len(y) - 2 * int(_held(x, y).sum()))
+    return pa.array(out, pa.int64())
+
+
 def size_fits(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
@@ -266,8 +280,12 @@ class Join:
         self.many = shared_.where(F.col("c") > RARE).drop("c")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The links among pairs (a, b)."""
-        pairs = scratch.written(pairs, "pairs")
+        """The links among pairs (a, b). Their windows show of most other pairs that they differ too much; whole sets are
+        compared for the rest."""
+        window = lambda x: self.reps.select(F.col("uid").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
+        seen = pairs.join(window("a"), "a").join(window("b"), "b").withColumn("apart", known_difference("n_a", "t_a", "n_b", "t_b"))
+        may = (100 + self.percent) * F.col("apart") <= (100 - self.percent) * (F.col("n_a") + F.col("n_b"))
+        pairs = scratch.written(seen.where(may).select("a", "b"), "pairs")
         cids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
         missing = cids if self.sets is None else cids.join(self.sets.select("cid"), "cid", "left_anti")
         if not missing.isEmpty():
