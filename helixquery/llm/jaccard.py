@@ -105,15 +105,17 @@ def windows_of(k: int, percent: int, whole: bool):
 
     @F.arrow_udf(kind)
     def sets(texts: pa.Array) -> pa.Array:
-        n, hi, lo, tokens = [], [], [], []
+        done = []
         for a, b in text.steps(texts):
+            n, hi, lo, tokens = [], [], [], []
             for s in shingle_sets(texts.slice(a, b - a), k):
                 digest = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
                 hi.append((digest >> 64) - (1 << 63))
                 lo.append((digest & ((1 << 64) - 1)) - (1 << 63))
-                tokens.append(s if whole else s[: window_size(len(s), percent)].copy())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), _lists(tokens)], ["n", "hi", "lo", "tokens"])
+                tokens.append(s if whole else s[: window_size(len(s), percent)])
+            done.append(pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), _lists(tokens)], ["n", "hi", "lo", "tokens"]))
+        return pa.concat_arrays(done) if done else pa.StructArray.from_arrays([pa.array([], pa.int64())] * 3 + [_lists([])], ["n", "hi", "lo", "tokens"])
 
     return sets
 
