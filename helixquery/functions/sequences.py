@@ -18,7 +18,7 @@ def from_prose(text: Column) -> Column:
 def normalised(text: Column) -> Column:
     """Bases of a FASTA-like text: header, comment and blank lines go, U is T, ambiguity codes are N, the rest goes."""
     lines = F.filter(F.split(text, "\n"), lambda x: ~F.trim(x).rlike("^[>;]") & (F.trim(x) != ""))
-    return F.translate(F.regexp_replace(F.upper(F.array_join(lines, "")), "[^ACGTNURYSWKMBDHV]", ""), "URYSWKMBDHV", "TNNNNNNNNNN")
+    return F.translate(F.regexp_replace(F.translate(F.array_join(lines, ""), LETTERS, LETTERS.upper()), "[^ACGTNURYSWKMBDHV]", ""), "URYSWKMBDHV", "TNNNNNNNNNN")
 
 
 def reverse_complement(s: Column) -> Column:

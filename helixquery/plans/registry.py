@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixquery.plans import text_queries
+from helixquery.plans import sequence_queries, table_queries, text_queries
 
-ALL = text_queries.QUERIES
+ALL = text_queries.QUERIES | sequence_queries.QUERIES | table_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
