@@ -340,10 +340,11 @@ class Join:
 
     def run(self) -> DataFrame:
         """doc_id, text_key, n_shingles, component_id, class_id (smallest id with the same set) of every row."""
-        self.classes()
-        self.index()
-        links = self.many_links()
-        links.append(self.verified(self.few_pairs()))
+        with scratch.small_batches(self.spark):  # all Python functions run in here
+            self.classes()
+            self.index()
+            links = self.many_links()
+            links.append(self.verified(self.few_pairs()))
         roots = components(reduce(DataFrame.union, links))
         keys = self.keys.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
         keys = scratch.written(keys.select("hi", "lo", "least_id", "root"), "labelled")
