@@ -159,5 +159,25 @@ FROM d LEFT JOIN k USING (rid)
 """
 
 
+_MASKS = str([list(m) for m in decontamination.MASKS])
+_LOWER_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+')"
+
+
+def _seed_rows(key: str, source: str) -> str:
+    return f"""(SELECT {key}, p, mi, list_transform(({_MASKS})[mi], lambda o: w[p + o]) AS seed FROM (SELECT {key}, w, p, unnest(range(1, {len(decontamination.MASKS) + 1})) AS mi
+    FROM (SELECT {key}, w, unnest(range(1, len(w) - {decontamination.SPAN - 2})) AS p FROM {source} WHERE len(w) >= {decontamination.SPAN})))"""
+
+
+OP9 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_LOWER_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_LOWER_WORDS} AS w FROM benchmark),
+hits AS (SELECT DISTINCT rid, item_id, x.p - y.p AS shift FROM {_seed_rows("rid", "d")} x JOIN {_seed_rows("item_id", "b")} y USING (mi, seed)),
+e AS (SELECT doc_id, item_id, least({decontamination.WINDOW}, len(b.w)) AS width,
+             list_transform(range(greatest(0, -shift), least(len(b.w), len(d.w) - shift)), lambda j: (d.w[j + shift + 1] = b.w[j + 1])::INTEGER) AS eq FROM hits JOIN d USING (rid) JOIN b USING (item_id)),
+a AS (SELECT doc_id, item_id, width, list_max(list_transform(range(1, len(eq) - width + 2), lambda k: list_sum(eq[k:k + width - 1]))) AS agreeing FROM e WHERE len(eq) >= width)
+SELECT doc_id, item_id, CAST(max(agreeing) AS INTEGER) AS agreeing FROM a WHERE agreeing >= {decontamination.AGREE} * width GROUP BY doc_id, item_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op2_quality_rules": OP2, "op3_line_dedup": OP3}
+    return {"op1_ngram_jaccard_join": OP1, "op2_quality_rules": OP2, "op3_line_dedup": OP3, "op9_benchmark_decontamination": OP9}
