@@ -43,6 +43,8 @@ from helixquery.llm.components import components
 
 #: Sets up to which a token is rare; tokens expected in a hash cell.
 RARE, CELL = 32, 6
+#: Pivots of a signature in one round.
+PIVOTS = 12
 #: Frequent tokens up to this number (8 bytes each) are sent to the tasks; beyond it they are joined.
 FEW_TOKENS = 1_000_000
 #: Ids up to this number (8 bytes each) are broadcast to find their texts again; beyond it they are joined.
@@ -284,7 +286,11 @@ class Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b). Their windows show of most other pairs that they differ too much; whole sets are
         compared for the rest."""
-        window = lambda x: self.reps.select(F.col("uid").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
+        pairs = scratch.written(pairs, "candidates")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+        ids = F.broadcast(ids) if 2 * pairs.count() <= FEW_IDS else ids
+        reps = self.reps.join(ids, "uid", "left_semi")  # else all windows would be shuffled
+        window = lambda x: reps.select(F.col("uid").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
         seen = pairs.join(window("a"), "a").join(window("b"), "b").withColumn("apart", known_difference("n_a", "t_a", "n_b", "t_b"))
         may = (100 + self.percent) * F.col("apart") <= (100 - self.percent) * (F.col("n_a") + F.col("n_b"))
         pairs = scratch.written(seen.where(may).select("a", "b"), "pairs")
@@ -310,10 +316,13 @@ class Join:
         links: list[DataFrame] = []
         seen: DataFrame | None = None
         while True:
-            heads = active.groupBy("sig").agg(F.min(F.struct("cid", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
-            heads = heads.select("sig", F.col("p.cid").alias("a"), F.col("p.n").alias("n_a"))
+            # the first set in each of PIVOTS random orders, the same orders everywhere: signatures share their pivots
+            first = [F.min(F.struct(F.xxhash64("cid", F.lit(p)).alias("order"), "cid", "n")) for p in range(PIVOTS)]
+            heads = active.groupBy("sig").agg(F.array(*first).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
+            heads = heads.select("sig", F.explode(F.array_distinct(F.transform("p", lambda x: F.struct(x.cid.alias("a"), x.n.alias("n_a"))))).alias("p")).select("sig", "p.*")
+            heads = scratch.written(heads, "heads")
             pairs = active.join(heads, "sig").where((F.col("cid") != F.col("a")) & size_fits(F.col("n"), F.col("n_a"), self.percent))
-            pairs = pairs.select("a", F.col("cid").alias("b")).distinct()
+            pairs = pairs.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
             pairs = scratch.written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pivots")
             if pairs.isEmpty() and not links:
                 return links
