@@ -2,8 +2,8 @@
 
 A text is the first layer. Every layer is scanned for secrets and unwrapped: URL escapes, Unicode
 escapes, base64 runs, and compressed bytes inside base64. Each result is a layer of its own that waits
-in the worklist unless a layer with the same content was seen (cycles end there); the work ends when
-nothing new comes up. Every layer knows for each of its characters which characters of the text it came
+in the worklist unless a layer with the same content from the same places of the text was seen (cycles
+end there, equal content from other places does not); the work ends when nothing new comes up. Every layer knows for each of its characters which characters of the text it came
 from, so that findings of any depth are spans of the text.
 
 Defined results: null or empty texts have no spans; the same span found in several layers counts once.
@@ -151,13 +151,21 @@ def _base64_layers(layer: Layer) -> list[Layer]:
     return out
 
 
+def _identity(layer: Layer) -> bytes:
+    """A digest of a layer's content and of the places that its characters came from."""
+    h = hashlib.sha256(layer[0].encode("utf-8", "surrogatepass"))
+    h.update(layer[1].astype(np.int64).tobytes())
+    h.update(layer[2].astype(np.int64).tobytes())
+    return h.digest()
+
+
 def all_spans(s: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the secrets in s and in what is encoded in it."""
     found = set(base_spans(s))
     if not (URL_ESCAPE.search(s) or UNICODE_ESCAPE.search(s) or BASE64.search(s)):
         return sorted(found)
     work: list[Layer] = [(s, np.arange(len(s)), np.arange(1, len(s) + 1))]
-    seen = {s}
+    seen = {_identity(work[0])}
     while work:
         layer = work.pop()
         if layer[0] is not s:
@@ -165,8 +173,8 @@ def all_spans(s: str) -> list[tuple[int, int, int]]:
                 found.add((int(layer[1][a:b].min()), kind, int(layer[2][a:b].max())))
         new = [_replaced(layer, URL_ESCAPE, _url), _replaced(layer, UNICODE_ESCAPE, _unicode), *_base64_layers(layer)]
         for x in new:
-            if x is not None and x[0] and x[0] not in seen:
-                seen.add(x[0])
+            if x is not None and x[0] and (same := _identity(x)) not in seen:
+                seen.add(same)
                 work.append(x)
     return sorted(found)
 

@@ -182,6 +182,18 @@ def test_wrapped_secrets_are_found(wrap):
     assert spans and all(len(head) <= a < b <= len(head) + len(inner) for a, _, b in spans)
 
 
+def test_equal_secrets_at_several_places_are_all_found():
+    one, url = base64.b64encode(SECRET.encode()).decode(), "".join(f"%{c:02x}" for c in SECRET.encode())
+    for parts in ([one] * 3, [url] * 3, [one, base64.b64encode(one.encode()).decode(), url]):
+        s = "a " + " \n ".join(parts) + " z"
+        spans = [(a, b) for a, k, b in secrets.all_spans(s) if k == 0]
+        at = 0
+        for part in parts:
+            at = s.index(part, at)
+            assert any(at <= a < b <= at + len(part) for a, b in spans), (parts, at, spans)
+            at += len(part)
+
+
 def test_base_secrets(spark):
     texts = ["secret=token:abcdef12", "API-KEY apikey : 'abc_123' AKIA" + "B" * 16, "0123456789abcdef" * 2, "ſecret=abcdefgh", "password=abc"]
     rows = {r.doc_id: r for r in table(spark, texts + ODD).select("doc_id", secrets.secrets("text").alias("s")).select("doc_id", "s.*").collect()}
