@@ -7,7 +7,9 @@ end there, equal content from other places does not); the work ends when nothing
 from, so that findings of any depth are spans of the text.
 
 Defined results: null or empty texts have no spans; the same span found in several layers counts once.
-A compressed run is unpacked up to MOST_UNPACKED bytes (a guard against bombs).
+A compressed run is unpacked to its end, over all members, in pieces of about PIECE bytes that are cut where no
+pattern can match across, so memory is bounded by PIECE and the longest stretch without such a place, and time is
+not bounded: a bomb is scanned whole. A broken stream is scanned as far as it goes; what isn't UTF-8 is no layer.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import re
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,7 @@ from pyspark.sql import types as T
 from helixquery.llm import text
 
 KINDS = ["assign", "access", "hex"]
-MOST_UNPACKED = 64 << 20
+PIECE = 1 << 20
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -37,7 +41,9 @@ URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Texts without any of these have neither secrets nor layers.
-WORTH_A_LOOK = r"(?i)password|passwd|secret|token|api_?key|AKIA|[0-9a-f]{24}|%[0-9a-f]{2}|\\[ux][0-9a-f]{2}|&#|[a-z0-9+/_-]{20}"
+WORTH_A_LOOK = r"(?i)password|passwd|secret|token|api_?key|AKIA|[0-9a-f]{24}|%[0-9a-f]{2}|\\[ux][0-9a-f]{2}|&#|[a-z0-9+/_-]{16}"
+#: Characters outside all patterns: a text may be cut behind one, no match of any layer reaches over it.
+BREAK = re.compile(r"""[^A-Za-z0-9+/_.=\-"'\x20:%\\&#;]""")
 
 Layer = tuple[str, np.ndarray, np.ndarray]
 
@@ -106,25 +112,123 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return "".join([*parts, s[at:]]), np.concatenate([*first, starts[at:]]), np.concatenate([*last, ends[at:]])
 
 
-def unpacked(raw: bytes) -> bytes | None:
-    """What compressed bytes hold, by their first bytes; None if they aren't compressed."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 1 and raw[1] in (0x01, 0x5E, 0x9C, 0xDA)):
-            return zlib.decompressobj(47).decompress(raw, MOST_UNPACKED)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, MOST_UNPACKED)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return zstandard.ZstdDecompressor().decompress(raw, max_output_size=MOST_UNPACKED)
-    except Exception:  # broken streams are no layers
-        return None
-    return None
+class _Source:
+    """Pieces of bytes as a file for one reader at a time; what a reader leaves can be given back."""
 
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.left = pieces, b""
 
-def _base64_layers(layer: Layer) -> list[Layer]:
+    def read(self, n: int) -> bytes:
+        while not self.left:
+            try:
+                self.left = next(self.pieces)
+            except StopIteration:
+                return b""
+        out, self.left = self.left[:n], self.left[n:]
+        return out
+
+    def head(self, n: int) -> bytes:
+        while len(self.left) < n:
+            try:
+                self.left += next(self.pieces)
+            except StopIteration:
+                break
+        return self.left[:n]
+
+
+def _member(source: _Source) -> Iterator[bytes]:
+    """One member of a zlib, gzip or bzip2 stream; its rest goes back to the source."""
+    bzip = source.head(3) == b"BZh"
+    d = bz2.BZ2Decompressor() if bzip else zlib.decompressobj(47)
+    while not d.eof:
+        data = source.read(1 << 16)
+        if not data:
+            return
+        while True:
+            out = d.decompress(data, PIECE)
+            data = b"" if bzip else d.unconsumed_tail
+            if out:
+                yield out
+            if d.eof or (d.needs_input if bzip else not data and len(out) < PIECE):
+                break
+    source.left = d.unused_data + source.left
+
+
+def unpacked(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """What compressed bytes hold, by the first bytes of each member, as far as it can be read; nothing if they aren't compressed."""
+    source = _Source(pieces)
+    try:
+        while True:
+            head = source.head(4)
+            if head[:2] == b"\x1f\x8b" or head[:3] == b"BZh" or (head[:1] == b"\x78" and head[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda")):
+                yield from _member(source)
+            elif head == b"\x28\xb5\x2f\xfd":
+                import zstandard
+
+                reader = zstandard.ZstdDecompressor(max_window_size=1 << 31).stream_reader(source, read_across_frames=True)
+                while out := reader.read(PIECE):
+                    yield out
+                return
+            else:
+                return
+    except (zlib.error, OSError, ValueError, EOFError):  # a broken stream ends here
+        return
+    except Exception as error:
+        if type(error).__name__ != "ZstdError":
+            raise
+
+
+def _is_text(pieces: Iterator[bytes]) -> tuple[bool, bytes, bytes | None]:
+    """Whether bytes are UTF-8 (but for a character cut at their end), their digest, and themselves if they are few."""
+    decoder, h, few, size, good = codecs.getincrementaldecoder("utf-8")(), hashlib.sha256(), [], 0, True
+    for x in pieces:
+        h.update(x)
+        size += len(x)
+        few = [*few, x] if size <= 4 * PIECE else []
+        if good:
+            try:
+                decoder.decode(x)
+            except UnicodeDecodeError:
+                good = False
+    return good and size > 0, h.digest(), b"".join(few) if size <= 4 * PIECE else None
+
+
+def _text_pieces(pieces: Iterator[bytes]) -> Iterator[str]:
+    """UTF-8 as strings of about PIECE bytes, cut behind characters that no pattern has."""
+    decoder, held, size = codecs.getincrementaldecoder("utf-8")(), [], 0
+    for x in pieces:
+        new = decoder.decode(x)
+        size += len(new)
+        cut = 0
+        if size >= PIECE:
+            back = BREAK.search(new[::-1])
+            cut = len(new) - back.start() if back else 0
+        if cut:
+            yield "".join([*held, new[:cut]])
+            held, size = [new[cut:]], len(new) - cut
+        else:
+            held.append(new)
+    if size:
+        yield "".join(held)
+
+
+def unpacked_texts(raw: bytes) -> Iterator[str]:
+    """The text of all levels of compression in raw (not raw itself), in pieces."""
+    chain: Callable[[], Iterator[bytes]] = lambda: iter([raw])
+    seen = {hashlib.sha256(raw).digest()}
+    while True:
+        inner = lambda outer=chain: unpacked(outer())
+        good, digest, few = _is_text(inner())
+        if digest in seen or digest == hashlib.sha256().digest():
+            return
+        seen.add(digest)
+        chain = inner if few is None else lambda few=few: iter([few])
+        if good:
+            yield from _text_pieces(chain())
+
+
+def _base64_layers(layer: Layer) -> Iterator[Layer]:
     s, starts, ends = layer
-    out = []
     for m in BASE64.finditer(s):
         run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         if len(run) % 4 == 1:
@@ -134,21 +238,20 @@ def _base64_layers(layer: Layer) -> list[Layer]:
         except (binascii.Error, ValueError):
             continue
         a, b = m.start(), m.end()
-        held = raw
-        while (inner := unpacked(held)) is not None and inner != held:
-            held = inner
-        if held is not raw:
-            try:
-                inner_text = held.decode()
-            except UnicodeDecodeError:
-                continue
-            out.append((inner_text, np.full(len(inner_text), starts[a]), np.full(len(inner_text), ends[b - 1])))
-            continue
+        for inner in unpacked_texts(raw):
+            yield inner, np.full(len(inner), starts[a]), np.full(len(inner), ends[b - 1])
         place = range(len(raw))
         got = _chars(raw, [a + 4 * (i // 3) + i % 3 for i in place], [min(b, a + 4 * (i // 3) + i % 3 + 2) for i in place])
         if got:
-            out.append((got[0], starts[got[1]], ends[np.array(got[2], dtype=np.int64) - 1]))
-    return out
+            yield got[0], starts[got[1]], ends[np.array(got[2], dtype=np.int64) - 1]
+
+
+def _layers(layer: Layer) -> Iterator[Layer]:
+    """What is encoded in a layer, one at a time."""
+    for x in (_replaced(layer, URL_ESCAPE, _url), _replaced(layer, UNICODE_ESCAPE, _unicode)):
+        if x is not None:
+            yield x
+    yield from _base64_layers(layer)
 
 
 def _identity(layer: Layer) -> bytes:
@@ -164,18 +267,17 @@ def all_spans(s: str) -> list[tuple[int, int, int]]:
     found = set(base_spans(s))
     if not (URL_ESCAPE.search(s) or UNICODE_ESCAPE.search(s) or BASE64.search(s)):
         return sorted(found)
-    work: list[Layer] = [(s, np.arange(len(s)), np.arange(1, len(s) + 1))]
-    seen = {_identity(work[0])}
+    whole: Layer = (s, np.arange(len(s)), np.arange(1, len(s) + 1))
+    work, seen = [_layers(whole)], {_identity(whole)}
     while work:
-        layer = work.pop()
-        if layer[0] is not s:
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+        elif layer[0] and (same := _identity(layer)) not in seen:
+            seen.add(same)
             for a, kind, b in base_spans(layer[0]):
                 found.add((int(layer[1][a:b].min()), kind, int(layer[2][a:b].max())))
-        new = [_replaced(layer, URL_ESCAPE, _url), _replaced(layer, UNICODE_ESCAPE, _unicode), *_base64_layers(layer)]
-        for x in new:
-            if x is not None and x[0] and (same := _identity(x)) not in seen:
-                seen.add(same)
-                work.append(x)
+            work.append(_layers(layer))
     return sorted(found)
 
 

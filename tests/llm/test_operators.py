@@ -1,6 +1,8 @@
 """The training-data operators against brute force, exact round trips and the library they must equal."""
 
 import base64
+import bz2
+import gzip
 import hashlib
 import random
 import re
@@ -10,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from helixquery.llm import components, decontamination, jaccard, kneser_ney, line_dedup, packing, quality, queries, secrets, sharding, tokens, urls
@@ -194,6 +197,34 @@ def test_equal_secrets_at_several_places_are_all_found():
             at += len(part)
 
 
+def test_shortest_encoded_secrets_pass_the_prefilter(spark):
+    texts = ["dG9rZW49YWJjZGVm", "x c2VjcmV0PWFiY2RlZg== y", "cGFzc3dkPWh1bnRlcjI="]
+    rows = table(spark, texts).select("doc_id", secrets.secrets("text").alias("s")).select("doc_id", "s.spans").collect()
+    assert len(rows) == 3 and all(r.spans.startswith("assign:") for r in rows)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, zstandard.compress])
+def test_compressed_secrets_are_found_wherever_they_stand(monkeypatch, pack):
+    wrap = lambda raw: "head " + base64.b64encode(raw).decode() + " tail"
+    found = lambda raw: {(a, b) for a, k, b in secrets.all_spans(wrap(raw)) if k == 0}
+    whole = lambda raw: {(5, len(wrap(raw)) - 5)}
+    members = pack(b"nothing here\n" * 50) + pack(SECRET.encode())
+    assert found(members) == whole(members)
+    twice = pack(pack(b"plain") + pack(SECRET.encode()))
+    assert found(twice) == whole(twice)
+    monkeypatch.setattr(secrets, "PIECE", 64)
+    for n in range(60, 70):  # a piece may end inside of any character or secret
+        far = pack("é".encode() * n * 10 + b"," + SECRET.encode() + b"," * 700)
+        assert found(far) == whole(far)
+        blob = base64.b64encode(SECRET.encode() * 20)
+        assert found(pack(b"." * n + b"\n" + blob)) == whole(pack(b"." * n + b"\n" + blob))
+
+
+def test_secret_behind_64_mb_of_unpacked_bytes():
+    run = base64.b64encode(gzip.compress(b"\n" * (65 << 20) + SECRET.encode(), 1)).decode()
+    assert secrets.all_spans(run) == [(0, 0, len(run))]
+
+
 def test_base_secrets(spark):
     texts = ["secret=token:abcdef12", "API-KEY apikey : 'abc_123' AKIA" + "B" * 16, "0123456789abcdef" * 2, "ſecret=abcdefgh", "password=abc"]
     rows = {r.doc_id: r for r in table(spark, texts + ODD).select("doc_id", secrets.secrets("text").alias("s")).select("doc_id", "s.*").collect()}
