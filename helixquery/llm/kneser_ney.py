@@ -1,16 +1,26 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of byte trigrams.
+"""Quality classifier: interpolated modified Kneser-Ney models of word pairs, kept as tables.
 
-The counts come from all trusted documents (labelled quality 1 and not toxic): each task counts its own
-documents' trigrams, and the tasks' counts meet in shards by trigram. Continuation counts, context totals
-and discounts are joins and sums of these tables. The probabilities have at most 256^3 rows whatever the
-corpus, which bounds what is broadcast to score all documents.
+Trusted documents (labelled quality 1 and not toxic) are dealt into two folds by a hash of their text; a document
+is scored by the model of the other fold's trusted documents, so no document is judged by a model that saw its text
+and the scores of trusted documents are comparable with all others. All trusted documents are counted.
 
-A document's perplexity per byte is compared with its language's threshold: that of the quantile QUANTILE of
+A document's words and pairs of neighbours (the first word has the context BEGIN) are rows (document, key, n), summed
+inside a document first; they meet the model's rows in one equi-join by key, and the logarithms are summed per document.
+With p(w|c) = own(c, w) + left(c) * p(w), the table holds log p(w) + log left(w) for a word, log left(w) alone to take
+back what the last word would leave, and log p(w|c) - log left(c) - log p(w) for a pair that was seen. Keys that
+many documents of a sample hold are salted. The model is neither collected nor broadcast.
+
+A word that the model never saw has what is left for unknown words, spelled with 8 bits a byte and an end.
+
+A document's perplexity per byte (of its words, and one for each end) is compared with its language's threshold: that of the quantile QUANTILE of
 the language's trusted documents, plus MARGIN times the distance from their median. Languages with fewer than
 FEW trusted documents use the threshold of all.
 
-Defined results: texts of fewer than 3 bytes (and null) have no perplexity and are not kept; a null language is
-one of its own; without trusted documents no document has a perplexity.
+Defined results: texts without words (and null) have no perplexity and are not kept; a null language is one of its
+own; a fold without trusted documents gives no document a perplexity. Words and texts are 64-bit hashes; A-Z counts
+as lower case; logarithms are summed as whole numbers of 1 / UNIT, so no order of rows changes a result.
+
+trained() and Model are a byte trigram model that fits in the driver; the classifier doesn't use them.
 """
 
 from __future__ import annotations
@@ -20,15 +30,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from helixquery.llm import scratch, text
 
 QUANTILE, MARGIN, FEW = 0.98, 4.0, 20
 #: Trusted ids up to this number are broadcast (8 bytes each).
 FEW_IDS = 500_000
+#: The context of a text's first word, and what a unit of log2 is divided into.
+BEGIN, UNIT = 1, 1 << 32
+#: One document of SAMPLE shows which keys are hot; at most HOT are, and each is dealt over SALTS.
+SAMPLE, HOT, SALTS = 100, 1000, 32
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -117,42 +130,117 @@ def trained(trusted: DataFrame) -> Model:
     return Model(*map(arrays, tables))
 
 
-def scorer(spark: SparkSession, model: Model):
-    shared = spark.sparkContext.broadcast(model)
+def scored_rows(docs: DataFrame) -> DataFrame:
+    """uid, kind (0 word, 1 last word, 2 pair), a, b, n, size (bytes of a word and its end): the distinct
+    words and pairs of each document's text. docs: uid, text."""
 
-    @F.arrow_udf(T.DoubleType())
-    def perplexity(texts: pa.Array) -> pa.Array:
-        table, out = shared.value.log2(), []
-        for a, b in text.steps(texts):
-            found, offsets = grams(texts.slice(a, b - a))
-            sums = np.concatenate(([0.0], np.cumsum(table[found], dtype=np.float64)))
-            n = np.diff(offsets)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                mean = (sums[offsets[1:]] - sums[offsets[:-1]]) / n
-            out += [None if k == 0 else float(np.exp2(-m)) for k, m in zip(n.tolist(), mean.tolist(), strict=True)]
-        return pa.array(out, pa.float64())
-
-    return perplexity
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in text.steps(batch.column(1)):
+                flat, offsets = text.words(batch.column(1).slice(lo, hi - lo), lower=True)
+                if not len(flat):
+                    continue
+                code, vocabulary = text.codes(flat)
+                hashes = text.string_hashes(vocabulary).view(np.int64)
+                sizes = pc.binary_length(vocabulary).to_numpy(zero_copy_only=False) + 1
+                doc, size = text.rows_of(offsets), len(vocabulary)
+                before = np.concatenate(([size], code[:-1]))  # `size` stands for BEGIN
+                before[offsets[:-1][np.diff(offsets) > 0]] = size
+                hashes = np.append(hashes, BEGIN)
+                uid = batch.column(0).slice(lo, hi - lo).to_numpy()
+                some = np.flatnonzero(np.diff(offsets))
+                order = np.lexsort((code, before, doc))
+                d, x, y = doc[order], before[order], code[order]
+                new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+                pairs = uid[d[new]], np.full(len(new), 2), hashes[x[new]], hashes[y[new]], np.diff(np.append(new, len(d))), np.zeros(len(new), dtype=np.int64)
+                one, n = np.unique(doc * (size + 1) + code, return_counts=True)
+                words = uid[one // (size + 1)], np.zeros(len(one), dtype=np.int64), hashes[one % (size + 1)], np.zeros(len(one), dtype=np.int64), n, sizes[one % (size + 1)]
+                last = uid[some], np.ones(len(some), dtype=np.int64), hashes[code[offsets[1:][some] - 1]], np.zeros(len(some), dtype=np.int64), np.full(len(some), -1), np.zeros(len(some), dtype=np.int64)
+                columns = [np.concatenate(c) for c in zip(pairs, words, last, strict=True)]
+                for at in range(0, len(columns[0]), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], ["uid", "kind", "a", "b", "n", "size"])
+
+    return docs.select("uid", "text").mapInArrow(rows, "uid long, kind long, a long, b long, n long, size long")
+
+
+def key(kind: Column, a: Column, b: Column) -> Column:
+    return F.xxhash64(kind.cast("long"), a, b).alias("key")
+
+
+def discounted(counts: DataFrame) -> tuple[DataFrame, dict[int, list[float]]]:
+    """counts (side, c, ...) with `taken`, the side's discount of its c; and each side's discounts."""
+    d = {side: discounts(counts.where(F.col("side") == side)) for side in (0, 1)}
+    pick = lambda i: F.when(F.col("side") == 0, d[0][i]).otherwise(d[1][i])
+    return counts.withColumn("taken", F.when(F.col("c") == 1, pick(0)).when(F.col("c") == 2, pick(1)).otherwise(pick(2))), d
+
+
+def fixed(log2: Column) -> Column:
+    return F.round(log2 * UNIT).cast("long")
+
+
+def model_table(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The models as rows (side, key, value), and of each side begin (log2 of what BEGIN leaves) and unknown (log2 p of a word
+    that was not seen). trusted: uid, text; its texts make the models of the other side."""
+    seen = scored_rows(trusted).where("kind = 2").withColumn("side", 1 - F.pmod("uid", F.lit(2)))
+    pairs = scratch.written(seen.groupBy("side", "a", "b").agg(F.sum("n").alias("c")), "pairs")
+    pairs, _ = discounted(pairs)
+    lefts = pairs.groupBy("side", "a").agg(F.sum("c").alias("total"), F.sum("taken").alias("taken_all"))
+    lefts = scratch.written(lefts.select("side", "a", "total", (F.col("taken_all") / F.col("total")).alias("left")), "contexts")
+    words = scratch.written(pairs.groupBy("side", "b").agg(F.count(F.lit(1)).alias("c")), "words")
+    words, _ = discounted(words)
+    sides = words.groupBy("side").agg(F.sum("c").alias("all"), (F.sum("taken") / F.sum("c") / (F.count(F.lit(1)) + 1)).alias("rest"))
+    words = words.join(F.broadcast(sides), "side").select("side", "b", ((F.col("c") - F.col("taken")) / F.col("all") + F.col("rest")).alias("p"))
+    words = scratch.written(words, "word-p")
+    whole = pairs.join(lefts.hint("merge"), ["side", "a"]).join(words.hint("merge"), ["side", "b"])
+    more = F.log2((F.col("c") - F.col("taken")) / F.col("total") + F.col("left") * F.col("p")) - F.log2("left") - F.log2("p")
+    zero = F.lit(0).cast("long")
+    table = whole.select("side", key(F.lit(2), F.col("a"), F.col("b")), fixed(more).alias("value"))
+    each = words.join(lefts.select("side", F.col("a").alias("b"), "left").hint("merge"), ["side", "b"], "left").withColumn("left", F.coalesce("left", F.lit(1.0)))
+    table = table.union(each.select("side", key(F.lit(0), F.col("b"), zero), fixed(F.log2("p") + F.log2("left"))))
+    table = table.union(each.select("side", key(F.lit(1), F.col("b"), zero), fixed(F.log2("left"))))
+    begin = lefts.where(F.col("a") == BEGIN).select("side", fixed(F.log2("left")).alias("begin"))
+    return table, sides.join(begin, "side").select("side", "begin", fixed(F.log2("rest")).alias("unknown"))
+
+
+def scores(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """uid, perplexity of the texts with words, copies once. Both: uid, text."""
+    table, sides = model_table(trusted)
+    rows = lambda x: scored_rows(x).select("uid", F.pmod("uid", F.lit(2)).alias("side"), "kind", key(F.col("kind"), F.col("a"), F.col("b")), "n", "size")
+    sampled = rows(docs.where(F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(SAMPLE)) == 0)).where("kind <> 1").groupBy("side", "key").agg(F.count(F.lit(1)).alias("held"))
+    hot = scratch.written(sampled.where(F.col("held") >= 8).orderBy(F.desc("held"), "key").limit(HOT).select("side", "key", F.lit(True).alias("hot")), "hot")
+    spread = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    table = table.join(F.broadcast(hot), ["side", "key"], "left").select("side", "key", F.explode(spread).alias("salt"), "value")
+    own = rows(docs).join(F.broadcast(hot), ["side", "key"], "left")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("uid", F.lit(2)), F.lit(SALTS)).cast("int")).otherwise(0)
+    met = own.withColumn("salt", salt).join(table.hint("merge"), ["side", "key", "salt"], "left")
+    is_word = F.col("kind") == 0
+    sums = met.groupBy("uid", "side").agg(
+        F.sum(F.col("n") * F.coalesce("value", F.lit(0))).alias("value"),
+        F.sum(F.when(is_word & F.col("value").isNull(), F.col("n")).otherwise(0)).alias("unknown_words"),
+        F.sum(F.when(is_word & F.col("value").isNull(), F.col("n") * F.col("size")).otherwise(0)).alias("spelled"),
+        F.sum(F.col("n") * F.col("size")).alias("bytes"),
+        F.sum(F.when(F.col("kind") == 1, -F.col("n")).otherwise(0)).alias("copies"),
+    )
+    bits = F.col("value") + F.col("unknown_words") * F.col("unknown") + F.col("copies") * F.col("begin") - F.col("spelled") * F.lit(8 * UNIT)
+    return sums.join(F.broadcast(sides), "side").select("uid", F.pow(F.lit(2.0), -bits / UNIT / F.col("bytes")).alias("perplexity"))
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, lang, perplexity, threshold, kept."""
-    spark = docs.sparkSession
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").alias("trusted_id")).distinct()
     good = scratch.written(good, "trusted")
     near = F.broadcast(good) if good.count() <= FEW_IDS else good
-    trusted = docs.select("doc_id", "text").join(near, F.col("doc_id") == F.col("trusted_id"), "left_semi")
-    model = trained(trusted)
-    scores = docs.select("doc_id", "lang", scorer(spark, model)("text").alias("perplexity"))
-    if not len(model.tri["gram"]):
-        scores = scores.withColumn("perplexity", F.lit(None).cast("double"))
-    scores = scratch.written(scores, "scores")
-    own = scores.where("perplexity is not null").join(near, F.col("doc_id") == F.col("trusted_id"), "left_semi")
+    uid = F.xxhash64(F.coalesce("text", F.lit(""))).alias("uid")
+    trusted = docs.join(near, F.col("doc_id") == F.col("trusted_id"), "left_semi").select(uid, "text")
+    found = scores(docs.select(uid, "text"), trusted)
+    all_ = docs.select("doc_id", "lang", uid).join(found.hint("merge"), "uid", "left").drop("uid")
+    all_ = scratch.written(all_, "scores")
+    own = all_.where("perplexity is not null").join(near, F.col("doc_id") == F.col("trusted_id"), "left_semi")
     cut = lambda q: F.percentile_approx("perplexity", q, 10_000)
     limit = (cut(QUANTILE) + MARGIN * (cut(QUANTILE) - cut(0.5))).alias("own_threshold")
     by_lang = own.groupBy(F.col("lang").alias("of_lang")).agg(F.count(F.lit(1)).alias("n"), limit).where(F.col("n") >= FEW)
     overall = own.agg(limit).first()[0]
-    out = scores.join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
+    out = all_.join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
     threshold = F.coalesce("own_threshold", F.lit(overall).cast("double"))
     kept = F.coalesce(F.col("perplexity") <= threshold, F.lit(False))
     return out.select("doc_id", "lang", F.round("perplexity", 6).alias("perplexity"), F.round(threshold, 6).alias("threshold"), kept.alias("kept"))

@@ -264,6 +264,50 @@ def test_kneser_ney(spark):
     assert {x.kept for x in kneser_ney.classified(docs, labels.limit(0)).collect()} == {False}
 
 
+def brute_perplexity(train, doc):
+    """Interpolated modified Kneser-Ney of word pairs, written out."""
+    pairs = Counter(p for t in train for w in [t.lower().split()] for p in zip([None, *w], w))
+    cont = Counter(w for _, w in pairs)
+
+    def cuts(c):
+        n = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+        d = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else k * 0.5 for k in (1, 2, 3)]
+        d = [min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d)]
+        return lambda v: d[min(v, 3) - 1]
+
+    d2, d1 = cuts(pairs), cuts(cont)
+    rest = sum(map(d1, cont.values())) / sum(cont.values()) / (len(cont) + 1)
+    p1 = lambda w: rest + (cont[w] - d1(cont[w])) / sum(cont.values()) if cont[w] else rest * 256.0 ** -(len(w) + 1)
+
+    def p2(a, w):
+        own = [v for (x, _), v in pairs.items() if x == a]
+        if not own:
+            return p1(w)
+        c = pairs[a, w]
+        return ((c - d2(c)) if c else 0) / sum(own) + sum(map(d2, own)) / sum(own) * p1(w)
+
+    w = doc.lower().split()
+    return float(np.exp2(-sum(np.log2(p2(a, x)) for a, x in zip([None, *w], w)) / sum(len(x) + 1 for x in w)))
+
+
+@pytest.mark.parametrize("salted", [False, True])
+def test_kneser_ney_word_tables_equal_brute_force(spark, monkeypatch, salted):
+    r = random.Random(9)
+    texts = [" ".join(r.choice(["a", "b", "c", "dd", "e", f"x{r.randint(0, 9)}"]) for _ in range(r.randint(1, 40))) for _ in range(40)]
+    texts += [texts[3], "never seen", "a B\nc", "a a a a " * 50]
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    if salted:
+        monkeypatch.setattr(kneser_ney, "SAMPLE", 1)
+    monkeypatch.setattr(type(docs), "toPandas", None)  # the model stays in tables
+    got = {x.doc_id: x.perplexity for x in kneser_ney.classified(docs, labels).collect()}
+    fold = {x.doc_id: x.f for x in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(2)).alias("f")).collect()}
+    for i, t in enumerate(texts):
+        want = brute_perplexity([texts[j] for j in range(30) if fold[j] != fold[i]], t)
+        assert got[i] == pytest.approx(want, rel=1e-5), (i, t)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000])
 def test_feistel_is_a_permutation(spark, n):
     df = spark.range(n).withColumn("p", sharding.feistel(F.col("id"), n, 7)).withColumn("back", sharding.feistel(F.col("p"), n, 7, inverse=True))
