@@ -12,9 +12,9 @@ many documents of a sample hold are salted. The model is neither collected nor b
 
 A word that the model never saw has what is left for unknown words, spelled with 8 bits a byte and an end.
 
-A document's perplexity per byte (of its words, and one for each end) is compared with its language's threshold: that of the quantile QUANTILE of
-the language's trusted documents, plus MARGIN times the distance from their median. Languages with fewer than
-FEW trusted documents use the threshold of all.
+A document's perplexity per byte (of its words, and one for each end) is compared with its language's threshold,
+the quantile QUANTILE of its n trusted documents and the error of a quantile of so few: MARGIN * sqrt(FEW / n) times its
+distance from their median. Languages with fewer than FEW trusted documents use the threshold of all.
 
 Defined results: texts without words (and null) have no perplexity and are not kept; a null language is one of its
 own; a fold without trusted documents gives no document a perplexity. Words and texts are 64-bit hashes; A-Z counts
@@ -236,9 +236,10 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     all_ = docs.select("doc_id", "lang", uid).join(found.hint("merge"), "uid", "left").drop("uid")
     all_ = scratch.written(all_, "scores")
     own = all_.where("perplexity is not null").join(near, F.col("doc_id") == F.col("trusted_id"), "left_semi")
+    n = F.count(F.lit(1))
     cut = lambda q: F.percentile_approx("perplexity", q, 10_000)
-    limit = (cut(QUANTILE) + MARGIN * (cut(QUANTILE) - cut(0.5))).alias("own_threshold")
-    by_lang = own.groupBy(F.col("lang").alias("of_lang")).agg(F.count(F.lit(1)).alias("n"), limit).where(F.col("n") >= FEW)
+    limit = (cut(QUANTILE) + MARGIN * F.sqrt(FEW / n) * (cut(QUANTILE) - cut(0.5))).alias("own_threshold")
+    by_lang = own.groupBy(F.col("lang").alias("of_lang")).agg(n.alias("n"), limit).where(F.col("n") >= FEW)
     overall = own.agg(limit).first()[0]
     out = all_.join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
     threshold = F.coalesce("own_threshold", F.lit(overall).cast("double"))

@@ -308,6 +308,28 @@ def test_kneser_ney_word_tables_equal_brute_force(spark, monkeypatch, salted):
         assert got[i] == pytest.approx(want, rel=1e-5), (i, t)
 
 
+def test_threshold_is_near_the_quantile_and_refuses_junk_that_looks_like_prose(spark):
+    r = random.Random(11)
+    words = ["".join(r.choice("aeiou") + r.choice("nrst") for _ in range(r.randint(1, 3))) for _ in range(120)]
+    after = {w: r.sample(words, 3) for w in words}
+
+    def prose(n):
+        out = [r.choice(words)]
+        while len(out) < n:
+            out.append(r.choice(after[out[-1]]))
+        return out
+
+    clean = [prose(r.randint(20, 120)) for _ in range(200)]
+    junk = [w if k % 2 else [x if r.random() < 0.4 else r.choice(words) for x in w] for k, w in enumerate(map(prose, [80] * 20))]
+    junk = [sorted(w, key=lambda _: r.random()) if k % 2 else w for k, w in enumerate(junk)]
+    docs = table(spark, [" ".join(x) for x in clean + junk])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    rows = {x.doc_id: x for x in kneser_ney.classified(docs, labels).collect()}
+    trusted = sorted(rows[i].perplexity for i in range(150))
+    assert trusted[146] <= rows[0].threshold <= trusted[146] + 1.5 * (trusted[146] - trusted[74])
+    assert not any(rows[200 + i].kept for i in range(20)) and sum(rows[150 + i].kept for i in range(50)) >= 46
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000])
 def test_feistel_is_a_permutation(spark, n):
     df = spark.range(n).withColumn("p", sharding.feistel(F.col("id"), n, 7)).withColumn("back", sharding.feistel(F.col("p"), n, 7, inverse=True))
