@@ -1,21 +1,24 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed is a fixed mask over SPAN consecutive words of which some are ignored, so a substituted word
-spoils a seed only where the mask looks at it. The hashes of all masks at all places of the benchmark
-meet the same hashes of the documents in a join. Around every hit the two word sequences are compared
-on the hit's diagonal: an item leaks into a document if WINDOW consecutive places (all of them, for a
-shorter item) agree in a share of at least AGREE.
-
-All masks begin with the same two words. Places of a document are rows of the join only where the pair
-there and one of the seeds may be in the benchmark: a bitmap of at most 2^20 bits, whatever the
-benchmark's size, tells most others apart (it never refuses one that is). A run of agreeing seeds on a
-diagonal is compared once, at its first place.
-
-The benchmark's side is broadcast if its words are at most FEW_WORDS; beyond that the same joins shuffle.
+An item leaks into a document if, at some shift, WINDOW consecutive places of the item (all of them, for a shorter item)
+agree with the document in a share of at least AGREE. A seed is a fixed mask over consecutive words of which some are
+ignored, so a substituted word spoils a seed only where the mask looks at it. The hashes of all masks at all places of the
+benchmark meet the same hashes of the documents in a join, and around every hit the two word sequences are compared.
+
+MASKS find every leak of items of eight words or more: wherever the substitutions that AGREE allows stand in a window, one
+of the masks fits between them (`test_masks_find_every_leak` tries all). Shorter items have masks of their own: of five to
+seven words one may differ, of fewer none, so all their words are one seed.
+
+Places of a document are rows of the join only where one of the seeds (and, where all masks begin with two words, the pair
+there) may be in the benchmark: a bitmap of at most 2^MOST_BITS bits, whatever the benchmark's size, tells most others
+apart (it never refuses one that is). A run of agreeing seeds on a diagonal is compared once, at its first place.
+
+The benchmark's side is broadcast if its words are at most FEW_WORDS. Beyond that documents' seeds shuffle without their
+words, and only documents with hits meet the items' words.
 Words are [^\\x20\\x09-\\x0D]+ in lower case, compared by 64-bit hash.
 
-Defined results: null or empty texts and items of fewer than SPAN words never leak; copies of a row give
-the pair (doc_id, item_id) once; more columns are not read.
+Defined results: null or empty texts have no leaks, null or empty items never leak; a repeated document gives the pair
+(doc_id, item_id) once, a repeated item is one item; more columns are not read.
 """
 
 from __future__ import annotations
@@ -26,15 +29,22 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed masks: the places in a span that a seed looks at.
-MASKS = [(0, 1, 3, 4, 6), (0, 1, 2, 5, 7), (0, 1, 4, 5, 7), (0, 1, 2, 3, 4)]
-SPAN, WINDOW, AGREE = 8, 13, 0.8
+#: Fixed masks: the places in a span that a seed looks at, for items of eight words or more and of five to seven.
+MASKS = [(0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7)]
+SHORT_MASKS = [(0, 1, 2), (0, 1, 3)]
+WINDOW, AGREE = 13, 0.8
+BLANKS = " \t\n\x0b\x0c\r"
 #: Benchmark words up to this number are broadcast (a few hundred bytes each with seeds and items).
 FEW_WORDS = 200_000
 
 
+def masks_of(length: int) -> list[tuple[int, ...]]:
+    """The masks for items of so many words."""
+    return MASKS if length >= 8 else SHORT_MASKS if length >= 5 else [tuple(range(length))]
+
+
 def word_hashes(text: Column) -> Column:
-    words = F.split(F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\x0c\r")), "[ \t\n\x0b\x0c\r]+")
+    words = F.split(F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(BLANKS)), "[ \t\n\x0b\x0c\r]+")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -42,11 +52,6 @@ def word_hashes(text: Column) -> Column:
 BITS_A_WORD, MOST_BITS = 64, 20
 
 
-def _places(h: Column) -> Column:
-    """Where a span can begin; null where none can."""
-    return F.when(F.size(h) >= SPAN, F.sequence(F.lit(0), F.size(h) - SPAN))
-
-
 def _pair(h: Column, at: Column) -> Column:
     return F.xxhash64(F.get(h, at), F.get(h, at + 1))
 
@@ -73,14 +78,16 @@ def _may_hold(bitmap: Column, x: Column, bits: int) -> Column:
     return test(one) & test(two)
 
 
-def _seed(h: Column, at: Column, mask: int) -> Column:
-    return F.xxhash64(F.lit(mask), *(F.get(h, at + o) for o in MASKS[mask]))
+def _seed(h: Column, at: Column, mask: tuple[int, ...]) -> Column:
+    """The hash of a mask at a place; null where it reaches over the end."""
+    seed = F.xxhash64(F.lit(",".join(map(str, mask))), *(F.get(h, at + o) for o in mask))
+    return F.when(at + mask[-1] < F.size(h), seed)
 
 
-def _seeds(rows: DataFrame, h: str, at: str) -> DataFrame:
-    """A row per mask, with columns mask and seed."""
-    each = F.array(*(F.struct(F.lit(m).alias("mask"), _seed(F.col(h), F.col(at), m).alias("seed")) for m in range(len(MASKS))))
-    return rows.select("*", F.inline(each))
+def _seeds(rows: DataFrame, h: str, at: str, masks: list[tuple[int, ...]]) -> DataFrame:
+    """A row per mask that fits, with columns mask (its number) and seed."""
+    each = F.array(*(F.struct(F.lit(m).alias("mask"), _seed(F.col(h), F.col(at), mask).alias("seed")) for m, mask in enumerate(masks)))
+    return rows.select("*", F.inline(each)).where("seed is not null")
 
 
 def _agrees(h: Column, b: Column, at: Column, item_at: Column) -> Column:
@@ -89,41 +96,52 @@ def _agrees(h: Column, b: Column, at: Column, item_at: Column) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
     """One row per document (`ids`) and item that leaks into it: ids, item_id, agreeing (most equal words in a window)."""
-    items = benchmark.select(F.col("item_id"), word_hashes(F.col("text")).alias("b")).where(F.size("b") >= SPAN)
-    words = items.agg(F.sum(F.size("b"))).first()[0] or 0
-    near = F.broadcast if words <= FEW_WORDS else lambda x: x
-
-    places = items.select("item_id", "b", F.explode(_places(F.col("b"))).alias("item_at"))
-    item_seeds = _seeds(places, "b", "item_at").select("item_id", "item_at", "mask", "seed")
+    items = benchmark.select(F.col("item_id"), word_hashes(F.col("text")).alias("b")).where(F.trim(F.col("text"), F.lit(BLANKS)) != "").distinct()
+    lengths = items.groupBy(F.least(F.size("b"), F.lit(8)).alias("k")).agg(F.sum(F.size("b")).alias("n")).collect()  # eight rows at most
+    words = sum(r["n"] for r in lengths)
+    masks = sorted({m for r in lengths for m in masks_of(r["k"])}) or MASKS
+
+    places = items.select("item_id", "b", F.explode(F.sequence(F.lit(0), F.size("b") - 1)).alias("item_at"))
+    own_mask = reduce(Column.__or__, (F.size("b").between(low, high) & F.col("mask").isin([masks.index(m) for m in of if m in masks]) for low, high, of in [(8, 1 << 30, MASKS), (5, 7, SHORT_MASKS), *((k, k, masks_of(k)) for k in range(1, 5))]))
+    item_seeds = _seeds(places, "b", "item_at", masks).where(own_mask).select("item_id", "item_at", "mask", "seed")
+    paired = all(m[:2] == (0, 1) for m in masks)
     bits = min(MOST_BITS, max(12, (words * BITS_A_WORD).bit_length()))
-    bitmap = _bitmap(item_seeds.select(F.col("seed").alias("x")).union(places.select(_pair(F.col("b"), F.col("item_at")))), bits)
+    known = item_seeds.select(F.col("seed").alias("x"))
+    bitmap = _bitmap(known.union(places.select(_pair(F.col("b"), F.col("item_at")))) if paired else known, bits)
 
-    own = [F.col(c).alias(f"dc_id_{i}") for i, c in enumerate(ids)]
     names = [f"dc_id_{i}" for i in range(len(ids))]
-    hashed = docs.select(*own, word_hashes(F.col(text)).alias("h"))
+    own = [F.col(c).alias(n) for c, n in zip(ids, names, strict=True)]
+    hashed = docs.select(*own, F.xxhash64(text).alias("dc_text"), word_hashes(F.col(text)).alias("h"))
 
     def likely(i: Column) -> Column:
-        seeds = [_may_hold(bitmap, _seed(F.col("h"), i, m), bits) for m in range(len(MASKS))]
-        return _may_hold(bitmap, _pair(F.col("h"), i), bits) & reduce(Column.__or__, seeds)
-
-    at = hashed.select(*names, "h", F.explode(F.filter(_places(F.col("h")), likely)).alias("at"))
-    hits = _seeds(at, "h", "at").join(near(item_seeds), ["mask", "seed"]).join(near(items), "item_id")
+        seeds = reduce(Column.__or__, (F.coalesce(_may_hold(bitmap, _seed(F.col("h"), i, m), bits), F.lit(False)) for m in masks))
+        return _may_hold(bitmap, _pair(F.col("h"), i), bits) & seeds if paired else seeds
 
+    shortest = min(m[-1] for m in masks) + 1
+    starts = F.when(F.size("h") >= shortest, F.sequence(F.lit(0), F.size("h") - shortest))
     h, b = F.col("h"), F.col("b")
-    offsets = F.element_at(F.array(*(F.array(*map(F.lit, m)) for m in MASKS)), F.col("mask") + 1)
-    before = F.forall(offsets, lambda o: _agrees(h, b, F.col("at") + o - 1, F.col("item_at") + o - 1))
-    hits = hits.where((F.col("at") == 0) | (F.col("item_at") == 0) | ~before)
-
-    # windows that touch the seed: the places WINDOW - 1 to its left up to as many to its right
-    shift = F.col("at") - F.col("item_at")
+    if words <= FEW_WORDS:
+        at = hashed.select(*names, "h", F.explode(F.filter(starts, likely)).alias("at"))
+        hits = _seeds(at, "h", "at", masks).join(F.broadcast(item_seeds), ["mask", "seed"]).join(F.broadcast(items), "item_id")
+        offsets = F.element_at(F.array(*(F.array(*map(F.lit, m)) for m in masks)), F.col("mask") + 1)
+        before = F.forall(offsets, lambda o: _agrees(h, b, F.col("at") + o - 1, F.col("item_at") + o - 1))
+        hits = hits.where((F.col("at") == 0) | (F.col("item_at") == 0) | ~before).withColumn("shift", F.col("at") - F.col("item_at"))
+    else:
+        at = hashed.select("dc_text", "h", F.explode(F.filter(starts, likely)).alias("at"))
+        met = _seeds(at, "h", "at", masks).select("dc_text", "at", "mask", "seed").join(item_seeds, ["mask", "seed"])
+        met = met.select("dc_text", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+        some = hashed.join(met.select("dc_text").distinct(), "dc_text", "left_semi")
+        hits = met.join(some, "dc_text").join(items, "item_id")
+
+    shift = F.col("shift")
     low = F.greatest(F.lit(0), -shift)
     high = F.least(F.size(b), F.size(h) - shift)
     width = F.least(F.lit(WINDOW), F.size(b))
     equal = F.transform(F.sequence(low, high - 1), lambda j: F.when(F.get(h, j + shift) == F.get(b, j), 1).otherwise(0))
     # exploding the one-element array makes `equal` a value of its own: else every reference below computes it again
     hits = hits.select(*names, "item_id", width.alias("width"), F.explode(F.array(equal)).alias("equal")).where(F.size("equal") >= F.col("width"))
-    starts = F.sequence(F.lit(1), F.size("equal") - F.col("width") + 1)
-    sums = F.transform(starts, lambda k: F.aggregate(F.slice("equal", k, F.col("width")), F.lit(0), lambda s, x: s + x))
+    windows = F.sequence(F.lit(1), F.size("equal") - F.col("width") + 1)
+    sums = F.transform(windows, lambda k: F.aggregate(F.slice("equal", k, F.col("width")), F.lit(0), lambda s, x: s + x))
     hits = hits.select(*names, "item_id", "width", F.explode(F.array(F.array_max(sums))).alias("agreeing"))
     found = hits.where(F.col("agreeing") >= AGREE * F.col("width"))
     found = found.groupBy(*names, "item_id").agg(F.max("agreeing").alias("agreeing"))

@@ -25,14 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def file_batches(docs: DataFrame, batches: int) -> list[DataFrame]:
-    """A stored table as batches of whole files."""
-    files = sorted(docs.inputFiles())
-    each = max(1, -(-len(files) // batches))
-    spark = docs.sparkSession
-    return [spark.read.schema(docs.schema).parquet(*files[i : i + each]) for i in range(0, len(files), each)] or [docs]
-
-
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -43,7 +35,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_dedup.kept_lines(docs, line_dedup.runs_of(file_batches(docs, 4)), min_docs=10)
+    out = line_dedup.kept_lines(docs, line_dedup.runs_of(docs, batches=4), min_docs=10)
     n_lines, n_kept = F.size("__ld_lines").cast("long"), F.size("__ld_kept").cast("long")
     return out.select("doc_id", n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"), F.sha2(F.array_join("__ld_kept", "\n"), 256).alias("kept_sha256"))
 
@@ -159,19 +151,20 @@ FROM d LEFT JOIN k USING (rid)
 """
 
 
-_MASKS = str([list(m) for m in decontamination.MASKS])
 _LOWER_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+')"
 
 
-def _seed_rows(key: str, source: str) -> str:
-    return f"""(SELECT {key}, p, mi, list_transform(({_MASKS})[mi], lambda o: w[p + o]) AS seed FROM (SELECT {key}, w, p, unnest(range(1, {len(decontamination.MASKS) + 1})) AS mi
-    FROM (SELECT {key}, w, unnest(range(1, len(w) - {decontamination.SPAN - 2})) AS p FROM {source} WHERE len(w) >= {decontamination.SPAN})))"""
+def _runs(key: str, source: str, k: int, where: str) -> str:
+    """Places of all runs of k words."""
+    return f"(SELECT {key}, p, w[p:p + {k - 1}] AS seed FROM (SELECT {key}, w, unnest(range(1, len(w) - {k - 2})) AS p FROM {source} WHERE {where}))"
 
 
+#: Seeds of its own: three words in a row (one, for items under eight words) stand in every leak.
 OP9 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_LOWER_WORDS} AS w FROM documents),
-b AS (SELECT item_id, {_LOWER_WORDS} AS w FROM benchmark),
-hits AS (SELECT DISTINCT rid, item_id, x.p - y.p AS shift FROM {_seed_rows("rid", "d")} x JOIN {_seed_rows("item_id", "b")} y USING (mi, seed)),
+b AS (SELECT DISTINCT item_id, {_LOWER_WORDS} AS w FROM benchmark),
+hits AS (SELECT DISTINCT rid, item_id, x.p - y.p AS shift FROM {_runs("rid", "d", 3, "len(w) >= 3")} x JOIN {_runs("item_id", "b", 3, "len(w) >= 8")} y USING (seed)
+   UNION SELECT DISTINCT rid, item_id, x.p - y.p AS shift FROM {_runs("rid", "d", 1, "len(w) > 0")} x JOIN {_runs("item_id", "b", 1, "len(w) BETWEEN 1 AND 7")} y USING (seed)),
 e AS (SELECT doc_id, item_id, least({decontamination.WINDOW}, len(b.w)) AS width,
              list_transform(range(greatest(0, -shift), least(len(b.w), len(d.w) - shift)), lambda j: (d.w[j + shift + 1] = b.w[j + 1])::INTEGER) AS eq FROM hits JOIN d USING (rid) JOIN b USING (item_id)),
 a AS (SELECT doc_id, item_id, width, list_max(list_transform(range(1, len(eq) - width + 2), lambda k: list_sum(eq[k:k + width - 1]))) AS agreeing FROM e WHERE len(eq) >= width)
