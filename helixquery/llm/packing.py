@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -40,74 +41,70 @@ SMALL, GROUPS, CELLS = 96, 128, 128
 
 #: A blank that does not simply start the next word: then the text is encoded whole.
 IRREGULAR = r"  | $| [\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Chunks of characters that every regular expression engine puts into the same classes.
+PLAIN = r"^[\n\x20-\x7e\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]*$"
+#: The pattern by which a byte-level vocabulary cuts texts: fixed by the vocabulary file's kind.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: visible Latin-1 characters for
+    themselves, U+0100 and on for the other bytes in order."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(seen)]
+    return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Ids of texts; chunks (a blank and what follows it) are encoded once and remembered.
+    """Ids of texts as `tokenizers` gives them.
 
-    The vocabulary's pattern starts a new piece at a blank before a non-blank, so a text's ids are its
-    chunks' ids one after another. The memory is emptied when it holds MOST chunks.
+    The vocabulary's pattern starts a new piece at a blank before a non-blank, so a text's ids are the ids of its
+    chunks (a blank and what follows it) one after another: each distinct chunk of some texts is encoded once. Plain
+    chunks go through `tiktoken` all at once, with the same vocabulary as ranks, where the file's merges are in the order
+    of their ids; the ids' byte lengths tell where chunks end. All others go through `tokenizers`.
     """
 
-    MOST, GROUP = 1_200_000, 4000
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = {token.content: i for i, token in self.tokenizer.get_added_tokens_decoder().items()}
+        byte, vocabulary = byte_of(), self.tokenizer.get_vocab(with_added_tokens=False)
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in added}
         self.id_bytes = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.id_bytes[i] = len(token)  # a character of the vocabulary stands for a byte
-        for i, token in self.tokenizer.get_added_tokens_decoder().items():
-            self.id_bytes[i] = len(token.content.encode())
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.store, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.starts, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.end = 0
-        self._put(np.array([END_ID], dtype=np.uint32), np.ones(1, dtype=np.int64))
-
-    def _put(self, ids: np.ndarray, sizes: np.ndarray) -> int:
-        """Stores the ids of len(sizes) more chunks; the number of the first."""
-        while self.used + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
-        self.store[self.used : self.used + len(ids)] = ids
-        first = len(self.starts)
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.used += len(ids)
-        return first
+        for token, i in ranks.items():
+            self.id_bytes[i] = len(token)
+        for token, i in added.items():
+            self.id_bytes[i] = len(token.encode())
+        with open(path, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        into = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+        self.fast = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added) if into == sorted(into) else None
 
     def _each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         sizes = np.array([len(x) for x in found], dtype=np.int64)
         return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum())), sizes
 
-    def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of chunks that all begin with a blank, from one text: the bytes of the ids tell where chunks end."""
-        ids = np.array(self.tokenizer.encode("".join(chunks), add_special_tokens=False).ids, dtype=np.uint32)
-        ends = np.cumsum([len(x.encode()) for x in chunks])
+    def _joined(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain chunks without their first blanks, and the number of ids of each."""
+        if self.fast is None or not len(chunks):
+            return self._each([" " + x for x in chunks.to_pylist()])
+        ends = np.cumsum(pc.binary_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks), " ")[0].as_py()
+        ids = self.fast.encode_to_numpy(" " + whole, allowed_special="all")
         reached = np.cumsum(self.id_bytes[ids])
         at = np.searchsorted(reached, ends)
-        if len(reached) == 0 or at[-1] >= len(reached) or (reached[at] != ends).any():
-            return self._each(chunks)
+        if at[-1] >= len(reached) or (reached[at] != ends).any():
+            return self._each([" " + x for x in chunks.to_pylist()])
         return ids, np.diff(at + 1, prepend=0)
 
-    def _learn(self, chunks: list[str]) -> None:
-        for alone in (False, True):
-            some = [x for x in chunks if alone != (len(x) > 1 and x[0] == " ")]
-            for i in range(0, len(some), self.GROUP):
-                group = some[i : i + self.GROUP]
-                first = self._put(*(self._each if alone else self._joined)(group))
-                self.known.update(zip(group, range(first, first + len(group)), strict=True))
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by the end id, and the offsets (n + 1)."""
-        if len(self.known) > self.MOST:
-            self.clear()
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, IRREGULAR)
         lists = pc.split_pattern(texts, " ")
@@ -116,18 +113,32 @@ class Encoder:
             lists = text.replaced(lists, odd, pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1, dtype=np.int32)), whole))
         parts, offsets = text.flat_list(lists)
         code, distinct = text.codes(parts)
-        names = distinct.to_pylist()
-        heads, head_code = np.unique(code[offsets[:-1]], return_inverse=True)  # a text's first chunk has no blank
-        code[offsets[:-1]] = len(names) + head_code
-        chunks = [" " + x for x in names] + [names[i] for i in heads.tolist()]
-        inverse = code
-        self._learn([c for c in chunks if c not in self.known])
-        number = np.fromiter(map(self.known.__getitem__, chunks), dtype=np.int64, count=len(chunks))[inverse]
-        number = np.insert(number, offsets[1:], self.end)
-        sizes = self.sizes[number]
-        ends = np.cumsum(sizes)
-        at = np.repeat(self.starts[number] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        return self.store[at], np.concatenate(([0], ends[offsets[1:] + np.arange(len(texts))]))
+        head, head_code = np.unique(code[offsets[:-1]], return_inverse=True)  # a text's first chunk has no blank
+        behind = np.ones(len(code), dtype=bool)
+        behind[offsets[:-1]] = False
+        used = np.zeros(len(distinct), dtype=bool)
+        used[code[behind]] = True  # as a chunk with a blank
+        plain = pc.match_substring_regex(distinct, PLAIN).to_numpy(zero_copy_only=False) & used
+        other = used & ~plain
+        ids, sizes = zip(
+            self._joined(distinct.filter(pa.array(plain))),
+            self._each([" " + x for x in distinct.filter(pa.array(other)).to_pylist()]),
+            self._each(distinct.take(pa.array(head)).to_pylist()),
+            (np.array([END_ID], dtype=np.uint32), np.ones(1, dtype=np.int64)),
+            strict=True,
+        )
+        store, sizes = np.concatenate(ids), np.concatenate(sizes)
+        starts = np.cumsum(sizes) - sizes
+        number_of = np.zeros(len(distinct), dtype=np.int64)
+        number_of[plain] = np.arange(plain.sum())
+        number_of[other] = plain.sum() + np.arange(other.sum())
+        number = number_of[code]
+        number[offsets[:-1]] = used.sum() + head_code
+        number = np.insert(number, offsets[1:], len(sizes) - 1)
+        each = sizes[number]
+        ends = np.cumsum(each)
+        at = np.repeat(starts[number] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
+        return store[at], np.concatenate(([0], ends[offsets[1:] + np.arange(len(texts))]))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -137,21 +148,25 @@ def piece_sums(path: str, capacity: int):
     """A function on texts: the number of ids, and the checksum of each piece's ids."""
 
     @F.arrow_udf(T.StructType([T.StructField("n_ids", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType()))]))
-    def pieces(texts: pa.Array) -> pa.Array:
+    def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        text.lean()
         if path not in _encoders:
             _encoders[path] = Encoder(path)
-        n_ids, sums, ends = [], [], [0]
-        for a, b in text.steps(texts, 2 * text.STEP_BYTES):
-            ids, offsets = _encoders[path].encode(texts.slice(a, b - a))
-            raw = memoryview(ids.astype("<u4").tobytes())
-            for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                n_ids.append(e - s)
-                cut = s + ((e - s) % capacity or min(capacity, e - s))
-                sums.append(zlib.crc32(raw[4 * s : 4 * cut]))
-                sums.extend(zlib.crc32(raw[4 * x : 4 * (x + capacity)]) for x in range(cut, e, capacity))
-                ends.append(len(sums))
-        lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(sums, type=pa.int64()))
-        return pa.StructArray.from_arrays([pa.array(n_ids, type=pa.int64()), lists], ["n_ids", "crcs"])
+        encoder = _encoders[path]
+        for texts in batches:
+            n_ids, sums, ends = [], [], [0]
+            for a, b in text.steps(texts, 4 * text.STEP_BYTES):
+                ids, offsets = encoder.encode(texts.slice(a, b - a))
+                raw = memoryview(ids.astype("<u4").tobytes())
+                for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    n_ids.append(e - s)
+                    cut = s + ((e - s) % capacity or min(capacity, e - s))
+                    sums.append(zlib.crc32(raw[4 * s : 4 * cut]))
+                    sums.extend(zlib.crc32(raw[4 * x : 4 * (x + capacity)]) for x in range(cut, e, capacity))
+                    ends.append(len(sums))
+            lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(sums, type=pa.int64()))
+            yield pa.StructArray.from_arrays([pa.array(n_ids, type=pa.int64()), lists], ["n_ids", "crcs"])
+        text.lean()
 
     return pieces
 
