@@ -28,11 +28,13 @@ def components(links: DataFrame) -> DataFrame:
     Each round writes its edges; it ends when a round changes none (O(log^2 n) rounds).
     """
     ordered = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    edges = scratch.written(ordered, "edges")
+    paths: list[str] = []
+    edges = scratch.written(ordered, "edges", paths)
     seen = None
     while True:
         sign = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31)))).first()
         if sign == seen:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
         seen = sign
-        edges = scratch.written(_small_star(_large_star(edges)), "edges")
+        edges = scratch.written(_small_star(_large_star(edges)), "edges", paths)
+        scratch.deleted(links.sparkSession, paths.pop(0))

@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a local one is set for this session."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a folder of this machine is set for a local session only:
+    executors of a cluster would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -23,8 +27,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet to the shared folder and read again.
+def written(df: DataFrame, name: str, into: list[str] | None = None) -> DataFrame:
+    """df, written once as Parquet to the shared folder and read again. into: gets the path, for `deleted`.
 
     Cuts lineage: a lost executor costs a re-read of files, and columns that depend on the
     partitioning (row ids) never change afterwards.
@@ -32,13 +36,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    if into is not None:
+        into.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def deleted(spark: SparkSession, path: str) -> None:
-    """Removes a table that nothing reads any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def deleted(spark: SparkSession, *paths: str) -> None:
+    """Removes tables that nothing reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @contextmanager

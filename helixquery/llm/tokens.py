@@ -16,6 +16,8 @@ Defined results: a null or empty text has no tokens; special strings are ordinar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -144,13 +146,17 @@ def merged_counts(table: MergeTable, symbols: np.ndarray, seq: np.ndarray, n: in
 
 
 class TokenCounter:
-    """Counts per text; pre-tokens that were counted are remembered, MOST of them."""
+    """Counts per text; pre-tokens that were counted are remembered, MOST characters of them."""
 
-    MOST = 1_000_000
+    MOST = 8 << 20
 
     def __init__(self, path: str):
         self.table = MergeTable(path)
+        self.clear()
+
+    def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def _count(self, pretokens: list[str]) -> np.ndarray:
         pretokens = [MARK + x for x in pretokens]
@@ -160,8 +166,8 @@ class TokenCounter:
         return merged_counts(self.table, symbols, seq, len(pretokens))
 
     def counts(self, texts: pa.Array) -> np.ndarray:
-        if len(self.known) > self.MOST:
-            self.known.clear()
+        if self.held > self.MOST:
+            self.clear()
         texts = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
         full = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(texts, " ")
@@ -174,6 +180,7 @@ class TokenCounter:
         names = distinct.to_pylist()
         new = [x for x in names if x not in self.known]
         self.known.update(zip(new, self._count(new).tolist(), strict=True))
+        self.held += sum(map(len, new))
         each = np.fromiter(map(self.known.__getitem__, names), dtype=np.int64, count=len(names))[code]
         return text.per_row(each, offsets) * full
 
@@ -185,11 +192,18 @@ def token_count(path: str):
     """A function on texts: the number of tokens that the model file at `path` gives."""
 
     @F.arrow_udf(T.LongType())
-    def count(texts: pa.Array) -> pa.Array:
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        text.lean()
         if path not in _counters:
             _counters[path] = TokenCounter(path)
-        found = [_counters[path].counts(texts.slice(a, b - a)) for a, b in text.steps(texts, 2 * text.STEP_BYTES)]
-        return pa.array(np.concatenate(found) if found else [], type=pa.int64())
+        counter = _counters[path]
+        try:
+            for texts in batches:
+                found = [counter.counts(texts.slice(a, b - a)) for a, b in text.steps(texts, 2 * text.STEP_BYTES)]
+                yield pa.array(np.concatenate(found) if found else [], type=pa.int64())
+        finally:  # an idle worker keeps the model only
+            counter.clear()
+            text.lean()
 
     return count
 
