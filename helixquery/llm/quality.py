@@ -70,11 +70,15 @@ def _measure(texts: pa.Array) -> list[np.ndarray]:
 
 @F.arrow_udf(T.StructType([T.StructField(x, T.LongType()) for x in STATS]))
 def measure(texts: pa.Array) -> pa.Array:
+    text.lean()
     found = [_measure(texts.slice(a, b - a)) for a, b in text.steps(texts)]
     cols = [np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(len(STATS))]
     return pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in cols], STATS)
 
 
+measure = measure.asNondeterministic()  # else Spark measures again wherever a measure is used
+
+
 def base_failed(s: Column) -> Column:
     return (s.n_words < 50) | (100 * s.n_repeat_words > 50 * s.n_words)
 
