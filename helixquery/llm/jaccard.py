@@ -18,23 +18,27 @@ are counted over all sets, but only within a window of each (its smallest hashes
 prefix). Sets whose window has too few rare tokens are taken whole, and then all are counted once more.
 
 Signatures with few sets have all their pairs verified. Others, such as the combinations of a family of near
-copies, may have any number: their sets are compared with one pivot first, links become components, and only
-pairs between different components of one signature remain.
+copies, may have any number: their sets are compared with a few random pivots first and links become components. In the
+rounds after that the sets of a signature outside of its largest component are its pivots, about OUTSIDERS a round, and
+meet the sets of other components; a set that has met all of its signature leaves it, and a signature of one component
+is done. A pair is made at one of the signatures that it shares, not at all: each row knows the signatures before its own.
 
 Sets that are equal are one class from the start; every row of the result carries its class.
 
+A signature of many sets is dealt over parts of about PART sets where its sets meet its pivots. Tables of a round
+are deleted when the next one is written.
+
 Defined results: null and empty texts, or texts without words, have an empty set and no links; repeated
 rows are copies of each other; null ids are rows like others, but a component is named by ids that are not
-null; only doc_id and text are read.
+null; only doc_id and text are read. A table without any pair (empty, one row, copies only, unlike texts only) has
+no links. `percent` must be over 50: below, prefixes have no combinations to lose.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,10 +47,14 @@ from helixquery.llm.components import components
 
 #: Sets up to which a token is rare; tokens expected in a hash cell.
 RARE, CELL = 32, 6
-#: Pivots of a signature in one round.
-PIVOTS = 12
+#: Random pivots of a signature in the first round; later pivots in one round, and signatures before its own that a row knows.
+PIVOTS, OUTSIDERS, BEFORE = 12, 256, 4
+#: Sets of one signature that one task handles, about.
+PART = 20_000
 #: Frequent tokens up to this number (8 bytes each) are sent to the tasks; beyond it they are joined.
 FEW_TOKENS = 1_000_000
+#: Tokens of sets or windows up to this number (8 bytes each) are broadcast to the pairs; beyond it they are joined.
+FEW_COMPARED = 3_000_000
 #: Ids up to this number (8 bytes each) are broadcast to find their texts again; beyond it they are joined.
 FEW_IDS = 500_000
 
@@ -107,6 +115,7 @@ def windows_of(k: int, percent: int, whole: bool):
 
     @F.arrow_udf(kind)
     def sets(texts: pa.Array) -> pa.Array:
+        text.lean()
         done = []
         for a, b in text.steps(texts):
             n, hi, lo, tokens = [], [], [], []
@@ -119,7 +128,7 @@ def windows_of(k: int, percent: int, whole: bool):
             done.append(pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), _lists(tokens)], ["n", "hi", "lo", "tokens"]))
         return pa.concat_arrays(done) if done else pa.StructArray.from_arrays([pa.array([], pa.int64())] * 3 + [_lists([])], ["n", "hi", "lo", "tokens"])
 
-    return sets
+    return sets.asNondeterministic()  # else Spark tests its fields for null below a semi-join: on every text
 
 
 def level(n: int) -> int:
@@ -193,6 +202,15 @@ def known_difference(n: pa.Array, a: pa.Array, m: pa.Array, b: pa.Array) -> pa.A
     return pa.array(out, pa.int64())
 
 
+def part_of() -> Column:
+    """The part of its signature that a row (cid, parts) falls into."""
+    return F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
+
+
+def every_part() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+
+
 def size_fits(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
@@ -201,8 +219,12 @@ class Join:
     """One run over a table of texts."""
 
     def __init__(self, docs: DataFrame, k: int = 3, percent: int = 90):
+        if percent <= 50:
+            raise ValueError("percent must be over 50")
         self.docs = docs.select("doc_id", "text")
         self.spark, self.k, self.percent = docs.sparkSession, k, percent
+        self.sets = self.spark.createDataFrame([], "cid long, n long, tokens array<long>")
+        self.no_links = self.spark.createDataFrame([], "a long, b long")
 
     def classes(self) -> None:
         """rows: uid, doc_id, n, hi, lo, tokens; reps: one row (cid) per distinct set."""
@@ -211,12 +233,15 @@ class Join:
         self.rows = scratch.written(rows.select("uid", "doc_id", "text_key", "s.*"), "windows")
         full = self.rows.where("n > 0").select("uid", "hi", "lo", "doc_id")
         self.keys = scratch.written(full.groupBy("hi", "lo").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("least_id")), "classes")
-        self.reps = self.rows.where("n > 1").join(self.keys.select(F.col("cid").alias("uid")), "uid", "left_semi")
+        may_link = (100 - self.percent) * F.col("n") >= self.percent  # smaller sets have no partner of another size
+        self.reps = self.rows.where(may_link).join(self.keys.select(F.col("cid").alias("uid")), "uid", "left_semi")
 
     def whole_sets(self, cids: DataFrame) -> DataFrame:
         """(cid, n, tokens) with all tokens, made again from the texts."""
         wanted = self.rows.select("uid", "doc_id", "hi", "lo").join(cids.select(F.col("cid").alias("uid")), "uid", "left_semi")
         wanted = scratch.written(wanted.withColumnRenamed("uid", "cid"), "wanted")
+        if wanted.isEmpty():
+            return wanted.select("cid", F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("tokens"))
         ids = wanted.select(F.col("doc_id").alias("wanted_id")).distinct()
         ids = F.broadcast(ids) if wanted.count() <= FEW_IDS else ids
         texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
@@ -260,12 +285,12 @@ class Join:
         return scratch.written(out.select("cid", "n", "g.*"), "signatures")
 
     def index(self) -> None:
-        """few and many: (sig, cid, n) of the signatures with few sets and with many."""
+        """few (sig, cid, n) and many (sig, cid, n, parts): the signatures with few sets and with many."""
+        used: list[str] = []
         counted = self.reps.select(F.col("uid").alias("cid"), "n", "tokens")
         frequent = self.frequent(counted)
         signed = self.signed(counted, frequent)
         more = signed.where("more").select("cid")
-        self.sets = None
         if not more.isEmpty():  # count again with these sets whole
             self.sets = self.whole_sets(more)
             counted = counted.join(self.sets.select("cid"), "cid", "left_anti").unionByName(self.sets)
@@ -277,110 +302,137 @@ class Join:
                 self.sets = self.sets.unionByName(sets)
                 signed = signed.where("not more").unionByName(self.signed(sets, frequent))
         each = signed.select(F.explode(F.concat("singles", "combined")).alias("sig"), "cid", "n")
-        lists = scratch.written(each.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "lists")
+        lists = scratch.written(each.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "lists", used)
         shared_ = each.join(lists, "sig")
         shared_ = scratch.written(shared_, "postings")
+        scratch.deleted(self.spark, *used)
         self.few = shared_.where(F.col("c") <= RARE).drop("c")
-        self.many = shared_.where(F.col("c") > RARE).drop("c")
+        self.many = shared_.where(F.col("c") > RARE).select("sig", "cid", "n", (1 + F.floor(F.col("c") / PART)).cast("int").alias("parts"))
+
+    def compared(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """pairs (a, b) with n and tokens of both. sets: cid, n, tokens."""
+        size = sets.agg(F.sum(F.size("tokens") + 4)).first()[0] or 0
+        near = F.broadcast if size <= FEW_COMPARED else lambda x: x
+        for x in ("a", "b"):
+            pairs = pairs.join(near(sets.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))), x)
+        return pairs
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b). Their windows show of most other pairs that they differ too much; whole sets are
         compared for the rest."""
-        pairs = scratch.written(pairs, "candidates")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-        ids = F.broadcast(ids) if 2 * pairs.count() <= FEW_IDS else ids
-        reps = self.reps.join(ids, "uid", "left_semi")  # else all windows would be shuffled
-        window = lambda x: reps.select(F.col("uid").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
-        seen = pairs.join(window("a"), "a").join(window("b"), "b").withColumn("apart", known_difference("n_a", "t_a", "n_b", "t_b"))
+        used: list[str] = []
+        pairs = scratch.written(pairs, "candidates", used)
+        n_pairs = pairs.count()
+        if not n_pairs:
+            return self.no_links
+        ids = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "compared", used)
+        near_ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+        windows = self.reps.join(near_ids, "uid", "left_semi").select(F.col("uid").alias("cid"), "n", "tokens")
+        seen = self.compared(pairs, windows).withColumn("apart", known_difference("n_a", "t_a", "n_b", "t_b"))
         may = (100 + self.percent) * F.col("apart") <= (100 - self.percent) * (F.col("n_a") + F.col("n_b"))
-        pairs = scratch.written(seen.where(may).select("a", "b"), "pairs")
-        cids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-        missing = cids if self.sets is None else cids.join(self.sets.select("cid"), "cid", "left_anti")
+        pairs = scratch.written(seen.where(may).select("a", "b"), "pairs", used)
+        cids = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "compared", used)
+        missing = cids.join(self.sets.select("cid"), "cid", "left_anti")
         if not missing.isEmpty():
-            sets = self.whole_sets(missing)
-            self.sets = sets if self.sets is None else self.sets.unionByName(sets)
-        side = lambda x: self.sets.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", shared("t_a", "t_b"))
+            self.sets = self.sets.unionByName(self.whole_sets(missing))
+        near_cids = F.broadcast(cids) if cids.count() <= FEW_IDS else cids
+        both = self.compared(pairs, self.sets.join(near_cids, "cid", "left_semi")).withColumn("shared", shared("t_a", "t_b"))
         union = F.col("n_a") + F.col("n_b") - F.col("shared")
-        return scratch.written(both.where(100 * F.col("shared") >= self.percent * union).select("a", "b"), "links")
+        links = scratch.written(both.where(100 * F.col("shared") >= self.percent * union).select("a", "b"), "links")
+        scratch.deleted(self.spark, *used)
+        return links
 
     def few_pairs(self) -> DataFrame:
         x, y = self.few.toDF("sig", "a", "n_a"), self.few.toDF("sig", "b", "n_b")
         found = x.join(y, "sig").where((F.col("a") < F.col("b")) & size_fits(F.col("n_a"), F.col("n_b"), self.percent))
         return found.select("a", "b").distinct()
 
-    def many_links(self) -> list[DataFrame]:
+    def random_pivots(self, active: DataFrame) -> DataFrame:
+        """active with `pivot`: the first set in each of PIVOTS random orders, the same orders everywhere: signatures share
+        their pivots."""
+        first = [F.min(F.struct(F.xxhash64("cid", F.lit(p)).alias("order"), "cid")) for p in range(PIVOTS)]
+        heads = active.groupBy("sig").agg(F.array(*first).alias("p"))
+        heads = heads.select("sig", F.explode(F.array_distinct(F.transform("p", lambda x: x.cid))).alias("cid"), F.lit(True).alias("pivot"))
+        return active.join(heads, ["sig", "cid"], "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
+
+    def outsiders(self, active: DataFrame, turn: int) -> DataFrame:
+        """active with `pivot`: about OUTSIDERS of the sets of each signature outside of its largest component."""
+        labels = active.groupBy("sig", "parts", "label").agg(F.count(F.lit(1)).alias("c"))
+        largest = labels.groupBy("sig", "parts").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), (F.sum("c") - F.max("c")).alias("others"))
+        rows = active.withColumn("part", part_of()).join(largest.select("sig", "largest", "others", every_part()), ["sig", "part"]).drop("part")
+        chance = F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(1 << 20)) / (1 << 20)
+        pivot = (F.col("label") != F.col("largest")) & (chance * F.col("others") < OUTSIDERS)
+        return rows.withColumn("pivot", pivot).drop("largest", "others")
+
+    def many_links(self) -> DataFrame:
         """Links among the sets of each signature with many, enough of them for its components."""
-        active = self.many
-        most = RARE * active.count() + 1_000_000  # pairs, as many a posting as signatures with few sets may make
-        links: list[DataFrame] = []
-        seen: DataFrame | None = None
-        while True:
-            # the first set in each of PIVOTS random orders, the same orders everywhere: signatures share their pivots
-            first = [F.min(F.struct(F.xxhash64("cid", F.lit(p)).alias("order"), "cid", "n")) for p in range(PIVOTS)]
-            heads = active.groupBy("sig").agg(F.array(*first).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
-            heads = heads.select("sig", F.explode(F.array_distinct(F.transform("p", lambda x: F.struct(x.cid.alias("a"), x.n.alias("n_a"))))).alias("p")).select("sig", "p.*")
-            heads = scratch.written(heads, "heads")
-            pairs = active.join(heads, "sig").where((F.col("cid") != F.col("a")) & size_fits(F.col("n"), F.col("n_a"), self.percent))
-            pairs = pairs.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
-            pairs = scratch.written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pivots")
-            if pairs.isEmpty() and not links:
-                return links
-            seen = pairs if seen is None else seen.union(pairs)
-            links.append(self.verified(pairs))
+        active = self.many.withColumn("label", F.col("cid"))
+        links = self.no_links
+        before: list[str] = []
+        turn = 0
+        while not active.isEmpty():
+            used: list[str] = []
+            rows = self.outsiders(active, turn) if turn else self.random_pivots(active)
+            own = Window.partitionBy("cid").orderBy("sig").rowsBetween(-BEFORE, -1)  # a set has few signatures
+            rows = rows.withColumn("met", F.collect_list("sig").over(own)).withColumn("led", F.collect_list(F.when(F.col("pivot"), F.col("sig"))).over(own))
+            rows = scratch.written(rows, "active", used)
+            heads = rows.where("pivot").select("sig", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), "led", every_part())
+            pairs = rows.drop("led").withColumn("part", part_of()).join(heads, ["sig", "part"])
+            fits = (F.col("label") != F.col("label_a")) & size_fits(F.col("n"), F.col("n_a"), self.percent) & ~F.arrays_overlap("met", "led")
+            pairs = pairs.where(fits).select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
+            links = links.union(self.verified(pairs))
             # pivots have met all of their signature; signatures of one component are done
-            labels = components(reduce(DataFrame.union, links))
-            rest = active.join(heads.select("sig", F.col("a").alias("cid")), ["sig", "cid"], "left_anti")
-            rest = rest.drop("label").join(labels.select(F.col("node").alias("cid"), F.col("root").alias("label")), "cid", "left")
+            labels = components(links)
+            rest = rows.where("not pivot").select("sig", "cid", "n", "parts")
+            rest = rest.join(labels.select(F.col("node").alias("cid"), F.col("root").alias("label")), "cid", "left")
             rest = rest.withColumn("label", F.coalesce("label", "cid"))
-            mixed = rest.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("sig")
-            active = scratch.written(rest.join(mixed, "sig", "left_semi"), "combined")
-            by_label = active.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("c"))
-            cross = by_label.groupBy("sig").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("x"))
-            left = cross.agg(F.sum("x")).first()[0] or 0
-            if left <= most:
-                x = active.select("sig", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"))
-                y = active.select("sig", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
-                pairs = x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b")) & size_fits(F.col("n_a"), F.col("n_b"), self.percent))
-                pairs = pairs.select("a", "b").distinct()
-                if left:
-                    links.append(self.verified(pairs))
-                return links
+            mixed = rest.groupBy("sig", "parts").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("sig", every_part())
+            active = scratch.written(rest.withColumn("part", part_of()).join(mixed, ["sig", "part"], "left_semi").drop("part"), "combined", used)
+            scratch.deleted(self.spark, used.pop(0), *before)
+            before = used
+            turn += 1
+        return links
 
     def run(self) -> DataFrame:
-        """doc_id, text_key, n_shingles, component_id, class_id (smallest id with the same set) of every row."""
+        """doc_id, text_key, n_shingles, component_id, class_id (smallest id with the same set), root of every row; root is the
+        component's own number (null: no words)."""
         with scratch.small_batches(self.spark):  # all Python functions run in here
             self.classes()
             self.index()
-            links = self.many_links()
-            links.append(self.verified(self.few_pairs()))
-        roots = components(reduce(DataFrame.union, links))
+            links = self.many_links().union(self.verified(self.few_pairs()))
+        roots = components(links)
         keys = self.keys.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
         keys = scratch.written(keys.select("hi", "lo", "least_id", "root"), "labelled")
         names = keys.groupBy("root").agg(F.min("least_id").alias("component_id"))
-        named = keys.join(names, "root").select("hi", "lo", "component_id", "least_id")
+        named = keys.join(names, "root").select("hi", "lo", "component_id", "least_id", "root")
         out = self.rows.select("doc_id", "text_key", "n", "hi", "lo").join(named, ["hi", "lo"], "left")
         own = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id"))
-        return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), own("component_id").alias("component_id"), own("least_id").alias("class_id"))
+        root = F.when(F.col("n") > 0, F.col("root")).alias("root")
+        return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), own("component_id").alias("component_id"), own("least_id").alias("class_id"), root)
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id of every row."""
-    return Join(docs, k, percent).run().drop("text_key")
+    return Join(docs, k, percent).run().drop("text_key", "root")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The document with the smallest id of every component, with its columns; texts without words all stay."""
-    found = scratch.written(Join(docs, k, percent).run(), "components")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    """One document of every component, with its columns: the smallest id (null ids last), then the smallest hash of the text.
+    Texts without words all stay. Rows are told apart by id and text; of rows that have both in common one stays."""
+    found = scratch.written(Join(docs, k, percent).run().where("root is not null"), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    first = scratch.written(found.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")), "first")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.key"))
+    gone = found.join(first.where("rows > 1"), "root").where(~is_first).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"))
+    gone = scratch.written(gone.distinct(), "gone")
     near = F.broadcast(gone) if gone.count() <= FEW_IDS else gone
     packed = docs.select(F.struct(*docs.columns).alias("doc"))
-    same = F.col("doc.doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("doc.text") == F.col("gone_key"))
-    kept = packed.join(near, same, "left_anti")
-    # the same id more than once in a component: repeated rows, of which one stays
-    repeats = found.where((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    id_, key = F.col("doc.doc_id"), F.xxhash64("doc.text")
+    kept = packed.join(near, id_.eqNullSafe(F.col("gone_id")) & (key == F.col("gone_key")), "left_anti")
+    same = found.join(first.where("rows > 1"), "root").where(is_first)
+    repeats = scratch.written(same.groupBy(F.col("doc_id").alias("re_id"), F.col("text_key").alias("re_key")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("re_id", "re_key"), "repeats")
     if not repeats.isEmpty():
-        some = kept.withColumn("id", F.col("doc.doc_id")).join(repeats.select(F.col("component_id").alias("id")), "id", "left_semi")
-        rest = kept.withColumn("id", F.col("doc.doc_id")).join(repeats.select(F.col("component_id").alias("id")), "id", "left_anti")
-        kept = rest.unionByName(some.dropDuplicates(["id"]))
+        again = id_.eqNullSafe(F.col("re_id")) & (key == F.col("re_key"))
+        some = kept.join(repeats, again, "left_semi").withColumn("id", id_).withColumn("key", key).dropDuplicates(["id", "key"])
+        kept = kept.join(repeats, again, "left_anti").unionByName(some.select("doc"))
     return kept.select("doc.*")

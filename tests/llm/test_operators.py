@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -95,6 +96,36 @@ def test_jaccard_join_path_without_broadcast(spark, monkeypatch):
     assert got == brute_components(list(enumerate(texts)), 3, 90)
 
 
+LONG = " ".join(f"w{i}" for i in range(40))
+
+
+@pytest.mark.parametrize("texts", [[], ["", " \n", None], [LONG], [LONG] * 3, [LONG, LONG.replace("w", "x"), LONG.replace("w", "y")]])
+def test_jaccard_without_pairs(spark, texts):
+    df = table(spark, texts, **CLASH)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert got == brute_components(list(enumerate(texts)), 3, 90)
+    assert jaccard.one_of_each(df).count() == len({t for t in texts if t and t.strip()}) + sum(not (t and t.strip()) for t in texts)
+
+
+def test_jaccard_parts_of_a_signature(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART", 5)
+    texts = families(11)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, texts)).collect()}
+    assert got == brute_components(list(enumerate(texts)), 3, 90)
+    with pytest.raises(ValueError):
+        jaccard.Join(table(spark, texts), 3, 50)
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    near, other = LONG + " w", LONG.replace("w", "z")
+    rows = [(None, LONG), (None, LONG), (None, near), (7, other), (7, "alone " + LONG.replace("w", "q")), (7, other), (8, other), (9, None), (9, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(df).collect()), key=repr)
+    of_first = [x for x in got if x[0] is None and x[1]]
+    assert len(of_first) == 1 and of_first[0][1] in (LONG, near)
+    assert [x for x in got if x not in of_first] == sorted([(7, other), rows[4], (9, None), (9, None), (None, "")], key=repr)
+
+
 def test_one_of_each(spark):
     text = " ".join(f"w{i}" for i in range(50))
     df = table(spark, [text, text + " x", "other words here are enough", None, ""], **CLASH)
@@ -133,7 +164,10 @@ def test_quality_verdicts(spark):
     assert quality.accepted(df.limit(0)).count() == 0
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("hottest,slice_", [(20_000, 1024), (5, 4), (0, 1024)])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, hottest, slice_):
+    monkeypatch.setattr(line_dedup, "HOTTEST", hottest)
+    monkeypatch.setattr(line_dedup, "SLICE", slice_)
     r = random.Random(1)
     pool = [f"Line {i}" for i in range(30)]
     texts = ["\n".join(r.choice([" %s ", "%s", "%s\t"]) % r.choice(pool).swapcase() for _ in range(r.randint(0, 9))) for _ in range(80)] + ODD
@@ -142,14 +176,23 @@ def test_line_dedup_equals_brute_force(spark):
     want = {i: "\n".join(x for x in (t or "").split("\n") if not (key(x) and df[key(x)] >= 10)) for i, t in enumerate(texts)}
     docs = table(spark, texts, **CLASH)
     parts = [docs.where(F.col("doc_id") % 6 == k) for k in range(6)]
-    out = line_dedup.dedup_lines(docs, 10, batches=parts)
-    assert {x.doc_id: x.text or "" for x in out.collect()} == want and out.columns == docs.columns
-    runs = line_dedup.runs_of(parts, fanout=2)
-    assert sum(map(len, runs.levels)) <= 3  # six runs were compacted
-    assert runs.unseen(parts[0]).count() == 0
+    for batches in (parts, 1, 7):
+        out = line_dedup.dedup_lines(docs, 10, batches=batches)
+        assert {x.doc_id: x.text or "" for x in out.collect()} == want and out.columns == docs.columns
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_runs_hold_each_key_once(spark):
+    texts = [f"own {i}\nshared {i % 7}\n{i // 10}" for i in range(60)] + ["own 3"]
+    docs = table(spark, texts)
+    runs = line_dedup.runs_of(docs, [docs.where(F.col("doc_id") % 6 == k) for k in range(6)], fanout=2)
+    assert runs.compactions >= 3 and sum(map(len, runs.levels)) <= 3 and len(runs.additions) == 5
+    keys = [x.line_hash for x in runs.runs().collect()]
+    want = Counter(line for t in texts for line in set(t.split("\n")))
+    assert len(keys) == len(set(keys)) == len(want)
+    assert sorted(x.n_docs for x in runs.frequent(2).collect()) == sorted(c for c in want.values() if c >= 2)
+
+
 def test_token_counts_equal_the_library(spark):
     import sentencepiece
 
@@ -258,56 +301,77 @@ def test_kneser_ney(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(50)] + [(i, 0, 0) for i in range(80, 85)], "doc_id long, quality int, toxic int")
     kept = {x.doc_id: x.kept for x in kneser_ney.classified(docs, labels).collect()}
     assert all(kept[i] for i in range(80)) and not any(kept[80 + i] for i in range(10)) and not any(kept[90 + i] for i in range(3))
-    model = kneser_ney.trained(docs.where("doc_id < 50"))
-    total = np.exp2(model.log2().astype(np.float64)).reshape(1 << 16, 256).sum(axis=1)
-    assert np.allclose(total, 1, atol=1e-4)  # every context is a distribution
+    tables = kneser_ney.models(docs.where("doc_id < 50").select(F.lit(0).cast("long").alias("side"), "text"))
+    for context in (b"the ", b"xyz!", bytes([kneser_ney.PAD] * 4)):  # every context is a distribution
+        start = int.from_bytes(context, "big") << 8
+        wanted = spark.range(start, start + 256).select(F.lit(0).cast("long").alias("side"), F.col("id").alias("gram"))
+        assert kneser_ney.probabilities(wanted, tables).agg(F.sum("p")).first()[0] == pytest.approx(1, abs=1e-9)
     assert {x.kept for x in kneser_ney.classified(docs, labels.limit(0)).collect()} == {False}
 
 
 def brute_perplexity(train, doc):
-    """Interpolated modified Kneser-Ney of word pairs, written out."""
-    pairs = Counter(p for t in train for w in [t.lower().split()] for p in zip([None, *w], w))
-    cont = Counter(w for _, w in pairs)
+    """Interpolated modified Kneser-Ney of byte n-grams, written out."""
+    n = kneser_ney.ORDER
+    raw = lambda t: bytes([kneser_ney.PAD] * (n - 1)) + t.translate(str.maketrans(UPPER, LOWER)).encode()
+    counts = [Counter(b[i : i + n] for t in train for b in [raw(t)] for i in range(len(b) - n + 1))]
+    for _ in range(n - 1):
+        counts.insert(0, Counter(g[1:] for g in counts[0]))
 
     def cuts(c):
-        n = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-        d = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else k * 0.5 for k in (1, 2, 3)]
+        m = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
+        y = m[0] / (m[0] + 2 * m[1]) if m[0] else 0.5
+        d = [k - (k + 1) * y * m[k] / m[k - 1] if m[k - 1] else k * 0.5 for k in (1, 2, 3)]
         d = [min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), d)]
         return lambda v: d[min(v, 3) - 1]
 
-    d2, d1 = cuts(pairs), cuts(cont)
-    rest = sum(map(d1, cont.values())) / sum(cont.values()) / (len(cont) + 1)
-    p1 = lambda w: rest + (cont[w] - d1(cont[w])) / sum(cont.values()) if cont[w] else rest * 256.0 ** -(len(w) + 1)
-
-    def p2(a, w):
-        own = [v for (x, _), v in pairs.items() if x == a]
+    cut = [cuts(c) for c in counts]
+    by_context = [{} for _ in counts]
+    for c, by in zip(counts, by_context):
+        for g, v in c.items():
+            by.setdefault(g[:-1], []).append(v)
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        k = len(g) - 1
+        own = by_context[k].get(g[:-1])
         if not own:
-            return p1(w)
-        c = pairs[a, w]
-        return ((c - d2(c)) if c else 0) / sum(own) + sum(map(d2, own)) / sum(own) * p1(w)
+            return p(g[1:])
+        c = counts[k][g]
+        return ((c - cut[k](c)) if c else 0) / sum(own) + sum(map(cut[k], own)) / sum(own) * p(g[1:])
 
-    w = doc.lower().split()
-    return float(np.exp2(-sum(np.log2(p2(a, x)) for a, x in zip([None, *w], w)) / sum(len(x) + 1 for x in w)))
+    b = raw(doc)
+    return float(np.exp2(-sum(np.log2(p(b[i : i + n])) for i in range(len(b) - n + 1)) / (len(b) - n + 1)))
 
 
-@pytest.mark.parametrize("salted", [False, True])
-def test_kneser_ney_word_tables_equal_brute_force(spark, monkeypatch, salted):
+@pytest.mark.parametrize("block", [32 << 20, 100])
+def test_kneser_ney_tables_equal_brute_force(spark, monkeypatch, block):
     r = random.Random(9)
     texts = [" ".join(r.choice(["a", "b", "c", "dd", "e", f"x{r.randint(0, 9)}"]) for _ in range(r.randint(1, 40))) for _ in range(40)]
-    texts += [texts[3], "never seen", "a B\nc", "a a a a " * 50]
-    docs = table(spark, texts)
+    texts += [texts[3], "never seen", "a B\nc", "a a a a " * 50, "é ÿ \U0001f600", "z", "word " * 3000]
+    docs = table(spark, [*texts, None, "", " \n"], **CLASH)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
-    if salted:
-        monkeypatch.setattr(kneser_ney, "SAMPLE", 1)
+    monkeypatch.setattr(kneser_ney, "BLOCK", block)
     monkeypatch.setattr(type(docs), "toPandas", None)  # the model stays in tables
     got = {x.doc_id: x.perplexity for x in kneser_ney.classified(docs, labels).collect()}
     fold = {x.doc_id: x.f for x in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(2)).alias("f")).collect()}
+    assert len(got) == len(texts) + 3 and all(got[len(texts) + i] is None for i in range(3))
     for i, t in enumerate(texts):
         want = brute_perplexity([texts[j] for j in range(30) if fold[j] != fold[i]], t)
         assert got[i] == pytest.approx(want, rel=1e-5), (i, t)
 
 
+def test_kneser_ney_languages_repeats_and_empty_tables(spark):
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(["one", "two", "three", "four"]) for _ in range(30)), lang) for i, lang in enumerate(["en"] * 60 + [None] * 40 + ["xx"])]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, None) for i in range(100)], "doc_id long, quality int, toxic int")
+    got = kneser_ney.classified(docs, labels).collect()
+    assert len(got) == 106 and len({x.threshold for x in got}) == 3 and all(x.threshold for x in got)
+    assert len({(x.doc_id, x.perplexity) for x in got}) == 101
+    assert kneser_ney.classified(docs.limit(0), labels).count() == 0
+
+
 def test_threshold_is_near_the_quantile_and_refuses_junk_that_looks_like_prose(spark):
     r = random.Random(11)
     words = ["".join(r.choice("aeiou") + r.choice("nrst") for _ in range(r.randint(1, 3))) for _ in range(120)]
@@ -352,24 +416,48 @@ def test_sharding(spark):
 
 
 def brute_leaks(docs, items):
+    """All shifts compared, without seeds."""
     out = {}
     words = lambda t: WORD.findall((t or "").lower())
     for i, tb in items:
         b = words(tb)
+        width = min(decontamination.WINDOW, len(b))
         for d, td in docs:
-            h = words(td)
-            width, best = min(decontamination.WINDOW, len(b)), 0
-            for shift in range(-len(b) + 1, len(h)):
+            h, best = words(td), 0
+            for shift in range(-len(b) + 1, len(h) if width else 0):
                 low, high = max(0, -shift), min(len(b), len(h) - shift)
                 eq = [int(h[j + shift] == b[j]) for j in range(low, high)]
-                hit = any(all(eq[j + o] for o in m) for m in decontamination.MASKS for j in range(len(eq) - decontamination.SPAN + 1))
-                if hit and len(eq) >= width and len(b) >= decontamination.SPAN:
-                    best = max(best, max(sum(eq[k : k + width]) for k in range(len(eq) - width + 1)))
+                best = max([best, *(sum(eq[k : k + width]) for k in range(len(eq) - width + 1))])
             if best and best >= decontamination.AGREE * width:
                 out[(d, i)] = best
     return out
 
 
+def test_masks_find_every_leak():
+    for length in range(1, 30):
+        width = min(decontamination.WINDOW, length)
+        most = next(m for m in range(width, -1, -1) if width - m >= decontamination.AGREE * width)
+        for bad in itertools.combinations(range(width), most):
+            assert any(not {p + o for o in m} & set(bad) for m in decontamination.masks_of(length) for p in range(width - m[-1])), (length, bad)
+
+
+@pytest.mark.parametrize("few_words", [0, 200_000])
+def test_decontamination_of_short_items(spark, monkeypatch, few_words):
+    monkeypatch.setattr(decontamination, "FEW_WORDS", few_words)
+    r = random.Random(12)
+    words = [f"s{i}" for i in range(60)]
+    items = [(n, " ".join(r.choice(words) for _ in range(n))) for n in range(1, 16)] + [(30, "S1 s2"), (30, "S1 s2")]
+    docs = [" ".join(r.choice(words) for _ in range(r.randint(0, 25))) for _ in range(20)]
+    for _, t in items:
+        for k in range(len(t.split())):
+            w = t.split()
+            w[k] = "other"
+            docs += [" ".join(w), " ".join(["x", *w, "y"])]
+    df, bench = table(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.agreeing for x in decontamination.leaks(df, bench, ["doc_id"]).collect()}
+    assert got == brute_leaks(list(enumerate(docs)), items)
+
+
 def test_decontamination_equals_brute_force(spark):
     r = random.Random(4)
     words = [f"v{i}" for i in range(300)]
