@@ -33,24 +33,20 @@ SLICE = 1024
 RUN = "line_hash long, n_docs long"
 
 
-def line_key(line: Column) -> Column:
-    """The line without blanks at both ends, A-Z in lower case. Pure ASCII lines take the faster lower()."""
-    bare = F.btrim(line, F.lit(BLANKS))
-    return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
-
-
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_hash(line: Column, min_chars: int) -> Column:
-    """Null for keys that are too short to be counted."""
-    key = line_key(line)
-    return F.when(F.length(key) >= min_chars, F.xxhash64(key))
+def line_hashes(lines: Column, min_chars: int) -> Column:
+    """The hash of each line's key (the line without blanks at both ends, A-Z in lower case); null for keys that are too
+    short to be counted. One array a step, so that no step is computed twice; pure ASCII lines take the faster lower()."""
+    bare = F.transform(lines, lambda x: F.btrim(x, F.lit(BLANKS)))
+    keys = F.transform(bare, lambda x: F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(F.translate(x, UPPER, LOWER)))
+    return F.transform(keys, lambda x: F.when(F.length(x) >= min_chars, F.xxhash64(x)))
 
 
 def distinct_hashes(text: Column, min_chars: int) -> Column:
-    return F.array_compact(F.array_distinct(F.transform(lines_of(text), lambda x: line_hash(x, min_chars))))
+    return F.array_compact(F.array_distinct(line_hashes(lines_of(text), min_chars)))
 
 
 class LineRuns:
@@ -131,23 +127,23 @@ def kept_lines(docs: DataFrame, runs: LineRuns, min_docs: int, text: str = "text
     hottest = [r["line_hash"] for r in frequent.orderBy(F.desc("n_docs"), "line_hash").limit(HOTTEST).select("line_hash").collect()]
     is_hot = lookup(hottest)
     lines = lines_of(F.col(text))
-    hash_of = lambda x: line_hash(x, runs.min_chars)
+    pairs = F.arrays_zip(lines.alias("line"), line_hashes(lines, runs.min_chars).alias("hash"))
     if len(hottest) < HOTTEST:
         scratch.deleted(spark, *used)
-        return docs.withColumn("__ld_lines", lines).withColumn("__ld_kept", F.filter(lines, lambda x: ~is_hot(hash_of(x))))
+        return docs.withColumn("__ld_lines", lines).withColumn("__ld_kept", F.filter(pairs, lambda x: ~is_hot(x.hash)).line)
 
     # the other keys: a text's lines in slices, so that no line is compared with more hits than a slice has
     own = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     slices = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / SLICE).cast("int")), lambda k: F.slice(lines, k * SLICE + 1, SLICE))
     each = docs.select(own.alias("__ld_key"), F.posexplode(slices).alias("__ld_slice", "__ld_part"))
-    hashes = F.array_distinct(F.filter(F.transform("__ld_part", hash_of), lambda h: h.isNotNull() & ~is_hot(h)))
+    hashes = F.array_distinct(F.filter(line_hashes(F.col("__ld_part"), runs.min_chars), lambda h: h.isNotNull() & ~is_hot(h)))
     each = each.select("__ld_key", "__ld_slice", F.explode(hashes).alias("line_hash")).distinct()
     hits = each.join(frequent.select("line_hash"), "line_hash", "left_semi").groupBy("__ld_key", "__ld_slice").agg(F.collect_set("line_hash").alias("hits"))
     hits = hits.groupBy("__ld_key").agg(F.map_from_entries(F.collect_list(F.struct("__ld_slice", "hits"))).alias("__ld_hits"))
     out = docs.withColumn("__ld_key", own).join(hits.hint("shuffle_hash"), "__ld_key", "left")
     in_slice = lambda h, i: F.array_contains(F.element_at("__ld_hits", F.floor(i / SLICE).cast("int")), h)
     gone = lambda h, i: is_hot(h) | F.coalesce(in_slice(h, i), F.lit(False))
-    return out.withColumn("__ld_lines", lines).withColumn("__ld_kept", F.filter(lines, lambda x, i: ~gone(hash_of(x), i))).drop("__ld_key", "__ld_hits")
+    return out.withColumn("__ld_lines", lines).withColumn("__ld_kept", F.filter(pairs, lambda x, i: ~gone(x.hash, i)).line).drop("__ld_key", "__ld_hits")
 
 
 def runs_of(docs: DataFrame, batches: int | list[DataFrame] = 4, fanout: int = 2, min_chars: int = 1, text: str = "text") -> LineRuns:
