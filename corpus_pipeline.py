@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go."""
-    return line_dedup.dedup_lines(docs, min_docs=10, batches=queries.file_batches(docs, 4))
+    return line_dedup.dedup_lines(docs, min_docs=10, batches=4)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
