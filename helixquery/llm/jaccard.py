@@ -18,10 +18,10 @@ are counted over all sets, but only within a window of each (its smallest hashes
 prefix). Sets whose window has too few rare tokens are taken whole, and then all are counted once more.
 
 Signatures with few sets have all their pairs verified. Others, such as the combinations of a family of near
-copies, may have any number: their sets are compared with a few random pivots first and links become components. In the
-rounds after that the sets of a signature outside of its largest component are its pivots, about OUTSIDERS a round, and
-meet the sets of other components; a set that has met all of its signature leaves it, and a signature of one component
-is done. A pair is made at one of the signatures that it shares, not at all: each row knows the signatures before its own.
+copies, may have any number: their sets are compared with a few random pivots first and links become components. Then
+signatures with the same first pivot form a group (a family's signatures have few first pivots), and the sets of a group
+outside of its largest component are compared with all its others, block by block: a task gets two blocks of at most about
+SETS sets, counts common tokens by an inverted list, and returns no more links than join components. No pair is a row.
 
 Sets that are equal are one class from the start; every row of the result carries its class.
 
@@ -47,8 +47,8 @@ from helixquery.llm.components import components
 
 #: Sets up to which a token is rare; tokens expected in a hash cell.
 RARE, CELL = 32, 6
-#: Random pivots of a signature in the first round; later pivots in one round, and signatures before its own that a row knows.
-PIVOTS, OUTSIDERS, BEFORE = 12, 256, 4
+#: Random pivots of a signature, signatures before its own that a row knows, and sets in a block of a group, about.
+PIVOTS, BEFORE, SETS = 12, 4, 1024
 #: Sets of one signature that one task handles, about.
 PART = 20_000
 #: Frequent tokens up to this number (8 bytes each) are sent to the tasks; beyond it they are joined.
@@ -179,6 +179,7 @@ def _signed(n: pa.Array, sets: list[np.ndarray], often: list[np.ndarray], percen
 @F.arrow_udf(T.LongType())
 def shared(a: pa.Array, b: pa.Array) -> pa.Array:
     """Size of the intersection of two sets, each given as an array of distinct hashes in ascending order."""
+    text.lean()
     out = []
     for x, y in zip(_rows(a), _rows(b), strict=True):
         if len(x) > len(y):
@@ -192,6 +193,7 @@ def shared(a: pa.Array, b: pa.Array) -> pa.Array:
 def known_difference(n: pa.Array, a: pa.Array, m: pa.Array, b: pa.Array) -> pa.Array:
     """Tokens that one of two sets has and the other lacks, as far as their windows tell: up to the smaller of their last hashes
     (a window that holds all n tokens tells about all hashes)."""
+    text.lean()
     out = []
     for k, x, l, y in zip(n.to_pylist(), _rows(a), m.to_pylist(), _rows(b), strict=True):
         if len(x) < k and (len(y) == l or x[-1] < y[-1]):
@@ -202,6 +204,42 @@ def known_difference(n: pa.Array, a: pa.Array, m: pa.Array, b: pa.Array) -> pa.A
     return pa.array(out, pa.int64())
 
 
+def joining_links(percent: int):
+    """A function on two blocks of sets (cid, label, tokens): links that join different labels, as many as joins need."""
+
+    def links(left: pa.Table, right: pa.Table) -> pa.Table:
+        text.lean()
+        out: list[tuple[int, int]] = []
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        if left.num_rows and right.num_rows:
+            tokens, ends = text.flat_list(right["r_tokens"].combine_chunks())
+            tokens, sizes = tokens.to_numpy(zero_copy_only=False).view(np.uint64), np.diff(ends)
+            by = np.argsort(tokens, kind="stable")
+            tokens, of = tokens[by], text.rows_of(ends)[by]
+            cids, labels = right["r_cid"].to_numpy(), right["r_label"].to_numpy()
+            mine = _rows(left["tokens"].combine_chunks())
+            for cid, label, x in zip(left["cid"].to_pylist(), left["label"].to_pylist(), mine, strict=True):
+                low, high = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
+                n = high - low
+                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.bincount(of[at], minlength=len(sizes))
+                linked = np.flatnonzero((100 * both >= percent * (sizes + len(x) - both)) & (labels != label))
+                for k in linked[np.unique(labels[linked], return_index=True)[1]].tolist():
+                    a, b = find(label), find(int(labels[k]))
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        out.append((cid, int(cids[k])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return links
+
+
 def part_of() -> Column:
     """The part of its signature that a row (cid, parts) falls into."""
     return F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
@@ -355,48 +393,47 @@ class Join:
         heads = heads.select("sig", F.explode(F.array_distinct(F.transform("p", lambda x: x.cid))).alias("cid"), F.lit(True).alias("pivot"))
         return active.join(heads, ["sig", "cid"], "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
 
-    def outsiders(self, active: DataFrame, turn: int) -> DataFrame:
-        """active with `pivot`: about OUTSIDERS of the sets of each signature outside of its largest component."""
-        labels = active.groupBy("sig", "parts", "label").agg(F.count(F.lit(1)).alias("c"))
-        largest = labels.groupBy("sig", "parts").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), (F.sum("c") - F.max("c")).alias("others"))
-        rows = active.withColumn("part", part_of()).join(largest.select("sig", "largest", "others", every_part()), ["sig", "part"]).drop("part")
-        chance = F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(1 << 20)) / (1 << 20)
-        pivot = (F.col("label") != F.col("largest")) & (chance * F.col("others") < OUTSIDERS)
-        return rows.withColumn("pivot", pivot).drop("largest", "others")
-
     def many_links(self) -> DataFrame:
         """Links among the sets of each signature with many, enough of them for its components."""
-        active = self.many.withColumn("label", F.col("cid"))
-        links = self.no_links
-        before: list[str] = []
-        turn = 0
-        while not active.isEmpty():
-            used: list[str] = []
-            rows = self.outsiders(active, turn) if turn else self.random_pivots(active)
-            own = Window.partitionBy("cid").orderBy("sig").rowsBetween(-BEFORE, -1)  # a set has few signatures
-            rows = rows.withColumn("met", F.collect_list("sig").over(own)).withColumn("led", F.collect_list(F.when(F.col("pivot"), F.col("sig"))).over(own))
-            rows = scratch.written(rows, "active", used)
-            heads = rows.where("pivot").select("sig", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), "led", every_part())
-            pairs = rows.drop("led").withColumn("part", part_of()).join(heads, ["sig", "part"])
-            fits = (F.col("label") != F.col("label_a")) & size_fits(F.col("n"), F.col("n_a"), self.percent) & ~F.arrays_overlap("met", "led")
-            pairs = pairs.where(fits).select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
-            links = links.union(self.verified(pairs))
-            # pivots have met all of their signature; signatures of one component are done
-            labels = components(links)
-            rest = rows.where("not pivot").select("sig", "cid", "n", "parts")
-            rest = rest.join(labels.select(F.col("node").alias("cid"), F.col("root").alias("label")), "cid", "left")
-            rest = rest.withColumn("label", F.coalesce("label", "cid"))
-            mixed = rest.groupBy("sig", "parts").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("sig", every_part())
-            active = scratch.written(rest.withColumn("part", part_of()).join(mixed, ["sig", "part"], "left_semi").drop("part"), "combined", used)
-            scratch.deleted(self.spark, used.pop(0), *before)
-            before = used
-            turn += 1
+        if self.many.isEmpty():
+            return self.no_links
+        own = Window.partitionBy("cid").orderBy("sig").rowsBetween(-BEFORE, -1)  # a set has few signatures
+        rows = self.random_pivots(self.many)
+        rows = rows.withColumn("met", F.collect_list("sig").over(own)).withColumn("led", F.collect_list(F.when(F.col("pivot"), F.col("sig"))).over(own))
+        used: list[str] = []
+        rows = scratch.written(rows, "active", used)
+        heads = rows.where("pivot").select("sig", F.col("cid").alias("a"), F.col("n").alias("n_a"), "led", every_part())
+        pairs = rows.drop("led").withColumn("part", part_of()).join(heads, ["sig", "part"])
+        fits = (F.col("cid") != F.col("a")) & size_fits(F.col("n"), F.col("n_a"), self.percent) & ~F.arrays_overlap("met", "led")  # else they meet elsewhere
+        pairs = pairs.where(fits).select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
+        links = self.verified(pairs)
+
+        first = self.many.groupBy("sig", "parts").agg(F.min(F.struct(F.xxhash64("cid", F.lit(0)).alias("order"), "cid")).alias("first"))
+        members = self.many.withColumn("part", part_of()).join(first.select("sig", F.col("first.cid").alias("head"), every_part()), ["sig", "part"])
+        members = members.select("head", "cid").distinct().join(components(links).select(F.col("node").alias("cid"), F.col("root").alias("label")), "cid", "left")
+        members = scratch.written(members.withColumn("label", F.coalesce("label", "cid")), "members", used)
+        labels = members.groupBy("head", "label").agg(F.count(F.lit(1)).alias("c"))
+        groups = labels.groupBy("head").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.sum("c").alias("size"), F.max("c").alias("most"))
+        rows = members.join(groups.where("most < size"), "head").withColumn("blocks", F.ceil(F.col("size") / SETS).cast("int"))
+        rows = scratch.written(rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")), "grouped", used)
+        missing = rows.select("cid").distinct().join(self.sets.select("cid"), "cid", "left_anti")
+        if not missing.isEmpty():
+            self.sets = self.sets.unionByName(self.whole_sets(missing))
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        left = rows.where("label <> largest").select("head", F.col("block").alias("i"), every.alias("j"), "cid", "label")
+        right = rows.select("head", every.alias("i"), F.col("block").alias("j"), "cid", "label")
+        sets = self.sets.join(rows.select("cid").distinct(), "cid", "left_semi").select("cid", "tokens")
+        near = F.broadcast(sets) if (sets.agg(F.sum(F.size("tokens") + 4)).first()[0] or 0) <= FEW_COMPARED else sets
+        key = ["head", "i", "j"]
+        found = left.join(near, "cid").groupBy(*key).cogroup(right.join(near, "cid").select(*(F.col(c).alias(f"r_{c}") for c in (*key, "cid", "label", "tokens"))).groupBy(*(f"r_{c}" for c in key)))
+        links = links.union(scratch.written(found.applyInArrow(joining_links(self.percent), "a long, b long"), "links"))
+        scratch.deleted(self.spark, *used)
         return links
 
     def run(self) -> DataFrame:
         """doc_id, text_key, n_shingles, component_id, class_id (smallest id with the same set), root of every row; root is the
         component's own number (null: no words)."""
-        with scratch.small_batches(self.spark):  # all Python functions run in here
+        with scratch.small_batches(self.spark, 1000, "4m"):  # all Python functions run in here
             self.classes()
             self.index()
             links = self.many_links().union(self.verified(self.few_pairs()))

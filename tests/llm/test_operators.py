@@ -109,6 +109,8 @@ def test_jaccard_without_pairs(spark, texts):
 
 def test_jaccard_parts_of_a_signature(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "PART", 5)
+    monkeypatch.setattr(jaccard, "SETS", 7)
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
     texts = families(11)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, texts)).collect()}
     assert got == brute_components(list(enumerate(texts)), 3, 90)
