@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gzip
+import io
 import lzma
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -65,7 +67,7 @@ def fastq_records(lines: Iterator[str]) -> Iterator[tuple[str, str]]:
 def sequence_records(spark: SparkSession, path: str, min_length: int = 1) -> DataFrame:
     """id, sequence (normalised), length, source_path, and corrupt (the error of a file that ends in one; its records before stay).
 
-    A file is one task's work and is read as a stream of lines once its bytes are there.
+    A file is one task's work; its bytes are unpacked line by line. A truncated or broken archive is corrupt like any other.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
@@ -77,16 +79,16 @@ def sequence_records(spark: SparkSession, path: str, min_length: int = 1) -> Dat
                 kind = file_format(where.as_py())
                 if kind is None:
                     continue
-                data = raw.as_py()
-                data = gzip.decompress(data) if kind[1] == "gzip" else lzma.decompress(data) if kind[1] == "xz" else data
                 rows = []
                 try:
-                    for name, seq in (fasta_records if kind[0] == "fasta" else fastq_records)(iter(data.decode().splitlines())):
+                    opened = {"gzip": gzip.open, "xz": lzma.open}.get(kind[1], lambda f: f)
+                    lines = io.TextIOWrapper(opened(io.BytesIO(raw.as_buffer())), encoding="utf-8")  # unpacked as it is read
+                    for name, seq in (fasta_records if kind[0] == "fasta" else fastq_records)(x.rstrip("\r\n") for x in lines):
                         rows.append((name, seq, where.as_py(), None))
                         if len(rows) >= 1000:
                             yield pack(rows)
                             rows = []
-                except ValueError as error:
+                except (ValueError, EOFError, OSError, lzma.LZMAError, zlib.error) as error:
                     rows.append((None, None, where.as_py(), str(error)))
                 yield pack(rows)
 

@@ -19,6 +19,17 @@ def test_sequence_files(spark, tmp_path):
     assert [r.source_path.rsplit("/", 1)[1] for r in rows if r.corrupt] == ["b.fastq.gz"]
 
 
+def test_truncated_archives_are_corrupt_and_the_others_stay(spark, tmp_path):
+    text = "".join(f">r{i}\n{'ACGT' * 400}\n" for i in range(200)).encode()
+    (tmp_path / "a.fa.gz").write_bytes(gzip.compress(text)[:-20])
+    (tmp_path / "b.fa.xz").write_bytes(lzma.compress(text)[:-20])
+    (tmp_path / "c.fa.gz").write_bytes(b"no archive")
+    (tmp_path / "d.fa").write_bytes(b">ok\nAC\n")
+    rows = files.sequence_records(spark, str(tmp_path)).collect()
+    assert sorted(r.source_path.rsplit("/", 1)[1] for r in rows if r.corrupt) == ["a.fa.gz", "b.fa.xz", "c.fa.gz"]
+    assert "ok" in {r.id for r in rows} and "r0" in {r.id for r in rows}
+
+
 def test_text_corpus(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.rs").write_text("é")
