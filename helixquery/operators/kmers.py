@@ -9,6 +9,8 @@ from helixquery.functions import sequences as S
 
 #: Window starts per cut piece of a sequence: no row explodes into more.
 CUT = 8192
+#: Codes up to this number (8 bytes each) are broadcast to the windows; beyond it they are joined.
+FEW_CODES = 1_000_000
 
 
 def once(c: Column) -> Column:
@@ -17,14 +19,57 @@ def once(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
-def windows(records: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
-    """id_col, pos (from 0) and kmer of all windows of k bases without other letters."""
-    cut = records.select(id_col, once(F.col(seq).cast("binary")).alias("bytes")).where(F.octet_length("bytes") >= k)
+def _pieces(records: DataFrame, id_col: str, seq: Column, k: int) -> DataFrame:
+    """id_col, cut (start), piece (bytes) and i, a row for every window of k bytes."""
+    cut = records.select(id_col, once(seq.cast("binary")).alias("bytes")).where(F.octet_length("bytes") >= k)
     cut = cut.select(id_col, "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - k, F.lit(CUT))).alias("cut"))
     cut = cut.select(id_col, "cut", once(F.expr(f"substring(bytes, cut + 1, {CUT + k - 1})")).alias("piece"))
-    at = cut.select(id_col, "cut", "piece", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - k)).alias("i"))
-    out = at.select(id_col, (F.col("cut") + F.col("i")).cast("long").alias("pos"), F.expr(f"cast(substring(piece, i + 1, {k}) as string)").alias("kmer"))
-    return out.where(F.col("kmer").rlike("^[ACGT]+$"))
+    clean = once(F.col("piece").cast("string").rlike("^[0123ACGT]+$")).alias("clean")  # then no window needs a look
+    cut = cut.select(id_col, "cut", "piece", clean)
+    return cut.select(id_col, "cut", "piece", "clean", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - k)).alias("i"))
+
+
+def windows(records: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
+    """id_col, pos (from 0) and kmer of all windows of k bases without other letters."""
+    at = _pieces(records, id_col, F.col(seq), k)
+    out = at.select(id_col, (F.col("cut") + F.col("i")).cast("long").alias("pos"), F.expr(f"cast(substring(piece, i + 1, {k}) as string)").alias("kmer"), "clean")
+    return out.where(F.col("clean") | F.col("kmer").rlike("^[ACGT]+$")).drop("clean")
+
+
+def packed_windows(records: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
+    """id_col, pos and code (two bits a base, as functions.sequences.packed) of all windows of up to 31 bases without other
+    letters. Bases become digits once per record, and a window is a number from its start."""
+    if not 0 < k <= 31:
+        raise ValueError("k must be 1 to 31")
+    digits = F.translate(F.translate(F.col(seq), "0123", "...."), "ACGT", "0123")
+    window = f"cast(substring(piece, i + 1, {k}) as string)"
+    at = _pieces(records, id_col, digits, k)
+    at = at.where(F.col("clean") | F.expr(f"{window} rlike '^[0123]+$'"))
+    return at.select(id_col, (F.col("cut") + F.col("i")).cast("long").alias("pos"), F.expr(f"cast(conv({window}, 4, 10) as long)").alias("code"))
+
+
+def packed_counts(records: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
+    """code, occurrences: sums of longs by long, which hash aggregation keeps in place."""
+    return packed_windows(records, id_col, seq, k).groupBy("code").agg(F.count(F.lit(1)).alias("occurrences"))
+
+
+def first_places(records: DataFrame, id_col: str, seq: str, k: int, codes: DataFrame) -> DataFrame:
+    """code, occurrences, first_record, first_pos of the given codes that occur: the smallest record, then position."""
+    near = F.broadcast(codes.select("code")) if codes.count() <= FEW_CODES else codes.select("code")
+    each = packed_windows(records, id_col, seq, k).join(near, "code", "left_semi")
+    by_record = each.groupBy("code", id_col).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
+    first = F.min(F.struct(id_col, "pos")).alias("first")
+    out = by_record.groupBy("code").agg(F.sum("n").alias("occurrences"), first)
+    return out.select("code", "occurrences", F.col(f"first.{id_col}").alias("first_record"), F.col("first.pos").alias("first_pos"))
+
+
+def top_targets(records: DataFrame, id_col: str, seq: str, k: int, most: int) -> DataFrame:
+    """The most frequent k-mers with first places and PAM class; ties by k-mer. The counts need no places, and the few that
+    stay are looked up again."""
+    top = packed_counts(records, id_col, seq, k).orderBy(F.desc("occurrences"), "code").limit(most).persist()
+    found = first_places(records, id_col, seq, k, top)
+    kmer = S.unpacked(F.col("code"), k)
+    return found.select(kmer.alias("kmer"), "occurrences", "first_record", "first_pos", S.pam(kmer).alias("pam"))
 
 
 def counts(records: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
@@ -41,10 +86,10 @@ def targets(counted: DataFrame, most: int) -> DataFrame:
 
 def recount(records: DataFrame, id_col: str, seq: str, wanted: DataFrame, k: int) -> DataFrame:
     """Exact counts and first places of the given k-mers (column kmer); k-mers that never occur have 0."""
-    w = windows(records, id_col, seq, k).join(wanted.select("kmer").distinct(), "kmer", "left_semi")
-    got = w.groupBy("kmer").agg(F.count(F.lit(1)).alias("occurrences"), F.min(F.struct(id_col, "pos")).alias("first"))
-    out = wanted.select("kmer").distinct().join(got, "kmer", "left")
-    return out.select("kmer", F.coalesce("occurrences", F.lit(0)).cast("long").alias("occurrences"), F.col(f"first.{id_col}").alias("first_record"), F.col("first.pos").alias("first_pos"), S.pam(F.col("kmer")).alias("pam"))
+    each = wanted.select("kmer").distinct().withColumn("code", S.packed(F.col("kmer")))
+    got = first_places(records, id_col, seq, k, each.where("code is not null"))
+    out = each.join(got, "code", "left")
+    return out.select("kmer", F.coalesce("occurrences", F.lit(0)).cast("long").alias("occurrences"), "first_record", "first_pos", S.pam(F.col("kmer")).alias("pam"))
 
 
 def distinct_share(counted: DataFrame, top: int) -> DataFrame:

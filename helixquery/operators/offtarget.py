@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixquery.functions import sequences as S
-from helixquery.operators.kmers import windows
+from helixquery.operators.kmers import packed_windows
 
 LENGTH, SEED, OFFSETS = 20, 5, [0, 5, 10, 15]
+#: Different seeds of SEED bases.
+SEEDS = 4**SEED
 #: Guides up to this number are broadcast with their seeds (about 100 bytes a row, 8 rows a guide).
 FEW_GUIDES = 20_000
 
@@ -31,15 +33,22 @@ def off_targets(records: DataFrame, id_col: str, seq: str, guides: DataFrame, ma
         raise ValueError("max_mismatches must be 0 to 3")
     both = guides.select("guide", F.lit("+").alias("strand"), F.col("guide").alias("probe"))
     both = both.union(guides.select("guide", F.lit("-"), S.reverse_complement(F.col("guide"))))
-    seeds = lambda c: F.array(*(F.struct(F.lit(o).alias("offset"), F.substr(c, F.lit(o + 1), F.lit(SEED)).alias("seed")) for o in OFFSETS))
-    probes = both.select("guide", "strand", "probe", S.packed(F.col("probe")).alias("probe_bits"), F.inline(seeds(F.col("probe"))))
+    both = both.select("*", S.packed(F.col("probe")).alias("probe_bits"))
+    seed = lambda code, o: F.shiftright(code, 2 * (LENGTH - SEED - o)).bitwiseAND(SEEDS - 1)
+    seeds = lambda code: F.array(*(F.struct(F.lit(o).alias("offset"), seed(code, o).alias("seed")) for o in OFFSETS))
+    probes = both.select("*", F.inline(seeds(F.col("probe_bits"))))
+    asked = {o: [False] * SEEDS for o in OFFSETS}  # which seeds occur: SEEDS an offset at most
+    for r in probes.select("offset", "seed").distinct().collect():
+        asked[r["offset"]][r["seed"]] = True
+    occurs = {o: F.array(*map(F.lit, x)) for o, x in asked.items()}
     probes = F.broadcast(probes) if guides.count() <= FEW_GUIDES else probes
-    at = windows(records, id_col, seq, LENGTH)
-    at = at.select(id_col, "pos", "kmer", F.inline(seeds(F.col("kmer")))).join(probes, ["offset", "seed"])
-    first = F.array_min(F.filter(F.array(*map(F.lit, OFFSETS)), lambda o: F.substr(F.col("kmer"), o + 1, F.lit(SEED)) == F.substr(F.col("probe"), o + 1, F.lit(SEED))))
-    near = at.withColumn("mismatches", S.hamming(S.packed(F.col("kmer")), F.col("probe_bits"))).where(F.col("mismatches") <= max_mismatches)
+    at = packed_windows(records, id_col, seq, LENGTH)
+    some = F.filter(F.array(*(F.when(F.get(occurs[o], seed(F.col("code"), o).cast("int")), F.struct(F.lit(o).alias("offset"), seed(F.col("code"), o).alias("seed"))) for o in OFFSETS)), lambda x: x.isNotNull())
+    at = at.select(id_col, "pos", "code", F.inline(some)).join(probes, ["offset", "seed"])
+    near = at.withColumn("mismatches", S.hamming(F.col("code"), F.col("probe_bits"))).where(F.col("mismatches") <= max_mismatches)
+    first = F.coalesce(*(F.when(seed(F.col("code"), o) == seed(F.col("probe_bits"), o), F.lit(o)) for o in OFFSETS))
     near = near.where(F.col("offset") == first)  # the pair once, at its first common seed: no shuffle to tell doubles
-    return near.select("guide", "strand", id_col, "pos", "mismatches", S.mismatch_positions(F.col("kmer"), F.col("probe"), LENGTH).alias("mm_positions"))
+    return near.select("guide", "strand", id_col, "pos", "mismatches", S.mismatch_positions(S.unpacked(F.col("code"), LENGTH), F.col("probe"), LENGTH).alias("mm_positions"))
 
 
 def novelty(targets: DataFrame, published: DataFrame, max_mismatches: int) -> DataFrame:

@@ -53,16 +53,12 @@ GUIDE_DISTANCES = f"""WITH {V.GUIDES}, p AS (SELECT a.item_id, a.guide, b.guide
 SELECT item_id, hamming(guide, other) AS distance, array_to_string(list_filter(range(0, 20), lambda i: guide[i + 1] <> other[i + 1]), ';') AS mm_positions FROM p"""
 
 
-def _counted(spark: SparkSession, d: str) -> DataFrame:
-    return kmers.counts(V.genome(spark, d), "doc_id", "seq", K)
-
-
 _COUNTED = f"""{V.GENOME}, {V.windows_sql(K)},
 c AS (SELECT kmer, count(*) AS occurrences, min((doc_id, pos)) AS f FROM w GROUP BY kmer)"""
 
 
 def kmer_targets(spark: SparkSession, d: str) -> DataFrame:
-    return kmers.targets(_counted(spark, d), 10_000)
+    return kmers.top_targets(V.genome(spark, d), "doc_id", "seq", K, 10_000)
 
 
 _TOP = f"t AS (SELECT *, {V.PAM('kmer')} AS pam FROM c ORDER BY occurrences DESC, kmer LIMIT 10000)"
@@ -77,7 +73,7 @@ PAM_BREAKDOWN = f"WITH {_COUNTED}, {_TOP} SELECT pam, count(*) AS n FROM t GROUP
 
 
 def distinct_share(spark: SparkSession, d: str) -> DataFrame:
-    return kmers.distinct_share(_counted(spark, d), 10_000)
+    return kmers.distinct_share(kmers.packed_counts(V.genome(spark, d), "doc_id", "seq", K), 10_000)
 
 
 DISTINCT_SHARE = f"WITH {_COUNTED} SELECT count(*) AS distinct_kmers, round(least(100.0, 100.0 * 10000 / count(*)), 1)::DOUBLE AS top_share FROM c"
@@ -143,8 +139,8 @@ SELECT kmer, source, hits FROM t LEFT JOIN h USING (kmer)"""
 
 
 def _targets(spark: SparkSession, d: str) -> DataFrame:
-    """The top k-mers by place: doc_id, pos, kmer, pam, occurrences."""
-    t = kmer_targets(spark, d)
+    """The top k-mers by place: doc_id, pos, kmer, pam, occurrences. At most 10,000 rows, kept for the queries' several uses."""
+    t = kmer_targets(spark, d).persist()
     return t.select(F.col("first_record").alias("doc_id"), F.col("first_pos").alias("pos"), "kmer", "pam", "occurrences")
 
 
