@@ -154,8 +154,9 @@ def piece_sums(path: str, capacity: int):
             _encoders[path] = Encoder(path)
         encoder = _encoders[path]
         for texts in batches:
+            text.lean()
             n_ids, sums, ends = [], [], [0]
-            for a, b in text.steps(texts, 4 * text.STEP_BYTES):
+            for a, b in text.steps(texts):
                 ids, offsets = encoder.encode(texts.slice(a, b - a))
                 raw = memoryview(ids.astype("<u4").tobytes())
                 for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -273,7 +274,8 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     spark = docs.sparkSession
     rows = docs.select("doc_id", piece_sums(tokenizer, capacity)("text").alias("p")).select("doc_id", "p.*")
     first = F.when(F.col("n_ids") % capacity == 0, F.lit(capacity)).otherwise(F.col("n_ids") % capacity).cast("long")
-    rows = scratch.written(rows.withColumn("first", first).withColumn("cell", F.pmod(F.xxhash64("doc_id", "n_ids", "crcs"), F.lit(CELLS))), "pieces")
+    with scratch.small_batches(spark, 2000, "8m"):
+        rows = scratch.written(rows.withColumn("first", first).withColumn("cell", F.pmod(F.xxhash64("doc_id", "n_ids", "crcs"), F.lit(CELLS))), "pieces")
 
     short = rows.where(F.col("first") < capacity)
     by_cell = scratch.written(short.groupBy("first", "cell").agg(F.count(F.lit(1)).alias("n")), "lengths")
