@@ -115,7 +115,8 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
     for rule in RULES.values():
         any_failed = any_failed | rule(s)
     counts = [F.count_if(any_failed).alias("f_any"), *(F.count_if(rule(s)).alias(f"f_{k}") for k, rule in RULES.items())]
-    hosts = scratch.written(measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *counts), "hosts")
+    with scratch.small_batches(measured.sparkSession):
+        hosts = scratch.written(measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *counts), "hosts")
     rate = {k: shrunk(F.col(f"f_{k}"), F.col("n_docs"), *beta_prior(hosts, f"f_{k}")) for k in ("any", *RULES)}
     out = hosts.select("host", rate["any"].alias("host_rate"), (rate["any"] > HOST_LIMIT).alias("host_refused"), *((rate[k] <= TRUSTED).alias(f"t_{k}") for k in RULES))
     return F.broadcast(out) if hosts.count() <= FEW_HOSTS else out
