@@ -54,7 +54,7 @@ PART = 20_000
 #: Frequent tokens up to this number (8 bytes each) are sent to the tasks; beyond it they are joined.
 FEW_TOKENS = 1_000_000
 #: Tokens of sets or windows up to this number (8 bytes each) are broadcast to the pairs; beyond it they are joined.
-FEW_COMPARED = 3_000_000
+FEW_COMPARED = 1_000_000
 #: Ids up to this number (8 bytes each) are broadcast to find their texts again; beyond it they are joined.
 FEW_IDS = 500_000
 
