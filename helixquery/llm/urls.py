@@ -50,31 +50,53 @@ def segments(path: Column) -> Column:
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """host, segs (as given), template, share. shapes: host, segs, labelled, bad, one row each."""
-    tree = scratch.written(shapes.withColumn("t", F.col("segs")), "tree")
-    depth = tree.agg(F.max(F.size("segs"))).first()[0] or 0
-    total = tree.agg(F.sum("labelled").alias("m"), F.sum("bad").alias("bad")).first()
+    """host, segs (as given), template, share. shapes: host, segs, labelled, bad, one row each.
+
+    Only nodes at which paths part are visited: a pass handles the next such node below every node of the last pass, however
+    deep it lies, so that the number of passes is that of partings on a path and not of its segments.
+    """
+    spark = shapes.sparkSession
+    total = shapes.agg(F.sum("labelled").alias("m"), F.sum("bad").alias("bad")).first()
     share = (total.bad or 0) / total.m if total.m else 0.0
-    put = lambda d: F.concat(F.slice("t", 1, d), F.array(F.lit("*")), F.slice("t", d + 2, F.greatest(F.size("t") - d - 1, F.lit(0))))
-
-    def starred(nodes: DataFrame, d: int) -> DataFrame:
-        """The tree with `*` at depth d below the given nodes (host, up)."""
-        marked = tree.withColumn("up", F.slice("t", 1, d)).join(nodes.select("host", "up", F.lit(True).alias("star")), ["host", "up"], "left")
-        return scratch.written(marked.withColumn("t", F.when(F.col("star") & (F.size("t") > d), put(d)).otherwise(F.col("t"))).drop("up", "star"), "tree")
-
-    for d in range(depth):
-        below = tree.where(F.size("t") > d).select("host", F.slice("t", 1, d).alias("up"), F.get("t", F.lit(d)).alias("child"))
-        wide = below.distinct().groupBy("host", "up").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BRANCHES)
-        tree = starred(wide, d)
-    for d in reversed(range(depth)):
-        below = tree.where(F.size("t") > d)
-        child = below.groupBy("host", F.slice("t", 1, d).alias("up"), F.get("t", F.lit(d)).alias("child")).agg(F.sum("labelled").alias("m"), F.sum("bad").alias("x"))
+    paths: list[str] = []
+    visited: list[str] = []
+    size, at = F.size("t"), F.col("at")
+    starred = lambda: F.concat(F.slice("t", F.lit(1), at), F.array(F.lit("*")), F.slice("t", at + 2, F.greatest(size - at - 1, F.lit(0))))
+
+    def rewritten(tree: DataFrame) -> DataFrame:
+        out = scratch.written(tree, "tree", paths)
+        scratch.deleted(spark, *paths[:-1])
+        del paths[:-1]
+        return out
+
+    # t: the template so far; known: how many of its segments the node above has (null: no other path is below that node);
+    # parted: the depths of the nodes where the path parted from others
+    tree = rewritten(shapes.withColumns({"t": F.col("segs"), "known": F.lit(0), "parted": F.array().cast("array<int>")}))
+    passes = 0
+    while True:
+        rows = tree.where("known is not null").withColumn("up", F.slice("t", F.lit(1), F.col("known")))
+        nodes = rows.groupBy("host", "up").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+        differ = F.array_position(F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b)), F.lit(False))  # 1 is the first segment
+        nodes = nodes.select("host", "up", F.when(differ > 0, differ - 1).otherwise(F.size("lo")).cast("int").alias("at"))
+        found = scratch.written(rows.join(nodes, ["host", "up"]).where(size > at).select("host", "up", "at", F.get("t", at).alias("child")).distinct().groupBy("host", "up", "at").agg((F.count(F.lit(1)) > BRANCHES).alias("wide")), "nodes", visited)
+        if found.isEmpty():
+            break
+        marked = tree.withColumn("up", F.slice("t", F.lit(1), F.col("known"))).join(found, ["host", "up"], "left")
+        below = F.coalesce(size > at, F.lit(False))
+        t = F.when(below & F.col("wide"), starred()).otherwise(F.col("t"))
+        tree = rewritten(marked.select("host", "segs", "labelled", "bad", t.alias("t"), F.when(below, at + 1).alias("known"), F.when(below, F.concat("parted", F.array(at))).otherwise(F.col("parted")).alias("parted")))
+        passes += 1
+    for k in reversed(range(passes)):
+        rows = tree.withColumn("at", F.get("parted", F.lit(k))).withColumn("up", F.when(at.isNotNull(), F.slice("t", F.lit(1), at)))
+        child = rows.where("at is not null").groupBy("host", "up", F.get("t", at).alias("child")).agg(F.sum("labelled").alias("m"), F.sum("bad").alias("x"))
         node = child.groupBy("host", "up").agg(F.count_if(F.col("m") > 0).alias("k"), F.sum("m").alias("mm"), F.sum("x").alias("xx"), F.sum(F.when(F.col("m") > 0, F.col("x") * F.col("x") / F.col("m"))).alias("s"), F.count(F.lit(1)).alias("n"))
         p = F.col("xx") / F.nullif(F.col("mm"), F.lit(0))
         # sum of (x - m p)^2 / (m p (1 - p)) over the children
         chi = F.when((p > 0) & (p < 1), (F.col("s") - F.col("mm") * p * p) / (p * (1 - p))).otherwise(0.0)
-        alike = (F.col("n") > 1) & (chi <= (F.col("k") - 1) + 2 * F.sqrt(2 * F.greatest(F.col("k") - 1, F.lit(0))))
-        tree = starred(node.where(F.coalesce(alike, F.lit(True)) & (F.col("n") > 1)), d)
+        alike = chi <= (F.col("k") - 1) + 2 * F.sqrt(2 * F.greatest(F.col("k") - 1, F.lit(0)))
+        merged = node.where(F.coalesce(alike, F.lit(True)) & (F.col("n") > 1)).select("host", "up", F.lit(True).alias("star"))
+        tree = rewritten(rows.join(merged, ["host", "up"], "left").withColumn("t", F.when(F.col("star"), starred()).otherwise(F.col("t"))).drop("up", "at", "star"))
+    scratch.deleted(spark, *visited)
     sums = tree.groupBy("host", "t").agg(F.sum("labelled").alias("m"), F.sum("bad").alias("x"))
     sums = sums.withColumn("share", (F.col("x") + PRIOR * share) / (F.col("m") + PRIOR))
     return tree.select("host", "segs", "t").join(sums.select("host", "t", "share"), ["host", "t"]).select("host", "segs", F.concat(F.lit("/"), F.array_join("t", "/")).alias("template"), "share")

@@ -278,6 +278,54 @@ def test_base_secrets(spark):
     assert all(rows[5 + i].spans == "" for i in range(len(ODD)))
 
 
+def brute_templates(shapes):
+    """Level by level over all depths, in plain Python. shapes: (host, segs, labelled, bad)."""
+    rows = [[h, list(s), m, x] for h, s, m, x in shapes]
+    depth = max(len(r[1]) for r in rows)
+
+    def nodes(d):
+        out = {}
+        for r in rows:
+            if len(r[1]) > d:
+                out.setdefault((r[0], tuple(r[1][:d])), []).append(r)
+        return out.values()
+
+    for d in range(depth):
+        for below in nodes(d):
+            if len({r[1][d] for r in below}) > urls.BRANCHES:
+                for r in below:
+                    r[1][d] = "*"
+    for d in reversed(range(depth)):
+        for below in nodes(d):
+            sums = {}
+            for r in below:
+                m, x = sums.get(r[1][d], (0, 0))
+                sums[r[1][d]] = (m + r[2], x + r[3])
+            mm, xx = sum(m for m, _ in sums.values()), sum(x for _, x in sums.values())
+            p, k = (xx / mm if mm else 0), sum(m > 0 for m, _ in sums.values())
+            chi = sum((x - m * p) ** 2 / (m * p * (1 - p)) for m, x in sums.values() if m) if 0 < p < 1 else 0
+            if len(sums) > 1 and chi <= (k - 1) + 2 * (2 * max(k - 1, 0)) ** 0.5:
+                for r in below:
+                    r[1][d] = "*"
+    return {(r[0], tuple(s[1])): "/" + "/".join(r[1]) for r, s in zip(rows, shapes, strict=True)}
+
+
+def test_templates_equal_levels_in_plain_python(spark):
+    r = random.Random(3)
+    shapes = {}
+    for _ in range(400):
+        segs = tuple(r.choice("abcdefghijklmnopqrstuvwxyz"[: r.choice((2, 4, 26))]) for _ in range(r.randrange(6)))
+        m = r.choice((0, 0, 5, 40))
+        shapes[r.choice(("x", "y", "")), segs] = (m, round(m * r.choice((0, 0.1, 0.9))))
+    shapes["deep", ("s",) * 1000] = shapes["deep", ("s",) * 999 + ("t",)] = shapes["deep", ("s",) * 500] = (3, 1)
+    rows = [(h, list(s), m, x) for (h, s), (m, x) in shapes.items()]
+    found = urls.templates(spark.createDataFrame(rows, "host string, segs array<string>, labelled long, bad long").repartition(3)).collect()
+    assert len(found) == len(rows)
+    assert {(f.host, tuple(f.segs)): f.template for f in found} == brute_templates([(h, s, m, x) for (h, s), (m, x) in shapes.items()])
+    none = spark.createDataFrame([], "host string, segs array<string>, labelled long, bad long")
+    assert urls.templates(none).count() == 0
+
+
 def test_urls(spark):
     bad = [(i, f"http://spam.org/x{i}/p/{i}", "") for i in range(60)]
     good = [(100 + i, f"http://Good.org/en/{1000 + i}.html?q#f", "") for i in range(60)]
