@@ -436,7 +436,10 @@ class Join:
         with scratch.small_batches(self.spark, 1000, "4m"):  # all Python functions run in here
             self.classes()
             self.index()
-            links = self.many_links().union(self.verified(self.few_pairs()))
+            scratch.released(self.spark)
+            links = self.many_links()
+            scratch.released(self.spark)
+            links = links.union(self.verified(self.few_pairs()))
         roots = components(links)
         keys = self.keys.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
         keys = scratch.written(keys.select("hi", "lo", "least_id", "root"), "labelled")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,11 +32,11 @@ def written(df: DataFrame, name: str, into: list[str] | None = None) -> DataFram
     """df, written once as Parquet to the shared folder and read again. into: gets the path, for `deleted`.
 
     Cuts lineage: a lost executor costs a re-read of files, and columns that depend on the
-    partitioning (row ids) never change afterwards.
+    partitioning (row ids) never change afterwards. The tables have no success marker: nothing reads it.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     if into is not None:
         into.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -48,6 +49,13 @@ def deleted(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files and broadcasts of plans that are over: it does so when the driver's collector finds
+    that nothing refers to them, which on a driver with a free heap may be long after."""
+    gc.collect()  # Python's handles of plans first
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> Iterator[None]:
     """Jobs that run inside send Python functions batches of at most so many rows and bytes; for functions whose
