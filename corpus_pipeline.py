@@ -45,7 +45,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: The first and last stages run models that SQL cannot express; tests compare run() with a brute-force version.
+#: The first and last stages run models that SQL cannot express; tests compare stages with their operators.
 ORACLE_SQL = None
 
 
@@ -53,4 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = scratch.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        scratch.released(spark)
     return docs
