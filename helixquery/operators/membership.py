@@ -12,13 +12,11 @@ from helixquery.operators.kmers import top_per_group
 
 def conservation(records: DataFrame, id_col: str, seq: str, guides: DataFrame) -> DataFrame:
     """guide_id, sequence, hits (records with the guide on either strand), total (records not empty), conservation_pct."""
-    listed = [(r["guide_id"], r["sequence"]) for r in guides.select("guide_id", F.upper("sequence").alias("sequence")).collect()]  # the query
     total = records.where(F.length(seq) > 0).count()
-    spark = records.sparkSession
-    asked = spark.createDataFrame(listed, "guide_id long, sequence string")
+    asked = guides.select("guide_id", F.upper("sequence").alias("sequence"))
     probes = asked.select("guide_id", F.explode(F.array_distinct(F.array("sequence", S.reverse_complement(F.col("sequence"))))).alias("probe"))
-    found = search.hits(records, id_col, seq, [r["probe"] for r in probes.select("probe").distinct().collect()]).select(id_col, "pattern").distinct()
-    each = found.join(F.broadcast(probes), F.col("pattern") == F.col("probe")).select("guide_id", id_col).distinct()
+    found = search.hits(records, id_col, seq, probes, "probe").select(id_col, "pattern").distinct()
+    each = found.join(probes, F.col("pattern") == F.col("probe")).select("guide_id", id_col).distinct()
     n = each.groupBy("guide_id").agg(F.count(F.lit(1)).alias("hits"))
     out = asked.join(n, "guide_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("long")).withColumn("total", F.lit(total).cast("long"))
     return out.withColumn("conservation_pct", F.when(F.col("total") > 0, F.round(100.0 * F.col("hits") / F.col("total"), 2)).otherwise(0.0))
@@ -30,9 +28,9 @@ def cross_reactivity(targets: DataFrame, hosts: DataFrame, host: str, seq: str,
 
     targets: pathogen, kmer, pam, occurrences.
     """
-    top = top_per_group(targets.where(F.col("pam") == pam), "pathogen", [F.desc("occurrences"), "kmer"], per_pathogen).select("kmer").distinct()
+    top = top_per_group(targets.where(F.col("pam") == pam), "pathogen", [F.desc("occurrences"), "kmer"], per_pathogen).select("kmer").distinct().persist()  # read three times; per_pathogen bounds it
     probes = top.select("kmer", F.explode(F.array_distinct(F.array("kmer", S.reverse_complement(F.col("kmer"))))).alias("probe"))
-    found = search.hits(hosts, host, seq, [r["probe"] for r in probes.select("probe").distinct().collect()])
+    found = search.hits(hosts, host, seq, probes, "probe")
     n = found.groupBy(host, "pattern").agg(F.count(F.lit(1)).alias("h"))
-    hits = n.join(F.broadcast(probes), F.col("pattern") == F.col("probe")).groupBy("kmer", host).agg(F.sum("h").alias("hits"))
+    hits = n.join(probes, F.col("pattern") == F.col("probe")).groupBy("kmer", host).agg(F.sum("h").alias("hits"))
     return top.join(hits, "kmer", "left")

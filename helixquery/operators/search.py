@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Patterns per automaton; more patterns make more passes.
-BLOCK = 200_000
+from helixquery.operators.kmers import once
+
+#: Bytes of a gram, and places of a text that one row explodes into.
+GRAM, PLACES = 8, 8192
+#: Bytes of indexed patterns that are broadcast to the places; beyond it they are joined.
+FEW_BYTES = 32 << 20
 
 
 def quoted(pattern: Column) -> Column:
@@ -23,50 +24,52 @@ def clean_query(q: Column) -> Column:
     return F.when(F.length(bases) >= 4, bases)
 
 
-def hits(docs: DataFrame, id_col: str, text: str, patterns: list[str]) -> DataFrame:
+def hits(docs: DataFrame, id_col: str, text: str, patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
     """id_col, pattern, offset (bytes from 0) of all occurrences, overlapping ones too.
 
-    One pass over the texts for BLOCK patterns: an automaton is built once per task.
+    A text is looked at every `step` bytes only: of patterns with `least` bytes or more, every occurrence covers a whole gram
+    that begins at one of these places, if all grams in a pattern's first `step` places are indexed. Places meet the index in an
+    equi-join on the gram, and the whole pattern is compared then. Patterns go by bands of like length, so that short ones
+    don't make the grid finer for long ones. Null and empty texts and patterns have no occurrences.
     """
-    kept = sorted({p for p in patterns if p})
-    blocks = [kept[i : i + BLOCK] for i in range(0, len(kept), BLOCK)] or [[]]
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def scan(block: list[str]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            machine = ahocorasick.Automaton()
-            for p in block:
-                machine.add_word(p, p)
-            if block:
-                machine.make_automaton()
-            for batch in batches:
-                ids, found, offsets = [], [], []
-                for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if not s or not block:
-                        continue
-                    ascii_ = s.isascii()
-                    for end, p in machine.iter(s):
-                        at = end - len(p) + 1
-                        ids.append(i)
-                        found.append(p)
-                        offsets.append(at if ascii_ else len(s[:at].encode()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(found, pa.string()), pa.array(offsets, pa.int64())], [id_col, "pattern", "offset"])
-
-        return docs.select(id_col, text).mapInArrow(run, f"{id_col} {kind}, pattern string, offset long")
-
-    out = scan(blocks[0])
-    for block in blocks[1:]:
-        out = out.unionByName(scan(block))
-    return out
+    size = F.octet_length("pattern")
+    wanted = patterns.select(F.col(pattern).alias("pattern")).where(size > 0).distinct().withColumn("band", F.floor(F.log2(size)).cast("int"))
+    bands = wanted.groupBy("band").agg(F.min(size).alias("least"), F.max(size).alias("most"), F.count(F.lit(1)).alias("n")).orderBy("band").collect()  # 31 at most
+    texts = docs.select(F.col(id_col).alias("id"), once(F.col(text).cast("binary")).alias("bytes"))
+    out = texts.select("id", F.lit("").alias("pattern"), F.lit(0).cast("long").alias("offset")).where(F.lit(False))
+    for b in bands:
+        out = out.unionByName(_band_hits(texts, wanted.where(F.col("band") == b["band"]), b["least"], b["most"], b["n"]))
+    return out.select(F.col("id").alias(id_col), "pattern", "offset")
+
+
+def _band_hits(texts: DataFrame, wanted: DataFrame, least: int, most: int, n: int) -> DataFrame:
+    gram = min(GRAM, least)
+    step = least - gram + 1
+    index = wanted.select("pattern", F.explode(F.sequence(F.lit(0), F.lit(step - 1))).alias("shift"))
+    index = index.withColumn("gram", F.substr(F.col("pattern").cast("binary"), F.col("shift") + 1, F.lit(gram)))
+    last = F.octet_length("bytes") - gram
+    rows = texts.where(F.octet_length("bytes") >= least).select("id", "bytes", F.explode(F.sequence(F.lit(0), last, F.lit(step * PLACES))).alias("block"))
+    rows = rows.select("id", "bytes", F.explode(F.sequence("block", F.least(F.col("block") + step * (PLACES - 1), last), F.lit(step))).alias("place"))
+    rows = rows.withColumn("gram", F.substr("bytes", F.col("place") + 1, F.lit(gram)))
+    if n * step * (most + 64) <= FEW_BYTES:
+        index, rows = F.broadcast(index), rows.withColumn("start", F.lit(0))
+    else:  # what a comparison needs of the text travels with its place
+        start = F.greatest(F.col("place") - (step - 1), F.lit(0))
+        rows = rows.select("id", "place", "gram", start.alias("start"), F.substr("bytes", start + 1, F.lit(step - 1 + most)).alias("bytes"))
+    at = F.col("place") - F.col("shift")
+    same = F.substr("bytes", at - F.col("start") + 1, F.octet_length("pattern")) == F.col("pattern").cast("binary")
+    return rows.join(index, "gram").where((at >= 0) & same).select("id", "pattern", at.cast("long").alias("offset"))
 
 
 def counts(docs: DataFrame, id_col: str, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
-    """patterns with n (0 where a pattern never occurs). The patterns are the query: they are read by the driver."""
-    listed = [r[0] for r in patterns.select(pattern).distinct().collect()]
-    found = hits(docs, id_col, text, listed).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    return patterns.join(F.broadcast(found.withColumnRenamed("pattern", "found")), F.col(pattern) == F.col("found"), "left").drop("found").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    """patterns with n (0 where a pattern never occurs)."""
+    found = hits(docs, id_col, text, patterns, pattern).groupBy(F.col("pattern").alias("found")).agg(F.count(F.lit(1)).alias("n"))
+    return patterns.join(found, F.col(pattern) == F.col("found"), "left").drop("found").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+
+
+def apart(text: Column, pattern: Column) -> Column:
+    """Occurrences of a column's pattern in a text that don't overlap, from the left."""
+    return F.floor((F.octet_length(text) - F.octet_length(F.replace(text, pattern))) / F.octet_length(pattern)).cast("long")
 
 
 def overlapping(text: Column, pattern: Column) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import os
+import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,3 +91,14 @@ def decrypted(content: Column, key: bytes) -> Column:
 def derived_key(passphrase: str, salt: bytes) -> bytes:
     """32 bytes by scrypt."""
     return hashlib.scrypt(passphrase.encode(), salt=salt, n=1 << 14, r=8, p=1, dklen=32)
+
+
+def given_key(spark: SparkSession) -> bytes:
+    """32 bytes, given as 64 hex digits by the session's spark.helixquery.key or the environment's HELIXQUERY_KEY; without
+    either a random key, with which only the run that made it can read what it hides."""
+    given = spark.conf.get("spark.helixquery.key", None) or os.environ.get("HELIXQUERY_KEY")
+    if not given:
+        return os.urandom(32)
+    if not re.fullmatch("[0-9A-Fa-f]{64}", given):
+        raise ValueError("the key must have 64 hex digits")
+    return bytes.fromhex(given)

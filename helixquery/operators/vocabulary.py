@@ -47,18 +47,18 @@ def text_windows(docs: DataFrame, id_col: str, text: str, lines: int = 50, overl
     return cut.select(id_col, (F.col("at") / step).cast("int").alias("section"), F.array_join(F.slice("all", F.col("at") + 1, F.lit(lines)), "\n").alias("text"))
 
 
-def pair_counts(units: DataFrame, unit: list[str], tokens: str) -> DataFrame:
-    """a < b and in how many units both occur. The pairs of a unit are made inside its row and summed map-side first."""
-    t = F.col(tokens)
-    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.transform(F.slice(t, i + 1, F.size(t)), lambda b: F.struct(F.element_at(t, i).alias("term_a"), b.alias("term_b")))))
-    rows = units.where(F.size(tokens) > 1).select(F.inline(pairs))
+def pair_counts(units: DataFrame, tokens: str) -> DataFrame:
+    """a < b and in how many units both occur. A unit gives a row for each token and then its pairs with later tokens, which
+    are summed map-side first: no row holds more than one token's pairs."""
+    rows = units.where(F.size(tokens) > 1).select(F.col(tokens).alias("all"), F.posexplode(tokens).alias("at", "term_a"))
+    rows = rows.select("term_a", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("term_b"))
     return rows.groupBy("term_a", "term_b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cooccurrence(sections: DataFrame, files: DataFrame, min_weight: float = 1.0) -> DataFrame:
     """term_a, term_b, weight, section_count, file_count. Both inputs: a column `tokens` of sorted distinct tokens."""
-    s = pair_counts(sections, [], "tokens").withColumnRenamed("n", "section_count")
-    f = pair_counts(files, [], "tokens").withColumnRenamed("n", "file_count")
+    s = pair_counts(sections, "tokens").withColumnRenamed("n", "section_count")
+    f = pair_counts(files, "tokens").withColumnRenamed("n", "file_count")
     both = s.join(f, ["term_a", "term_b"], "full").fillna(0, ["section_count", "file_count"])
     both = both.withColumn("weight", (3.0 * F.col("section_count") + F.col("file_count")).cast("double"))
     return both.where(F.col("weight") >= min_weight)

@@ -9,9 +9,6 @@ from helixquery.operators import scoring, search, shards, vocabulary
 from helixquery.operators.kmers import top_per_group
 from helixquery.plans import views as V
 
-KEY = bytes(range(32))
-
-
 def batch_search(spark: SparkSession, d: str) -> DataFrame:
     return search.counts(V.documents(spark, d), "doc_id", "text", V.patterns(spark, d), "pattern")
 
@@ -21,8 +18,7 @@ BATCH_SEARCH = f"WITH {V.HITS} SELECT item_id, pattern, CAST(coalesce(n, 0) AS B
 
 def _located(spark: SparkSession, d: str) -> DataFrame:
     docs = V.documents(spark, d).select("doc_id", "text")
-    listed = [r["pattern"] for r in V.patterns(spark, d).select("pattern").distinct().collect()]
-    return search.hits(docs, "doc_id", "text", listed)
+    return search.hits(docs, "doc_id", "text", V.patterns(spark, d))
 
 
 def locate(spark: SparkSession, d: str) -> DataFrame:
@@ -143,8 +139,9 @@ SELECT term, max(weight) AS weight FROM a WHERE length(term) >= 2 GROUP BY term
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    """Documents by occurrences (not overlapping) of each item's first 30 characters."""
-    found = _located(spark, d).join(F.broadcast(V.patterns(spark, d)), "pattern").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
+    """Documents by occurrences (not overlapping) of each item's text."""
+    found = _located(spark, d).select("doc_id", "pattern").distinct().join(V.patterns(spark, d), "pattern")
+    found = found.join(V.documents(spark, d).select("doc_id", "text"), "doc_id").select("item_id", "doc_id", search.apart(F.col("text"), F.col("pattern")).alias("score"))
     return top_per_group(found, "item_id", [F.desc("score"), "doc_id"], 10).select(F.col("item_id").alias("query_id"), "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -152,7 +149,7 @@ def ranking(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d)
 
 
-_RANKED = f"""{V.HITS}, c AS (SELECT item_id AS query_id, doc_id, count(*) AS score FROM hits JOIN patterns USING (pattern) GROUP BY ALL),
+_RANKED = f"""{V.PATTERNS}, c AS (SELECT item_id AS query_id, doc_id, CAST((strlen(text) - strlen(replace(text, pattern, ''))) // strlen(pattern) AS BIGINT) AS score FROM documents JOIN patterns ON contains(text, pattern)),
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c) WHERE rank <= 10)"""
 RANKING = f"WITH {_RANKED} SELECT * FROM ranked"
 
@@ -160,8 +157,8 @@ RANKING = f"WITH {_RANKED} SELECT * FROM ranked"
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """A document is relevant for an item if it holds the item's whole text."""
     items = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    whole = search.hits(V.documents(spark, d), "doc_id", "text", [r["text"] for r in items.collect()]).select("doc_id", F.col("pattern").alias("text")).distinct()
-    relevant = whole.join(F.broadcast(items), "text").select("query_id", "doc_id").distinct()
+    whole = _located(spark, d).select("doc_id", F.col("pattern").alias("text")).distinct()
+    relevant = whole.join(items, "text").select("query_id", "doc_id").distinct()
     return scoring.retrieval_metrics(_ranked(spark, d), relevant, items, 5)
 
 
@@ -229,7 +226,7 @@ FEDERATED_SEARCH = f'WITH {V.HITS} SELECT source, hits.doc_id, CAST({_AT.replace
 
 def blind_search(spark: SparkSession, d: str) -> DataFrame:
     words = ["th", "ción", "der", "ent"]
-    return shards.blind_counts(V.documents(spark, d), "doc_id", "text", words, KEY).withColumn("pattern", F.get(F.array(*map(F.lit, words)), "pattern_no")).select("pattern", "n")
+    return shards.blind_counts(V.documents(spark, d), "doc_id", "text", words, shards.given_key(spark)).withColumn("pattern", F.get(F.array(*map(F.lit, words)), "pattern_no")).select("pattern", "n")
 
 
 BLIND_SEARCH = """SELECT pattern, CAST(sum((length(text) - length(replace(text, pattern, ''))) / length(pattern)) AS BIGINT) AS n
@@ -237,8 +234,9 @@ FROM documents, (SELECT unnest(['th', 'ción', 'der', 'ent']) AS pattern) GROUP
 
 
 def encryption_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    hidden = V.documents(spark, d).select("doc_id", shards.encrypted(F.col("text").cast("binary"), KEY).alias("hidden"))
-    return hidden.select("doc_id", F.sha2(shards.decrypted(F.col("hidden"), KEY), 256).alias("sha256"))
+    key = shards.given_key(spark)
+    hidden = V.documents(spark, d).select("doc_id", shards.encrypted(F.col("text").cast("binary"), key).alias("hidden"))
+    return hidden.select("doc_id", F.sha2(shards.decrypted(F.col("hidden"), key), 256).alias("sha256"))
 
 
 ENCRYPTION_ROUND_TRIP = "SELECT doc_id, sha256(text) AS sha256 FROM documents"

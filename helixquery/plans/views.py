@@ -22,8 +22,8 @@ def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, pattern: the first 30 characters of every benchmark item."""
-    return table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(30)).alias("pattern"))
+    """item_id, pattern: the text of every benchmark item."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("pattern"))
 
 
 def guides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def bases_sql(text: str) -> str:
 
 GENOME = f"genome AS (SELECT doc_id, lang, source, {bases_sql('text')} AS seq FROM documents)"
 GUIDES = f"guides AS (SELECT item_id, seq, left(seq, 20) AS guide FROM (SELECT item_id, {bases_sql('text')} AS seq FROM benchmark))"
-PATTERNS = "patterns AS (SELECT item_id, left(text, 30) AS pattern FROM benchmark)"
+PATTERNS = "patterns AS (SELECT item_id, text AS pattern FROM benchmark)"
 RC = lambda s: f"translate(reverse({s}), 'ACGT', 'TGCA')"
 PAM = lambda k: f"CASE WHEN {k} LIKE '%GG' THEN 'NGG' WHEN {k} LIKE 'TTT%' THEN 'TTTN' ELSE 'none' END"
 

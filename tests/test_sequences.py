@@ -1,5 +1,7 @@
 """Literal cases of the sequence functions and joins."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,7 +73,8 @@ def test_conservation(spark):
 
 def test_search(spark):
     docs = spark.createDataFrame([(1, "AAAA"), (2, "é\nñAA(.*)"), (3, None)], "id long, t string")
-    hits = {(r["id"], r["pattern"], r["offset"]) for r in search.hits(docs, "id", "t", ["AA", "(.*)", ""]).collect()}
+    asked = spark.createDataFrame([("AA",), ("(.*)",), ("",), (None,), ("AA",)], "pattern string")
+    hits = {(r["id"], r["pattern"], r["offset"]) for r in search.hits(docs, "id", "t", asked).collect()}
     assert hits == {(1, "AA", 0), (1, "AA", 1), (1, "AA", 2), (2, "AA", 5), (2, "(.*)", 7)}
     assert one(spark, search.overlapping(F.col("t"), F.col("p")), t="AAAA", p="AA") == 3
     assert one(spark, search.overlapping(F.col("t"), F.col("p")), t="a.b.c(.*)", p="(.*)") == 1
@@ -80,6 +83,39 @@ def test_search(spark):
     assert one(spark, search.clean_query(F.col("q")), q="ac-gx t") == "ACGT" and one(spark, search.clean_query(F.col("q")), q="acg") is None
 
 
+@pytest.mark.parametrize("few", [0, 1 << 25])
+def test_search_equals_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(search, "FEW_BYTES", few)
+    monkeypatch.setattr(search, "PLACES", 3)
+    r = random.Random(few)
+    texts = ["".join(r.choice("abé") for _ in range(r.randrange(120))) for _ in range(40)] + ["", "a" * 400]
+    patterns = {t[i : i + r.choice((1, 2, 5, 9, 17, 40))] for t in texts for i in r.sample(range(120), 3)} | {"a" * 30, "bé" * 20}
+    docs = spark.createDataFrame(list(enumerate(texts)), "place long, pattern string")
+    found = search.hits(docs, "place", "pattern", spark.createDataFrame([(p,) for p in patterns], "bytes string"), "bytes").collect()
+    wanted = sorted((i, p, len(t[:k].encode())) for i, t in enumerate(texts) for p in patterns if p for k in range(len(t)) if t.startswith(p, k))
+    assert sorted((x["place"], x["pattern"], x["offset"]) for x in found) == wanted
+    assert search.hits(docs, "place", "pattern", spark.createDataFrame([], "pattern string")).count() == 0
+
+
+def test_occurrences_apart(spark):
+    assert [one(spark, search.apart(F.col("t"), F.col("p")), t=t, p=p) for t, p in (("AAAA", "AA"), ("AAAAA", "AA"), ("abcabcab", "abcab"), ("ééé", "é"), ("x", "y"))] == [2, 2, 1, 3, 0]
+
+
+def test_given_key(spark, monkeypatch):
+    monkeypatch.setenv("HELIXQUERY_KEY", "0f" * 32)
+    assert shards.given_key(spark) == b"\x0f" * 32
+    monkeypatch.setenv("HELIXQUERY_KEY", "0f")
+    with pytest.raises(ValueError):
+        shards.given_key(spark)
+    monkeypatch.delenv("HELIXQUERY_KEY")
+    assert len(shards.given_key(spark)) == 32 and shards.given_key(spark) != shards.given_key(spark)
+
+
+def test_pair_counts(spark):
+    units = spark.createDataFrame([(["a", "b", "c"],), (["b", "c"],), (["z"],), ([],), (None,)], "tokens array<string>")
+    assert {tuple(r) for r in vocabulary.pair_counts(units, "tokens").collect()} == {("a", "b", 1), ("a", "c", 1), ("b", "c", 2)}
+
+
 def test_intervals(spark):
     t = spark.createDataFrame([(0,), (90,), (100,), (500,), (990,)], "pos long")
     r = spark.createDataFrame([(1, 100, 101), (2, 950, 30)], "no long, start long, `end` long")
