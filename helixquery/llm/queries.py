@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixquery.llm import decontamination, jaccard, kneser_ney, line_dedup, packing, quality, secrets, sharding, tokens, urls
+from helixquery.llm import decontamination, jaccard, kneser_ney, line_dedup, merkle, packing, periodic_runs, quality, secrets, sharding, tokens, urls
 
 #: The folder of the public vocabulary files; None: where the package that brings them says.
 TOKENIZER_DIR: str | None = None
@@ -73,6 +75,31 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = lambda body: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), body)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, fields(F.translate("text", line_dedup.UPPER, line_dedup.LOWER)))
+    leaves = docs.select("doc_id", "lang", fields(F.col("text")).alias("leaf"), tampered.alias("tampered"))
+    out = merkle.manifest(leaves, "lang", "doc_id")
+    out = out.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def planted(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Which word stands at each place where op13's contract makes a document periodic; None elsewhere."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return np.concatenate([np.arange(a), a + np.arange(n - a) % p])
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), order=planted))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_ngram_jaccard_join,
@@ -85,6 +112,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_sharding,
         op9_benchmark_decontamination,
         op10_best_fit_packing,
+        op12_merkle_manifest,
+        op13_periodic_runs,
     ]
     return {f.__name__: f for f in named}
 
@@ -172,5 +201,62 @@ SELECT doc_id, item_id, CAST(max(agreeing) AS INTEGER) AS agreeing FROM a WHERE
 """
 
 
+#: The unsigned crc32 of a decimal number's digits.
+_CRC = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ord((doc_id::VARCHAR)[i])::BIGINT)), "
+    "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"
+)
+
+
+def _leaf(body: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({x}::VARCHAR) || ':' || {x}::VARCHAR, '-')" for x in ("doc_id", "source", "lang", "n_chars", body)) + ")"
+
+
+def _siblings(of: str) -> str:
+    """The joined nodes before and after each in its run."""
+    side = lambda frame: f"coalesce(string_agg(node, '') OVER (PARTITION BY {of} ORDER BY pos ROWS BETWEEN {frame}), '')"
+    return f"{side('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS l, {side('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS r"
+
+
+OP12 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, lang, {_leaf("text")} AS leaf,
+  CASE WHEN {_CRC} % 3 = 0 THEN {_leaf(f"translate(text, '{line_dedup.UPPER}', '{line_dedup.LOWER}')")} END AS tampered FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+t AS (SELECT lang, 0 AS lev, pos, n, leaf AS node FROM p
+  UNION ALL SELECT lang, lev + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(node, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lang, lev, pos // 8),
+s AS (SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+r AS (SELECT 0 AS lev, pos, n, subroot AS node FROM s
+  UNION ALL SELECT lev + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(node, '' ORDER BY pos)) FROM r WHERE n > 1 GROUP BY lev, pos // 8),
+w AS (SELECT lang, lev, pos, n, {_siblings("lang, lev, pos // 8")} FROM t),
+v AS (SELECT lev, pos, n, {_siblings("lev, pos // 8")} FROM r),
+x AS (SELECT rid, w.lev, l, r FROM p JOIN w ON p.lang IS NOT DISTINCT FROM w.lang AND p.pos // (8 ** w.lev)::BIGINT = w.pos WHERE w.n > 1
+  UNION ALL SELECT rid, 100 + v.lev, l, r FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang JOIN v ON s.pos // (8 ** v.lev)::BIGINT = v.pos WHERE v.n > 1),
+path AS (SELECT rid, list({{'l': l, 'r': r}} ORDER BY lev) AS path, string_agg(l || r, '' ORDER BY lev) AS proof FROM x GROUP BY rid),
+f AS (SELECT rid, 0 AS k, coalesce(tampered, leaf) AS node, path FROM p LEFT JOIN path USING (rid)
+  UNION ALL SELECT rid, k + 1, sha256(path[k + 1].l || node || path[k + 1].r), path FROM f WHERE k < len(path)),
+top AS (SELECT node AS root FROM r WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, f.node AS folded_root, f.node = root AS verified
+FROM p LEFT JOIN path USING (rid) JOIN s ON p.lang IS NOT DISTINCT FROM s.lang JOIN f ON f.rid = p.rid AND f.k = coalesce(len(f.path), 0) CROSS JOIN top
+"""
+
+#: All pairs of equal words of a document, half of it apart at most.
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w0, {_CRC} AS h FROM documents),
+g AS (SELECT *, len(w0) AS n, h // 10 AS g FROM d),
+e AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM g),
+p AS (SELECT rid, doc_id, n, CASE WHEN a IS NULL THEN w0 ELSE list_transform(range(n), lambda i: list_extract(w0, CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1)) END AS w FROM e),
+o AS (SELECT rid, n, i, w[i + 1] AS x FROM (SELECT rid, n, w, unnest(range(n)) AS i FROM p)),
+m AS (SELECT a.rid, a.n, b.i - a.i AS q, a.i FROM o a JOIN o b ON a.rid = b.rid AND a.x = b.x AND b.i > a.i AND 2 * (b.i - a.i) <= a.n),
+s AS (SELECT rid, q, min(i) AS start, count(*) + q AS length FROM (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS part FROM m)
+  GROUP BY rid, q, part HAVING count(*) >= greatest(q, {periodic_runs.LEAST} - q)),
+r AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s y WHERE y.rid = s.rid AND y.q < s.q AND y.start <= s.start AND y.start + y.length >= s.start + s.length)),
+l AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS t, min(struct_pack(a := -length, b := start, c := q)) AS best FROM r GROUP BY rid),
+k AS (SELECT rid, string_agg(x, ' ' ORDER BY i) AS t FROM o WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.rid = o.rid AND o.i >= r.start + r.q AND o.i < r.start + r.length) GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.b AS BIGINT) AS start, CAST(-best.a AS BIGINT) AS length, CAST(best.c AS BIGINT) AS period,
+       CAST(1000 * -best.a // best.c AS BIGINT) AS exponent_milli, sha256(coalesce(l.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM p LEFT JOIN l USING (rid) LEFT JOIN k USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1, "op2_quality_rules": OP2, "op3_line_dedup": OP3, "op9_benchmark_decontamination": OP9}
+    return {"op1_ngram_jaccard_join": OP1, "op2_quality_rules": OP2, "op3_line_dedup": OP3, "op9_benchmark_decontamination": OP9, "op12_merkle_manifest": OP12, "op13_periodic_runs": OP13}
