@@ -54,14 +54,13 @@ def in_order(rows: DataFrame, order: list[str], paths: list[str]) -> DataFrame:
 
 def with_siblings(nodes: DataFrame) -> DataFrame:
     """nodes (tree, at, n, node, ...; n: nodes of the level) with l and r, the joined siblings on either side."""
-    run, slot = F.floor(F.col("at") / FAN), F.col("at") % FAN
-    w = Window.partitionBy("tree", "run").orderBy("at")
-    size = F.least(F.lit(FAN), F.col("n") - F.col("run") * FAN)
-    out = nodes.withColumn("run", run)
-    out = out.withColumns({f"lag{o}": F.lag("node", o).over(w) for o in OFFSETS} | {f"lead{o}": F.lead("node", o).over(w) for o in OFFSETS})
-    left = F.concat(*(F.when(slot >= o, F.col(f"lag{o}")).otherwise("") for o in reversed(OFFSETS)))
-    right = F.concat(*(F.when(slot + o < size, F.col(f"lead{o}")).otherwise("") for o in OFFSETS))
-    return out.withColumns({"l": left, "r": right}).drop(*(f"{x}{o}" for x in ("lag", "lead") for o in OFFSETS))
+    out = nodes.selectExpr("*", f"floor(at / {FAN}) as run", f"at % {FAN} as slot")
+    over = "over (partition by tree, run order by at)"
+    moved = {f"{side}{o}": f"{side}(node, {o}) {over}" for side in ("lag", "lead") for o in OFFSETS}
+    out = out.selectExpr("*", f"least({FAN}, n - run * {FAN}) as size", *(f"{x} as {name}" for name, x in moved.items()))
+    left = ", ".join(f"if(slot >= {o}, lag{o}, '')" for o in reversed(OFFSETS))
+    right = ", ".join(f"if(slot + {o} < size, lead{o}, '')" for o in OFFSETS)
+    return out.selectExpr(*nodes.columns, "run", f"concat({left}) as l", f"concat({right}) as r")
 
 
 def parents(level: DataFrame) -> DataFrame:
@@ -79,10 +78,12 @@ def grown(leaves: DataFrame, most: int, paths: list[str]) -> tuple[DataFrame, Da
     below, n = with_siblings(leaves), most
     tops = [leaves.where("n = 1").select("tree", F.col("node").alias("root"))]
     while n > 1:
-        level = scratch.written(with_siblings(parents(below)), "level", paths)
+        n = -(-n // FAN)
+        level = parents(below)
+        level = scratch.written(with_siblings(level) if n > 1 else level.selectExpr("*", "0L as run", "'' as l", "'' as r"), "level", paths)
         levels.append(level)
         tops.append(level.where("n = 1").select("tree", F.col("node").alias("root")))
-        below, n = level, -(-n // FAN)
+        below = level
     above: DataFrame | None = None
     for level in reversed(levels):
         here = F.when(F.col("n") > 1, F.array(F.struct("l", "r"))).otherwise(F.array().cast(PATH))
@@ -99,15 +100,17 @@ def grown(leaves: DataFrame, most: int, paths: list[str]) -> tuple[DataFrame, Da
 
 
 def manifest(leaves: DataFrame, tree_col: str, id_col: str) -> DataFrame:
-    """leaves (tree_col, id_col, leaf, ...) with row_no, subroot, root and path: the siblings (l, r) of every level up to root."""
+    """leaves (tree_col, id_col, leaf, ...) with subroot, root and path: the siblings (l, r) of every level up to root."""
     paths: list[str] = []
     rows = in_order(leaves, [tree_col, id_col, "leaf"], paths)
     trees = scratch.written(rows.groupBy(F.col(tree_col).alias("key")).agg(F.min("row_no").alias("start"), F.count(F.lit(1)).alias("n")), "trees", paths)
-    trees = in_order(trees, ["key"], paths).withColumnRenamed("row_no", "tree")
-    few = trees.count()
+    few, most = trees.agg(F.count(F.lit(1)), F.max("n")).first()
     if not few:
-        return rows.select("*", F.lit("").alias("subroot"), F.lit("").alias("root"), F.array().cast(PATH).alias("path"))
-    most = trees.agg(F.max("n")).first()[0]
+        return rows.drop("row_no").select("*", F.lit("").alias("subroot"), F.lit("").alias("root"), F.array().cast(PATH).alias("path"))
+    if few <= FEW_TREES:
+        trees = trees.withColumn("tree", F.row_number().over(Window.orderBy(F.col("key").asc_nulls_first())).cast("long") - 1)
+    else:
+        trees = in_order(trees, ["key"], paths).withColumnRenamed("row_no", "tree")
     near = F.broadcast(trees) if few <= FEW_TREES else trees
     placed = rows.join(near, rows[tree_col].eqNullSafe(trees["key"])).withColumn("at", F.col("row_no") - F.col("start")).withColumnRenamed("leaf", "node").drop("key", "start")
     roots, above = grown(placed.select("tree", "at", "n", "node"), most, paths)
@@ -122,7 +125,6 @@ def manifest(leaves: DataFrame, tree_col: str, id_col: str) -> DataFrame:
     else:
         last = last.withColumn("path", F.array().cast(PATH))
     ends = last.select(F.col("at").alias("tree"), F.col("node").alias("subroot"), F.concat(here, F.coalesce("path", F.array().cast(PATH))).alias("mk_last"))
-    ends = scratch.written(ends, "ends", paths)
     out = with_siblings(placed)
     if above is not None:
         out = out.join(above.select("tree", F.col("at").alias("run"), F.col("path").alias("mk_up")), ["tree", "run"], "left")
@@ -130,7 +132,7 @@ def manifest(leaves: DataFrame, tree_col: str, id_col: str) -> DataFrame:
         out = out.withColumn("mk_up", F.array().cast(PATH))
     out = out.join(F.broadcast(ends) if few <= FEW_TREES else ends, "tree")
     path = F.concat(here, F.coalesce("mk_up", F.array().cast(PATH)), F.col("mk_last"))
-    return out.withColumns({"path": path, "root": F.lit(root)}).drop("tree", "at", "n", "run", "l", "r", "mk_up", "mk_last").withColumnRenamed("node", "leaf")
+    return out.withColumns({"path": path, "root": F.lit(root)}).drop("tree", "at", "n", "run", "l", "r", "mk_up", "mk_last", "row_no").withColumnRenamed("node", "leaf")
 
 
 def folded(node: Column, path: Column) -> Column:
