@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixquery.llm import decontamination, jaccard, kneser_ney, line_dedup, merkle, packing, periodic_runs, quality, secrets, sharding, tokens, urls
+from helixquery.llm import decontamination, html_text, jaccard, kneser_ney, line_dedup, merkle, packing, periodic_runs, quality, secrets, sharding, tokens, urls
 
 #: The folder of the public vocabulary files; None: where the package that brings them says.
 TOKENIZER_DIR: str | None = None
@@ -75,6 +75,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = table(spark, sf_dir, "pages").select("page_id", "url", html_text.extracted("html").alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fields = lambda body: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), body)
@@ -112,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_sharding,
         op9_benchmark_decontamination,
         op10_best_fit_packing,
+        op11_html_extraction,
         op12_merkle_manifest,
         op13_periodic_runs,
     ]
