@@ -27,9 +27,9 @@ def reverse_complement(s: Column) -> Column:
 
 
 def packed(s: Column) -> Column:
-    """Two bits a base (A=0 C=1 G=2 T=3) of up to 31 bases; null if another letter occurs."""
+    """Two bits a base (A=0 C=1 G=2 T=3) of up to 32 bases (32 use the sign's bit as well); null if another letter occurs."""
     digits = F.translate(s, "ACGT", "0123")
-    return F.when(s.rlike("^[ACGT]{1,31}$"), F.conv(digits, 4, 10).cast("long"))
+    return F.when(s.rlike("^[ACGT]{1,32}$"), F.conv(digits, 4, -10).cast("long"))
 
 
 def unpacked(x: Column, k: int) -> Column:

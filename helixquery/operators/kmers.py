@@ -1,16 +1,33 @@
-"""k-mer windows, counts and target tables."""
+"""k-mer windows, counts and target tables.
+
+Counting ships super-k-mers: a task cuts sequences into runs of consecutive windows with one minimiser (the least hash of
+the windows' M-mers), so that a run of w windows travels as w + k - 1 bytes once; equal runs of a batch travel once with
+their number. A minimiser's runs meet in one task, which turns them into 2-bit codes and counts those with numpy, first
+places beside the counts. A task whose different codes outgrow MOST_CODES hands what it has to a second sum, so memory is bounded
+whatever a minimiser's share of the input is.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixquery.functions import codes as C
 from helixquery.functions import sequences as S
 
-#: Window starts per cut piece of a sequence: no row explodes into more.
+#: Window starts per cut piece of a sequence: no row explodes into more, and no run has more windows.
 CUT = 8192
-#: Codes up to this number (8 bytes each) are broadcast to the windows; beyond it they are joined.
-FEW_CODES = 1_000_000
+#: Bases of a minimiser.
+M = 9
+#: Codes that a counting task holds before equal ones are added up, and different ones before it hands them on.
+HELD_CODES, MOST_CODES = 1_000_000, 4_000_000
+#: Bits of the map of wanted codes that windows are held against before a join: per wanted code, and at most (16 MB).
+BITS, MOST_BITS = 64, 1 << 27
 
 
 def once(c: Column) -> Column:
@@ -19,64 +36,207 @@ def once(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
-def _pieces(records: DataFrame, id_col: str, seq: Column, k: int) -> DataFrame:
-    """id_col, cut (start), piece (bytes) and i, a row for every window of k bytes."""
-    cut = records.select(id_col, once(seq.cast("binary")).alias("bytes")).where(F.octet_length("bytes") >= k)
-    cut = cut.select(id_col, "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - k, F.lit(CUT))).alias("cut"))
-    cut = cut.select(id_col, "cut", once(F.expr(f"substring(bytes, cut + 1, {CUT + k - 1})")).alias("piece"))
-    clean = once(F.col("piece").cast("string").rlike("^[0123ACGT]+$")).alias("clean")  # then no window needs a look
-    cut = cut.select(id_col, "cut", "piece", clean)
-    return cut.select(id_col, "cut", "piece", "clean", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - k)).alias("i"))
-
-
 def windows(records: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
     """id_col, pos (from 0) and kmer of all windows of k bases without other letters."""
-    at = _pieces(records, id_col, F.col(seq), k)
+    cut = records.select(id_col, once(F.col(seq).cast("binary")).alias("bytes")).where(F.octet_length("bytes") >= k)
+    cut = cut.select(id_col, "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - k, F.lit(CUT))).alias("cut"))
+    cut = cut.select(id_col, "cut", once(F.expr(f"substring(bytes, cut + 1, {CUT + k - 1})")).alias("piece"))
+    clean = once(F.col("piece").cast("string").rlike("^[ACGT]+$")).alias("clean")  # then no window needs a look
+    at = cut.select(id_col, "cut", "piece", clean).select("*", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - k)).alias("i"))
     out = at.select(id_col, (F.col("cut") + F.col("i")).cast("long").alias("pos"), F.expr(f"cast(substring(piece, i + 1, {k}) as string)").alias("kmer"), "clean")
     return out.where(F.col("clean") | F.col("kmer").rlike("^[ACGT]+$")).drop("clean")
 
 
-def packed_windows(records: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
-    """id_col, pos and code (two bits a base, as functions.sequences.packed) of all windows of up to 31 bases without other
-    letters. Bases become digits once per record, and a window is a number from its start."""
-    if not 0 < k <= 31:
-        raise ValueError("k must be 1 to 31")
-    digits = F.translate(F.translate(F.col(seq), "0123", "...."), "ACGT", "0123")
-    window = f"cast(substring(piece, i + 1, {k}) as string)"
-    at = _pieces(records, id_col, digits, k)
-    at = at.where(F.col("clean") | F.expr(f"{window} rlike '^[0123]+$'"))
-    return at.select(id_col, (F.col("cut") + F.col("i")).cast("long").alias("pos"), F.expr(f"cast(conv({window}, 4, 10) as long)").alias("code"))
+def _checked(k: int) -> None:
+    if not 0 < k <= 32:
+        raise ValueError("k must be 1 to 32")
+
+
+def _map_of(wanted: DataFrame) -> np.ndarray | None:
+    """A bitmap of the hashes of the codes in `wanted`, of bounded size; None where it would hold back nothing."""
+    n = wanted.count()
+    size = 1 << max(10, (BITS * max(n, 1) - 1).bit_length())
+    if size > MOST_BITS:
+        return None
+    bits = np.zeros(size, dtype=bool)
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_place_of(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), size)).astype(np.int64))], ["place"])
+
+    for r in wanted.select("code").mapInArrow(marks, "place long").distinct().toLocalIterator():  # a bit for each wanted code at most
+        bits[r["place"]] = True
+    return bits
+
+
+def _place_of(code: np.ndarray, size: int) -> np.ndarray:
+    return (C.mixed(code) & np.uint64(size - 1)).astype(np.int64)
+
+
+def packed_windows(records: DataFrame, id_col: str, seq: str, k: int, wanted: DataFrame | None = None) -> DataFrame:
+    """id_col, pos and code (two bits a base, as functions.sequences.packed) of all windows of up to 32 bases without other
+    letters. wanted: a table of codes that are asked for; windows that none of them can be are left out (some that aren't
+    asked for may stay)."""
+    _checked(k)
+    kind = records.schema[id_col].dataType.simpleString()
+    bits = None if wanted is None else _map_of(wanted)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = C.flat(batch.column(1))
+            for a, _, code, clean in C.steps(raw, offsets, k):
+                at = np.flatnonzero(clean if bits is None else clean & bits[_place_of(code, len(bits))])
+                for part in np.array_split(at, -(-len(at) // 100_000) or 1):
+                    row, pos = C.located(offsets, a + part)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(pos), C.as_long(code[part])], names=[id_col, "pos", "code"])
+
+    return records.select(id_col, F.coalesce(seq, F.lit("")).alias("seq")).mapInArrow(cut, f"`{id_col}` {kind}, pos long, code long")
 
 
-def packed_counts(records: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
-    """code, occurrences: sums of longs by long, which hash aggregation keeps in place."""
-    return packed_windows(records, id_col, seq, k).groupBy("code").agg(F.count(F.lit(1)).alias("occurrences"))
+def super_kmers(records: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
+    """bucket, run, n, id_col, pos: stretches whose windows share a minimiser, how often they stand in a batch, and where first."""
+    _checked(k)
+    m = min(M, (k + 1) // 2)
+    kind = records.schema[id_col].dataType.simpleString()
+    names = ["bucket", "run", "n", id_col, "pos"]
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, (raw, offsets) = batch.column(0), C.flat(batch.column(1))
+            for a, digits, _, clean in C.steps(raw, offsets, k):
+                lowest = C.least(C.mixed(C.codes(digits, m)) >> np.uint64(16), k - m + 1)
+                at = np.flatnonzero(clean)
+                if not len(at):
+                    continue
+                new = np.ones(len(at), dtype=bool)
+                new[1:] = (at[1:] != at[:-1] + 1) | (lowest[at[1:]] != lowest[at[:-1]])
+                first = np.flatnonzero(new)
+                size = np.diff(np.append(first, len(at)))
+                if size.max() > CUT:
+                    more = -(-size // CUT)
+                    inner = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+                    first, size = np.repeat(first, more) + inner * CUT, np.minimum(CUT, np.repeat(size, more) - inner * CUT)
+                place = at[first]
+                row, pos = C.located(offsets, a + place)
+                width = size + k - 1
+                ends = np.cumsum(width)
+                taken = raw[a + np.repeat(place - (ends - width), width) + np.arange(ends[-1])]
+                runs = pa.Array.from_buffers(pa.binary(), len(width), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(taken)])
+                own = ids.take(pa.array(row))
+                order = pc.sort_indices(pa.table([own, pa.array(pos)], ["i", "p"]), [("i", "ascending"), ("p", "ascending")], null_placement="at_start").to_numpy()
+                _, found, n = np.unique(runs.dictionary_encode().indices.to_numpy()[order], return_index=True, return_counts=True)
+                kept = pa.array(order[found])
+                bucket = pa.array((lowest[place] & np.uint64(0x7FFFFFFF)).astype(np.int32)).take(kept)
+                yield pa.RecordBatch.from_arrays([bucket, runs.take(kept), pa.array(n.astype(np.int64)), own.take(kept), pa.array(pos).take(kept)], names=names)
 
-def first_places(records: DataFrame, id_col: str, seq: str, k: int, codes: DataFrame) -> DataFrame:
-    """code, occurrences, first_record, first_pos of the given codes that occur: the smallest record, then position."""
-    near = F.broadcast(codes.select("code")) if codes.count() <= FEW_CODES else codes.select("code")
-    each = packed_windows(records, id_col, seq, k).join(near, "code", "left_semi")
+    return records.select(id_col, F.coalesce(seq, F.lit("")).alias("seq")).mapInArrow(cut, f"bucket int, run binary, n long, `{id_col}` {kind}, pos long")
+
+
+def _added(tables: list[pa.Table]) -> pa.Table:
+    """code, n, id, pos with each code once: sums, and the first place."""
+    t = pa.concat_tables(tables)
+    t = t.take(pc.sort_indices(t, [("code", "ascending"), ("id", "ascending"), ("pos", "ascending")], null_placement="at_start"))
+    code = t["code"].to_numpy()
+    if not len(code):
+        return t
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    n = np.add.reduceat(t["n"].to_numpy(), first)
+    return pa.table([pa.array(code[first]), pa.array(n), t["id"].take(pa.array(first)), t["pos"].take(pa.array(first))], ["code", "n", "id", "pos"])
+
+
+def _counted(batch: pa.RecordBatch, k: int) -> pa.Table:
+    """code, n, id, pos of the windows of a batch of runs, each code once."""
+    order = pc.sort_indices(pa.table([batch.column(3), batch.column(4)], ["i", "p"]), [("i", "ascending"), ("p", "ascending")], null_placement="at_start")
+    raw, offsets = C.flat(batch.column(1).take(order))
+    found = batch.column(2).take(order).to_numpy()
+    codes, places = [], []
+    for a, _, code, clean in C.steps(raw, offsets, k):
+        at = np.flatnonzero(clean)
+        codes.append(code[at])
+        places.append(a + at)
+    code = np.concatenate(codes) if codes else np.zeros(0, dtype=np.uint64)
+    row, inner = C.located(offsets, np.concatenate(places) if places else np.zeros(0, dtype=np.int64))
+    weight = found[row]
+    by = np.argsort(code, kind="stable")
+    first = np.flatnonzero(np.append(True, code[by][1:] != code[by][:-1])) if len(by) else by
+    n = np.add.reduceat(weight[by], first) if len(by) else weight
+    run = row[by[first]]
+    pos = batch.column(4).take(order).to_numpy()[run] + inner[by[first]]
+    return pa.table([pa.array(code[by[first]]), pa.array(n), batch.column(3).take(order).take(pa.array(run)), pa.array(pos)], ["code", "n", "id", "pos"])
+
+
+def _in_task(records: DataFrame, id_col: str, seq: str, k: int, most: int | None, only_number: bool) -> DataFrame:
+    """code, n, id, pos, whole: a task's codes with sums and first places; whole: no other row has that code.
+
+    most: where all are whole, the most frequent only (ties by code); only_number: one row without a code, n: how many there are.
+    """
+    kind = records.schema[id_col].dataType.simpleString()
+
+    def rows(t: pa.Table, whole: bool) -> Iterator[pa.RecordBatch]:
+        if whole and only_number:
+            none = pa.array([None], pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array([len(t)]), pa.nulls(1, t.schema.field("id").type), none, pa.array([True])], ["code", "n", "id", "pos", "whole"])
+            return
+        if whole and most is not None and len(t) > most:
+            t = t.take(pc.sort_indices(t, [("n", "descending"), ("code", "ascending")]).slice(0, most))
+        out = pa.table([C.as_long(t["code"].to_numpy()), t["n"], t["id"], t["pos"], pa.array(np.full(len(t), whole))], ["code", "n", "id", "pos", "whole"])
+        yield from out.combine_chunks().to_batches(max_chunksize=100_000)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size, whole = 0, True
+        for batch in batches:
+            held.append(_counted(batch, k))
+            size += len(held[-1])
+            if size > HELD_CODES and size > 2 * len(held[0]):
+                held = [_added(held)]
+                size = len(held[0])
+                if size > MOST_CODES:
+                    whole = False
+                    yield from rows(held[0], whole)
+                    held, size = [], 0
+        if held:
+            yield from rows(_added(held), whole)
+
+    dealt = super_kmers(records, id_col, seq, k).repartition("bucket")
+    return dealt.mapInArrow(count, f"code long, n long, id {kind}, pos long, whole boolean")
+
+
+def packed_counts(records: DataFrame, id_col: str, seq: str, k: int, most: int | None = None) -> DataFrame:
+    """code, occurrences, first_record, first_pos (the smallest record, then position) of all windows; most: of at least the most
+    frequent ones (a task's rows are cut to so many before they meet)."""
+    each = _in_task(records, id_col, seq, k, most, False)
+    out = each.groupBy("code").agg(F.sum("n").alias("occurrences"), F.min(F.struct("id", "pos")).alias("first"))
+    return out.select("code", "occurrences", F.col("first.id").alias("first_record"), F.col("first.pos").alias("first_pos"))
+
+
+def distinct_kmers(records: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
+    """distinct_kmers: how many different windows there are. A task sends its number, not its codes."""
+    each = _in_task(records, id_col, seq, k, None, True)
+    rest = each.where("code is not null").select("code").distinct().agg(F.count(F.lit(1)).alias("n"))
+    sums = each.where("code is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return rest.union(sums).agg(F.sum("n").alias("distinct_kmers"))
+
+
+def first_places(records: DataFrame, id_col: str, seq: str, k: int, wanted: DataFrame) -> DataFrame:
+    """code, occurrences, first_record, first_pos of the given codes (of k bases) that occur."""
+    asked = wanted.select("code").distinct()
+    each = packed_windows(records, id_col, seq, k, asked).join(asked, "code", "left_semi")
     by_record = each.groupBy("code", id_col).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
-    first = F.min(F.struct(id_col, "pos")).alias("first")
-    out = by_record.groupBy("code").agg(F.sum("n").alias("occurrences"), first)
+    out = by_record.groupBy("code").agg(F.sum("n").alias("occurrences"), F.min(F.struct(id_col, "pos")).alias("first"))
     return out.select("code", "occurrences", F.col(f"first.{id_col}").alias("first_record"), F.col("first.pos").alias("first_pos"))
 
 
 def top_targets(records: DataFrame, id_col: str, seq: str, k: int, most: int) -> DataFrame:
-    """The most frequent k-mers with first places and PAM class; ties by k-mer. The counts need no places, and the few that
-    stay are looked up again."""
-    top = packed_counts(records, id_col, seq, k).orderBy(F.desc("occurrences"), "code").limit(most).persist()
-    found = first_places(records, id_col, seq, k, top)
+    """The most frequent k-mers with first places and PAM class; ties by k-mer."""
     kmer = S.unpacked(F.col("code"), k)
-    return found.select(kmer.alias("kmer"), "occurrences", "first_record", "first_pos", S.pam(kmer).alias("pam"))
+    top = packed_counts(records, id_col, seq, k, most).withColumn("kmer", kmer).orderBy(F.desc("occurrences"), "kmer").limit(most)
+    return top.select("kmer", "occurrences", "first_record", "first_pos", S.pam(F.col("kmer")).alias("pam"))
 
 
 def counts(records: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
     """kmer, occurrences, and the first place: the smallest record, then position."""
-    w = windows(records, id_col, seq, k)
-    first = F.min(F.struct(id_col, "pos")).alias("first")
-    return w.groupBy("kmer").agg(F.count(F.lit(1)).alias("occurrences"), first).select("kmer", "occurrences", F.col(f"first.{id_col}").alias("first_record"), F.col("first.pos").alias("first_pos"))
+    return packed_counts(records, id_col, seq, k).select(S.unpacked(F.col("code"), k).alias("kmer"), "occurrences", "first_record", "first_pos")
 
 
 def targets(counted: DataFrame, most: int) -> DataFrame:
@@ -85,17 +245,27 @@ def targets(counted: DataFrame, most: int) -> DataFrame:
 
 
 def recount(records: DataFrame, id_col: str, seq: str, wanted: DataFrame, k: int) -> DataFrame:
-    """Exact counts and first places of the given k-mers (column kmer); k-mers that never occur have 0."""
-    each = wanted.select("kmer").distinct().withColumn("code", S.packed(F.col("kmer")))
+    """Exact counts and first places of the given k-mers (column kmer), and the first place's base: how many of ACGTN the
+    record has before it. Those that never occur, and those that aren't k bases of ACGT, have 0."""
+    each = wanted.select("kmer").distinct()
+    each = each.withColumn("code", F.when(F.length("kmer") == k, S.packed(F.col("kmer"))))
     got = first_places(records, id_col, seq, k, each.where("code is not null"))
-    out = each.join(got, "code", "left")
-    return out.select("kmer", F.coalesce("occurrences", F.lit(0)).cast("long").alias("occurrences"), "first_record", "first_pos", S.pam(F.col("kmer")).alias("pam"))
+    place = got.select("code", F.col("first_record").alias(id_col), "first_pos").join(records.select(id_col, F.col(seq).alias("seq")), id_col)
+    bases = F.length(F.regexp_replace(F.expr("cast(substring(cast(seq as binary), 1, cast(first_pos as int)) as string)"), "[^ACGTN]", "")).cast("long")
+    place = place.groupBy("code").agg(F.min(bases).alias("first_base"))
+    out = each.join(got, "code", "left").join(place, "code", "left")
+    return out.select("kmer", F.coalesce("occurrences", F.lit(0)).cast("long").alias("occurrences"), "first_record", "first_pos", "first_base", S.pam(F.col("kmer")).alias("pam"))
+
+
+def by_use(recounted: DataFrame) -> DataFrame:
+    """Recounted k-mers sorted for use: NGG first, then by occurrences, place and k-mer."""
+    return recounted.orderBy(F.when(F.col("pam") == "NGG", 0).otherwise(1), F.desc("occurrences"), F.asc_nulls_last("first_pos"), "kmer")
 
 
-def distinct_share(counted: DataFrame, top: int) -> DataFrame:
-    """How many different k-mers there are, and the share (percent) of a table of `top`."""
-    n = F.count(F.lit(1))
-    return counted.agg(n.alias("distinct_kmers"), F.round(F.least(F.lit(100.0), 100.0 * top / n), 1).alias("top_share"))
+def distinct_share(number: DataFrame, top: int) -> DataFrame:
+    """How many different k-mers there are (as distinct_kmers gives it), and the share (percent) of a table of `top`."""
+    n = F.col("distinct_kmers")
+    return number.select(n, F.round(F.least(F.lit(100.0), 100.0 * top / n), 1).alias("top_share"))
 
 
 def top_per_group(rows: DataFrame, group: str, order: list, most: int) -> DataFrame:

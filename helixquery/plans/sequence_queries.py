@@ -73,7 +73,7 @@ PAM_BREAKDOWN = f"WITH {_COUNTED}, {_TOP} SELECT pam, count(*) AS n FROM t GROUP
 
 
 def distinct_share(spark: SparkSession, d: str) -> DataFrame:
-    return kmers.distinct_share(kmers.packed_counts(V.genome(spark, d), "doc_id", "seq", K), 10_000)
+    return kmers.distinct_share(kmers.distinct_kmers(V.genome(spark, d), "doc_id", "seq", K), 10_000)
 
 
 DISTINCT_SHARE = f"WITH {_COUNTED} SELECT count(*) AS distinct_kmers, round(least(100.0, 100.0 * 10000 / count(*)), 1)::DOUBLE AS top_share FROM c"
@@ -85,7 +85,7 @@ def recount(spark: SparkSession, d: str) -> DataFrame:
 
 
 RECOUNT = f"""WITH {_COUNTED}, {V.GUIDES}, k AS (SELECT DISTINCT left(seq, 23) AS kmer FROM guides WHERE length(seq) >= 23)
-SELECT kmer, coalesce(occurrences, 0) AS occurrences, f[1] AS first_record, f[2] AS first_pos, {V.PAM("kmer")} AS pam FROM k LEFT JOIN c USING (kmer)"""
+SELECT kmer, coalesce(occurrences, 0) AS occurrences, f[1] AS first_record, f[2] AS first_pos, f[2] AS first_base, {V.PAM("kmer")} AS pam FROM k LEFT JOIN c USING (kmer)"""
 
 
 def off_targets(spark: SparkSession, d: str) -> DataFrame:
