@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixquery.functions import codes as C
 from helixquery.functions import sequences as S
 from helixquery.operators.kmers import packed_windows
 
 LENGTH, SEED, OFFSETS = 20, 5, [0, 5, 10, 15]
 #: Different seeds of SEED bases.
 SEEDS = 4**SEED
-#: Guides up to this number are broadcast with their seeds (about 100 bytes a row, 8 rows a guide).
+#: Guides up to this number travel with every task, 16 bytes each and 32 for their seeds.
 FEW_GUIDES = 20_000
+#: Pairs of windows and probes that are compared at once.
+PAIRS = 1 << 21
 
 
 def valid_guides(guides: DataFrame, seq: str) -> DataFrame:
@@ -23,31 +30,82 @@ def valid_guides(guides: DataFrame, seq: str) -> DataFrame:
     return g
 
 
+def _probes(guides: DataFrame) -> DataFrame:
+    """guide, strand, probe, probe_bits: both strands of every guide."""
+    both = guides.select("guide", F.lit("+").alias("strand"), F.col("guide").alias("probe"))
+    both = both.union(guides.select("guide", F.lit("-"), S.reverse_complement(F.col("guide"))))
+    return both.select("*", S.packed(F.col("probe")).alias("probe_bits"))
+
+
+def _seed(code, o: int):
+    return F.shiftright(code, 2 * (LENGTH - SEED - o)).bitwiseAND(SEEDS - 1)
+
+
+def _found_in_tasks(records: DataFrame, id_col: str, seq: str, probes: DataFrame, max_mismatches: int) -> DataFrame:
+    """Windows near a probe: id_col, pos, code, no. Every task has the probes, sorted by their seed of each offset."""
+    kind = records.schema[id_col].dataType.simpleString()
+    bits = np.array([r["probe_bits"] for r in probes.select("probe_bits", "no").orderBy("no").collect()], dtype=np.int64).view(np.uint64)  # FEW_GUIDES bounds it
+    tables = {}
+    for o in OFFSETS:
+        seed = (bits >> np.uint64(2 * (LENGTH - SEED - o)) & np.uint64(SEEDS - 1)).astype(np.int64)
+        tables[o] = np.argsort(seed, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(seed, minlength=SEEDS))))
+
+    def near(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows and probes within the distance, a pair at its first common seed."""
+        found = []
+        for o in OFFSETS:
+            by, starts = tables[o]
+            shift = np.uint64(2 * (LENGTH - SEED - o))
+            seed = (code >> shift & np.uint64(SEEDS - 1)).astype(np.int64)
+            n = starts[seed + 1] - starts[seed]
+            until = np.cumsum(n)
+            a = 0
+            while a < len(code):  # PAIRS at a time
+                b = max(a + 1, int(np.searchsorted(until, (until[a - 1] if a else 0) + PAIRS, side="right")))
+                window = np.repeat(np.arange(a, b), n[a:b])
+                probe = by[np.repeat(starts[seed[a:b]] - np.concatenate(([0], np.cumsum(n[a:b])[:-1])), n[a:b]) + np.arange(len(window))]
+                x = code[window] ^ bits[probe]
+                ok = np.flatnonzero(np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)) <= max_mismatches)
+                for earlier in OFFSETS[: OFFSETS.index(o)]:
+                    ok = ok[(x[ok] >> np.uint64(2 * (LENGTH - SEED - earlier)) & np.uint64(SEEDS - 1)) != 0]
+                found.append((window[ok], probe[ok]))
+                a = b
+        return np.concatenate([w for w, _ in found]), np.concatenate([p for _, p in found])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = C.flat(batch.column(1))
+            for a, _, code, clean in C.steps(raw, offsets, LENGTH):
+                at = np.flatnonzero(clean)
+                window, probe = near(code[at]) if len(at) else (at, at)
+                if len(window):
+                    row, pos = C.located(offsets, a + at[window])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(pos), C.as_long(code[at[window]]), pa.array(probe)], names=[id_col, "pos", "code", "no"])
+
+    return records.select(id_col, F.coalesce(seq, F.lit("")).alias("seq")).mapInArrow(scan, f"`{id_col}` {kind}, pos long, code long, no long")
+
+
 def off_targets(records: DataFrame, id_col: str, seq: str, guides: DataFrame, max_mismatches: int) -> DataFrame:
     """guide, strand, id_col, pos, mismatches, mm_positions of all windows within max_mismatches of a guide.
 
-    Four seeds of five bases: three mismatches leave one of them whole, so windows meet guides in an equi-join
-    on (offset, seed) before the distance is computed. guides: as valid_guides() gives them.
+    Four seeds of five bases: three mismatches leave one of them whole. Up to FEW_GUIDES guides are in every task, which looks
+    windows' seeds up and computes distances in numpy; more meet the windows in an equi-join on (offset, seed). guides: as
+    valid_guides() gives them.
     """
     if not 0 <= max_mismatches <= 3:
         raise ValueError("max_mismatches must be 0 to 3")
-    both = guides.select("guide", F.lit("+").alias("strand"), F.col("guide").alias("probe"))
-    both = both.union(guides.select("guide", F.lit("-"), S.reverse_complement(F.col("guide"))))
-    both = both.select("*", S.packed(F.col("probe")).alias("probe_bits"))
-    seed = lambda code, o: F.shiftright(code, 2 * (LENGTH - SEED - o)).bitwiseAND(SEEDS - 1)
-    seeds = lambda code: F.array(*(F.struct(F.lit(o).alias("offset"), seed(code, o).alias("seed")) for o in OFFSETS))
-    probes = both.select("*", F.inline(seeds(F.col("probe_bits"))))
-    asked = {o: [False] * SEEDS for o in OFFSETS}  # which seeds occur: SEEDS an offset at most
-    for r in probes.select("offset", "seed").distinct().collect():
-        asked[r["offset"]][r["seed"]] = True
-    occurs = {o: F.array(*map(F.lit, x)) for o, x in asked.items()}
-    probes = F.broadcast(probes) if guides.count() <= FEW_GUIDES else probes
-    at = packed_windows(records, id_col, seq, LENGTH)
-    some = F.filter(F.array(*(F.when(F.get(occurs[o], seed(F.col("code"), o).cast("int")), F.struct(F.lit(o).alias("offset"), seed(F.col("code"), o).alias("seed"))) for o in OFFSETS)), lambda x: x.isNotNull())
-    at = at.select(id_col, "pos", "code", F.inline(some)).join(probes, ["offset", "seed"])
-    near = at.withColumn("mismatches", S.hamming(F.col("code"), F.col("probe_bits"))).where(F.col("mismatches") <= max_mismatches)
-    first = F.coalesce(*(F.when(seed(F.col("code"), o) == seed(F.col("probe_bits"), o), F.lit(o)) for o in OFFSETS))
-    near = near.where(F.col("offset") == first)  # the pair once, at its first common seed: no shuffle to tell doubles
+    probes = _probes(guides)
+    if guides.count() <= FEW_GUIDES:
+        probes = probes.withColumn("no", F.row_number().over(Window.orderBy("guide", "strand")).cast("long") - 1)
+        near = _found_in_tasks(records, id_col, seq, probes, max_mismatches).join(F.broadcast(probes), "no")
+        near = near.withColumn("mismatches", S.hamming(F.col("code"), F.col("probe_bits")))
+    else:
+        seeds = lambda code: F.array(*(F.struct(F.lit(o).alias("offset"), _seed(code, o).alias("seed")) for o in OFFSETS))
+        at = packed_windows(records, id_col, seq, LENGTH).select(id_col, "pos", "code", F.inline(seeds(F.col("code"))))
+        at = at.join(probes.select("*", F.inline(seeds(F.col("probe_bits")))), ["offset", "seed"])
+        near = at.withColumn("mismatches", S.hamming(F.col("code"), F.col("probe_bits"))).where(F.col("mismatches") <= max_mismatches)
+        first = F.coalesce(*(F.when(_seed(F.col("code"), o) == _seed(F.col("probe_bits"), o), F.lit(o)) for o in OFFSETS))
+        near = near.where(F.col("offset") == first)  # the pair once, at its first common seed: no shuffle to tell doubles
     return near.select("guide", "strand", id_col, "pos", "mismatches", S.mismatch_positions(S.unpacked(F.col("code"), LENGTH), F.col("probe"), LENGTH).alias("mm_positions"))
 
 

@@ -59,6 +59,72 @@ def test_off_targets(spark):
         offtarget.off_targets(records, "id", "seq", guides, 4)
 
 
+@pytest.mark.parametrize("few,pairs", [(100, 1 << 21), (100, 3), (0, 1)])
+def test_off_targets_equal_all_distances(spark, monkeypatch, few, pairs):
+    monkeypatch.setattr(offtarget, "FEW_GUIDES", few)
+    monkeypatch.setattr(offtarget, "PAIRS", pairs)
+    r = random.Random(4)
+    guides = ["".join(r.choice("ACGT") for _ in range(20)) for _ in range(6)] + ["AC" * 10]
+
+    def changed(g):
+        g = list(g)
+        for _ in range(r.randrange(6)):
+            g[r.randrange(20)] = r.choice("ACGT")
+        return "".join(g)
+
+    texts = ["".join(r.choice([changed(r.choice(guides)), "N", "A" * r.randrange(9)]) for _ in range(12)) for _ in range(9)] + ["", None]
+    records = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, seq string").repartition(3)
+    table = spark.createDataFrame([(g,) for g in guides], ["guide"])
+    got = {(x["guide"], x["strand"], x["id"], x["pos"], x["mismatches"], tuple(x["mm_positions"])) for x in offtarget.off_targets(records, "id", "seq", table, 3).collect()}
+    rc = lambda g: g[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    want = set()
+    for i, t in enumerate(texts):
+        for p in range(len(t or "") - 19):
+            w = t[p : p + 20]
+            for g in guides:
+                for strand, probe in (("+", g), ("-", rc(g))):
+                    places = tuple(j for j in range(20) if w[j] != probe[j])
+                    if len(places) <= 3 and set(w) <= set("ACGT"):
+                        want.add((g, strand, i, p, len(places), places))
+    assert got == want and len(want) > 20
+
+
+@pytest.mark.parametrize("k", [1, 4, 23, 31, 32])
+@pytest.mark.parametrize("held,most", [(1_000_000, 4_000_000), (5, 20)])
+def test_kmer_counts_equal_brute_force(spark, monkeypatch, k, held, most):
+    monkeypatch.setattr(kmers, "HELD_CODES", held)
+    monkeypatch.setattr(kmers, "MOST_CODES", most)
+    monkeypatch.setattr(kmers, "CUT", 16)
+    r = random.Random(k)
+    texts = ["".join(r.choice("ACGT" * 9 + "N0123") for _ in range(r.randrange(150))) for _ in range(30)] + ["T" * 300, "T" * 300, "", None, "acgt" * 20]
+    texts += texts[:5]
+    records = spark.createDataFrame([(f"r{i:02}", t) for i, t in enumerate(texts)], "id string, seq string").repartition(3)
+    want = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t or "") - k + 1):
+            if set(t[p : p + k]) <= set("ACGT"):
+                n, first = want.get(t[p : p + k], (0, (f"r{i:02}", p)))
+                want[t[p : p + k]] = n + 1, min(first, (f"r{i:02}", p))
+    got = {x["kmer"]: (x["occurrences"], (x["first_record"], x["first_pos"])) for x in kmers.counts(records, "id", "seq", k).collect()}
+    assert got == want
+    assert kmers.distinct_kmers(records, "id", "seq", k).first()[0] == len(want)
+    top = [x["kmer"] for x in kmers.top_targets(records, "id", "seq", k, 7).orderBy(F.desc("occurrences"), "kmer").collect()]
+    assert top == sorted(want, key=lambda x: (-want[x][0], x))[:7]
+    asked = spark.createDataFrame([(x,) for x in [*sorted(want)[:5], "ACG", "A" * 40, "N" * k, None]], "kmer string")
+    for x in kmers.recount(records, "id", "seq", asked, k).collect():
+        n, first = want.get(x["kmer"], (0, (None, None)))
+        assert (x["occurrences"], x["first_record"], x["first_pos"]) == (n, *first)
+
+
+def test_windows_and_recount_take_bases_only(spark):
+    df = spark.createDataFrame([(1, "ACGT12ACGT"), (2, "AAAAACG")], "id long, seq string")
+    assert {(x["id"], x["kmer"]) for x in kmers.windows(df, "id", "seq", 4).collect()} == {(1, "ACGT"), (2, "AAAA"), (2, "AAAC"), (2, "AACG")}
+    asked = spark.createDataFrame([("ACG",), ("AAACG",)], "kmer string")
+    assert {x["kmer"]: x["occurrences"] for x in kmers.recount(df, "id", "seq", asked, 5).collect()} == {"ACG": 0, "AAACG": 1}
+    with pytest.raises(ValueError):
+        kmers.packed_counts(df, "id", "seq", 33)
+
+
 def test_novelty_without_published(spark):
     got = offtarget.novelty(spark.createDataFrame([(GUIDE,)], ["target"]), spark.createDataFrame([], "published_id long, seq string"), 3).first()
     assert got["closest"] is None and got["is_novel"]
