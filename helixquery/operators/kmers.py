@@ -52,6 +52,12 @@ def _checked(k: int) -> None:
         raise ValueError("k must be 1 to 32")
 
 
+def pieces(records: DataFrame, id_col: str, seq: str, start: str | None) -> DataFrame:
+    """id_col, seq and start, without nulls in the last two."""
+    at = F.lit(0) if start is None else F.col(start)
+    return records.select(id_col, F.coalesce(seq, F.lit("")).alias("seq"), at.cast("long").alias("start"))
+
+
 def _map_of(wanted: DataFrame) -> np.ndarray | None:
     """A bitmap of the hashes of the codes in `wanted`, of bounded size; None where it would hold back nothing."""
     n = wanted.count()
@@ -73,10 +79,10 @@ def _place_of(code: np.ndarray, size: int) -> np.ndarray:
     return (C.mixed(code) & np.uint64(size - 1)).astype(np.int64)
 
 
-def packed_windows(records: DataFrame, id_col: str, seq: str, k: int, wanted: DataFrame | None = None) -> DataFrame:
+def packed_windows(records: DataFrame, id_col: str, seq: str, k: int, wanted: DataFrame | None = None, start: str | None = None) -> DataFrame:
     """id_col, pos and code (two bits a base, as functions.sequences.packed) of all windows of up to 32 bases without other
     letters. wanted: a table of codes that are asked for; windows that none of them can be are left out (some that aren't
-    asked for may stay)."""
+    asked for may stay). start: a column with the place in the record at which a sequence begins (a piece of a long record)."""
     _checked(k)
     kind = records.schema[id_col].dataType.simpleString()
     bits = None if wanted is None else _map_of(wanted)
@@ -88,12 +94,13 @@ def packed_windows(records: DataFrame, id_col: str, seq: str, k: int, wanted: Da
                 at = np.flatnonzero(clean if bits is None else clean & bits[_place_of(code, len(bits))])
                 for part in np.array_split(at, -(-len(at) // 100_000) or 1):
                     row, pos = C.located(offsets, a + part)
+                    pos = pos + batch.column(2).to_numpy()[row]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(pos), C.as_long(code[part])], names=[id_col, "pos", "code"])
 
-    return records.select(id_col, F.coalesce(seq, F.lit("")).alias("seq")).mapInArrow(cut, f"`{id_col}` {kind}, pos long, code long")
+    return pieces(records, id_col, seq, start).mapInArrow(cut, f"`{id_col}` {kind}, pos long, code long")
 
 
-def super_kmers(records: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
+def super_kmers(records: DataFrame, id_col: str, seq: str, k: int, start: str | None = None) -> DataFrame:
     """bucket, run, n, id_col, pos: stretches whose windows share a minimiser, how often they stand in a batch, and where first."""
     _checked(k)
     m = min(M, (k + 1) // 2)
@@ -118,6 +125,7 @@ def super_kmers(records: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
                     first, size = np.repeat(first, more) + inner * CUT, np.minimum(CUT, np.repeat(size, more) - inner * CUT)
                 place = at[first]
                 row, pos = C.located(offsets, a + place)
+                pos = pos + batch.column(2).to_numpy()[row]
                 width = size + k - 1
                 ends = np.cumsum(width)
                 taken = raw[a + np.repeat(place - (ends - width), width) + np.arange(ends[-1])]
@@ -129,7 +137,7 @@ def super_kmers(records: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
                 bucket = pa.array((lowest[place] & np.uint64(0x7FFFFFFF)).astype(np.int32)).take(kept)
                 yield pa.RecordBatch.from_arrays([bucket, runs.take(kept), pa.array(n.astype(np.int64)), own.take(kept), pa.array(pos).take(kept)], names=names)
 
-    return records.select(id_col, F.coalesce(seq, F.lit("")).alias("seq")).mapInArrow(cut, f"bucket int, run binary, n long, `{id_col}` {kind}, pos long")
+    return pieces(records, id_col, seq, start).mapInArrow(cut, f"bucket int, run binary, n long, `{id_col}` {kind}, pos long")
 
 
 def _added(tables: list[pa.Table]) -> pa.Table:
@@ -165,7 +173,7 @@ def _counted(batch: pa.RecordBatch, k: int) -> pa.Table:
     return pa.table([pa.array(code[by[first]]), pa.array(n), batch.column(3).take(order).take(pa.array(run)), pa.array(pos)], ["code", "n", "id", "pos"])
 
 
-def _in_task(records: DataFrame, id_col: str, seq: str, k: int, most: int | None, only_number: bool) -> DataFrame:
+def _in_task(records: DataFrame, id_col: str, seq: str, k: int, most: int | None, only_number: bool, start: str | None) -> DataFrame:
     """code, n, id, pos, whole: a task's codes with sums and first places; whole: no other row has that code.
 
     most: where all are whole, the most frequent only (ties by code); only_number: one row without a code, n: how many there are.
@@ -198,21 +206,21 @@ def _in_task(records: DataFrame, id_col: str, seq: str, k: int, most: int | None
         if held:
             yield from rows(_added(held), whole)
 
-    dealt = super_kmers(records, id_col, seq, k).repartition("bucket")
+    dealt = super_kmers(records, id_col, seq, k, start).repartition("bucket")
     return dealt.mapInArrow(count, f"code long, n long, id {kind}, pos long, whole boolean")
 
 
-def packed_counts(records: DataFrame, id_col: str, seq: str, k: int, most: int | None = None) -> DataFrame:
+def packed_counts(records: DataFrame, id_col: str, seq: str, k: int, most: int | None = None, start: str | None = None) -> DataFrame:
     """code, occurrences, first_record, first_pos (the smallest record, then position) of all windows; most: of at least the most
     frequent ones (a task's rows are cut to so many before they meet)."""
-    each = _in_task(records, id_col, seq, k, most, False)
+    each = _in_task(records, id_col, seq, k, most, False, start)
     out = each.groupBy("code").agg(F.sum("n").alias("occurrences"), F.min(F.struct("id", "pos")).alias("first"))
     return out.select("code", "occurrences", F.col("first.id").alias("first_record"), F.col("first.pos").alias("first_pos"))
 
 
-def distinct_kmers(records: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
+def distinct_kmers(records: DataFrame, id_col: str, seq: str, k: int, start: str | None = None) -> DataFrame:
     """distinct_kmers: how many different windows there are. A task sends its number, not its codes."""
-    each = _in_task(records, id_col, seq, k, None, True)
+    each = _in_task(records, id_col, seq, k, None, True, start)
     rest = each.where("code is not null").select("code").distinct().agg(F.count(F.lit(1)).alias("n"))
     sums = each.where("code is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     return rest.union(sums).agg(F.sum("n").alias("distinct_kmers"))
@@ -227,10 +235,10 @@ def first_places(records: DataFrame, id_col: str, seq: str, k: int, wanted: Data
     return out.select("code", "occurrences", F.col(f"first.{id_col}").alias("first_record"), F.col("first.pos").alias("first_pos"))
 
 
-def top_targets(records: DataFrame, id_col: str, seq: str, k: int, most: int) -> DataFrame:
-    """The most frequent k-mers with first places and PAM class; ties by k-mer."""
+def top_targets(records: DataFrame, id_col: str, seq: str, k: int, most: int, start: str | None = None) -> DataFrame:
+    """The most frequent k-mers with first places and PAM class; ties by k-mer. start: as for packed_windows."""
     kmer = S.unpacked(F.col("code"), k)
-    top = packed_counts(records, id_col, seq, k, most).withColumn("kmer", kmer).orderBy(F.desc("occurrences"), "kmer").limit(most)
+    top = packed_counts(records, id_col, seq, k, most, start).withColumn("kmer", kmer).orderBy(F.desc("occurrences"), "kmer").limit(most)
     return top.select("kmer", "occurrences", "first_record", "first_pos", S.pam(F.col("kmer")).alias("pam"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from helixquery.functions import codes as C
 from helixquery.functions import sequences as S
-from helixquery.operators.kmers import packed_windows
+from helixquery.operators.kmers import packed_windows, pieces
 
 LENGTH, SEED, OFFSETS = 20, 5, [0, 5, 10, 15]
 #: Different seeds of SEED bases.
@@ -41,7 +41,7 @@ def _seed(code, o: int):
     return F.shiftright(code, 2 * (LENGTH - SEED - o)).bitwiseAND(SEEDS - 1)
 
 
-def _found_in_tasks(records: DataFrame, id_col: str, seq: str, probes: DataFrame, max_mismatches: int) -> DataFrame:
+def _found_in_tasks(records: DataFrame, id_col: str, seq: str, probes: DataFrame, max_mismatches: int, start: str | None) -> DataFrame:
     """Windows near a probe: id_col, pos, code, no. Every task has the probes, sorted by their seed of each offset."""
     kind = records.schema[id_col].dataType.simpleString()
     bits = np.array([r["probe_bits"] for r in probes.select("probe_bits", "no").orderBy("no").collect()], dtype=np.int64).view(np.uint64)  # FEW_GUIDES bounds it
@@ -80,28 +80,29 @@ def _found_in_tasks(records: DataFrame, id_col: str, seq: str, probes: DataFrame
                 window, probe = near(code[at]) if len(at) else (at, at)
                 if len(window):
                     row, pos = C.located(offsets, a + at[window])
+                    pos = pos + batch.column(2).to_numpy()[row]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(pos), C.as_long(code[at[window]]), pa.array(probe)], names=[id_col, "pos", "code", "no"])
 
-    return records.select(id_col, F.coalesce(seq, F.lit("")).alias("seq")).mapInArrow(scan, f"`{id_col}` {kind}, pos long, code long, no long")
+    return pieces(records, id_col, seq, start).mapInArrow(scan, f"`{id_col}` {kind}, pos long, code long, no long")
 
 
-def off_targets(records: DataFrame, id_col: str, seq: str, guides: DataFrame, max_mismatches: int) -> DataFrame:
+def off_targets(records: DataFrame, id_col: str, seq: str, guides: DataFrame, max_mismatches: int, start: str | None = None) -> DataFrame:
     """guide, strand, id_col, pos, mismatches, mm_positions of all windows within max_mismatches of a guide.
 
     Four seeds of five bases: three mismatches leave one of them whole. Up to FEW_GUIDES guides are in every task, which looks
     windows' seeds up and computes distances in numpy; more meet the windows in an equi-join on (offset, seed). guides: as
-    valid_guides() gives them.
+    valid_guides() gives them; start: as for kmers.packed_windows.
     """
     if not 0 <= max_mismatches <= 3:
         raise ValueError("max_mismatches must be 0 to 3")
     probes = _probes(guides)
     if guides.count() <= FEW_GUIDES:
         probes = probes.withColumn("no", F.row_number().over(Window.orderBy("guide", "strand")).cast("long") - 1)
-        near = _found_in_tasks(records, id_col, seq, probes, max_mismatches).join(F.broadcast(probes), "no")
+        near = _found_in_tasks(records, id_col, seq, probes, max_mismatches, start).join(F.broadcast(probes), "no")
         near = near.withColumn("mismatches", S.hamming(F.col("code"), F.col("probe_bits")))
     else:
         seeds = lambda code: F.array(*(F.struct(F.lit(o).alias("offset"), _seed(code, o).alias("seed")) for o in OFFSETS))
-        at = packed_windows(records, id_col, seq, LENGTH).select(id_col, "pos", "code", F.inline(seeds(F.col("code"))))
+        at = packed_windows(records, id_col, seq, LENGTH, start=start).select(id_col, "pos", "code", F.inline(seeds(F.col("code"))))
         at = at.join(probes.select("*", F.inline(seeds(F.col("probe_bits")))), ["offset", "seed"])
         near = at.withColumn("mismatches", S.hamming(F.col("code"), F.col("probe_bits"))).where(F.col("mismatches") <= max_mismatches)
         first = F.coalesce(*(F.when(_seed(F.col("code"), o) == _seed(F.col("probe_bits"), o), F.lit(o)) for o in OFFSETS))

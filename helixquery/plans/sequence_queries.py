@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixquery import storage
 from helixquery.functions import sequences as S
 from helixquery.operators import intervals, kmers, membership, offtarget, scoring
 from helixquery.plans import views as V
@@ -123,24 +124,41 @@ h AS (SELECT item_id, count(*) AS hits FROM guides JOIN genome ON contains(genom
 SELECT item_id AS guide_id, guide AS sequence, coalesce(hits, 0) AS hits, total, round(100.0 * coalesce(hits, 0) / total, 2)::DOUBLE AS conservation_pct FROM guides LEFT JOIN h USING (item_id), n"""
 
 
-def cross_reactivity(spark: SparkSession, d: str) -> DataFrame:
+def cross_reactivity(spark: SparkSession, d: str, pam: str = "NGG") -> DataFrame:
     """Languages as pathogens, sources as hosts."""
     g = V.genome(spark, d)
-    w = kmers.windows(g.withColumn("key", F.struct("doc_id", "lang")), "key", "seq", K)
-    counted = w.groupBy(F.col("key.lang").alias("pathogen"), "kmer").agg(F.count(F.lit(1)).alias("occurrences")).withColumn("pam", S.pam(F.col("kmer")))
-    return membership.cross_reactivity(counted, g, "source", "seq", 100)
+    w = kmers.packed_windows(g.withColumn("key", F.struct("doc_id", "lang")), "key", "seq", K)
+    counted = w.groupBy(F.col("key.lang").alias("pathogen"), "code").agg(F.count(F.lit(1)).alias("occurrences"))
+    counted = counted.withColumn("kmer", S.unpacked(F.col("code"), K)).withColumn("pam", S.pam(F.col("kmer")))
+    return membership.cross_reactivity(counted, g, "source", "seq", 100, pam)
 
 
-CROSS_REACTIVITY = f"""WITH {V.GENOME}, {V.windows_sql(K)}, c AS (SELECT lang, kmer, count(*) AS n FROM w WHERE kmer LIKE '%GG' GROUP BY lang, kmer),
+def _reactivity(kind: str) -> str:
+    return f"""{V.GENOME}, {V.windows_sql(K)}, c AS (SELECT lang, kmer, count(*) AS n FROM w WHERE {kind} GROUP BY lang, kmer),
 t AS (SELECT DISTINCT kmer FROM (SELECT kmer, row_number() OVER (PARTITION BY lang ORDER BY n DESC, kmer) AS r FROM c) WHERE r <= 100),
 p AS (SELECT DISTINCT kmer, probe FROM (SELECT kmer, kmer AS probe FROM t UNION ALL SELECT kmer, {V.RC("kmer")} FROM t)),
-h AS (SELECT p.kmer, source, count(*) AS hits FROM w JOIN p ON w.kmer = probe GROUP BY p.kmer, source)
-SELECT kmer, source, hits FROM t LEFT JOIN h USING (kmer)"""
+h AS (SELECT p.kmer, source, count(*) AS hits FROM w JOIN p ON w.kmer = probe GROUP BY p.kmer, source),
+x AS (SELECT kmer, source, hits, CAST(coalesce(sum(hits) OVER (PARTITION BY kmer), 0) AS BIGINT) AS total_host_hits FROM t LEFT JOIN h USING (kmer))"""
+
+
+CROSS_REACTIVITY = f"WITH {_reactivity("kmer LIKE '%GG'")} SELECT *, total_host_hits = 0 AS specific FROM x"
+
+
+def host_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts' clean shares for targets of the second kind (TTTV)."""
+    found = storage.stored(cross_reactivity(spark, d, "TTTV"), "reactivity")
+    return membership.host_summary(found, V.genome(spark, d), "source")
+
+
+HOST_SUMMARY = f"""WITH {_reactivity("kmer LIKE 'TTT%' AND kmer NOT LIKE '%GG' AND kmer[4] <> 'T'")}, n AS (SELECT count(DISTINCT kmer) AS guides FROM x),
+s AS (SELECT source, count(hits) AS hit_guides, CAST(coalesce(sum(hits), 0) AS BIGINT) AS hits FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) LEFT JOIN x USING (source) GROUP BY source
+  UNION ALL SELECT NULL, count(*) FILTER (WHERE t > 0), CAST(coalesce(sum(t), 0) AS BIGINT) FROM (SELECT kmer, max(total_host_hits) AS t FROM x GROUP BY kmer))
+SELECT source, guides, hit_guides, hits, CASE WHEN guides > 0 THEN round(100.0 * (guides - hit_guides) / guides, 1)::DOUBLE ELSE 0 END AS clean_pct FROM s, n"""
 
 
 def _targets(spark: SparkSession, d: str) -> DataFrame:
-    """The top k-mers by place: doc_id, pos, kmer, pam, occurrences. At most 10,000 rows, kept for the queries' several uses."""
-    t = kmer_targets(spark, d).persist()
+    """The top k-mers by place: doc_id, pos, kmer, pam, occurrences. At most 10,000 rows, written for the queries' several uses."""
+    t = storage.stored(kmer_targets(spark, d), "targets")
     return t.select(F.col("first_record").alias("doc_id"), F.col("first_pos").alias("pos"), "kmer", "pam", "occurrences")
 
 
@@ -279,6 +297,7 @@ QUERIES = {
     "novelty": (novelty, NOVELTY),
     "conservation": (conservation, CONSERVATION),
     "cross_reactivity": (cross_reactivity, CROSS_REACTIVITY),
+    "host_summary": (host_summary, HOST_SUMMARY),
     "resistance_overlap": (resistance_overlap, RESISTANCE_OVERLAP),
     "gene_annotation": (gene_annotation, GENE_ANNOTATION),
     "exclude_overlap": (exclude_overlap, EXCLUDE_OVERLAP),

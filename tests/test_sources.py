@@ -5,7 +5,8 @@ import lzma
 
 import pytest
 
-from helixquery.sources import files
+from helixquery.operators import kmers
+from helixquery.sources import files, pieces
 from helixquery.streaming.kmers import running_counts
 
 
@@ -61,3 +62,65 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.kmer, r.occurrences) for r in spark.table("kmers").collect()} == {("ACGT", 2), ("CGTA", 1), ("GTAC", 1)}
+
+
+def _plain_fasta(r, files):
+    """Files by name and their records (id, normalised bases)."""
+    texts, wanted = {}, {}
+    for f in range(files):
+        lines, records = ["stray ACGT", "", "; note"], []
+        for n in range(r.randrange(1, 6)):
+            head = r.choice([f">r{n} text", ">", f">  s{n}"])
+            lines.append(head)
+            bases = ""
+            for _ in range(r.choice([0, 1, 3, 60])):
+                line = "".join(r.choice("ACGTacgtuUNnRy-*") for _ in range(r.choice([0, 7, 60])))
+                lines.append(r.choice(["", "  "]) + line)
+                bases += line
+                if r.random() < 0.1:
+                    lines.append(r.choice(["", ";comment ACGT"]))
+            up = bases.upper()
+            records.append(((head[1:].split() or ["unknown"])[0], "".join("T" if c == "U" else "N" if c in "RY" else c for c in up if c in "ACGTNURY")))
+        texts[f"f{f}.fa"] = r.choice(["\n", "\r\n"]).join(lines) + r.choice(["", "\n"])
+        wanted[f"f{f}.fa"] = records
+    return texts, wanted
+
+
+@pytest.mark.parametrize("block,size,overlap", [(97, 50, 22), (1000, 7, 3), (1 << 20, 1 << 20, 0), (61, 1 << 20, 31)])
+def test_pieces_of_plain_fasta(spark, tmp_path, block, size, overlap):
+    import random
+
+    texts, wanted = _plain_fasta(random.Random(block), 4)
+    for name, body in texts.items():
+        (tmp_path / name).write_bytes(body.encode())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        df = pieces.sequence_pieces(spark, str(tmp_path), overlap, size)
+        rows = df.collect()
+        cut = pieces.sequence_pieces(spark, str(tmp_path), overlap, size, max_bases=200).collect()
+        top = {(x["kmer"], x["occurrences"]) for x in kmers.top_targets(df, "record", "sequence", overlap + 1, 10**6, "start").collect()} if overlap < 32 else None
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = {}
+    for x in rows:
+        got.setdefault((x["source_path"].rsplit("/", 1)[-1], x["record"], x["id"]), []).append((x["start"], x["bases"], x["sequence"]))
+    want = {(f, n, name): seq for f, records in wanted.items() for n, (name, seq) in enumerate(records) if seq}
+    assert set(got) == set(want)
+    for key, parts in got.items():
+        at = 0
+        for start, bases, seq in sorted(parts):
+            assert start == at and seq == want[key][start : start + bases + overlap]
+            at += bases
+        assert at == len(want[key])
+    k = overlap + 1
+    n = {}
+    for seq in want.values():
+        for i in range(len(seq) - k + 1):
+            if set(seq[i : i + k]) <= set("ACGT"):
+                n[seq[i : i + k]] = n.get(seq[i : i + k], 0) + 1
+    assert top is None or top == set(n.items())
+    assert {(x["record"], x["id"], x["bases"]) for x in cut if x["corrupt"]} == {(n, i, len(s)) for (f, n, i), s in want.items() if len(s) > 200}
+    assert sum(x["bases"] for x in cut) == sum(map(len, want.values()))
