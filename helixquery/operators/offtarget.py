@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from helixquery.functions import codes as C
 from helixquery.functions import sequences as S
 from helixquery.operators.kmers import packed_windows, pieces
+from helixquery.storage import stored
 
 LENGTH, SEED, OFFSETS = 20, 5, [0, 5, 10, 15]
 #: Different seeds of SEED bases.
@@ -110,23 +112,69 @@ def off_targets(records: DataFrame, id_col: str, seq: str, guides: DataFrame, ma
     return near.select("guide", "strand", id_col, "pos", "mismatches", S.mismatch_positions(S.unpacked(F.col("code"), LENGTH), F.col("probe"), LENGTH).alias("mm_positions"))
 
 
+#: Bases of a target and of a published guide that the first step looks at: four seeds of four.
+HEAD, HEAD_SEED = 16, 4
+#: Targets and published guides of one block.
+BLOCK = 2000
+
+
+def _distance(a, b):
+    """Differing bases of the common prefix, and what the longer has more."""
+    n = F.least(F.length(a), F.length(b))
+    same = F.zip_with(F.split(F.left(a, n), ""), F.split(F.left(b, n), ""), lambda x, y: (x != y).cast("int"))
+    return F.aggregate(same, F.lit(0), lambda s, x: s + x) + F.abs(F.length(a) - F.length(b))
+
+
+def _least(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("target").agg(F.min(F.struct("d", "id", "strand")).alias("b"))
+
+
+def _block_minima(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Each target's nearest published guide of a block: distances of all pairs, a target at a time."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"target": [], "d": [], "id": [], "strand": []})
+    right = right.sort_values(["published_id", "strand"], kind="stable")
+    sizes = right["seq"].str.len().to_numpy()
+    width = int(sizes.max())
+    table = np.frombuffer("".join(x.ljust(width, "\0") for x in right["seq"]).encode(), dtype=np.uint8).reshape(-1, width)
+    ids, strands, out = right["published_id"].to_numpy(), right["strand"].to_numpy(), []
+    inside = np.arange(width) < sizes[:, None]
+    for target in left["target"]:
+        t = np.frombuffer(target.encode(), dtype=np.uint8)[:width]
+        m = len(t)
+        d = ((table[:, :m] != t) & inside[:, :m]).sum(axis=1) + np.abs(sizes - len(target))
+        k = int(d.argmin())  # the first of the least: ids and strands ascend
+        out.append((target, int(d[k]), ids[k], strands[k]))
+    return pd.DataFrame(out, columns=["target", "d", "id", "strand"])
+
+
 def novelty(targets: DataFrame, published: DataFrame, max_mismatches: int) -> DataFrame:
     """Each target's least distance to the published guides on either strand, the first nearest, and whether it is new.
 
-    targets: target; published: published_id, seq (few and small: they travel as one array with every target).
-    Different lengths: the common prefix is compared and the rest of the longer counts as mismatches.
+    targets: target; published: published_id, seq. Different lengths: the common prefix is compared and the rest of the
+    longer counts as mismatches. Guides within three mismatches meet in an equi-join on seeds of their heads, and the
+    targets that they settle leave; the others meet the published guides by blocks, of which each gives one row a target.
     """
     clean = published.select("published_id", F.translate("seq", "uU", "tT").alias("seq")).where(F.col("seq").rlike("^[ACGT]+$"))
     both = clean.select("published_id", "seq", F.lit("+").alias("strand")).union(clean.select("published_id", S.reverse_complement(F.col("seq")), F.lit("-")))
-    many = both.agg(F.sort_array(F.collect_list(F.struct("published_id", "strand", "seq"))).alias("all"))
+    both = stored(both, "published")
     good = targets.select(F.translate(F.upper("target"), "U", "T").alias("target")).where(F.col("target").rlike("^[ACGT]+$")).distinct()
-
-    def distance(p):
-        n = F.least(F.length("target"), F.length(p.seq))
-        same = F.zip_with(F.split(F.left("target", n), ""), F.split(F.left(p.seq, n), ""), lambda a, b: (a != b).cast("int"))
-        return F.aggregate(same, F.lit(0), lambda s, x: s + x) + F.abs(F.length("target") - F.length(p.seq))
-
-    scored = good.join(F.broadcast(many))  # one row on the other side
-    best = F.array_min(F.transform("all", lambda p: F.struct(distance(p).alias("d"), p.published_id.alias("id"), p.strand.alias("strand"))))
-    out = scored.select("target", best.alias("b"))
+    good = stored(good, "novelty-targets")
+    head = lambda c: F.array(*(F.struct(F.lit(o).alias("o"), F.substr(c, F.lit(o + 1), F.lit(HEAD_SEED)).alias("seed")) for o in range(0, HEAD, HEAD_SEED)))
+    near = good.where(F.length("target") >= HEAD).select("target", F.inline(head(F.col("target"))))
+    near = near.join(both.where(F.length("seq") >= HEAD).select("*", F.inline(head(F.col("seq")))), ["o", "seed"])
+    near = near.select("target", _distance(F.col("target"), F.col("seq")).alias("d"), F.col("published_id").alias("id"), "strand").where("d <= 3")
+    settled = stored(_least(near), "settled")
+    # shorter published guides may be as near without a whole head: a settled target meets them as well
+    short = both.where(F.length("seq") < HEAD)
+    open_ = good if not short.isEmpty() else good.join(settled, "target", "left_anti")
+    kind = both.schema["published_id"].dataType.simpleString()
+    n, m = open_.count(), both.count()
+    a, b = max(1, -(-n // BLOCK)), max(1, -(-m // BLOCK))
+    deal = lambda rows, key, own, others, mine, theirs: rows.withColumn(mine, F.pmod(F.xxhash64(*key), F.lit(own)).cast("int")).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    left = deal(open_.select("target"), ["target"], a, b, "tb", "pb")
+    right = deal(both, ["published_id", "strand", "seq"], b, a, "pb", "tb")
+    pairs = left.groupBy("tb", "pb").cogroup(right.groupBy("tb", "pb")).applyInPandas(lambda x, y: _block_minima(x, y), f"target string, d int, id {kind}, strand string")
+    found = settled.unionByName(_least(pairs)).groupBy("target").agg(F.min("b").alias("b"))
+    out = good.join(found, "target", "left")
     return out.select("target", F.col("b.d").alias("distance"), F.col("b.id").alias("closest"), F.col("b.strand").alias("strand"), F.coalesce(F.col("b.d") > max_mismatches, F.lit(True)).alias("is_novel"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixquery.functions import sequences as S
+from helixquery.storage import stored
 
 
 def spacer(kmer: Column, pam: Column) -> Column:
@@ -91,18 +92,52 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, queries: DataFrame
     )
 
 
-def latency(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """Per group the first value (cold) and statistics of the rest; a percentile is the value at round(p / 100 * (n - 1)).
+#: Cells of a round of a selection, and values that are sorted where a cell has no more.
+CELLS, FEW_VALUES = 1024, 10_000
+
+
+def selected(rows: DataFrame, group: str, value: str, places: dict[str, Column]) -> DataFrame:
+    """group and, by name, the values at places (from 0, by ascending value) of each group; places: columns of `n`, its size.
 
-    Only the values at the wanted places are gathered, not the groups.
+    Values are finite or null (which don't count). A round cuts the range that holds a wanted place into CELLS cells, counts
+    them, and narrows the place to the least and greatest value of its cell, until these are equal or few are left, which
+    are sorted. No group is sorted or gathered whole.
     """
-    w = Window.partitionBy(group)
-    warm = rows.withColumn("i", F.row_number().over(w.orderBy(order)))
-    cold = warm.where("i = 1").select(group, F.col(value).alias("cold"))
-    rest = warm.where("i > 1").withColumn("j", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    at = lambda p: F.max(F.when(F.col("j") == F.round(F.lit(p / 100.0) * (F.col("n") - 1)), F.col(value)))
-    stats = rest.groupBy(group).agg(F.count(F.lit(1)).alias("warm_n"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), at(50).alias("p50"), at(95).alias("p95"), at(99).alias("p99"))
-    return cold.join(stats, group, "left")
+    v = F.col(value).cast("double")
+    keyed = rows.where(v.isNotNull()).select(group, v.alias("v"))
+    sizes = keyed.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    each = F.array(*(F.struct(F.lit(k).alias("name"), c.cast("long").alias("left")) for k, c in places.items()))
+    wanted = stored(sizes.select(group, "lo", "hi", F.col("n").alias("m"), F.explode(each).alias("w")).select(group, "lo", "hi", "m", "w.name", "w.left"), "selection")
+    open_ = F.expr(f"lo < hi and m > {FEW_VALUES}")
+    done = wanted.where(~open_)
+    wanted = wanted.where(open_)
+    while not wanted.isEmpty():
+        ranges = wanted.select(group, "lo", "hi").distinct()
+        inside = keyed.join(ranges, group).where(F.col("v").between(F.col("lo"), F.col("hi")))
+        cell = F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * CELLS)
+        counts = inside.groupBy(group, "lo", "hi", cell.alias("cell")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+        w = Window.partitionBy(group, "lo", "hi").orderBy("cell")  # CELLS + 1 rows at most
+        counts = counts.withColumn("before", F.sum("c").over(w) - F.col("c"))
+        met = wanted.join(counts, [group, "lo", "hi"]).where((F.col("left") >= F.col("before")) & (F.col("left") < F.col("before") + F.col("c")))
+        wanted = stored(met.select(group, F.col("low").alias("lo"), F.col("high").alias("hi"), F.col("c").alias("m"), "name", (F.col("left") - F.col("before")).alias("left")), "selection")
+        done = done.unionByName(wanted.where(~open_))
+        wanted = wanted.where(open_)
+    flat = done.where("lo = hi").select(group, "name", F.col("lo").alias("found"))
+    rest = done.where("lo < hi")
+    near = keyed.join(rest.select(group, "lo", "hi").distinct(), group).where(F.col("v").between(F.col("lo"), F.col("hi")))
+    near = near.withColumn("left", F.row_number().over(Window.partitionBy(group, "lo", "hi").orderBy("v")).cast("long") - 1)  # FEW_VALUES rows at most
+    rest = rest.join(near, [group, "lo", "hi", "left"]).select(group, "name", F.col("v").alias("found"))
+    return flat.unionByName(rest).groupBy(group).agg(*(F.max(F.when(F.col("name") == k, F.col("found"))).alias(k) for k in places))
+
+
+def latency(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """Per group the first value (cold) and statistics of the rest; a percentile is the value at round(p / 100 * (n - 1))."""
+    first = rows.groupBy(group).agg(F.min(order).alias("cold_at"), F.min_by(value, order).alias("cold"))
+    rest = rows.join(first.select(group, "cold_at"), group).where(F.col(order) > F.col("cold_at"))
+    stats = rest.groupBy(group).agg(F.count(F.lit(1)).alias("warm_n"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    at = lambda p: F.round(F.lit(p / 100.0) * (F.col("n") - 1))
+    found = selected(rest, group, value, {f"p{p}": at(p) for p in (50, 95, 99)})
+    return first.select(group, "cold").join(stats, group, "left").join(found, group, "left")
 
 
 #: Gates of a comparison: fixed values.
@@ -116,3 +151,19 @@ def compared(baseline: DataFrame, candidate: DataFrame, on: str, metrics: list[s
     out = b.join(c, [on, "metric"])
     delta = F.col("candidate") - F.col("baseline")
     return out.withColumn("delta", F.round(delta, 6)).withColumn("relative", F.round(F.when(F.col("baseline") != 0, delta / F.col("baseline")), 6))
+
+
+def gated(measures: DataFrame, on: str) -> DataFrame:
+    """on, gate, value, threshold, passed: the four gates of a candidate against its baseline. measures: on, hit, recall,
+    baseline_hit, p95_ms. A value that is unknown fails its gate."""
+    values = {"hit": F.col("hit"), "regression": F.col("hit") - F.col("baseline_hit"), "recall": F.col("recall"), "p95_ms": F.col("p95_ms")}
+    each = F.array(*(F.struct(F.lit(k).alias("gate"), v.cast("double").alias("value"), F.lit(GATES[k]).alias("threshold")) for k, v in values.items()))
+    out = measures.select(on, F.inline(each))
+    good = F.when(F.col("gate") == "p95_ms", F.col("value") <= F.col("threshold")).otherwise(F.col("value") >= F.col("threshold"))
+    return out.withColumn("passed", F.coalesce(good, F.lit(False))).withColumn("value", F.round("value", 6))
+
+
+def verdicts(gates: DataFrame, on: str) -> DataFrame:
+    """on, failed (gates that failed, by name) and verdict: PASS, or FAIL where one did."""
+    failed = F.array_join(F.sort_array(F.collect_list(F.when(~F.col("passed"), F.col("gate")))), ", ")
+    return gates.groupBy(on).agg(failed.alias("failed")).withColumn("verdict", F.when(F.col("failed") == "", "PASS").otherwise("FAIL"))

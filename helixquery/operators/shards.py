@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixquery.operators import ordered
+from helixquery.storage import stored
+
 #: Peak memory per corpus byte, margin on the peak, and the share of free memory that a peak may take: fixed values.
 PEAK, MARGIN, FREE_SHARE = 6, 0.25, 0.70
 
@@ -21,6 +24,67 @@ def manifest(files: DataFrame, path: str, content: str, split: Column) -> DataFr
     return files.select(path, F.octet_length(content).cast("long").alias("size"), F.sha2(F.col(content), 256).alias("sha256"), split.alias("split"))
 
 
+def shard_plan(files: DataFrame, path: str, size: str, target: int) -> DataFrame:
+    """path, size, no (from 0, by path), start (bytes before it) and shard (from 0) of every file.
+
+    Files keep their order; a shard ends before the file that would take it over `target` bytes, and a file larger than that
+    is a shard of its own. Where the shard that a file begins would end is a range lookup in the running sizes; the shards'
+    starts are what can be reached from the first file by such steps, found by doubling: with the steps of 2^k shards at
+    once, each round doubles the known starts. No task sees all files.
+    """
+    rows = ordered.placed(files.select(F.col(path).alias("path"), F.col(size).cast("long").alias("size")), [F.col("path").asc()])
+    rows = ordered.row_numbers(ordered.running_sum(rows, F.col("size"), "start"), "no")
+    rows = stored(ordered.plain(rows), "files")
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    ends = rows.select((F.col("start") + F.col("size")).alias("x"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("no"))
+    asked = rows.select((F.col("start") + target).alias("x"), F.lit(1).alias("kind"), "no")
+    met = ordered.placed(ends.union(asked), [F.col("x").asc(), F.col("kind").asc()])
+    met = ordered.running_sum(met, (F.col("kind") == 0).cast("long"), "ended")
+    step = stored(met.where("kind = 1").select("no", F.least(F.greatest(F.col("no") + 1, F.col("ended")), F.lit(n)).alias("next")), "steps")
+    steps, most = [step], min(n, 2 * total // max(target, 1) + 2)  # two neighbours exceed the target together
+    while 1 << len(steps) < most:
+        last = steps[-1]
+        twice = last.join(last.select(F.col("no").alias("next"), F.col("next").alias("after")), "next", "left")
+        steps.append(stored(twice.select("no", F.coalesce("after", F.lit(n)).alias("next")), "steps"))
+    starts = rows.where("no = 0").select("no")
+    for step in reversed(steps):
+        starts = stored(starts.union(starts.join(step, "no").where(F.col("next") < n).select(F.col("next").alias("no"))), "starts")
+    marked = rows.join(starts.withColumn("first", F.lit(1).cast("long")), "no", "left").fillna(0, ["first"])
+    marked = ordered.running_sum(ordered.placed(marked, [F.col("no").asc()]), F.col("first"), "earlier")
+    return ordered.plain(marked).select("path", "size", "no", "start", (F.col("earlier") + F.col("first") - 1).alias("shard"))
+
+
+def shard_manifest(plan: DataFrame, files: DataFrame, path: str, content: str) -> DataFrame:
+    """Per shard: its files, bytes, place in the whole (corpus_start, corpus_end) and the digest of its files' digests in order."""
+    each = plan.join(files.select(F.col(path).alias("path"), F.sha2(F.col(content), 256).alias("sha256")), "path")
+    digest = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "sha256"))), lambda x: x.sha256), ""), 256)
+    return each.groupBy("shard").agg(F.count(F.lit(1)).alias("file_count"), F.sum("size").alias("bytes"), F.min("start").alias("corpus_start"), F.max(F.col("start") + F.col("size")).alias("corpus_end"), digest.alias("sha256"))
+
+
+def written_shards(plan: DataFrame, files: DataFrame, path: str, content: str, folder: str) -> None:
+    """A folder per shard with its files, their digests, and `manifest` beside them."""
+    bodies = files.select(F.col(path).alias("path"), F.col(content).alias("content"))
+    rows = plan.join(bodies, "path").withColumn("sha256", F.sha2("content", 256))
+    rows.repartition("shard").sortWithinPartitions("shard", "no").write.partitionBy("shard").parquet(f"{folder}/shards")
+    shard_manifest(plan, files, path, content).write.parquet(f"{folder}/manifest")
+
+
+def read_shards(spark: SparkSession, folder: str, shards: list[int] | None = None) -> DataFrame:
+    """The files of shards (all without). Content that doesn't have its digest, and a shard that lacks files of the manifest, is an
+    error and never an empty result."""
+    rows, said = spark.read.parquet(f"{folder}/shards"), spark.read.parquet(f"{folder}/manifest")
+    if shards is not None:
+        rows, said = rows.where(F.col("shard").isin(shards)), said.where(F.col("shard").isin(shards))
+        if said.count() != len(set(shards)):
+            raise ValueError(f"the manifest lacks shards of {shards}")
+    found = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    missing = said.join(found, "shard", "left").where(F.coalesce("n", F.lit(0)) != F.col("file_count")).select("shard").take(5)
+    if missing:
+        raise ValueError(f"shards {[r['shard'] for r in missing]} lack files")
+    broken = F.raise_error(F.concat(F.lit("changed since it was written: "), F.col("path"))).cast("string")
+    return rows.withColumn("content", F.when(F.sha2("content", 256) == F.col("sha256"), F.col("content")).otherwise(broken))
+
+
 def memory_estimate(size: Column, free: int | None) -> Column:
     """Peak, margin and mode of an index over `size` bytes."""
     peak = size * PEAK

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixquery.operators import sections
+from helixquery.storage import stored
+
+#: Tokens of a block of a unit.
+BLOCK = 256
+
 #: Words of questions that say nothing: fixed values.
 STOPWORDS = ["how", "does", "where", "what", "which", "when", "why", "is", "are", "the", "a", "an", "to", "and", "or", "in", "on", "for", "with", "from", "of", "it", "this", "that"]
 #: Hints added to every question where the caller gives none: fixed values.
@@ -34,25 +40,26 @@ def with_prefix(vocabulary: DataFrame, prefix: str, most: int) -> DataFrame:
 def section_tokens(text: Column) -> Column:
     """Distinct tokens of a section: whole names and their parts in lower case, of two bytes or more; Unicode letters count."""
     names = F.regexp_extract_all(text, F.lit(r"([\p{L}_][\p{L}\p{N}_]*)"), F.lit(1))
-    parts = F.flatten(F.transform(names, lambda x: F.concat(subwords(x), F.array(F.lower(x)))))
+    parts = F.flatten(F.transform(names, lambda x: F.transform(F.concat(F.split(F.regexp_replace(x, r"(\p{Lu})", "\n$1"), "[\n_]"), F.array(x)), lambda y: F.lower(y))))
     return F.sort_array(F.array_distinct(F.filter(parts, lambda x: F.octet_length(x) >= 2)))
 
 
-def text_windows(docs: DataFrame, id_col: str, text: str, lines: int = 50, overlap: int = 25) -> DataFrame:
-    """id_col, section, text: windows of lines, each beginning `lines - overlap` after the last."""
-    step = lines - overlap
-    cut = docs.select(id_col, F.explode(F.array(F.split(F.col(text), "\n", -1))).alias("all"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("all") - overlap - 1, F.lit(0)), F.lit(step))
-    cut = cut.select(id_col, "all", F.explode(starts).alias("at"))
-    return cut.select(id_col, (F.col("at") / step).cast("int").alias("section"), F.array_join(F.slice("all", F.col("at") + 1, F.lit(lines)), "\n").alias("text"))
-
+def pair_counts(units: DataFrame, tokens: str, weights: list[str] | None = None) -> DataFrame:
+    """term_a < term_b and in how many units both occur (n), or the sums of the units' columns `weights`.
 
-def pair_counts(units: DataFrame, tokens: str) -> DataFrame:
-    """a < b and in how many units both occur. A unit gives a row for each token and then its pairs with later tokens, which
-    are summed map-side first: no row holds more than one token's pairs."""
-    rows = units.where(F.size(tokens) > 1).select(F.col(tokens).alias("all"), F.posexplode(tokens).alias("at", "term_a"))
-    rows = rows.select("term_a", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("term_b"))
-    return rows.groupBy("term_a", "term_b").agg(F.count(F.lit(1)).alias("n"))
+    Tokens (sorted, distinct) are cut into blocks, and a unit gives a row for each two of its blocks, which are dealt over all
+    tasks: a unit's pairs are made in as many tasks as it has pairs of blocks, and summed there before they are shuffled.
+    """
+    wanted = weights or []
+    starts = F.sequence(F.lit(1), F.size("all"), F.lit(BLOCK))
+    rows = units.where(F.size(tokens) > 1).select(F.explode(F.array(F.col(tokens))).alias("all"), *wanted)
+    rows = rows.select("all", *wanted, F.explode(starts).alias("i"))
+    rows = rows.select("*", F.explode(F.sequence("i", F.size("all"), F.lit(BLOCK))).alias("j"))
+    rows = rows.select(F.slice("all", F.col("i"), F.lit(BLOCK)).alias("left"), F.slice("all", F.col("j"), F.lit(BLOCK)).alias("right"), *wanted)
+    rows = rows.repartition(F.xxhash64("left", "right"))
+    rows = rows.select(F.explode("left").alias("term_a"), "right", *wanted).select("term_a", F.explode("right").alias("term_b"), *wanted).where("term_a < term_b")
+    sums = [F.sum(w).alias(w) for w in wanted] or [F.count(F.lit(1)).alias("n")]
+    return rows.groupBy("term_a", "term_b").agg(*sums)
 
 
 def cooccurrence(sections: DataFrame, files: DataFrame, min_weight: float = 1.0) -> DataFrame:
@@ -64,6 +71,52 @@ def cooccurrence(sections: DataFrame, files: DataFrame, min_weight: float = 1.0)
     return both.where(F.col("weight") >= min_weight)
 
 
+def top_k(edges: DataFrame, k: int) -> DataFrame:
+    """The edges that a greedy choice keeps: heaviest first (ties by terms), as long as both ends have fewer than k kept ones.
+
+    By rounds: an edge that is among the heaviest open ones at both its ends, as many as these may still keep, is one that the
+    greedy choice keeps, whatever else it does. Each round keeps all of those and closes the edges at full ends. A term's
+    first k edges are found before the shuffle, so a term with very many edges is no task's work.
+    """
+    open_ = stored(edges, "open-edges")
+    kept: DataFrame | None = None
+    order = [F.desc("weight"), "term_a", "term_b"]
+    while not open_.isEmpty():
+        ends = open_.select(F.col("term_a").alias("at"), "term_a", "term_b", "weight").union(open_.select("term_b", "term_a", "term_b", "weight"))
+        best = ends.withColumn("rank", F.row_number().over(Window.partitionBy("at").orderBy(*order))).where(F.col("rank") <= k)
+        if kept is not None:
+            used = kept.select(F.explode(F.array("term_a", "term_b")).alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("used"))
+            best = best.join(used, "at", "left").where(F.col("rank") <= k - F.coalesce("used", F.lit(0)))
+        now = stored(best.groupBy("term_a", "term_b").agg(F.count(F.lit(1)).alias("ends")).where("ends = 2").select("term_a", "term_b"), "kept-edges")
+        kept = now if kept is None else kept.union(now)
+        full = kept.select(F.explode(F.array("term_a", "term_b")).alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("used")).where(F.col("used") >= k)
+        full = stored(full.select("at"), "full-terms")
+        rest = open_.join(now, ["term_a", "term_b"], "left_anti")
+        for end in ("term_a", "term_b"):
+            rest = rest.join(full.withColumnRenamed("at", end), end, "left_anti")
+        open_ = stored(rest.select(edges.columns), "open-edges")
+    return edges if kept is None else edges.join(kept, ["term_a", "term_b"], "left_semi")
+
+
+def term_graph(files: DataFrame, min_weight: float = 1.0, k: int = 10) -> DataFrame:
+    """term_a, term_b, weight, section_count, file_count: the pruned graph of the terms of files (path, content).
+
+    Terms are numbered in their order, so that pairs are two numbers until the last step.
+    """
+    file_units = files.select("path", F.lit(-1).cast("long").alias("section"), section_tokens(F.col("content")).alias("tokens"))
+    units = sections.sections(files).select("path", "section", section_tokens(F.col("text")).alias("tokens")).union(file_units)
+    each = stored(units.select("path", "section", F.explode("tokens").alias("term")), "unit-terms")
+    numbers = stored(each.select("term").distinct().repartitionByRange("term").sortWithinPartitions("term").withColumn("no", F.monotonically_increasing_id()), "term-numbers")
+    known = each.join(numbers, "term").groupBy("path", "section").agg(F.sort_array(F.collect_list("no")).alias("tokens"))
+    known = known.select("tokens", (F.col("section") >= 0).cast("long").alias("section_count"), (F.col("section") < 0).cast("long").alias("file_count"))
+    edges = pair_counts(known, "tokens", ["section_count", "file_count"])
+    edges = edges.withColumn("weight", (3.0 * F.col("section_count") + F.col("file_count")).cast("double")).where(F.col("weight") >= min_weight)
+    kept = top_k(stored(edges, "edges"), k)
+    for end in ("term_a", "term_b"):
+        kept = kept.join(numbers.select(F.col("no").alias(end), F.col("term").alias(f"{end}_text")), end)
+    return kept.select(F.col("term_a_text").alias("term_a"), F.col("term_b_text").alias("term_b"), "weight", "section_count", "file_count")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("term_a").alias("term"), F.col("term_b").alias("other"), "weight").union(edges.select("term_b", "term_a", "weight"))
 

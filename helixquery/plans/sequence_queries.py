@@ -194,14 +194,23 @@ SELECT doc_id, no, guides, ngg_guides, string_agg(kmer, ';' ORDER BY r) AS top F
 
 
 def gene_annotation(spark: SparkSession, d: str) -> DataFrame:
-    """The region with the latest start at or before a target, if the target's start lies in it."""
+    """The region with the latest start at or before a target, if the target's start lies in it; places behind all regions by their remainder."""
     genes = _regions(spark, d).where("no < 3").withColumn("end", F.col("start") + 100).withColumn("gene", F.concat(F.lit("g"), "no"))
     places = _targets(spark, d).select("doc_id", "pos", F.col("kmer").alias("key"))
-    return intervals.latest_start(places, genes, "doc_id", ["gene"])
+    return intervals.latest_start(places, genes, "doc_id", ["gene"], wrap=True)
 
 
-GENE_ANNOTATION = f"""WITH {_TARGETS}, {_REGIONS}, g AS (SELECT doc_id, start, start + 100 AS "end", 'g' || no AS gene FROM regions WHERE no < 3)
-SELECT t.doc_id, t.pos, t.kmer AS key, CASE WHEN t.pos <= g."end" THEN g.gene END AS gene FROM targets t ASOF LEFT JOIN g ON t.doc_id = g.doc_id AND t.pos >= g.start"""
+_ANNOTATED = f"""{_TARGETS}, {_REGIONS}, g AS (SELECT doc_id, start, start + 100 AS "end", 'g' || no AS gene FROM regions WHERE no < 3 AND start > 0),
+turn AS (SELECT doc_id, max("end") AS turn FROM g GROUP BY doc_id), places AS (SELECT doc_id, pos, kmer, CASE WHEN pos > turn THEN pos % turn ELSE pos END AS probe FROM targets LEFT JOIN turn USING (doc_id)),
+annotated AS (SELECT t.doc_id, t.pos, t.kmer AS key, CASE WHEN t.probe <= g."end" THEN g.gene END AS gene FROM places t ASOF LEFT JOIN g ON t.doc_id = g.doc_id AND t.probe >= g.start)"""
+GENE_ANNOTATION = f"WITH {_ANNOTATED} SELECT * FROM annotated"
+
+
+def annotation_counts(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.annotation_counts(gene_annotation(spark, d), "doc_id", "gene")
+
+
+ANNOTATION_COUNTS = f"WITH {_ANNOTATED} SELECT doc_id, count(gene) AS annotated, count(*) AS total FROM annotated GROUP BY doc_id"
 
 
 def exclude_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -300,6 +309,7 @@ QUERIES = {
     "host_summary": (host_summary, HOST_SUMMARY),
     "resistance_overlap": (resistance_overlap, RESISTANCE_OVERLAP),
     "gene_annotation": (gene_annotation, GENE_ANNOTATION),
+    "annotation_counts": (annotation_counts, ANNOTATION_COUNTS),
     "exclude_overlap": (exclude_overlap, EXCLUDE_OVERLAP),
     "merged_regions": (merged_regions, MERGED_REGIONS),
     "variant_tolerance": (variant_tolerance, VARIANT_TOLERANCE),

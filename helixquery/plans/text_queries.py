@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixquery.operators import scoring, search, shards, vocabulary
+from helixquery.operators import scoring, search, sections, shards, vocabulary
 from helixquery.operators.kmers import top_per_group
 from helixquery.plans import views as V
 
@@ -104,7 +104,7 @@ _LETTER = r"\p{L}"
 def _unit(name: str, source: str) -> str:
     return f"""{name}_n AS (SELECT uid, unnest(regexp_extract_all(text, '[{_LETTER}_][{_LETTER}\\p{{N}}_]*')) AS token FROM {source}),
 {name} AS (SELECT DISTINCT uid, term FROM (SELECT uid, lower(token) AS term FROM {name}_n UNION ALL
-  SELECT uid, lower(unnest(CASE WHEN contains(token, '_') THEN string_split(token, '_') ELSE string_split(regexp_replace(token, '([A-Z])', chr(10) || '\\1', 'g'), chr(10)) END)) FROM {name}_n)
+  SELECT uid, lower(unnest(string_split(replace(regexp_replace(token, '(\\p{{Lu}})', chr(10) || '\\1', 'g'), '_', chr(10)), chr(10)))) FROM {name}_n)
   WHERE strlen(term) >= 2),
 {name}_p AS (SELECT x.term AS term_a, y.term AS term_b, count(*) AS n FROM {name} x JOIN {name} y ON x.uid = y.uid AND x.term < y.term GROUP BY 1, 2)"""
 
@@ -198,6 +198,101 @@ s{k} AS (SELECT event_type, unnest(['p50', 'p95', 'mean']) AS metric, unnest([ma
 COMPARE_REPORTS = f"WITH {_side(0)}, {_side(1)} SELECT event_type, metric, s0.x AS baseline, s1.x AS candidate, round(s1.x - s0.x, 6) AS delta, round(CASE WHEN s0.x <> 0 THEN (s1.x - s0.x) / s0.x END, 6) AS relative FROM s0 JOIN s1 USING (event_type, metric)"
 
 
+def report_gates(spark: SparkSession, d: str) -> DataFrame:
+    """Languages as systems: hit and recall of the benchmark's items at 5 and at 1 (the baseline), event times as latencies."""
+    return scoring.gated(_measures(spark, d), "lang")
+
+
+def _measures(spark: SparkSession, d: str) -> DataFrame:
+    docs = V.documents(spark, d).select("doc_id", "lang")
+    found = _ranked(spark, d).join(docs, "doc_id")
+    items = V.table(spark, d, "benchmark").agg(F.count(F.lit(1)).alias("items"))
+    hit = lambda k: F.count_distinct(F.when(F.col("rank") <= k, F.col("query_id")))
+    by = docs.select("lang").distinct().join(found.groupBy("lang").agg(hit(5).alias("h5"), hit(1).alias("h1"), F.count(F.lit(1)).alias("n")), "lang", "left").join(F.broadcast(items))  # one row
+    all_docs = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
+    share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("items")
+    return by.join(all_docs, "lang").select("lang", share("h5").alias("hit"), share("h1").alias("baseline_hit"), (F.col("n") / F.col("docs")).alias("recall"), (F.col("docs") * 2.0).alias("p95_ms"))
+
+
+_GATES = f"""WITH {_RANKED}, f AS (SELECT lang, count(DISTINCT query_id) FILTER (WHERE rank <= 5) AS h5, count(DISTINCT query_id) FILTER (WHERE rank <= 1) AS h1, count(*) AS n FROM ranked JOIN documents USING (doc_id) GROUP BY lang),
+m AS (SELECT lang, coalesce(h5, 0)::DOUBLE / items AS hit, coalesce(h1, 0)::DOUBLE / items AS base, n::DOUBLE / docs AS recall, docs * 2.0::DOUBLE AS p95
+      FROM (SELECT lang, count(*) AS docs FROM documents GROUP BY lang) LEFT JOIN f USING (lang), (SELECT count(*) AS items FROM benchmark)),
+g AS (SELECT lang, unnest(['hit', 'regression', 'recall', 'p95_ms']) AS gate, unnest([hit, hit - base, recall, p95]) AS value, unnest([0.8::DOUBLE, -0.05::DOUBLE, 0.7::DOUBLE, 500.0::DOUBLE]) AS threshold FROM m),
+p AS (SELECT lang, gate, round(value, 6) AS value, threshold, coalesce(CASE WHEN gate = 'p95_ms' THEN value <= threshold ELSE value >= threshold END, false) AS passed FROM g)"""
+REPORT_GATES = f"{_GATES} SELECT * FROM p"
+
+
+def report_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.verdicts(report_gates(spark, d), "lang")
+
+
+REPORT_VERDICTS = f"{_GATES}, v AS (SELECT lang, coalesce(string_agg(gate, ', ' ORDER BY gate) FILTER (WHERE NOT passed), '') AS failed FROM p GROUP BY lang) SELECT lang, failed, CASE WHEN failed = '' THEN 'PASS' ELSE 'FAIL' END AS verdict FROM v"
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as source files: languages by number, and in each every line whose length falls right begins a section."""
+    docs = V.documents(spark, d)
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("rs", "py", "erl", "md", "html", "txt"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    heads = {"rs": ("pub fn ", "(x) {"), "py": ("class ", ":"), "erl": ("f_", "("), "md": ("## ", ""), "html": ("<h2>", "</h2>")}
+    letters = lambda x: F.substr(F.regexp_replace(x, "[^a-z]", ""), F.lit(1), F.lit(9))
+    head = lambda x: F.coalesce(*(F.when(kind == k, F.concat(F.lit(a), letters(x), F.lit(b))) for k, (a, b) in heads.items()), F.concat(F.upper(letters(x)), F.lit(" X-Y")))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.when(F.length(x) % 5 == 1, head(x)).otherwise(F.concat(F.lit(" "), x)))
+    return docs.select("doc_id", F.concat(F.lit("d/"), "doc_id", F.lit("."), kind).alias("path"), F.array_join(lines, "\n").alias("content"))
+
+
+def sections_by_language(spark: SparkSession, d: str) -> DataFrame:
+    return sections.sections(_files(spark, d)).select("path", "section", "name", "start", "end", F.md5("text").alias("md5"))
+
+
+SECTIONS_BY_LANGUAGE = r"""WITH l AS (SELECT doc_id, doc_id % 6 AS k, i, n, x, substr(regexp_replace(x, '[^a-z]', '', 'g'), 1, 9) AS w
+  FROM (SELECT doc_id, len(a) AS n, unnest(range(len(a))) AS i, unnest(a) AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents))),
+m AS (SELECT *, CASE WHEN length(x) % 5 <> 1 THEN ' ' || x WHEN k = 0 THEN 'pub fn ' || w || '(x) {' WHEN k = 1 THEN 'class ' || w || ':' WHEN k = 2 THEN 'f_' || w || '(' WHEN k = 3 THEN '## ' || w WHEN k = 4 THEN '<h2>' || w || '</h2>'
+  ELSE upper(w) || ' X-Y' END AS line FROM l),
+b AS (SELECT *, CASE WHEN k = 3 THEN CASE WHEN starts_with(trim(line), '#') THEN trim(line) END WHEN k = 5 THEN CASE WHEN regexp_full_match(trim(line), '[A-Z \-À-ÖØ-Þ]{3,}') AND regexp_matches(line, '[A-ZÀ-ÖØ-Þ]') THEN trim(line) END
+  WHEN length(x) % 5 = 1 THEN CASE k WHEN 0 THEN 'pub fn ' || w || '(x)' WHEN 1 THEN 'class ' || w WHEN 2 THEN 'f_' || w || '()' WHEN 4 THEN CASE WHEN w = '' THEN '<h2></h2>' ELSE w END END END AS head,
+  sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - strlen(line) - 1 AS pos, sum(strlen(line) + 1) OVER (PARTITION BY doc_id) - 1 AS whole FROM m),
+s AS (SELECT *, count(head) OVER (PARTITION BY doc_id ORDER BY i) AS sec, count(head) OVER (PARTITION BY doc_id) AS all_heads FROM b),
+heads AS (SELECT doc_id, k, sec - 1 AS section, first(head ORDER BY i) AS name, min(pos) AS start, max(pos + strlen(line) + 1) AS e, any_value(whole) AS whole, string_agg(line, chr(10) ORDER BY i) AS text FROM s WHERE all_heads > 0 AND sec > 0 GROUP BY doc_id, k, sec),
+win AS (SELECT a.doc_id, a.k, a.i // 25 AS section, 'lines ' || (a.i + 1) || '-' || least(a.i + 50, a.n) AS name, a.pos AS start, max(y.pos + strlen(y.line) + 1) AS e, a.whole, string_agg(y.line, chr(10) ORDER BY y.i) AS text
+  FROM s a JOIN s y ON a.doc_id = y.doc_id AND y.i >= a.i AND y.i < a.i + 50 WHERE a.all_heads = 0 AND a.i % 25 = 0 GROUP BY ALL)
+SELECT 'd/' || doc_id || '.' || (['rs', 'py', 'erl', 'md', 'html', 'txt'])[k + 1] AS path, section, name, CAST(start AS BIGINT) AS start, CAST(least(e, whole) AS BIGINT) AS "end",
+  md5(text || CASE WHEN kind = 'h' AND e <= whole THEN chr(10) ELSE '' END) AS md5 FROM (SELECT *, 'h' AS kind FROM heads UNION ALL SELECT *, 'w' FROM win)"""
+
+
+def term_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Of all documents as text files: pairs found in two places or more, ten a term."""
+    files = V.documents(spark, d).select(F.concat(F.lit("d/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    return vocabulary.term_graph(files, min_weight=8.0, k=10)
+
+
+SHARD_BYTES = 1 << 16
+
+
+def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    path = F.concat(F.lit("d/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    files = V.documents(spark, d).select(path.alias("path"), F.col("text").alias("content"))
+    return shards.shard_plan(files.select("path", (2 + F.octet_length("path") + F.coalesce(F.octet_length("content"), F.lit(0))).alias("size")), "path", "size", SHARD_BYTES), files
+
+
+def shard_plan(spark: SparkSession, d: str) -> DataFrame:
+    return _plan(spark, d)[0]
+
+
+_SHARDED = f"""WITH RECURSIVE f AS (SELECT 'd/' || lpad(doc_id::VARCHAR, 12, '0') AS path, CAST(16 + coalesce(strlen(text), 0) AS BIGINT) AS size, text FROM documents),
+o AS (SELECT path, size, text, row_number() OVER (ORDER BY path) - 1 AS no, CAST(sum(size) OVER (ORDER BY path) - size AS BIGINT) AS start FROM f),
+w AS (SELECT no, size AS filled, 0::BIGINT AS shard FROM o WHERE no = 0
+  UNION ALL SELECT o.no, CASE WHEN filled + size > {SHARD_BYTES} THEN size ELSE filled + size END, CASE WHEN filled + size > {SHARD_BYTES} THEN shard + 1 ELSE shard END FROM w JOIN o ON o.no = w.no + 1)"""
+SHARD_PLAN = f"{_SHARDED} SELECT path, size, no, start, shard FROM o JOIN w USING (no)"
+
+
+def shard_manifest(spark: SparkSession, d: str) -> DataFrame:
+    plan, files = _plan(spark, d)
+    return shards.shard_manifest(plan, files, "path", "content")
+
+
+SHARD_MANIFEST = f"{_SHARDED} SELECT shard, count(*) AS file_count, CAST(sum(size) AS BIGINT) AS bytes, min(start) AS corpus_start, max(start + size) AS corpus_end, sha256(string_agg(sha256(text), '' ORDER BY no)) AS sha256 FROM o JOIN w USING (no) GROUP BY shard"
+
+
 def dataset_manifest(spark: SparkSession, d: str) -> DataFrame:
     split = F.when(F.col("doc_id") % 10 == 0, "test").when(F.col("doc_id") % 10 == 1, "validation").otherwise("train")
     files = V.documents(spark, d).select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("path"), "doc_id", "text")
@@ -256,6 +351,12 @@ QUERIES = {
     "retrieval_metrics": (retrieval_metrics, RETRIEVAL_METRICS),
     "latency_stats": (latency_stats, LATENCY_STATS),
     "compare_reports": (compare_reports, COMPARE_REPORTS),
+    "report_gates": (report_gates, REPORT_GATES),
+    "report_verdicts": (report_verdicts, REPORT_VERDICTS),
+    "sections": (sections_by_language, SECTIONS_BY_LANGUAGE),
+    "term_graph": (term_graph, None),
+    "shard_plan": (shard_plan, SHARD_PLAN),
+    "shard_manifest": (shard_manifest, SHARD_MANIFEST),
     "dataset_manifest": (dataset_manifest, DATASET_MANIFEST),
     "memory_estimate": (memory_estimate, MEMORY_ESTIMATE),
     "federated_search": (federated_search, FEDERATED_SEARCH),
