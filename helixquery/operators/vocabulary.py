@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixquery.operators import sections
+from helixquery.operators import ordered, sections
 from helixquery.storage import stored
 
 #: Tokens of a block of a unit.
 BLOCK = 256
+#: Pairs that a task holds before it adds equal ones up.
+PAIRS = 4_000_000
 
 #: Words of questions that say nothing: fixed values.
 STOPWORDS = ["how", "does", "where", "what", "which", "when", "why", "is", "are", "the", "a", "an", "to", "and", "or", "in", "on", "for", "with", "from", "of", "it", "this", "that"]
@@ -44,22 +50,65 @@ def section_tokens(text: Column) -> Column:
     return F.sort_array(F.array_distinct(F.filter(parts, lambda x: F.octet_length(x) >= 2)))
 
 
-def pair_counts(units: DataFrame, tokens: str, weights: list[str] | None = None) -> DataFrame:
-    """term_a < term_b and in how many units both occur (n), or the sums of the units' columns `weights`.
+def pair_counts(units: DataFrame, tokens: str) -> DataFrame:
+    """term_a < term_b and in how many units both occur (n).
 
     Tokens (sorted, distinct) are cut into blocks, and a unit gives a row for each two of its blocks, which are dealt over all
     tasks: a unit's pairs are made in as many tasks as it has pairs of blocks, and summed there before they are shuffled.
     """
-    wanted = weights or []
     starts = F.sequence(F.lit(1), F.size("all"), F.lit(BLOCK))
-    rows = units.where(F.size(tokens) > 1).select(F.explode(F.array(F.col(tokens))).alias("all"), *wanted)
-    rows = rows.select("all", *wanted, F.explode(starts).alias("i"))
+    rows = units.where(F.size(tokens) > 1).select(F.explode(F.array(F.col(tokens))).alias("all"))
+    rows = rows.select("all", F.explode(starts).alias("i")).select("*", F.explode(F.sequence("i", F.size("all"), F.lit(BLOCK))).alias("j"))
+    rows = rows.select(F.slice("all", F.col("i"), F.lit(BLOCK)).alias("left"), F.slice("all", F.col("j"), F.lit(BLOCK)).alias("right"))
+    rows = rows.repartition(F.xxhash64("left", "right"))
+    rows = rows.select(F.explode("left").alias("term_a"), "right").select("term_a", F.explode("right").alias("term_b")).where("term_a < term_b")
+    return rows.groupBy("term_a", "term_b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def number_pairs(units: DataFrame, tokens: str, weights: list[str]) -> DataFrame:
+    """As pair_counts for tokens that are numbers below 2^31: a task adds up its pairs as longs before it sends them."""
+    starts = F.sequence(F.lit(1), F.size("all"), F.lit(BLOCK))
+    rows = units.where(F.size(tokens) > 1).select(F.col(tokens).alias("all"), *weights)
+    rows = rows.select("all", *weights, F.explode(starts).alias("i"))
     rows = rows.select("*", F.explode(F.sequence("i", F.size("all"), F.lit(BLOCK))).alias("j"))
-    rows = rows.select(F.slice("all", F.col("i"), F.lit(BLOCK)).alias("left"), F.slice("all", F.col("j"), F.lit(BLOCK)).alias("right"), *wanted)
+    rows = rows.select(F.slice("all", F.col("i"), F.lit(BLOCK)).alias("left"), F.slice("all", F.col("j"), F.lit(BLOCK)).alias("right"), *weights)
     rows = rows.repartition(F.xxhash64("left", "right"))
-    rows = rows.select(F.explode("left").alias("term_a"), "right", *wanted).select("term_a", F.explode("right").alias("term_b"), *wanted).where("term_a < term_b")
-    sums = [F.sum(w).alias(w) for w in wanted] or [F.count(F.lit(1)).alias("n")]
-    return rows.groupBy("term_a", "term_b").agg(*sums)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def sums() -> tuple[np.ndarray, np.ndarray]:
+            keys, n = np.concatenate([k for k, _ in held]), np.concatenate([x for _, x in held])
+            found, at = np.unique(keys, return_inverse=True)
+            out = np.zeros((len(found), len(weights)), dtype=np.int64)
+            for c in range(len(weights)):
+                out[:, c] = np.bincount(at, weights=n[:, c], minlength=len(found)).astype(np.int64)
+            return found, out
+
+        def pack(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(keys), 100_000):
+                part = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part] >> 31), pa.array(keys[part] & 0x7FFFFFFF), *(pa.array(n[part, c]) for c in range(len(weights)))], ["term_a", "term_b", *weights])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = (batch.column(c)[i].values.to_numpy() for c in (0, 1))
+                keys = ((x[:, None] << 31) | y[None, :])[x[:, None] < y[None, :]]
+                held.append((keys, np.broadcast_to(np.array([batch.column(2 + c)[i].as_py() for c in range(len(weights))], dtype=np.int64), (len(keys), len(weights)))))
+                size += len(keys)
+                if size >= PAIRS:
+                    held = [sums()]
+                    if len(held[0][0]) > PAIRS // 2:
+                        yield from pack(*held[0])
+                        held = []
+                    size = sum(len(k) for k, _ in held)
+        if held:
+            yield from pack(*sums())
+
+    kinds = ", ".join(f"{w} long" for w in weights)
+    each = rows.mapInArrow(add, f"term_a long, term_b long, {kinds}")
+    return each.groupBy("term_a", "term_b").agg(*(F.sum(w).alias(w) for w in weights))
 
 
 def cooccurrence(sections: DataFrame, files: DataFrame, min_weight: float = 1.0) -> DataFrame:
@@ -72,17 +121,18 @@ def cooccurrence(sections: DataFrame, files: DataFrame, min_weight: float = 1.0)
 
 
 def top_k(edges: DataFrame, k: int) -> DataFrame:
-    """The edges that a greedy choice keeps: heaviest first (ties by terms), as long as both ends have fewer than k kept ones.
+    """The edges that a greedy choice keeps: heaviest first (ties by a hash of both ends: in the order of the terms, one choice
+    would wait for another through the whole vocabulary), as long as both ends have fewer than k kept ones.
 
     By rounds: an edge that is among the heaviest open ones at both its ends, as many as these may still keep, is one that the
     greedy choice keeps, whatever else it does. Each round keeps all of those and closes the edges at full ends. A term's
     first k edges are found before the shuffle, so a term with very many edges is no task's work.
     """
-    open_ = stored(edges, "open-edges")
+    open_ = stored(edges.select("term_a", "term_b", "weight", F.xxhash64("term_a", "term_b").alias("tie")), "open-edges")
     kept: DataFrame | None = None
-    order = [F.desc("weight"), "term_a", "term_b"]
+    order = [F.desc("weight"), "tie", "term_a", "term_b"]
     while not open_.isEmpty():
-        ends = open_.select(F.col("term_a").alias("at"), "term_a", "term_b", "weight").union(open_.select("term_b", "term_a", "term_b", "weight"))
+        ends = open_.select(F.col("term_a").alias("at"), *open_.columns).union(open_.select("term_b", *open_.columns))
         best = ends.withColumn("rank", F.row_number().over(Window.partitionBy("at").orderBy(*order))).where(F.col("rank") <= k)
         if kept is not None:
             used = kept.select(F.explode(F.array("term_a", "term_b")).alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("used"))
@@ -94,7 +144,7 @@ def top_k(edges: DataFrame, k: int) -> DataFrame:
         rest = open_.join(now, ["term_a", "term_b"], "left_anti")
         for end in ("term_a", "term_b"):
             rest = rest.join(full.withColumnRenamed("at", end), end, "left_anti")
-        open_ = stored(rest.select(edges.columns), "open-edges")
+        open_ = stored(rest.select(open_.columns), "open-edges")
     return edges if kept is None else edges.join(kept, ["term_a", "term_b"], "left_semi")
 
 
@@ -106,10 +156,11 @@ def term_graph(files: DataFrame, min_weight: float = 1.0, k: int = 10) -> DataFr
     file_units = files.select("path", F.lit(-1).cast("long").alias("section"), section_tokens(F.col("content")).alias("tokens"))
     units = sections.sections(files).select("path", "section", section_tokens(F.col("text")).alias("tokens")).union(file_units)
     each = stored(units.select("path", "section", F.explode("tokens").alias("term")), "unit-terms")
-    numbers = stored(each.select("term").distinct().repartitionByRange("term").sortWithinPartitions("term").withColumn("no", F.monotonically_increasing_id()), "term-numbers")
+    numbers = ordered.placed(each.select("term").distinct(), [F.col("term").asc()])
+    numbers = stored(ordered.plain(ordered.row_numbers(numbers, "no")), "term-numbers")
     known = each.join(numbers, "term").groupBy("path", "section").agg(F.sort_array(F.collect_list("no")).alias("tokens"))
     known = known.select("tokens", (F.col("section") >= 0).cast("long").alias("section_count"), (F.col("section") < 0).cast("long").alias("file_count"))
-    edges = pair_counts(known, "tokens", ["section_count", "file_count"])
+    edges = number_pairs(known, "tokens", ["section_count", "file_count"])
     edges = edges.withColumn("weight", (3.0 * F.col("section_count") + F.col("file_count")).cast("double")).where(F.col("weight") >= min_weight)
     kept = top_k(stored(edges, "edges"), k)
     for end in ("term_a", "term_b"):

@@ -249,7 +249,7 @@ SECTIONS_BY_LANGUAGE = r"""WITH l AS (SELECT doc_id, doc_id % 6 AS k, i, n, x, s
 m AS (SELECT *, CASE WHEN length(x) % 5 <> 1 THEN ' ' || x WHEN k = 0 THEN 'pub fn ' || w || '(x) {' WHEN k = 1 THEN 'class ' || w || ':' WHEN k = 2 THEN 'f_' || w || '(' WHEN k = 3 THEN '## ' || w WHEN k = 4 THEN '<h2>' || w || '</h2>'
   ELSE upper(w) || ' X-Y' END AS line FROM l),
 b AS (SELECT *, CASE WHEN k = 3 THEN CASE WHEN starts_with(trim(line), '#') THEN trim(line) END WHEN k = 5 THEN CASE WHEN regexp_full_match(trim(line), '[A-Z \-À-ÖØ-Þ]{3,}') AND regexp_matches(line, '[A-ZÀ-ÖØ-Þ]') THEN trim(line) END
-  WHEN length(x) % 5 = 1 THEN CASE k WHEN 0 THEN 'pub fn ' || w || '(x)' WHEN 1 THEN 'class ' || w WHEN 2 THEN 'f_' || w || '()' WHEN 4 THEN CASE WHEN w = '' THEN '<h2></h2>' ELSE w END END END AS head,
+  WHEN length(x) % 5 = 1 THEN CASE k WHEN 0 THEN 'pub fn ' || w || '(x)' WHEN 1 THEN rtrim('class ' || w) WHEN 2 THEN 'f_' || w || '()' WHEN 4 THEN CASE WHEN w = '' THEN '<h2></h2>' ELSE w END END END AS head,
   sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - strlen(line) - 1 AS pos, sum(strlen(line) + 1) OVER (PARTITION BY doc_id) - 1 AS whole FROM m),
 s AS (SELECT *, count(head) OVER (PARTITION BY doc_id ORDER BY i) AS sec, count(head) OVER (PARTITION BY doc_id) AS all_heads FROM b),
 heads AS (SELECT doc_id, k, sec - 1 AS section, first(head ORDER BY i) AS name, min(pos) AS start, max(pos + strlen(line) + 1) AS e, any_value(whole) AS whole, string_agg(line, chr(10) ORDER BY i) AS text FROM s WHERE all_heads > 0 AND sec > 0 GROUP BY doc_id, k, sec),
@@ -260,8 +260,9 @@ SELECT 'd/' || doc_id || '.' || (['rs', 'py', 'erl', 'md', 'html', 'txt'])[k + 1
 
 
 def term_graph(spark: SparkSession, d: str) -> DataFrame:
-    """Of all documents as text files: pairs found in two places or more, ten a term."""
-    files = V.documents(spark, d).select(F.concat(F.lit("d/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    """Of all conversations as text files: pairs of weight 8 or more (two places at least), ten a term."""
+    turns = V.table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    files = turns.select(F.concat(F.lit("c/"), "conv_id", F.lit(".txt")).alias("path"), F.array_join(F.transform("t", lambda x: x.text), "\n").alias("content"))
     return vocabulary.term_graph(files, min_weight=8.0, k=10)
 
 
