@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from helixquery.storage import stored
 BLOCK = 256
 #: Pairs that a task holds before it adds equal ones up.
 PAIRS = 4_000_000
+#: Open edges of the greedy choice that one task ends.
+FEW_EDGES = 200_000
 
 #: Words of questions that say nothing: fixed values.
 STOPWORDS = ["how", "does", "where", "what", "which", "when", "why", "is", "are", "the", "a", "an", "to", "and", "or", "in", "on", "for", "with", "from", "of", "it", "this", "that"]
@@ -120,27 +123,48 @@ def cooccurrence(sections: DataFrame, files: DataFrame, min_weight: float = 1.0)
     return both.where(F.col("weight") >= min_weight)
 
 
+def _greedy(edges: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The plain choice over a bounded number of edges, with what their ends have kept before."""
+    used = dict(zip(edges["term_a"], edges["used_term_a"], strict=True)) | dict(zip(edges["term_b"], edges["used_term_b"], strict=True))
+    edges = edges.sort_values(["weight", "tie", "term_a", "term_b"], ascending=[False, True, True, True])
+    kept = []
+    for a, b in zip(edges["term_a"], edges["term_b"], strict=True):
+        if used[a] < k and used[b] < k:
+            used[a] += 1
+            used[b] += 1
+            kept.append((a, b))
+    return pd.DataFrame(kept, columns=["term_a", "term_b"])
+
+
 def top_k(edges: DataFrame, k: int) -> DataFrame:
     """The edges that a greedy choice keeps: heaviest first (ties by a hash of both ends: in the order of the terms, one choice
     would wait for another through the whole vocabulary), as long as both ends have fewer than k kept ones.
 
     By rounds: an edge that is among the heaviest open ones at both its ends, as many as these may still keep, is one that the
     greedy choice keeps, whatever else it does. Each round keeps all of those and closes the edges at full ends. A term's
-    first k edges are found before the shuffle, so a term with very many edges is no task's work.
+    first k edges are found before the shuffle, so a term with very many edges is no task's work. The last FEW_EDGES open edges
+    are one task's work.
     """
     open_ = stored(edges.select("term_a", "term_b", "weight", F.xxhash64("term_a", "term_b").alias("tie")), "open-edges")
     kept: DataFrame | None = None
     order = [F.desc("weight"), "tie", "term_a", "term_b"]
-    while not open_.isEmpty():
+    used = open_.select(F.col("term_a").alias("at"), F.lit(0).alias("used")).where("false")
+    while (left := open_.count()) > 0:
+        if left <= FEW_EDGES:
+            rest = open_
+            for end in ("term_a", "term_b"):
+                rest = rest.join(used.select(F.col("at").alias(end), F.col("used").alias(f"used_{end}")), end, "left").fillna(0, [f"used_{end}"])
+            kind = open_.schema["term_a"].dataType.simpleString()
+            last = rest.groupBy(F.lit(0).alias("one")).applyInPandas(lambda x: _greedy(x, k), f"term_a {kind}, term_b {kind}")
+            kept = stored(last, "kept-edges") if kept is None else kept.union(stored(last, "kept-edges"))
+            break
         ends = open_.select(F.col("term_a").alias("at"), *open_.columns).union(open_.select("term_b", *open_.columns))
         best = ends.withColumn("rank", F.row_number().over(Window.partitionBy("at").orderBy(*order))).where(F.col("rank") <= k)
-        if kept is not None:
-            used = kept.select(F.explode(F.array("term_a", "term_b")).alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("used"))
-            best = best.join(used, "at", "left").where(F.col("rank") <= k - F.coalesce("used", F.lit(0)))
+        best = best.join(used, "at", "left").where(F.col("rank") <= k - F.coalesce("used", F.lit(0)))
         now = stored(best.groupBy("term_a", "term_b").agg(F.count(F.lit(1)).alias("ends")).where("ends = 2").select("term_a", "term_b"), "kept-edges")
         kept = now if kept is None else kept.union(now)
-        full = kept.select(F.explode(F.array("term_a", "term_b")).alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("used")).where(F.col("used") >= k)
-        full = stored(full.select("at"), "full-terms")
+        used = stored(kept.select(F.explode(F.array("term_a", "term_b")).alias("at")).groupBy("at").agg(F.count(F.lit(1)).cast("int").alias("used")), "used-terms")
+        full = used.where(F.col("used") >= k).select("at")
         rest = open_.join(now, ["term_a", "term_b"], "left_anti")
         for end in ("term_a", "term_b"):
             rest = rest.join(full.withColumnRenamed("at", end), end, "left_anti")

@@ -114,8 +114,9 @@ def test_novelty_equals_all_pairs(spark, monkeypatch, block):
     assert got == want
 
 
-@pytest.mark.parametrize("k", [1, 3])
-def test_top_k_equals_a_plain_greedy_choice(spark, k):
+@pytest.mark.parametrize("k,few", [(1, 0), (3, 0), (3, 40), (2, 10**6)])
+def test_top_k_equals_a_plain_greedy_choice(spark, monkeypatch, k, few):
+    monkeypatch.setattr(vocabulary, "FEW_EDGES", few)
     r = random.Random(k)
     edges = {tuple(sorted(r.sample(range(25), 2))): float(r.choice([1, 1, 1, 2, 5])) for _ in range(250)}
     df = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "term_a long, term_b long, weight double")
