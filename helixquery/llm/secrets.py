@@ -1,7 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is the first layer. Every layer is scanned for secrets and unwrapped: URL escapes, Unicode
-escapes, base64 runs, and compressed bytes inside base64. Each result is a layer of its own that waits
+escapes, base64 runs (over wrapped lines, from each of the four places where a group of four letters may begin, so that what
+stands in front of or behind an encoded secret doesn't hide it), and compressed bytes anywhere inside base64. Each result is a layer of its own that waits
 in the worklist unless a layer with the same content from the same places of the text was seen (cycles
 end there, equal content from other places does not); the work ends when nothing new comes up. Every layer knows for each of its characters which characters of the text it came
 from, so that findings of any depth are spans of the text.
@@ -9,12 +10,13 @@ from, so that findings of any depth are spans of the text.
 Defined results: null or empty texts have no spans; the same span found in several layers counts once.
 A compressed run is unpacked to its end, over all members, in pieces of about PIECE bytes that are cut where no
 pattern can match across, so memory is bounded by PIECE and the longest stretch without such a place, and time is
-not bounded: a bomb is scanned whole. A broken stream is scanned as far as it goes; what isn't UTF-8 is no layer.
+not bounded: a bomb is scanned whole. A broken stream is scanned as far as it goes. Bytes that aren't UTF-8 stand as U+FFFD in a URL
+escape; of decoded base64 and of unpacked bytes the UTF-8 stretches of SHORTEST characters or more are layers. A text is unwrapped in pieces between
+characters that no encoding has, so what a layer knows of its places is as long as its piece.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import codecs
@@ -38,8 +40,19 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+UNICODE_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
+#: A run, over the ends of lines that are all of it.
+BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}\r?\n[ \t]*)*[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]{1,15}(?![A-Za-z0-9+/_-]))?={0,2}")
+LINE_END = re.compile(r"\r?\n[ \t]*")
+#: Letters of the shortest secret.
+SHORTEST = 12
+#: One character of UTF-8.
+_UTF8 = rb"[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
+STRETCH = re.compile(rb"(?:" + _UTF8 + rb"){%d,}" % SHORTEST)
+ONE = re.compile(rb"(?:" + _UTF8 + rb")|[\x80-\xff]")
+PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\x78[\x01\x5e\x9c\xda]|\x28\xb5\x2f\xfd")
+#: Stretches of a text that are unwrapped by themselves.
+TOGETHER = re.compile(r"""[A-Za-z0-9+/_.=\-"'\x20:%\\&#;\t\r\n]+""")
 #: Texts without any of these have neither secrets nor layers.
 WORTH_A_LOOK = r"(?i)password|passwd|secret|token|api_?key|AKIA|[0-9a-f]{24}|%[0-9a-f]{2}|\\[ux][0-9a-f]{2}|&#|[a-z0-9+/_-]{16}"
 #: Characters outside all patterns: a text may be cut behind one, no match of any layer reaches over it.
@@ -56,24 +69,14 @@ def base_spans(s: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _chars(raw: bytes, from_: list[int], to: list[int]) -> tuple[str, list[int], list[int]] | None:
-    """Bytes with their sources as characters with theirs; None if they are no UTF-8."""
-    try:
-        s = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    starts, ends, at = [], [], 0
-    for c in s:
-        n = len(c.encode())
-        starts.append(from_[at])
-        ends.append(to[at + n - 1])
-        at += n
-    return s, starts, ends
-
-
-def _url(m: re.Match) -> tuple[str, list[int], list[int]] | None:
-    places = range(m.start(), m.end(), 3)
-    return _chars(binascii.unhexlify(m[0].replace("%", "")), list(places), [p + 3 for p in places])
+def _url(m: re.Match) -> tuple[str, list[int], list[int]]:
+    out, starts, ends = [], [], []
+    raw, a = binascii.unhexlify(m[0].replace("%", "")), m.start()
+    for c in ONE.finditer(raw):
+        out.append(c[0].decode(errors="replace"))
+        starts.append(a + 3 * c.start())
+        ends.append(a + 3 * c.end())
+    return "".join(out), starts, ends
 
 
 def _unicode(m: re.Match) -> tuple[str, list[int], list[int]] | None:
@@ -83,6 +86,9 @@ def _unicode(m: re.Match) -> tuple[str, list[int], list[int]] | None:
         return (chr(number), [a], [m.end()]) if number <= 0x10FFFF and not 0xD800 <= number < 0xE000 else None
     if s[1] == "x":
         return chr(int(s[2:], 16)), [a], [m.end()]
+    if s[1] == "U":
+        number = int(s[2:], 16)
+        return (chr(number), [a], [m.end()]) if number <= 0x10FFFF and not 0xD800 <= number < 0xE000 else None
     units = [int(s[i + 2 : i + 6], 16) for i in range(0, len(s), 6)]
     out, starts, ends, i = [], [], [], 0
     while i < len(units):
@@ -154,8 +160,9 @@ def _member(source: _Source) -> Iterator[bytes]:
     source.left = d.unused_data + source.left
 
 
-def unpacked(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """What compressed bytes hold, by the first bytes of each member, as far as it can be read; nothing if they aren't compressed."""
+def unpacked(pieces: Iterator[bytes], rest: list[int] | None = None) -> Iterator[bytes]:
+    """What compressed bytes hold, by the first bytes of each member, as far as it can be read; nothing if they aren't compressed.
+    rest: gets the number of bytes behind the last member that were read."""
     source = _Source(pieces)
     try:
         while True:
@@ -168,8 +175,12 @@ def unpacked(pieces: Iterator[bytes]) -> Iterator[bytes]:
                 reader = zstandard.ZstdDecompressor(max_window_size=1 << 31).stream_reader(source, read_across_frames=True)
                 while out := reader.read(PIECE):
                     yield out
+                if rest is not None:
+                    rest.append(len(source.left))
                 return
             else:
+                if rest is not None:
+                    rest.append(len(source.left))
                 return
     except (zlib.error, OSError, ValueError, EOFError):  # a broken stream ends here
         return
@@ -178,24 +189,19 @@ def unpacked(pieces: Iterator[bytes]) -> Iterator[bytes]:
             raise
 
 
-def _is_text(pieces: Iterator[bytes]) -> tuple[bool, bytes, bytes | None]:
-    """Whether bytes are UTF-8 (but for a character cut at their end), their digest, and themselves if they are few."""
-    decoder, h, few, size, good = codecs.getincrementaldecoder("utf-8")(), hashlib.sha256(), [], 0, True
+def _digest(pieces: Iterator[bytes]) -> tuple[bytes, bytes | None]:
+    """The digest of bytes, and themselves if they are few."""
+    h, few, size = hashlib.sha256(), [], 0
     for x in pieces:
         h.update(x)
         size += len(x)
         few = [*few, x] if size <= 4 * PIECE else []
-        if good:
-            try:
-                decoder.decode(x)
-            except UnicodeDecodeError:
-                good = False
-    return good and size > 0, h.digest(), b"".join(few) if size <= 4 * PIECE else None
+    return h.digest(), b"".join(few) if size <= 4 * PIECE else None
 
 
 def _text_pieces(pieces: Iterator[bytes]) -> Iterator[str]:
-    """UTF-8 as strings of about PIECE bytes, cut behind characters that no pattern has."""
-    decoder, held, size = codecs.getincrementaldecoder("utf-8")(), [], 0
+    """The UTF-8 in bytes (U+FFFD for the rest) as strings of about PIECE bytes, cut behind characters that no pattern has."""
+    decoder, held, size = codecs.getincrementaldecoder("utf-8")("replace"), [], 0
     for x in pieces:
         new = decoder.decode(x)
         size += len(new)
@@ -212,38 +218,65 @@ def _text_pieces(pieces: Iterator[bytes]) -> Iterator[str]:
         yield "".join(held)
 
 
-def unpacked_texts(raw: bytes) -> Iterator[str]:
-    """The text of all levels of compression in raw (not raw itself), in pieces."""
-    chain: Callable[[], Iterator[bytes]] = lambda: iter([raw])
-    seen = {hashlib.sha256(raw).digest()}
+def unpacked_texts(raw: bytes, start: int = 0, end: list[int] | None = None) -> Iterator[str]:
+    """The text of all levels of compression in raw from a place on (not raw itself), in pieces. end: gets where it ends."""
+    rest: list[int] = []
+    read = start
+
+    def chunks() -> Iterator[bytes]:
+        nonlocal read
+        for i in range(start, len(raw), 1 << 16):
+            read = min(len(raw), i + (1 << 16))
+            yield raw[i : i + (1 << 16)]
+
+    chain: Callable[[], Iterator[bytes]] = chunks
+    seen = {hashlib.sha256().digest()}
     while True:
-        inner = lambda outer=chain: unpacked(outer())
-        good, digest, few = _is_text(inner())
-        if digest in seen or digest == hashlib.sha256().digest():
+        inner = lambda outer=chain: unpacked(outer(), rest)
+        digest, few = _digest(inner())
+        if end is not None and not end:
+            end.append(read - rest[0] if rest else start + 1)
+        if digest in seen:
             return
         seen.add(digest)
         chain = inner if few is None else lambda few=few: iter([few])
-        if good:
-            yield from _text_pieces(chain())
+        yield from _text_pieces(chain())
 
 
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
     s, starts, ends = layer
     for m in BASE64.finditer(s):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        a, b = m.start(), m.end()
-        for inner in unpacked_texts(raw):
-            yield inner, np.full(len(inner), starts[a]), np.full(len(inner), ends[b - 1])
-        place = range(len(raw))
-        got = _chars(raw, [a + 4 * (i // 3) + i % 3 for i in place], [min(b, a + 4 * (i // 3) + i % 3 + 2) for i in place])
-        if got:
-            yield got[0], starts[got[1]], ends[np.array(got[2], dtype=np.int64) - 1]
+        run, at = m[0], np.arange(m.start(), m.end(), dtype=np.int32)
+        breaks = list(LINE_END.finditer(run))
+        if breaks:
+            keep = np.ones(len(run), dtype=bool)
+            for x in breaks:
+                keep[x.start() : x.end()] = False
+            run, at = LINE_END.sub("", run), at[keep]
+        run = run.rstrip("=").replace("-", "+").replace("_", "/")
+        for shift in range(4):
+            part = run[shift : shift + (len(run) - shift) // 4 * 4] if (len(run) - shift) % 4 == 1 else run[shift:]
+            raw = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+            done, taken = 0, []
+            for packed in PACKED.finditer(raw):
+                if packed.start() < done:  # a member of what was unpacked
+                    continue
+                first, end = shift + 4 * (packed.start() // 3), []
+                for inner in unpacked_texts(raw, packed.start(), end):
+                    done = end[0]
+                    yield inner, np.full(len(inner), starts[at[first]]), np.full(len(inner), ends[at[-1]])
+                if done > packed.start():
+                    taken.append((packed.start(), done))
+            for x in STRETCH.finditer(raw):
+                if any(a <= x.start() and x.end() <= b for a, b in taken):  # bytes of a compressed stream are no text
+                    continue
+                text_ = x[0].decode()
+                sizes = np.array([len(c.encode()) for c in text_]) if len(text_) < len(x[0]) else np.ones(len(text_), dtype=np.int64)
+                until = x.start() + np.cumsum(sizes)
+                a, b = until - sizes, until - 1  # first and last byte of each character
+                low = shift + 4 * (a // 3) + a % 3
+                high = np.minimum(shift + 4 * (b // 3) + b % 3 + 1, len(run) - 1)
+                yield text_, starts[at[low]], ends[at[high]]
 
 
 def _layers(layer: Layer) -> Iterator[Layer]:
@@ -265,19 +298,22 @@ def _identity(layer: Layer) -> bytes:
 def all_spans(s: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the secrets in s and in what is encoded in it."""
     found = set(base_spans(s))
-    if not (URL_ESCAPE.search(s) or UNICODE_ESCAPE.search(s) or BASE64.search(s)):
-        return sorted(found)
-    whole: Layer = (s, np.arange(len(s)), np.arange(1, len(s) + 1))
-    work, seen = [_layers(whole)], {_identity(whole)}
-    while work:
-        layer = next(work[-1], None)
-        if layer is None:
-            work.pop()
-        elif layer[0] and (same := _identity(layer)) not in seen:
-            seen.add(same)
-            for a, kind, b in base_spans(layer[0]):
-                found.add((int(layer[1][a:b].min()), kind, int(layer[2][a:b].max())))
-            work.append(_layers(layer))
+    for m in TOGETHER.finditer(s):
+        own = m[0]
+        if not (URL_ESCAPE.search(own) or UNICODE_ESCAPE.search(own) or BASE64.search(own)):
+            continue
+        places = np.arange(m.start(), m.end() + 1, dtype=np.int64 if len(s) >= 1 << 31 else np.int32)
+        whole: Layer = (own, places[:-1], places[1:])
+        work, seen = [_layers(whole)], {_identity(whole)}
+        while work:
+            layer = next(work[-1], None)
+            if layer is None:
+                work.pop()
+            elif layer[0] and (same := _identity(layer)) not in seen:
+                seen.add(same)
+                for a, kind, b in base_spans(layer[0]):
+                    found.add((int(layer[1][a:b].min()), kind, int(layer[2][a:b].max())))
+                work.append(_layers(layer))
     return sorted(found)
 
 

@@ -230,6 +230,60 @@ def test_wrapped_secrets_are_found(wrap):
     assert spans and all(len(head) <= a < b <= len(head) + len(inner) for a, _, b in spans)
 
 
+B64 = lambda b: base64.b64encode(b if isinstance(b, bytes) else b.encode()).decode()
+URL = lambda b: "".join(f"%{c:02x}" for c in (b if isinstance(b, bytes) else b.encode()))
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "https://h.example/cb/" + B64("token=abcdefghij"),
+        "key_" + B64("token=abcdefghij"),
+        "id-" + B64("token=abcdefghij") + "-v2",
+        B64(b"\xff\xfe" + b"token=abcdefghij" + b"\x80"),
+        "\n".join(re.findall(".{1,76}", B64("é some words before it, " * 4 + "token=abcdefghij and more " * 9))),
+        "  \r\n  ".join(re.findall(".{1,64}", B64("words " * 30 + "token=abcdefghij"))).replace("  \r", "\r"),
+        "%ff" + URL("token=abcdefghij"),
+        "%e9" + URL("token=abcdefghij"),
+        "".join(f"\\U{ord(c):08x}" for c in "token=abcdefghij"),
+        "x/" + B64(b"\x00\x01\x02" + zlib.compress(b"token=abcdefghij")),
+        "_" + B64("-" + B64("/" + B64("token=abcdefghij"))),
+        URL("a/" + B64("token=abcdefghij")),
+    ],
+)
+def test_secrets_are_found_beside_what_is_no_part_of_their_encoding(inner):
+    for head, tail in (("", ""), ("é see: ", ", end"), ('"', '"'), ("<", ">"), ("(=", ")")):
+        spans = [(a, b) for a, k, b in secrets.all_spans(head + inner + tail) if k == 0]
+        assert spans and all(len(head) <= a < b <= len(head) + len(inner) for a, b in spans), (head, inner, spans)
+
+
+def test_random_wraps_around_secrets():
+    r = random.Random(12)
+    wraps = [B64, URL, lambda x: B64(gzip.compress(x.encode() if isinstance(x, str) else x)), lambda x: "".join(f"&#{c};" for c in (x.encode() if isinstance(x, str) else x)), lambda x: B64(bytes(r.randrange(128, 192) for _ in range(r.randrange(4))) + (x.encode() if isinstance(x, str) else x))]
+    noise = ["", "/", "_", "-", "a/", "id_", "q-", " ", "\n", '"', "é", "=", "%zz", "\\u12"]
+    for _ in range(400):
+        s = "token=" + "".join(r.choice("abcdef123") for _ in range(8))
+        for _ in range(r.randint(1, 3)):
+            s = r.choice(noise[:7]) + r.choice(wraps)(s)
+        head, tail = r.choice(noise), r.choice(noise[1:])
+        spans = [(a, b) for a, k, b in secrets.all_spans(head + s + " " + tail) if k == 0]
+        assert any(len(head) <= a < b <= len(head) + len(s) for a, b in spans), (head, s, tail, spans)
+
+
+def test_words_alone_hide_no_secrets():
+    r = random.Random(13)
+    for _ in range(300):
+        s = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFG/_-") for _ in range(r.randrange(3, 60))) for _ in range(20))
+        assert secrets.all_spans(s) == secrets.base_spans(s)
+
+
+def test_null_empty_repeated_and_clashing_texts(spark):
+    texts = [None, "", SECRET, SECRET, "x" * 300_000 + " " + SECRET]
+    rows = {r.doc_id: r.spans for r in table(spark, texts, **CLASH, spans=1).select("doc_id", secrets.secrets("text").alias("f")).select("doc_id", "f.*").collect()}
+    assert rows[0] == rows[1] == "" and rows[2] == rows[3] != "" and rows[4].startswith("assign:300001:")
+    assert table(spark, []).select(secrets.secrets("text")).count() == 0
+
+
 def test_equal_secrets_at_several_places_are_all_found():
     one, url = base64.b64encode(SECRET.encode()).decode(), "".join(f"%{c:02x}" for c in SECRET.encode())
     for parts in ([one] * 3, [url] * 3, [one, base64.b64encode(one.encode()).decode(), url]):
