@@ -13,15 +13,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixquery.operators import ordered
+from helixquery.sources.files import FASTA, FASTQ
 from helixquery.storage import stored
 
 #: Peak memory per corpus byte, margin on the peak, and the share of free memory that a peak may take: fixed values.
 PEAK, MARGIN, FREE_SHARE = 6, 0.25, 0.70
 
 
-def manifest(files: DataFrame, path: str, content: str, split: Column) -> DataFrame:
-    """path, size (bytes), sha256, split of every file."""
-    return files.select(path, F.octet_length(content).cast("long").alias("size"), F.sha2(F.col(content), 256).alias("sha256"), split.alias("split"))
+def manifest(files: DataFrame, path: str, content: str, split: Column, source_url: str | None = None, license: str | None = None) -> DataFrame:
+    """path, format (fasta or fastq by the name's end, packed or not; null for others), size (bytes), sha256, split, source_url
+    and license of every file."""
+    name = F.regexp_extract(F.lower(path), r"\.([a-z]+)(\.gz|\.xz)?$", 1)
+    kind = F.when(name.isin(*FASTA), "fasta").when(name.isin(*FASTQ), "fastq")
+    own = lambda x: F.lit(x).cast("string")
+    return files.select(path, kind.alias("format"), F.octet_length(content).cast("long").alias("size"), F.sha2(F.col(content), 256).alias("sha256"), split.alias("split"), own(source_url).alias("source_url"), own(license).alias("license"))
+
+
+def manifest_totals(entries: DataFrame) -> DataFrame:
+    """split, format, total_files, total_bytes: by both, by either, and of all (nulls stand for any)."""
+    return entries.cube("split", "format").agg(F.count(F.lit(1)).alias("total_files"), F.sum("size").alias("total_bytes"))
 
 
 def shard_plan(files: DataFrame, path: str, size: str, target: int) -> DataFrame:

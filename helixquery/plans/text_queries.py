@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixquery.operators import scoring, search, sections, shards, vocabulary
+from helixquery.operators import generation, scoring, search, sections, shards, vocabulary
 from helixquery.operators.kmers import top_per_group
 from helixquery.plans import views as V
+from helixquery.storage import stored
+
 
 def batch_search(spark: SparkSession, d: str) -> DataFrame:
     return search.counts(V.documents(spark, d), "doc_id", "text", V.patterns(spark, d), "pattern")
@@ -38,12 +40,34 @@ SELECT doc_id, pattern, CAST(off AS BIGINT) AS "offset", CAST(len(string_split(h
        substr(x, CAST(2 * greatest(off - 40, 0) + 1 AS BIGINT), CAST(2 * (off + strlen(pattern) + 40 - greatest(off - 40, 0)) AS BIGINT)) AS context FROM h"""
 
 
+def _in_context(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    """Occurrences with line, column and 40 bytes on either side, as hex."""
+    docs = V.documents(spark, d).select("doc_id", "text")
+    line, column = search.line_and_column(F.col("text"), F.col("offset"))
+    around = search.context(F.col("text"), F.col("offset"), F.octet_length("pattern"), 40)
+    return found.join(docs, "doc_id").select(*found.columns, line.cast("long").alias("line"), column.cast("long").alias("col"), F.hex(around).alias("context"))
+
+
 def search_page(spark: SparkSession, d: str) -> DataFrame:
-    """The first 20 occurrences of all patterns."""
-    return _located(spark, d).orderBy("doc_id", "offset", "pattern").limit(20)
+    """The first 20 occurrences of all patterns, in context."""
+    return _in_context(spark, d, _located(spark, d).orderBy("doc_id", "offset", "pattern").limit(20))
+
 
+_CONTEXT = f"""h AS (SELECT *, {_AT} AS off, {_HEAD} AS head, hex(encode(text)) AS x FROM hits),
+found AS (SELECT doc_id, pattern, CAST(off AS BIGINT) AS "offset", CAST(len(string_split(head, chr(10))) AS BIGINT) AS line, CAST(strlen(string_split(head, chr(10))[-1]) + 1 AS BIGINT) AS col,
+  substr(x, CAST(2 * greatest(off - 40, 0) + 1 AS BIGINT), CAST(2 * (off + strlen(pattern) + 40 - greatest(off - 40, 0)) AS BIGINT)) AS context FROM h)"""
+SEARCH_PAGE = f'WITH {V.HITS}, {_CONTEXT} SELECT * FROM found ORDER BY doc_id, "offset", pattern LIMIT 20'
 
-SEARCH_PAGE = f'WITH {V.HITS} SELECT doc_id, pattern, CAST({_AT} AS BIGINT) AS "offset" FROM hits ORDER BY doc_id, "offset", pattern LIMIT 20'
+
+def search_one(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten occurrences of the first eight characters of an item, in context."""
+    asked = V.patterns(spark, d).where("item_id = 0").select(F.left("pattern", F.lit(8)).alias("pattern"))
+    docs = V.documents(spark, d).select("doc_id", "text")
+    return _in_context(spark, d, search.hits(docs, "doc_id", "text", asked).orderBy("doc_id", "offset").limit(10))
+
+
+_ONE = V.HITS.replace(V.PATTERNS, "patterns AS (SELECT item_id, left(text, 8) AS pattern FROM benchmark WHERE item_id = 0)")
+SEARCH_ONE = f'WITH {_ONE}, {_CONTEXT} SELECT * FROM found ORDER BY doc_id, "offset" LIMIT 10'
 
 
 def search_multi(spark: SparkSession, d: str) -> DataFrame:
@@ -198,6 +222,45 @@ s{k} AS (SELECT event_type, unnest(['p50', 'p95', 'mean']) AS metric, unnest([ma
 COMPARE_REPORTS = f"WITH {_side(0)}, {_side(1)} SELECT event_type, metric, s0.x AS baseline, s1.x AS candidate, round(s1.x - s0.x, 6) AS delta, round(CASE WHEN s0.x <> 0 THEN (s1.x - s0.x) / s0.x END, 6) AS relative FROM s0 JOIN s1 USING (event_type, metric)"
 
 
+QUERY_BASES, SEED = 24, 42
+
+
+def _generated(spark: SparkSession, d: str) -> DataFrame:
+    """A query for every ten documents, from the documents' bases."""
+    g = V.genome(spark, d).select("doc_id", "seq")
+    return generation.generated_queries(g, "doc_id", "seq", QUERY_BASES, -(-g.count() // 10), SEED)
+
+
+def generated_queries(spark: SparkSession, d: str) -> DataFrame:
+    return _generated(spark, d)
+
+
+def _seeded(what: str) -> str:
+    return f"('0x' || left(md5('{SEED}:' || i || ':{what}'), 12))::BIGINT"
+
+
+_GENERATED = f"""{V.GENOME}, num AS (SELECT doc_id, seq, row_number() OVER (ORDER BY doc_id) - 1 AS no, count(*) OVER () AS total FROM genome WHERE length(seq) >= {QUERY_BASES}),
+i AS (SELECT unnest(range((SELECT (count(*) + 9) // 10 FROM documents))) AS i), a AS (SELECT i, {_seeded("record")} % (SELECT any_value(total) FROM num) AS no, {_seeded("place")} AS x FROM i),
+gen AS (SELECT i AS query_id, doc_id AS origin, x % (length(seq) - {QUERY_BASES} + 1) AS "offset", substr(seq, CAST(x % (length(seq) - {QUERY_BASES} + 1) + 1 AS BIGINT), {QUERY_BASES}) AS pattern FROM a JOIN num USING (no))"""
+GENERATED_QUERIES = f'WITH {_GENERATED} SELECT query_id, pattern, origin, "offset" FROM gen'
+
+
+def generated_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Hit, precision, recall and NDCG at 5 of ranking documents by a generated query's occurrences; its origin is relevant."""
+    asked = stored(_generated(spark, d), "generated")
+    g = V.genome(spark, d).select("doc_id", "seq")
+    found = search.hits(g, "doc_id", "seq", asked).select("doc_id", "pattern").distinct().join(asked, "pattern").join(g, "doc_id")
+    scored = found.select("query_id", "doc_id", search.apart(F.col("seq"), F.col("pattern")).alias("score"))
+    ranked = top_per_group(scored, "query_id", [F.desc("score"), "doc_id"], 10)
+    return scoring.retrieval_metrics(ranked, asked.select("query_id", F.col("origin").alias("doc_id")), asked, 5)
+
+
+GENERATED_RETRIEVAL = f"""WITH {_GENERATED}, c AS (SELECT query_id, origin, doc_id, (length(seq) - length(replace(seq, pattern, ''))) // {QUERY_BASES} AS score FROM genome JOIN gen ON contains(seq, pattern)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c), k AS (SELECT query_id, rank FROM r WHERE doc_id = origin AND rank <= 5)
+SELECT query_id, CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS hit, CASE WHEN rank IS NULL THEN 0.0 ELSE 0.2 END::DOUBLE AS precision, CASE WHEN rank IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS recall,
+       round(coalesce(1 / log2(rank + 1), 0), 6)::DOUBLE AS ndcg FROM gen LEFT JOIN k USING (query_id)"""
+
+
 def report_gates(spark: SparkSession, d: str) -> DataFrame:
     """Languages as systems: hit and recall of the benchmark's items at 5 and at 1 (the baseline), event times as latencies."""
     return scoring.gated(_measures(spark, d), "lang")
@@ -294,13 +357,27 @@ def shard_manifest(spark: SparkSession, d: str) -> DataFrame:
 SHARD_MANIFEST = f"{_SHARDED} SELECT shard, count(*) AS file_count, CAST(sum(size) AS BIGINT) AS bytes, min(start) AS corpus_start, max(start + size) AS corpus_end, sha256(string_agg(sha256(text), '' ORDER BY no)) AS sha256 FROM o JOIN w USING (no) GROUP BY shard"
 
 
-def dataset_manifest(spark: SparkSession, d: str) -> DataFrame:
+def _manifest(spark: SparkSession, d: str) -> DataFrame:
     split = F.when(F.col("doc_id") % 10 == 0, "test").when(F.col("doc_id") % 10 == 1, "validation").otherwise("train")
-    files = V.documents(spark, d).select(F.concat(F.lit("doc/"), F.col("doc_id")).alias("path"), "doc_id", "text")
-    return shards.manifest(files, "path", "text", split)
+    kind = F.when(F.col("doc_id") % 2 == 0, ".fa.gz").otherwise(".fastq")
+    files = V.documents(spark, d).select(F.concat(F.lit("doc/"), F.col("doc_id"), kind).alias("path"), "doc_id", "text")
+    return shards.manifest(files, "path", "text", split, "https://example.org/data", None)
+
+
+def dataset_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return _manifest(spark, d)
+
+
+_MANIFEST = """m AS (SELECT 'doc/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.fa.gz' ELSE '.fastq' END AS path, CASE WHEN doc_id % 2 = 0 THEN 'fasta' ELSE 'fastq' END AS format, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256,
+CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split, 'https://example.org/data' AS source_url, NULL::VARCHAR AS license FROM documents)"""
+DATASET_MANIFEST = f"WITH {_MANIFEST} SELECT * FROM m"
+
+
+def manifest_totals(spark: SparkSession, d: str) -> DataFrame:
+    return shards.manifest_totals(_manifest(spark, d))
 
 
-DATASET_MANIFEST = "SELECT 'doc/' || doc_id AS path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256, CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM documents"
+MANIFEST_TOTALS = f"WITH {_MANIFEST} SELECT split, format, count(*) AS total_files, CAST(sum(size) AS BIGINT) AS total_bytes FROM m GROUP BY CUBE (split, format)"
 
 
 def memory_estimate(spark: SparkSession, d: str) -> DataFrame:
@@ -341,6 +418,7 @@ QUERIES = {
     "batch_search": (batch_search, BATCH_SEARCH),
     "locate": (locate, LOCATE),
     "search_page": (search_page, SEARCH_PAGE),
+    "search_one": (search_one, SEARCH_ONE),
     "search_multi": (search_multi, SEARCH_MULTI),
     "rank_files": (rank_files, RANK_FILES),
     "vocabulary": (vocabulary_terms, VOCABULARY),
@@ -352,6 +430,8 @@ QUERIES = {
     "retrieval_metrics": (retrieval_metrics, RETRIEVAL_METRICS),
     "latency_stats": (latency_stats, LATENCY_STATS),
     "compare_reports": (compare_reports, COMPARE_REPORTS),
+    "generated_queries": (generated_queries, GENERATED_QUERIES),
+    "generated_retrieval": (generated_retrieval, GENERATED_RETRIEVAL),
     "report_gates": (report_gates, REPORT_GATES),
     "report_verdicts": (report_verdicts, REPORT_VERDICTS),
     "sections": (sections_by_language, SECTIONS_BY_LANGUAGE),
@@ -359,6 +439,7 @@ QUERIES = {
     "shard_plan": (shard_plan, SHARD_PLAN),
     "shard_manifest": (shard_manifest, SHARD_MANIFEST),
     "dataset_manifest": (dataset_manifest, DATASET_MANIFEST),
+    "manifest_totals": (manifest_totals, MANIFEST_TOTALS),
     "memory_estimate": (memory_estimate, MEMORY_ESTIMATE),
     "federated_search": (federated_search, FEDERATED_SEARCH),
     "blind_search": (blind_search, BLIND_SEARCH),

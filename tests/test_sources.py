@@ -6,7 +6,7 @@ import lzma
 import pytest
 
 from helixquery.operators import kmers
-from helixquery.sources import files, pieces
+from helixquery.sources import documents, files, pieces
 from helixquery.streaming.kmers import running_counts
 
 
@@ -124,3 +124,34 @@ def test_pieces_of_plain_fasta(spark, tmp_path, block, size, overlap):
     assert top is None or top == set(n.items())
     assert {(x["record"], x["id"], x["bases"]) for x in cut if x["corrupt"]} == {(n, i, len(s)) for (f, n, i), s in want.items() if len(s) > 200}
     assert sum(x["bases"] for x in cut) == sum(map(len, want.values()))
+
+
+def test_json_documents(spark, tmp_path):
+    import json
+
+    (tmp_path / "r.json").write_text(json.dumps({"title": "x", "regions": [{"best_seq": "ACGT", "best_pos": 5, "gene": "S", "pam_types": ["NGG"]}, {"best_seq": "AC", "gene": "N", "novelty_score": 0.5}]}, indent=1))
+    (tmp_path / "s.json").write_text('{"other": 1}')
+    rows = documents.novel_regions(spark, str(tmp_path)).collect()
+    assert sorted((r.best_seq or "", r.novelty_score, (r.corrupt or "")[:12]) for r in rows) == [("", None, "no list 'reg"), ("AC", None, "lacks best_p"), ("ACGT", 0.0, "")]
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "g.json").write_text(json.dumps({"guides": [{"id": "a", "sequence": "ACGU", "length": 4, "wuhan_hu1_pos": None}, {"id": "b"}]}))
+    rows = {r.id: r for r in documents.published_guides(spark, str(tmp_path / "g")).collect()}
+    assert (rows["a"].paper, rows["a"].wuhan_hu1_pos, rows["a"].corrupt, rows["b"].corrupt) == ("", None, None, "lacks sequence, length")
+    (tmp_path / "c.jsonl").write_text('{"id": "1", "sequence": "AC", "more": 2}\n\n  \n{"id": "2"}\nbroken\n')
+    rows = documents.corpus_records(spark, str(tmp_path / "c.jsonl")).collect()
+    assert [(r.id, r.sequence, r.corrupt) for r in rows] == [("1", "AC", None), ("2", None, "lacks sequence"), (None, None, "broken")]
+
+
+def test_written_reports(spark, tmp_path):
+    import json
+
+    hits = spark.createDataFrame([(0, "ACGT", "chr1", 7, "+", 2, [1, 3]), (1, 'a"b', "c,2", 0, "-", 0, [])], "guide_idx int, guide_seq string, chrom string, pos long, strand string, mismatches int, mm_positions array<int>")
+    documents.write_hits(hits, str(tmp_path / "hits"))
+    assert sorted(map(tuple, documents.read_hits(spark, str(tmp_path / "hits")).collect())) == sorted(map(tuple, hits.collect()))
+    assert any("chr1,7,+,2,1;3" in p.read_text() for p in (tmp_path / "hits").glob("*.csv"))
+    report = spark.createDataFrame([("b", None, 1.5), ("a", 2, 0.25)], "name string, n long, x double")
+    documents.write_document(report, str(tmp_path / "doc"), "rows", ["name"])
+    text = "".join(p.read_text() for p in (tmp_path / "doc").glob("*.txt"))
+    assert json.loads(text) == {"total": 2, "rows": [{"name": "a", "n": 2, "x": 0.25}, {"name": "b", "n": None, "x": 1.5}]}
+    documents.write_markdown(report, str(tmp_path / "md"), "Report", ["name"])
+    assert "".join(p.read_text() for p in (tmp_path / "md").glob("*.txt")) == "# Report\n\n| name | n | x |\n|---|---|---|\n| a | 2 | 0.25 |\n| b |  | 1.5 |\n"
