@@ -47,8 +47,8 @@ from helixquery.llm.components import components
 
 #: Sets up to which a token is rare; tokens expected in a hash cell.
 RARE, CELL = 32, 6
-#: Random pivots of a signature, signatures before its own that a row knows, and sets in a block of a group, about.
-PIVOTS, BEFORE, SETS = 12, 4, 1024
+#: Random pivots of a signature, signatures before its own that a row knows, and sets and tokens in a block of a group, about.
+PIVOTS, BEFORE, SETS, HELD = 12, 4, 1024, 4_000_000
 #: Sets of one signature that one task handles, about.
 PART = 20_000
 #: Frequent tokens up to this number (8 bytes each) are sent to the tasks; beyond it they are joined.
@@ -410,18 +410,23 @@ class Join:
 
         first = self.many.groupBy("sig", "parts").agg(F.min(F.struct(F.xxhash64("cid", F.lit(0)).alias("order"), "cid")).alias("first"))
         members = self.many.withColumn("part", part_of()).join(first.select("sig", F.col("first.cid").alias("head"), every_part()), ["sig", "part"])
-        members = members.select("head", "cid").distinct().join(components(links).select(F.col("node").alias("cid"), F.col("root").alias("label")), "cid", "left")
+        members = members.select("head", "cid", "n").distinct().join(components(links).select(F.col("node").alias("cid"), F.col("root").alias("label")), "cid", "left")
         members = scratch.written(members.withColumn("label", F.coalesce("label", "cid")), "members", used)
-        labels = members.groupBy("head", "label").agg(F.count(F.lit(1)).alias("c"))
-        groups = labels.groupBy("head").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.sum("c").alias("size"), F.max("c").alias("most"))
-        rows = members.join(groups.where("most < size"), "head").withColumn("blocks", F.ceil(F.col("size") / SETS).cast("int"))
-        rows = scratch.written(rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")), "grouped", used)
+        labels = members.groupBy("head", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+        largest = F.max(F.struct("c", "label", "t")).alias("largest")
+        groups = labels.groupBy("head").agg(largest, F.sum("c").alias("size"), F.sum("t").alias("held"))
+        blocks = lambda c, t: F.greatest(F.ceil(c / SETS), F.ceil(t / HELD)).cast("int")
+        outside = blocks(F.col("size") - F.col("largest.c"), F.col("held") - F.col("largest.t"))
+        groups = groups.where("largest.c < size").select("head", F.col("largest.label").alias("largest"), blocks(F.col("size"), F.col("held")).alias("blocks"), outside.alias("outside"))
+        of = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+        rows = members.join(groups, "head").withColumn("block", F.when(F.col("label") != F.col("largest"), of("outside"))).withColumn("r_block", of("blocks"))
+        rows = scratch.written(rows.drop("n"), "grouped", used)
         missing = rows.select("cid").distinct().join(self.sets.select("cid"), "cid", "left_anti")
         if not missing.isEmpty():
             self.sets = self.sets.unionByName(self.whole_sets(missing))
-        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        left = rows.where("label <> largest").select("head", F.col("block").alias("i"), every.alias("j"), "cid", "label")
-        right = rows.select("head", every.alias("i"), F.col("block").alias("j"), "cid", "label")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = rows.where("block is not null").select("head", F.col("block").alias("i"), every("blocks").alias("j"), "cid", "label")
+        right = rows.select("head", every("outside").alias("i"), F.col("r_block").alias("j"), "cid", "label")  # once for each block of outsiders
         sets = self.sets.join(rows.select("cid").distinct(), "cid", "left_semi").select("cid", "tokens")
         near = F.broadcast(sets) if (sets.agg(F.sum(F.size("tokens") + 4)).first()[0] or 0) <= FEW_COMPARED else sets
         key = ["head", "i", "j"]

@@ -107,9 +107,11 @@ def test_jaccard_without_pairs(spark, texts):
     assert jaccard.one_of_each(df).count() == len({t for t in texts if t and t.strip()}) + sum(not (t and t.strip()) for t in texts)
 
 
-def test_jaccard_parts_of_a_signature(spark, monkeypatch):
+@pytest.mark.parametrize("sets,held", [(7, 4_000_000), (1024, 900)])
+def test_jaccard_parts_of_a_signature(spark, monkeypatch, sets, held):
     monkeypatch.setattr(jaccard, "PART", 5)
-    monkeypatch.setattr(jaccard, "SETS", 7)
+    monkeypatch.setattr(jaccard, "SETS", sets)
+    monkeypatch.setattr(jaccard, "HELD", held)
     monkeypatch.setattr(jaccard, "PIVOTS", 1)
     texts = families(11)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, texts)).collect()}
