@@ -40,12 +40,23 @@ def merged_terms(manual: Column, official: Column) -> Column:
     return F.filter(all_, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
 
 
-def boolean_query(names: Column, extra: Column | None = None) -> Column:
-    """(organism names) AND CRISPR [AND terms]; names joined by " OR " count as several."""
+#: How queries ask for the method, by dialect: fixed values.
+METHOD = {
+    "pubmed": '(CRISPR[Title/Abstract] OR "guide RNA"[Title/Abstract] OR Cas9[Title/Abstract] OR Cas12[Title/Abstract] OR Cas13[Title/Abstract] OR "gene editing"[Title/Abstract])',
+    "epmc": '(CRISPR OR "guide RNA" OR Cas9 OR Cas12 OR Cas13 OR "gene editing")',
+}
+FIELD = {"pubmed": "[Title/Abstract]", "epmc": ""}
+
+
+def boolean_query(names: Column, extra: Column | None = None, dialect: str = "pubmed") -> Column:
+    """(organism names) AND method [AND (terms)]; names joined by " OR " count as several. In the dialect `epmc` the organism is the
+    first name alone and terms have no field."""
     each = F.flatten(F.transform(names, lambda x: F.split(x, " OR ")))
-    clause = lambda c, field: F.concat(F.lit("("), F.array_join(F.transform(c, lambda x: F.concat(F.lit('"'), x, F.lit(f'"[{field}]'))), " OR "), F.lit(")"))
-    out = F.concat(clause(each, "Title/Abstract"), F.lit(" AND CRISPR[Title/Abstract]"))
-    return out if extra is None else F.concat(out, F.lit(" AND "), clause(extra, "Title/Abstract"))
+    quote = lambda x: F.concat(F.lit('"'), F.trim(x), F.lit(f'"{FIELD[dialect]}'))
+    clause = lambda c: F.concat(F.lit("("), F.array_join(F.transform(c, quote), " OR "), F.lit(")"))
+    who = clause(each) if dialect == "pubmed" else quote(F.get(each, F.lit(0)))
+    out = F.concat(who, F.lit(f" AND {METHOD[dialect]}"))
+    return out if extra is None else F.concat(out, F.lit(" AND "), clause(extra))
 
 
 def corpus_matches(papers: DataFrame, title: str, journal: str, terms: list[str]) -> DataFrame:
@@ -57,3 +68,20 @@ def corpus_matches(papers: DataFrame, title: str, journal: str, terms: list[str]
 
 def patent_status(total: Column) -> Column:
     return F.when(total.isNull(), "unknown").when(total == 0, "clear").otherwise("found")
+
+
+def patents(total_by_source: dict[str, Column]) -> Column:
+    """source, total and status of the first source that gave a count; without any the status is unknown, never clear."""
+    first = F.coalesce(*(F.when(c.isNotNull(), F.struct(F.lit(name).alias("source"), c.cast("long").alias("total"))) for name, c in total_by_source.items()))
+    return F.struct(first.source.alias("source"), first.total.alias("total"), patent_status(first.total).alias("status"))
+
+
+def merged_scans(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of a new scan, and those of the old one whose keys it hasn't."""
+    return new.unionByName(old.join(new.select(*on).distinct(), on, "left_anti"))
+
+
+def scan_lists(scan: DataFrame, by: str, item: str, confidence_col: str) -> DataFrame:
+    """by, confidence, n and items (distinct, sorted, joined by `; `): what a scan found in each class."""
+    items = F.array_join(F.array_sort(F.collect_set(item)), "; ")
+    return scan.groupBy(by, confidence_col).agg(F.count(F.lit(1)).alias("n"), items.alias("items"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from helixquery.functions import codes as C
 from helixquery.functions import sequences as S
+from helixquery.operators import ordered
 from helixquery.operators.kmers import packed_windows, pieces
 from helixquery.storage import stored
 
@@ -32,6 +33,18 @@ def valid_guides(guides: DataFrame, seq: str) -> DataFrame:
     return g
 
 
+def prepared_guides(guides: DataFrame, seq: str, order: str, most: int = 0) -> DataFrame:
+    """guide, idx and valid: the first `most` rows by `order` (0: all), then each sequence once at its first place. idx counts those
+    from 0; guides that aren't 20 bases of ACGT keep their number and aren't valid. An error if none is."""
+    rows = guides.select(F.col(order).alias("at"), F.upper(F.left(F.col(seq), F.lit(LENGTH))).alias("guide"))
+    rows = rows.orderBy("at", "guide").limit(most) if most else rows
+    first = ordered.placed(rows.groupBy("guide").agg(F.min("at").alias("at")), [F.col("at").asc(), F.col("guide").asc()])
+    out = ordered.plain(ordered.row_numbers(first, "idx")).select("guide", "idx", F.coalesce(F.col("guide").rlike(f"^[ACGT]{{{LENGTH}}}$"), F.lit(False)).alias("valid"))
+    if out.where("valid").isEmpty():
+        raise ValueError("no valid guide: each needs 20 letters of ACGT")
+    return out
+
+
 def _probes(guides: DataFrame) -> DataFrame:
     """guide, strand, probe, probe_bits: both strands of every guide."""
     both = guides.select("guide", F.lit("+").alias("strand"), F.col("guide").alias("probe"))

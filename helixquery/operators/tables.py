@@ -25,10 +25,27 @@ def top_targets(rows: DataFrame, most: int) -> DataFrame:
     return rows.orderBy((F.col("pam") != "NGG").cast("int"), F.desc("occurrences"), "kmer").limit(most)
 
 
-def exported(targets: DataFrame, scores: DataFrame, host_hits: DataFrame) -> DataFrame:
-    """targets with score and hits over all hosts where these are known."""
-    total = host_hits.groupBy("kmer").agg(F.sum("hits").alias("host_hits"))
-    return targets.join(scores.select("kmer", "score"), "kmer", "left").join(total, "kmer", "left")
+def symbol_bridge(genes: DataFrame, on: str) -> DataFrame:
+    """on, key, symbol: lower-case symbols by themselves and by their genes' names. genes: on, symbol, name. Of several symbols the last counts."""
+    full = genes.where(F.trim("symbol") != "").select(on, F.lower(F.trim("symbol")).alias("symbol"), F.lower(F.trim("name")).alias("name"))
+    keys = full.select(on, F.explode(F.array("symbol", "name")).alias("key"), "symbol").where(F.col("key") != "")
+    return keys.groupBy(on, "key").agg(F.max("symbol").alias("symbol"))
+
+
+def by_gap(targets: DataFrame, gene: str, on: str, genes: DataFrame, scanned: DataFrame, studied: bool) -> DataFrame:
+    """targets with `symbol`, whose gene (a symbol or a name, in any case) is among the studied genes of a scan, or the unstudied ones.
+    scanned: on, gene, studied."""
+    bridge = symbol_bridge(genes, on).withColumnRenamed("symbol", "bridged")
+    named = targets.withColumn("key", F.lower(F.col(gene))).join(bridge, [on, "key"], "left").withColumn("symbol", F.coalesce("bridged", "key"))
+    wanted = scanned.where(F.col("studied") == studied).select(on, F.lower("gene").alias("symbol")).distinct()
+    return named.where(F.col("symbol") != "").join(wanted, [on, "symbol"], "left_semi").drop("key", "bridged")
+
+
+def exported(targets: DataFrame, scores: DataFrame, reactivity: DataFrame) -> DataFrame:
+    """targets with their scores, total_host_hits and host_specific (yes or no), where these are known."""
+    hosts = reactivity.groupBy("kmer").agg(F.max("total_host_hits").alias("total_host_hits"))
+    out = targets.join(scores.select("kmer", "score", "gc", "seed_gc", "max_homopolymer"), "kmer", "left").join(hosts, "kmer", "left")
+    return out.withColumn("host_specific", F.when(F.col("total_host_hits") == 0, "yes").when(F.col("total_host_hits") > 0, "no"))
 
 
 def panel(candidates: DataFrame, min_share: float, min_score: int) -> DataFrame:

@@ -46,6 +46,11 @@ def with_prefix(vocabulary: DataFrame, prefix: str, most: int) -> DataFrame:
     return vocabulary.where(F.col("term").startswith(prefix)).orderBy("term").limit(most)
 
 
+def looked_up(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (column term, each once) with whether the vocabulary has each (exactly, in its case)."""
+    return asked.select("term").distinct().join(vocabulary.select("term", F.lit(True).alias("found")), "term", "left").fillna(False, ["found"])
+
+
 def section_tokens(text: Column) -> Column:
     """Distinct tokens of a section: whole names and their parts in lower case, of two bytes or more; Unicode letters count."""
     names = F.regexp_extract_all(text, F.lit(r"([\p{L}_][\p{L}\p{N}_]*)"), F.lit(1))

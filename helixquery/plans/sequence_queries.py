@@ -102,6 +102,17 @@ SELECT guide, strand, doc_id, pos, hamming(kmer, probe) AS mismatches, array_to_
 FROM x WHERE hamming(kmer, probe) <= 3"""
 
 
+def prepared_guides(spark: SparkSession, d: str) -> DataFrame:
+    """The first two bases of each document around eighteen fixed ones, so that guides repeat: the first 500, then each once."""
+    g = V.genome(spark, d).select("doc_id", F.concat(F.left("seq", F.lit(1)), F.lit("ACGTACGTACGTACGTAC"), F.substr("seq", F.lit(2), F.lit(1))).alias("seq"))
+    return offtarget.prepared_guides(g, "seq", "doc_id", 500)
+
+
+PREPARED_GUIDES = f"""WITH {V.GENOME}, g AS (SELECT doc_id, left(seq, 1) || 'ACGTACGTACGTACGTAC' || substr(seq, 2, 1) AS guide FROM genome ORDER BY doc_id LIMIT 500),
+f AS (SELECT guide, min(doc_id) AS at0 FROM g GROUP BY guide)
+SELECT guide, row_number() OVER (ORDER BY at0) - 1 AS idx, regexp_full_match(guide, '[ACGT]{{20}}') AS valid FROM f"""
+
+
 def novelty(spark: SparkSession, d: str) -> DataFrame:
     g = V.guides(spark, d)
     published = g.where("item_id % 2 = 1").select(F.col("item_id").alias("published_id"), F.substr("seq", F.lit(3), (F.lit(18) + F.col("item_id") % 13).cast("int")).alias("seq"))
@@ -303,6 +314,7 @@ QUERIES = {
     "distinct_share": (distinct_share, DISTINCT_SHARE),
     "recount": (recount, RECOUNT),
     "off_targets": (off_targets, OFF_TARGETS),
+    "prepared_guides": (prepared_guides, PREPARED_GUIDES),
     "novelty": (novelty, NOVELTY),
     "conservation": (conservation, CONSERVATION),
     "cross_reactivity": (cross_reactivity, CROSS_REACTIVITY),

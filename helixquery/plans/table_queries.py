@@ -9,6 +9,7 @@ from helixquery.functions import sequences as S
 from helixquery.operators import kmers, literature, membership, scoring, tables
 from helixquery.plans import sequence_queries as Q
 from helixquery.plans import views as V
+from helixquery.storage import stored
 
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -39,6 +40,8 @@ def synonyms(spark: SparkSession, d: str) -> DataFrame:
     asked = p.select("p_size", F.explode(F.array(F.lower("p_brand"), F.concat("p_brand", F.lit(" protein")), F.upper("p_type"), F.lit("none"))).alias("gene")).distinct()
     out = literature.synonyms(asked, known, ["p_size"])
     out = out.withColumn("query", literature.boolean_query(literature.merged_terms(F.array("gene"), F.col("synonyms"))))
+    both = literature.merged_terms(F.array("gene"), F.col("synonyms"))
+    out = out.withColumn("query_epmc", literature.boolean_query(F.array(F.lit("Mpox OR Monkeypox")), both, "epmc"))
     return out.withColumn("synonyms", F.array_join("synonyms", "|"))
 
 
@@ -47,7 +50,55 @@ s AS (SELECT p_size, lower(p_brand) AS k, max((p_brand, p_type)) AS h FROM p GRO
 m AS (SELECT a.p_size, gene, coalesce(s1.h, s2.h, n.h) AS h FROM a LEFT JOIN s s1 ON s1.p_size = a.p_size AND s1.k = lower(gene) LEFT JOIN s s2 ON s2.p_size = a.p_size AND s2.k = regexp_replace(lower(gene), ' protein$', '')
       LEFT JOIN n ON n.p_size = a.p_size AND n.k = lower(gene)),
 y AS (SELECT p_size, gene, CASE WHEN h IS NULL THEN [] ELSE list_sort(list_distinct(list_filter([h[1], h[2]], lambda x: lower(x) <> lower(gene)))) END AS syn FROM m)
-SELECT p_size, gene, array_to_string(syn, '|') AS synonyms, '(' || array_to_string(list_transform(list_prepend(gene, syn), lambda x: '"' || x || '"[Title/Abstract]'), ' OR ') || ') AND CRISPR[Title/Abstract]' AS query FROM y"""
+SELECT p_size, gene, array_to_string(syn, '|') AS synonyms, '(' || array_to_string(list_transform(list_prepend(gene, syn), lambda x: '"' || x || '"[Title/Abstract]'), ' OR ') || ') AND ' || '__PM__' AS query,
+  '"Mpox" AND __EPMC__ AND (' || array_to_string(list_transform(list_prepend(gene, syn), lambda x: '"' || x || '"'), ' OR ') || ')' AS query_epmc FROM y"""
+SYNONYMS = SYNONYMS.replace("__PM__", literature.METHOD["pubmed"]).replace("__EPMC__", literature.METHOD["epmc"])
+
+
+def patents(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as searches by three sources, of which each may have failed."""
+    n = F.col("o_orderkey")
+    got = literature.patents({"lens_api": F.when(n % 2 == 0, n % 3), "google_patents": F.when(n % 5 > 1, n % 4), "lens_web": F.when(n % 7 > 3, n % 2)})
+    return V.table(spark, d, "orders").select("o_orderkey", got.alias("p")).select("o_orderkey", "p.*")
+
+
+_PATENTS = """p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'lens_api' WHEN o_orderkey % 5 > 1 THEN 'google_patents' WHEN o_orderkey % 7 > 3 THEN 'lens_web' END AS source,
+CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 3 WHEN o_orderkey % 5 > 1 THEN o_orderkey % 4 WHEN o_orderkey % 7 > 3 THEN o_orderkey % 2 END AS BIGINT) AS total FROM orders)"""
+PATENTS = f"WITH {_PATENTS} SELECT *, CASE WHEN total IS NULL THEN 'unknown' WHEN total = 0 THEN 'clear' ELSE 'found' END AS status FROM p"
+
+
+def evidence_lists(spark: SparkSession, d: str) -> DataFrame:
+    """A scan of even orders that replaces those of an older one of all, by priority class: numbers and customers of each class."""
+    old = evidence(spark, d).join(V.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey") % 50).alias("item")), "o_orderkey")
+    new = old.where("o_orderkey % 2 = 0").withColumn("confidence", F.when(F.col("confidence") == "UNKNOWN", "CONFIRMED").otherwise(F.col("confidence")))
+    return literature.scan_lists(literature.merged_scans(old, new, ["o_orderkey"]), "o_orderpriority", "item", "confidence")
+
+
+EVIDENCE_LISTS = f"""WITH e AS ({EVIDENCE}), m AS (SELECT o_orderpriority, CASE WHEN o_orderkey % 2 = 0 AND confidence = 'UNKNOWN' THEN 'CONFIRMED' ELSE confidence END AS confidence, 'c' || (o_custkey % 50) AS item FROM e JOIN orders USING (o_orderkey, o_orderpriority))
+SELECT o_orderpriority, confidence, count(*) AS n, string_agg(DISTINCT item, '; ' ORDER BY item) AS items FROM m GROUP BY o_orderpriority, confidence"""
+
+
+def gene_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as targets whose gene is a brand or a type (its name); sizes as pathogens; brands with an even number are studied."""
+    p = V.table(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_type")
+    genes = p.select("p_size", F.col("p_brand").alias("symbol"), F.concat("p_type", F.lit(" "), F.col("p_partkey")).alias("name"))
+    targets = p.select("p_partkey", "p_size", F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.concat("p_type", F.lit(" "), F.col("p_partkey"))).alias("gene"))
+    scanned = p.select("p_size", F.col("p_brand").alias("gene"), F.col("p_brand").rlike("[02468]$").alias("studied")).distinct()
+    return tables.by_gap(targets, "gene", "p_size", genes, scanned, False).select("p_partkey", "p_size", "gene", "symbol")
+
+
+GENE_GAPS = """SELECT p_partkey, p_size, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_type || ' ' || p_partkey END AS gene, lower(p_brand) AS symbol FROM part WHERE NOT regexp_matches(p_brand, '[02468]$')"""
+
+
+def target_export(spark: SparkSession, d: str) -> DataFrame:
+    """The target table with scores and host hits (sources as hosts) where they are known."""
+    found = stored(Q.kmer_targets(spark, d), "export-targets")
+    scores = scoring.guide_scores(found.select("kmer", "pam"), "kmer", "pam")
+    return tables.exported(found, scores, Q.cross_reactivity(spark, d)).select("kmer", "pam", "occurrences", "score", "gc", "seed_gc", "max_homopolymer", "total_host_hits", "host_specific")
+
+
+TARGET_EXPORT = f"""WITH s AS ({Q.GUIDE_SCORES}), n AS ({Q.KMER_TARGETS}), r AS (SELECT kmer, max(total_host_hits) AS total_host_hits FROM ({Q.CROSS_REACTIVITY}) GROUP BY kmer)
+SELECT kmer, n.pam, occurrences, score, gc, seed_gc, max_homopolymer, total_host_hits, CASE WHEN total_host_hits = 0 THEN 'yes' WHEN total_host_hits > 0 THEN 'no' END AS host_specific FROM n LEFT JOIN s USING (kmer) LEFT JOIN r USING (kmer)"""
 
 
 def corpus_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -135,6 +186,10 @@ QUERIES = {
     "evidence": (evidence, EVIDENCE),
     "evidence_summary": (evidence_summary, EVIDENCE_SUMMARY),
     "synonyms": (synonyms, SYNONYMS),
+    "patents": (patents, PATENTS),
+    "evidence_lists": (evidence_lists, EVIDENCE_LISTS),
+    "gene_gaps": (gene_gaps, GENE_GAPS),
+    "target_export": (target_export, TARGET_EXPORT),
     "corpus_matches": (corpus_matches, CORPUS_MATCHES),
     "diagnostic_priority": (diagnostic_priority, DIAGNOSTIC_PRIORITY),
     "enrichment": (enrichment, ENRICHMENT),

@@ -110,6 +110,15 @@ def vocabulary_prefix(spark: SparkSession, d: str) -> DataFrame:
 VOCABULARY_PREFIX = f"WITH {_TERMS} SELECT term FROM terms WHERE starts_with(term, 'th') ORDER BY term LIMIT 20"
 
 
+def vocabulary_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Which words of the benchmark's items (as they stand, and in lower case) are terms of the documents."""
+    words = V.table(spark, d, "benchmark").select(F.explode(F.split("text", "[ \n]+")).alias("w")).select(F.explode(F.array("w", F.lower("w"))).alias("term"))
+    return vocabulary.looked_up(vocabulary_terms(spark, d), words)
+
+
+VOCABULARY_LOOKUP = f"WITH {_TERMS}, a AS (SELECT DISTINCT unnest([w, lower(w)]) AS term FROM (SELECT unnest(regexp_split_to_array(text, '[ \n]+')) AS w FROM benchmark)) SELECT a.term, terms.term IS NOT NULL AS found FROM a LEFT JOIN terms ON a.term = terms.term"
+
+
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     """Of the benchmark's items as files and their sentences as sections."""
     items = V.table(spark, d, "benchmark")
@@ -423,6 +432,7 @@ QUERIES = {
     "rank_files": (rank_files, RANK_FILES),
     "vocabulary": (vocabulary_terms, VOCABULARY),
     "vocabulary_prefix": (vocabulary_prefix, VOCABULARY_PREFIX),
+    "vocabulary_lookup": (vocabulary_lookup, VOCABULARY_LOOKUP),
     "cooccurrence": (cooccurrence, COOCCURRENCE),
     "related_terms": (related_terms, RELATED_TERMS),
     "enriched_terms": (enriched_terms, ENRICHED_TERMS),

@@ -121,6 +121,21 @@ def guide_list(spark: SparkSession, path: str) -> DataFrame:
     return guides
 
 
+def guide_table(spark: SparkSession, path: str) -> DataFrame:
+    """guide_id, sequence (upper case), target_gene and valid of a TSV with a header: its first three columns, whatever their names;
+    rows with fewer than two fields are left out. An error if no row is valid (18 to 30 bases)."""
+    rows = spark.read.option("header", "true").option("sep", "\t").csv(path)
+    if len(rows.columns) < 2:
+        raise ValueError(f"one column in {path}: not a table of guides")
+    names = [F.col(f"`{c}`") for c in rows.columns[:3]]
+    gene = names[2] if len(names) > 2 else F.lit(None).cast("string")
+    out = rows.select(names[0].alias("guide_id"), F.upper(F.trim(names[1])).alias("sequence"), gene.alias("target_gene")).where("sequence is not null")
+    out = out.withColumn("valid", F.col("sequence").rlike("^[ACGT]{18,30}$"))
+    if out.where("valid").isEmpty():
+        raise ValueError(f"no valid guide in {path}")
+    return out
+
+
 def pattern_list(spark: SparkSession, path: str) -> DataFrame:
     """pattern: the lines of a file without blanks around them, blank lines and `#` lines."""
     return spark.read.text(path).select(F.trim("value").alias("pattern")).where("pattern <> '' AND NOT startswith(pattern, '#')")

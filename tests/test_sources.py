@@ -155,3 +155,12 @@ def test_written_reports(spark, tmp_path):
     assert json.loads(text) == {"total": 2, "rows": [{"name": "a", "n": 2, "x": 0.25}, {"name": "b", "n": None, "x": 1.5}]}
     documents.write_markdown(report, str(tmp_path / "md"), "Report", ["name"])
     assert "".join(p.read_text() for p in (tmp_path / "md").glob("*.txt")) == "# Report\n\n| name | n | x |\n|---|---|---|\n| a | 2 | 0.25 |\n| b |  | 1.5 |\n"
+
+
+def test_guide_table_keeps_ids(spark, tmp_path):
+    (tmp_path / "g.tsv").write_text("guide_id\tsequence\ttarget_gene\ng1\tacgtacgtacgtacgtacgt\tS, spike\ng2\tNNN\tN\nonly\n")
+    rows = files.guide_table(spark, str(tmp_path / "g.tsv")).collect()
+    assert [(r.guide_id, r.sequence, r.target_gene, r.valid) for r in rows] == [("g1", "ACGTACGTACGTACGTACGT", "S, spike", True), ("g2", "NNN", "N", False)]
+    (tmp_path / "h.tsv").write_text("guide_id\tsequence\ng1\tNN\n")
+    with pytest.raises(ValueError):
+        files.guide_table(spark, str(tmp_path / "h.tsv"))
