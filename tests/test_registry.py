@@ -8,7 +8,9 @@ from helixquery.plans import registry
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
-QUICK = ["batch_search", "locate", "vocabulary", "cooccurrence", "retrieval_metrics", "latency_stats", "compare_reports", "dataset_manifest", "guide_primitives", "conservation", "novelty", "melting_temperature", "evidence", "synonyms", "diagnostic_priority", "enrichment"]
+QUICK = """batch_search locate search_page search_one vocabulary vocabulary_lookup cooccurrence retrieval_metrics generated_queries generated_retrieval latency_stats compare_reports report_gates
+report_verdicts sections shard_plan shard_manifest dataset_manifest manifest_totals guide_primitives kmer_targets distinct_share recount off_targets prepared_guides conservation host_summary
+novelty resistance_overlap gene_annotation annotation_counts merged_regions melting_temperature evidence evidence_lists patents gene_gaps synonyms diagnostic_priority enrichment""".split()
 
 
 @pytest.fixture(scope="module")
