@@ -145,7 +145,7 @@ def _least(pairs: DataFrame) -> DataFrame:
 def _block_minima(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Each target's nearest published guide of a block: distances of all pairs, a target at a time."""
     if not len(left) or not len(right):
-        return pd.DataFrame({"target": [], "d": [], "id": [], "strand": []})
+        return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("target", "d", "id", "strand")})
     right = right.sort_values(["published_id", "strand"], kind="stable")
     sizes = right["seq"].str.len().to_numpy()
     width = int(sizes.max())

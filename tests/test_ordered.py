@@ -92,7 +92,7 @@ def test_selection_equals_sorting(spark, monkeypatch, few, cells):
     assert got == want
 
 
-@pytest.mark.parametrize("block", [2000, 7])
+@pytest.mark.parametrize("block", [2000, 7, 1])
 def test_novelty_equals_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(offtarget, "BLOCK", block)
     r = random.Random(8)
