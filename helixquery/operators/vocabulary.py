@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,8 @@ from helixquery.storage import stored
 BLOCK = 256
 #: Pairs that a task holds before it adds equal ones up.
 PAIRS = 4_000_000
-#: Open edges of the greedy choice that one task ends.
-FEW_EDGES = 200_000
+#: Open edges of the greedy choice that one task ends, and the share of the open ones that is chosen among itself first.
+FEW_EDGES, PREFIX = 2_000_000, 16
 
 #: Words of questions that say nothing: fixed values.
 STOPWORDS = ["how", "does", "where", "what", "which", "when", "why", "is", "are", "the", "a", "an", "to", "and", "or", "in", "on", "for", "with", "from", "of", "it", "this", "that"]
@@ -80,7 +81,7 @@ def number_pairs(units: DataFrame, tokens: str, weights: list[str]) -> DataFrame
     rows = rows.select("all", *weights, F.explode(starts).alias("i"))
     rows = rows.select("*", F.explode(F.sequence("i", F.size("all"), F.lit(BLOCK))).alias("j"))
     rows = rows.select(F.slice("all", F.col("i"), F.lit(BLOCK)).alias("left"), F.slice("all", F.col("j"), F.lit(BLOCK)).alias("right"), *weights)
-    rows = rows.repartition(F.xxhash64("left", "right"))
+    rows = rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("left", "right"))  # few bytes, much work
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -130,65 +131,116 @@ def cooccurrence(sections: DataFrame, files: DataFrame, min_weight: float = 1.0)
 
 def _greedy(edges: pd.DataFrame, k: int) -> pd.DataFrame:
     """The plain choice over a bounded number of edges, with what their ends have kept before."""
-    used = dict(zip(edges["term_a"], edges["used_term_a"], strict=True)) | dict(zip(edges["term_b"], edges["used_term_b"], strict=True))
     edges = edges.sort_values(["weight", "tie", "term_a", "term_b"], ascending=[False, True, True, True])
+    ends, at = np.unique(np.concatenate([edges["term_a"], edges["term_b"]]), return_inverse=True)
+    used = np.zeros(len(ends), dtype=np.int64)
+    used[at] = np.concatenate([edges["used_term_a"], edges["used_term_b"]])
+    left, n = (k - used).tolist(), len(edges)
     kept = []
-    for a, b in zip(edges["term_a"], edges["term_b"], strict=True):
-        if used[a] < k and used[b] < k:
-            used[a] += 1
-            used[b] += 1
-            kept.append((a, b))
-    return pd.DataFrame(kept, columns=["term_a", "term_b"])
+    for i, (a, b) in enumerate(zip(at[:n].tolist(), at[n:].tolist(), strict=True)):
+        if left[a] > 0 and left[b] > 0:
+            left[a] -= 1
+            left[b] -= 1
+            kept.append(i)
+    return edges[["term_a", "term_b"]].iloc[kept]
+
+
+def _prefix(edges: DataFrame, left: int) -> DataFrame:
+    """The first edges in the order of the choice: about a PREFIX-th of them, FEW_EDGES at least. Where the cut falls into edges of
+    one weight, it is a value of their hash."""
+    wanted = max(FEW_EDGES * 4 // 5, left // PREFIX)  # hashes are even only in the mean
+    by = edges.groupBy("weight").agg(F.count(F.lit(1)).alias("n"))
+    by = by.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("weight"))))  # a row per weight
+    cut = by.where(F.col("upto") > wanted).orderBy(F.desc("weight")).first()
+    if cut is None:
+        return edges
+    share = (wanted - (cut["upto"] - cut["n"])) / cut["n"]
+    place = min(int(share * 2.0**64) - 2**63, 2**63 - 1)
+    return edges.where((F.col("weight") > cut["weight"]) | ((F.col("weight") == cut["weight"]) & (F.col("tie") <= place)))
+
+
+def _open(edges: DataFrame, used: DataFrame | None, k: int) -> DataFrame:
+    """The edges between ends that are not full."""
+    if used is not None:
+        full = used.where(F.col("used") >= k)
+        for end in ("term_a", "term_b"):
+            edges = edges.join(full.select(F.col("at").alias(end)), end, "left_anti")
+    return edges.select("term_a", "term_b", "weight", "tie")
+
+
+def _used(kept: list[DataFrame]) -> DataFrame:
+    each = reduce(DataFrame.union, kept).select(F.explode(F.array("term_a", "term_b")).alias("at"))
+    return stored(each.groupBy("at").agg(F.count(F.lit(1)).cast("int").alias("used")), "used-terms")
+
+
+def _in_one(edges: DataFrame, used: DataFrame | None, k: int) -> DataFrame:
+    for end in ("term_a", "term_b"):
+        known = edges.withColumn("used", F.lit(0)).select(F.col("term_a").alias(end), "used").where("false") if used is None else used.select(F.col("at").alias(end), "used")
+        edges = edges.join(known.withColumnRenamed("used", f"used_{end}"), end, "left").fillna(0, [f"used_{end}"])
+    kind = edges.schema["term_a"].dataType.simpleString()
+    return stored(edges.groupBy(F.lit(0).alias("one")).applyInPandas(lambda x: _greedy(x, k), f"term_a {kind}, term_b {kind}"), "kept-edges")
+
+
+def _one_round(edges: DataFrame, used: DataFrame | None, k: int) -> DataFrame:
+    """The edges that are among the heaviest at both ends."""
+    order = [F.desc("weight"), "tie", "term_a", "term_b"]
+    ends = edges.select(F.col("term_a").alias("at"), *edges.columns).union(edges.select("term_b", *edges.columns))
+    best = ends.withColumn("rank", F.row_number().over(Window.partitionBy("at").orderBy(*order))).where(F.col("rank") <= k)
+    if used is not None:
+        best = best.join(used, "at", "left").where(F.col("rank") <= k - F.coalesce("used", F.lit(0)))
+    return stored(best.groupBy("term_a", "term_b").agg(F.count(F.lit(1)).alias("ends")).where("ends = 2").select("term_a", "term_b"), "kept-edges")
 
 
 def top_k(edges: DataFrame, k: int) -> DataFrame:
     """The edges that a greedy choice keeps: heaviest first (ties by a hash of both ends: in the order of the terms, one choice
     would wait for another through the whole vocabulary), as long as both ends have fewer than k kept ones.
 
-    By rounds: an edge that is among the heaviest open ones at both its ends, as many as these may still keep, is one that the
-    greedy choice keeps, whatever else it does. Each round keeps all of those and closes the edges at full ends. A term's
-    first k edges are found before the shuffle, so a term with very many edges is no task's work. The last FEW_EDGES open edges
-    are one task's work.
+    By prefixes of that order: the first edges are chosen among themselves, since no later one can change that, and then the edges
+    at full ends are closed, which are most of the rest. A prefix of more than FEW_EDGES goes by rounds: an edge that is among
+    the heaviest open ones at both its ends, as many as these may still keep, is one that the greedy choice keeps, whatever else
+    it does. Each round keeps all of those. A term's first k edges are found before the shuffle, so a term with very many edges
+    is no task's work. The last FEW_EDGES open edges of a prefix are one task's work.
     """
     open_ = stored(edges.select("term_a", "term_b", "weight", F.xxhash64("term_a", "term_b").alias("tie")), "open-edges")
-    kept: DataFrame | None = None
-    order = [F.desc("weight"), "tie", "term_a", "term_b"]
-    used = open_.select(F.col("term_a").alias("at"), F.lit(0).alias("used")).where("false")
+    kept: list[DataFrame] = []
+    used = None
     while (left := open_.count()) > 0:
-        if left <= FEW_EDGES:
-            rest = open_
-            for end in ("term_a", "term_b"):
-                rest = rest.join(used.select(F.col("at").alias(end), F.col("used").alias(f"used_{end}")), end, "left").fillna(0, [f"used_{end}"])
-            kind = open_.schema["term_a"].dataType.simpleString()
-            last = rest.groupBy(F.lit(0).alias("one")).applyInPandas(lambda x: _greedy(x, k), f"term_a {kind}, term_b {kind}")
-            kept = stored(last, "kept-edges") if kept is None else kept.union(stored(last, "kept-edges"))
+        now = open_ if left <= FEW_EDGES else _prefix(open_, left)
+        size = left if left <= FEW_EDGES else now.count()
+        if not size:  # no hash below the cut
+            now, size = open_, left
+        whole = size == left
+        last = now.agg(F.min("weight").alias("w"), F.max_by("tie", F.struct(-F.col("weight"), "tie")).alias("t")).first()
+        while size > FEW_EDGES:
+            kept.append(_one_round(now, used, k))
+            used = _used(kept)
+            now = stored(_open(now.join(kept[-1], ["term_a", "term_b"], "left_anti"), used, k), "prefix-edges")
+            size = now.count()
+        if size:
+            kept.append(_in_one(now, used, k))
+            used = _used(kept)
+        if whole:
             break
-        ends = open_.select(F.col("term_a").alias("at"), *open_.columns).union(open_.select("term_b", *open_.columns))
-        best = ends.withColumn("rank", F.row_number().over(Window.partitionBy("at").orderBy(*order))).where(F.col("rank") <= k)
-        best = best.join(used, "at", "left").where(F.col("rank") <= k - F.coalesce("used", F.lit(0)))
-        now = stored(best.groupBy("term_a", "term_b").agg(F.count(F.lit(1)).alias("ends")).where("ends = 2").select("term_a", "term_b"), "kept-edges")
-        kept = now if kept is None else kept.union(now)
-        used = stored(kept.select(F.explode(F.array("term_a", "term_b")).alias("at")).groupBy("at").agg(F.count(F.lit(1)).cast("int").alias("used")), "used-terms")
-        full = used.where(F.col("used") >= k).select("at")
-        rest = open_.join(now, ["term_a", "term_b"], "left_anti")
-        for end in ("term_a", "term_b"):
-            rest = rest.join(full.withColumnRenamed("at", end), end, "left_anti")
-        open_ = stored(rest.select(open_.columns), "open-edges")
-    return edges if kept is None else edges.join(kept, ["term_a", "term_b"], "left_semi")
+        later = (F.col("weight") < last["w"]) | ((F.col("weight") == last["w"]) & (F.col("tie") > last["t"]))
+        open_ = stored(_open(open_.where(later), used, k), "open-edges")
+    return edges.join(reduce(DataFrame.union, kept), ["term_a", "term_b"], "left_semi") if kept else edges
 
 
 def term_graph(files: DataFrame, min_weight: float = 1.0, k: int = 10) -> DataFrame:
     """term_a, term_b, weight, section_count, file_count: the pruned graph of the terms of files (path, content).
 
-    Terms are numbered in their order, so that pairs are two numbers until the last step.
+    Terms are numbered in their order, so that pairs are two numbers until the last step. A pair weighs no more than either of its
+    terms would by its own numbers of sections and files, so terms below min_weight are left out before pairs are made. Units of
+    the same terms (a file of one section, copies) make their pairs once.
     """
     file_units = files.select("path", F.lit(-1).cast("long").alias("section"), section_tokens(F.col("content")).alias("tokens"))
     units = sections.sections(files).select("path", "section", section_tokens(F.col("text")).alias("tokens")).union(file_units)
     each = stored(units.select("path", "section", F.explode("tokens").alias("term")), "unit-terms")
-    numbers = ordered.placed(each.select("term").distinct(), [F.col("term").asc()])
+    own = each.groupBy("term").agg(F.sum(F.when(F.col("section") >= 0, 3.0).otherwise(1.0)).alias("most"))
+    numbers = ordered.placed(own.where(F.col("most") >= min_weight).select("term"), [F.col("term").asc()])
     numbers = stored(ordered.plain(ordered.row_numbers(numbers, "no")), "term-numbers")
     known = each.join(numbers, "term").groupBy("path", "section").agg(F.sort_array(F.collect_list("no")).alias("tokens"))
-    known = known.select("tokens", (F.col("section") >= 0).cast("long").alias("section_count"), (F.col("section") < 0).cast("long").alias("file_count"))
+    known = known.groupBy("tokens").agg(F.sum((F.col("section") >= 0).cast("long")).alias("section_count"), F.sum((F.col("section") < 0).cast("long")).alias("file_count"))
     edges = number_pairs(known, "tokens", ["section_count", "file_count"])
     edges = edges.withColumn("weight", (3.0 * F.col("section_count") + F.col("file_count")).cast("double")).where(F.col("weight") >= min_weight)
     kept = top_k(stored(edges, "edges"), k)

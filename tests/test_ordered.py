@@ -129,6 +129,25 @@ def test_top_k_equals_a_plain_greedy_choice(spark, monkeypatch, k, few):
     assert {(x["term_a"], x["term_b"]) for x in vocabulary.top_k(df, k).collect()} == want
 
 
+def test_top_k_of_a_chain_takes_a_step_a_prefix(spark, monkeypatch):
+    """Each edge waits for the one before it: by rounds alone, every second edge is a step."""
+    steps = []
+    monkeypatch.setattr(vocabulary, "FEW_EDGES", 20)
+    monkeypatch.setattr(vocabulary, "stored", lambda df, name, put=vocabulary.stored: steps.append(name) or put(df, name))
+    df = spark.createDataFrame([(i, i + 1, 100.0 - i) for i in range(60)], "term_a long, term_b long, weight double")
+    assert {x["term_a"] for x in vocabulary.top_k(df, 1).collect()} == set(range(0, 60, 2))
+    assert steps.count("kept-edges") <= 5
+
+
+def test_term_graph_makes_no_pairs_of_terms_that_are_too_light(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(vocabulary, "number_pairs", lambda units, *a, put=vocabulary.number_pairs: seen.extend(units.collect()) or put(units, *a))
+    files = [(f"{i}.txt", f"alpha beta only{'abc'[i]}") for i in range(3)]
+    got = vocabulary.term_graph(spark.createDataFrame(files, "path string, content string"), 8.0, 10).collect()
+    assert [(x["term_a"], x["term_b"], x["weight"], x["section_count"], x["file_count"]) for x in got] == [("alpha", "beta", 12.0, 3, 3)]
+    assert [(len(x["tokens"]), x["section_count"], x["file_count"]) for x in seen] == [(2, 3, 3)]
+
+
 @pytest.mark.parametrize("block,pairs", [(256, 4_000_000), (2, 3)])
 def test_term_graph_equals_plain_counts(spark, monkeypatch, block, pairs):
     monkeypatch.setattr(vocabulary, "BLOCK", block)
