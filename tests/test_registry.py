@@ -33,6 +33,19 @@ def test_same_rows(spark, duck, name):
     assert got == sorted(repr([r[i] for i in at]) for r in rel.fetchall())
 
 
+def test_guide_mining_takes_accented_letters_as_letters(spark, duck, tmp_path):
+    run = "abcd" * 5
+    texts = [f"{run} {run[:-1]}a", f"é{run}", f"{run}ñ", f"x_{run}", f"¿{run}-{run}c.", f"{run}9", run * 2, None]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    got = {tuple(x) for x in registry.queries()["guide_mining"](spark, str(tmp_path)).select("run", "first_doc", "docs").collect()}
+    con = duck.cursor()
+    con.sql(f"CREATE TEMP VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    assert got == set(con.sql(registry.oracle_sql()["guide_mining"]).select("run, first_doc, docs").fetchall())
+    plain = "ACGT" * 5
+    assert got == {(plain, 0, 2), (plain[:-1] + "A", 0, 1), (plain + "G", 4, 1)}
+
+
 def test_entry(spark):
     import __spark_entry__
 
