@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from helixquery.functions import codes as C
 from helixquery.functions import sequences as S
 from helixquery.operators import intervals, kmers, membership, offtarget, scoring, search, shards, vocabulary
 
@@ -116,6 +117,28 @@ def test_kmer_counts_equal_brute_force(spark, monkeypatch, k, held, most):
         assert (x["occurrences"], x["first_record"], x["first_pos"]) == (n, *first)
 
 
+@pytest.mark.parametrize("kind", ["NGG", "TTTV"])
+def test_top_by_group_equals_brute_force(spark, monkeypatch, kind):
+    monkeypatch.setattr(kmers, "PART_WINDOWS", 400)
+    r = random.Random(kind)
+    rows = [(g, "".join(r.choice("TTTGGAC") for _ in range(300))) for g in ("x", "y", None)] * 2 + [("z", ""), ("x", None)]
+    want = {}
+    for g, t in rows:
+        for p in range(len(t or "") - 6):
+            w = t[p : p + 7]
+            if w.endswith("GG") if kind == "NGG" else w.startswith("TTT") and w[3] != "T" and not w.endswith("GG"):
+                want.setdefault(g, {})[w] = want.get(g, {}).get(w, 0) + 1
+    got = kmers.top_by_group(spark.createDataFrame(rows, "g string, seq string"), "g", "seq", 7, 5, C.of_pam(kind, 7)).collect()
+    assert {tuple(x) for x in got} == {(g, *x) for g, n in want.items() for x in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:5]}
+
+
+def test_counting_ships_few_bytes_a_window(spark):
+    r = random.Random(5)
+    records = spark.createDataFrame([("".join(r.choice("ACGT") for _ in range(10_000)),) for _ in range(20)], "seq string")
+    sent = kmers._words(records, "seq", 23, 4, None, None).selectExpr("sum(octet_length(words) + octet_length(sizes))").first()[0]
+    assert sent < 2 * 200_000  # runs as text with their places took over 7
+
+
 def test_windows_and_recount_take_bases_only(spark):
     df = spark.createDataFrame([(1, "ACGT12ACGT"), (2, "AAAAACG")], "id long, seq string")
     assert {(x["id"], x["kmer"]) for x in kmers.windows(df, "id", "seq", 4).collect()} == {(1, "ACGT"), (2, "AAAA"), (2, "AAAC"), (2, "AACG")}
