@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixquery.functions import codes as C
 from helixquery.functions import sequences as S
 from helixquery.operators import kmers, literature, membership, scoring, tables
 from helixquery.plans import sequence_queries as Q
@@ -163,10 +164,10 @@ TOP_TARGETS = f"WITH {Q._COUNTED}, {Q._TOP} SELECT kmer, pam, occurrences FROM t
 def panel(spark: SparkSession, d: str) -> DataFrame:
     """A guide per language; hosts are the documents of src1."""
     g = V.genome(spark, d)
-    w = kmers.windows(g.withColumn("key", F.struct("doc_id", "lang")), "key", "seq", Q.K).select(F.col("key.lang").alias("pathogen"), F.col("key.doc_id").alias("doc_id"), "kmer")
     n = g.groupBy(F.col("lang").alias("pathogen")).agg(F.count(F.lit(1)).alias("genomes"))
-    counted = w.groupBy("pathogen", "kmer").agg(F.count(F.lit(1)).alias("occurrences")).withColumn("pam", S.pam(F.col("kmer")))
-    top = kmers.top_per_group(counted.where("pam = 'NGG'"), "pathogen", [F.desc("occurrences"), "kmer"], 200).drop("rank").join(n, "pathogen")
+    counted = kmers.top_by_group(g, "lang", "seq", Q.K, 200, C.of_pam("NGG", Q.K)).withColumnRenamed("lang", "pathogen").withColumn("pam", S.pam(F.col("kmer")))
+    counted = stored(counted, "panel-targets")
+    top = counted.join(n, "pathogen")
     top = top.withColumn("share", F.least("occurrences", "genomes") / F.col("genomes"))
     scored = scoring.guide_scores(top.select("kmer", "pam").distinct(), "kmer", "pam").select("kmer", "score")
     hits = membership.cross_reactivity(counted, g.where("source = 'src1'"), "source", "seq", 200).groupBy("kmer").agg(F.sum("hits").alias("host_hits"))
