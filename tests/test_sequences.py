@@ -132,6 +132,12 @@ def test_top_by_group_equals_brute_force(spark, monkeypatch, kind):
     assert {tuple(x) for x in got} == {(g, *x) for g, n in want.items() for x in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:5]}
 
 
+def test_prose_in_arrays_equals_the_column_function(spark):
+    df = spark.createDataFrame([("Aé İ K z\0Z ſß",), (None,), ("",), ("Σ ABC xyz 123",)], "text string")
+    both = df.select(S.from_prose(F.col("text")).alias("a"), F.arrow_udf(C.of_prose, "string")("text").alias("b"))
+    assert both.where("not a <=> b").count() == 0
+
+
 def test_counting_ships_few_bytes_a_window(spark):
     r = random.Random(5)
     records = spark.createDataFrame([("".join(r.choice("ACGT") for _ in range(10_000)),) for _ in range(20)], "seq string")
