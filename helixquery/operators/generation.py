@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from helixquery.operators import ordered
 from helixquery.storage import stored
 
+#: Places that every task looks up by itself; more of them meet the records in a join that Spark chooses.
+FEW_PLACES = 500_000
+
 
 def seeded(seed: int, i: Column, what: str) -> Column:
     """48 bits that depend on a seed, a number and a word alone."""
@@ -18,13 +21,14 @@ def generated_queries(records: DataFrame, id_col: str, seq: str, length: int, n:
     """query_id (from 0), pattern, origin and offset of n queries of `length` bases, each from a seeded record (of those long
     enough, by id) and place: the same ones however the records are dealt. Ids are unique; without a record that is long enough
     there are none."""
-    fit = records.where(F.length(seq) >= length)
-    numbered = ordered.placed(fit.select(F.col(id_col).alias("origin"), F.length(seq).cast("long").alias("size")), [F.col("origin").asc()])
+    sizes = stored(records.select(F.col(id_col).alias("origin"), F.length(seq).cast("long").alias("size")), "sizes")  # sequences may be made by Python
+    numbered = ordered.placed(sizes.where(F.col("size") >= length), [F.col("origin").asc()])
     numbered = stored(ordered.plain(ordered.row_numbers(numbered, "no")), "numbered")
     total = numbered.count()
     i = F.col("id")
     asked = records.sparkSession.range(n if total else 0).select(i.alias("query_id"), (seeded(seed, i, "record") % max(total, 1)).alias("no"), seeded(seed, i, "place").alias("x"))
     places = asked.join(numbered, "no").select("query_id", "origin", (F.col("x") % (F.col("size") - length + 1)).alias("offset"))
-    texts = fit.select(F.col(id_col).alias("origin"), F.col(seq).alias("text"))
+    places = F.broadcast(places) if n <= FEW_PLACES else places
+    texts = records.select(F.col(id_col).alias("origin"), F.col(seq).alias("text"))
     cut = F.substr("text", (F.col("offset") + 1).cast("int"), F.lit(length))
     return places.join(texts, "origin").select("query_id", cut.alias("pattern"), "origin", "offset")

@@ -42,8 +42,17 @@ def hits(docs: DataFrame, id_col: str, text: str, patterns: DataFrame, pattern:
     return out.select(F.col("id").alias(id_col), "pattern", "offset")
 
 
-def _band_hits(texts: DataFrame, wanted: DataFrame, least: int, most: int, n: int) -> DataFrame:
+def _gram(n: int, least: int) -> int:
+    """Bytes of a gram for n patterns of `least` bytes or more: so many that a place of a text of four letters meets few of
+    their grams by chance, however many patterns there are."""
     gram = min(GRAM, least)
+    while gram < least and 4 * n * (least - gram + 1) > 4**gram and gram >= GRAM:
+        gram += 1
+    return gram
+
+
+def _band_hits(texts: DataFrame, wanted: DataFrame, least: int, most: int, n: int) -> DataFrame:
+    gram = _gram(n, least)
     step = least - gram + 1
     index = wanted.select("pattern", F.explode(F.sequence(F.lit(0), F.lit(step - 1))).alias("shift"))
     index = index.withColumn("gram", F.substr(F.col("pattern").cast("binary"), F.col("shift") + 1, F.lit(gram)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixquery.operators import generation, scoring, search, sections, shards, vocabulary
+from helixquery.operators import generation, kmers, scoring, search, sections, shards, vocabulary
 from helixquery.operators.kmers import top_per_group
 from helixquery.plans import views as V
 from helixquery.storage import stored
@@ -258,9 +258,8 @@ def generated_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Hit, precision, recall and NDCG at 5 of ranking documents by a generated query's occurrences; its origin is relevant."""
     asked = stored(_generated(spark, d), "generated")
     g = V.genome(spark, d).select("doc_id", "seq")
-    found = search.hits(g, "doc_id", "seq", asked).select("doc_id", "pattern").distinct().join(asked, "pattern").join(g, "doc_id")
-    scored = found.select("query_id", "doc_id", search.apart(F.col("seq"), F.col("pattern")).alias("score"))
-    ranked = top_per_group(scored, "query_id", [F.desc("score"), "doc_id"], 10)
+    best = kmers.best_records(g, "doc_id", "seq", asked, "pattern", QUERY_BASES, 10)
+    ranked = best.join(asked.select("query_id", "pattern"), "pattern").select("query_id", "doc_id", "score", "rank")
     return scoring.retrieval_metrics(ranked, asked.select("query_id", F.col("origin").alias("doc_id")), asked, 5)
 
 

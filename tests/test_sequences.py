@@ -240,3 +240,39 @@ def test_blind_and_encrypted(spark):
     assert sorted(shards.byte_permutation(b"k")) == list(range(256))
     key = shards.derived_key("p", b"salt" * 4)
     assert one(spark, shards.decrypted(shards.encrypted(F.col("t").cast("binary"), key), key), t="secret") == b"secret"
+
+
+def _plain_best(records, wanted, k, most):
+    scores = {p: sorted((-x.count(p), i) for i, x in records if p in (x or "")) for p in wanted if len(p) == k and set(p) <= set("ACGT")}  # str.count: apart, from the left
+    return {(p, i, -n, rank) for p, found in scores.items() for rank, (n, i) in enumerate(found[:most], 1)}
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_best_records_equal_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(kmers, "FEW_WANTED", few)
+    monkeypatch.setattr(kmers, "HELD_CODES", 20)
+    monkeypatch.setattr(C, "STEP", 50)
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choices("ACGTN", [3, 3, 1, 1, 0.2], k=rnd.randrange(90))) for _ in range(60)] + ["A" * 70, "ACACACACACACA", "", "CGT" * 20, "CGT" * 20]
+    records = list(enumerate(texts)) + [(99, None)]
+    wanted = ["AAAA", "ACAC", "CGTC", "GTCG", "TTTT", "AANA", "AAA", "AAAA"] + ["".join(rnd.choices("ACGT", k=4)) for _ in range(40)]
+    df = spark.createDataFrame(records, "id long, seq string").repartition(3)
+    got = kmers.best_records(df, "id", "seq", spark.createDataFrame([(p,) for p in wanted], "p string"), "p", 4, 3).collect()
+    assert {tuple(r) for r in got} == _plain_best(records, set(wanted), 4, 3) and len(got) == len({tuple(r) for r in got})
+
+
+def test_a_pattern_in_all_records_is_a_few_rows(spark):
+    """Ranking generated queries joined a row for every pair of a query and a record that holds it with the record's text."""
+    records = spark.createDataFrame([(i, "ACGTTGCA" * 6) for i in range(2000)], "id long, seq string").coalesce(2)
+    asked = spark.createDataFrame([("ACGTTGCA", 0), ("TTGCAACG", 0)], "p string, x int").select("p", S.packed(F.col("p")).alias("code"))
+    each = kmers._best_in_tasks(records, "id", "seq", 8, asked, 5)
+    assert each.count() <= 2 * 2 * 5
+    assert {(r["rank"], r["id"], r["score"]) for r in kmers.best_records(records, "id", "seq", asked, "p", 8, 5).where("p = 'TTGCAACG'").collect()} == {(i + 1, i, 5) for i in range(5)}
+
+
+def test_grams_grow_with_the_patterns(spark):
+    """Places of four letters met more grams the more patterns there were."""
+    for n, least in ((10, 8), (5_000, 24), (300_000, 24), (10**8, 100), (3, 5)):
+        gram = search._gram(n, least)
+        assert gram == least or 8 <= gram < least and 4 * n * (least - gram + 1) <= 4**gram
+    assert search._gram(200, 30) <= 9 and search._gram(10, 4) == 4
