@@ -6,15 +6,19 @@ import hashlib
 import hmac
 import os
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixquery.functions import codes as C
 from helixquery.operators import ordered
 from helixquery.sources.files import FASTA, FASTQ
-from helixquery.storage import stored
+from helixquery.storage import small_batches, stored
 
 #: Peak memory per corpus byte, margin on the peak, and the share of free memory that a peak may take: fixed values.
 PEAK, MARGIN, FREE_SHARE = 6, 0.25, 0.70
@@ -120,36 +124,47 @@ def byte_permutation(key: bytes) -> bytes:
 
 def permuted(table: bytes):
     """A function on texts: their bytes under a permutation. Equal texts stay equal: it hides letters, not frequencies."""
+    other = np.frombuffer(table, dtype=np.uint8)
 
     @F.arrow_udf(T.BinaryType())
     def apply(texts: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else x.encode().translate(table) for x in texts.to_pylist()], pa.binary())
+        raw, offsets = C.flat(texts)
+        hidden = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(other[raw])])
+        return hidden if not texts.null_count else pc.if_else(texts.is_valid(), hidden, None)
 
     return apply
 
 
+def _places(raw: np.ndarray, offsets: np.ndarray, pattern: bytes) -> int:
+    """Occurrences (overlapping ones too) of a pattern within values laid end to end, found by stretches of C.STEP bytes."""
+    p, n = np.frombuffer(pattern, dtype=np.uint8), 0
+    if not len(p):
+        return 0
+    for a in range(0, len(raw) - len(p) + 1, C.STEP):
+        part = raw[a : a + C.STEP + len(p) - 1]
+        at = np.flatnonzero(part[: len(part) - len(p) + 1] == p[0])
+        for j in range(1, len(p)):
+            at = at[part[at + j] == p[j]]
+        row, _ = C.located(offsets, a + at)
+        n += int(np.count_nonzero(a + at + len(p) <= offsets[row + 1]))
+    return n
+
+
 def blind_counts(docs: DataFrame, id_col: str, text: str, patterns: list[str], key: bytes) -> DataFrame:
-    """pattern_no, n: occurrences of permuted patterns in permuted texts (overlapping), without either in the clear."""
+    """pattern_no, n: occurrences of permuted patterns in permuted texts (overlapping), without either in the clear. Texts travel
+    in batches of bounded size, and a task sends a row for each pattern and batch."""
     table = byte_permutation(key)
     trapdoors = [p.encode().translate(table) for p in patterns]
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def scan(batches):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, nos, ns = [], [], []
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for no, p in enumerate(trapdoors):
-                    n, at = 0, x.find(p) if x and p else -1
-                    while at >= 0:
-                        n, at = n + 1, x.find(p, at + 1)
-                    if n:
-                        ids.append(i)
-                        nos.append(no)
-                        ns.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(nos, pa.int32()), pa.array(ns, pa.int64())], [id_col, "pattern_no", "n"])
-
-    hidden = docs.select(id_col, permuted(table)(text).alias("bytes"))
-    return hidden.mapInArrow(scan, f"{id_col} {kind}, pattern_no int, n long").groupBy("pattern_no").agg(F.sum("n").alias("n"))
+            raw, offsets = C.flat(batch.column(0))
+            found = [(no, n) for no, p in enumerate(trapdoors) if (n := _places(raw, offsets, p))]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.int64())], ["pattern_no", "n"])
+
+    hidden = docs.where(F.col(text).isNotNull()).select(permuted(table)(text).alias("bytes"))  # a filter on the bytes would make them twice
+    with small_batches(docs.sparkSession):
+        return stored(hidden.mapInArrow(scan, "pattern_no int, n long").groupBy("pattern_no").agg(F.sum("n").alias("n")), "blind-counts")
 
 
 def encrypted(content: Column, key: bytes) -> Column:

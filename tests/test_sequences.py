@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,3 +277,30 @@ def test_grams_grow_with_the_patterns(spark):
         gram = search._gram(n, least)
         assert gram == least or 8 <= gram < least and 4 * n * (least - gram + 1) <= 4**gram
     assert search._gram(200, 30) <= 9 and search._gram(10, 4) == 4
+
+
+def test_places_within_values(monkeypatch):
+    monkeypatch.setattr(C, "STEP", 16)
+    rnd = random.Random(4)
+    texts = [bytes(rnd.choices(b"ab", k=rnd.randrange(60))) for _ in range(50)] + [b"", b"a" * 100]
+    raw, offsets = C.flat(pa.array(texts, pa.binary()))
+    for p in (b"a", b"ab", b"aba", b"aaaaaaaaaaaaaaaaaaaa", b"b" * 200, b""):
+        want = sum(x.startswith(p, i) for x in texts for i in range(len(x) - len(p) + 1)) if p else 0
+        assert shards._places(raw, offsets, p) == want
+
+
+def test_blind_search_takes_long_texts_in_small_batches(spark, monkeypatch):
+    """10,000 whole texts and two copies of them were in a Python worker at once."""
+    plain = shards._places
+
+    def places(raw, offsets, pattern):
+        if len(raw) > 12 << 20:
+            raise ValueError(f"a batch of {len(raw)} bytes")
+        return plain(raw, offsets, pattern)
+
+    monkeypatch.setattr(shards, "_places", places)
+    docs = spark.range(300).coalesce(1).select("id", F.when(F.col("id") % 3 > 0, F.repeat(F.lit("ñandú ana "), 10_000)).alias("t"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = {r["pattern_no"]: r["n"] for r in shards.blind_counts(docs, "id", "t", ["ana", "ú", "a a", "q"], b"k").collect()}
+    assert got == {0: 2_000_000, 1: 2_000_000}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
