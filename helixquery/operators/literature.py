@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixquery.storage import stored
+
 
 def confidence(narrow: Column, broad: Column, epmc: Column, corpus_hits: Column) -> Column:
     """Of a gap in the literature. A failed count is null, and then nothing is known."""
@@ -76,9 +78,24 @@ def patents(total_by_source: dict[str, Column]) -> Column:
     return F.struct(first.source.alias("source"), first.total.alias("total"), patent_status(first.total).alias("status"))
 
 
+#: Rows of a side that a task of a join sorts in the mean.
+PART_ROWS = 250_000
+
+
+def _parts(rows: DataFrame) -> int:
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))
+
+
+def with_items(scan: DataFrame, items: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of a scan with the columns that a table has for their keys, written: by as many tasks as the table's rows ask for."""
+    n = _parts(items)
+    return stored(scan.repartition(n, *on).join(items.repartition(n, *on), on), "scan")
+
+
 def merged_scans(old: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
-    """The rows of a new scan, and those of the old one whose keys it hasn't."""
-    return new.unionByName(old.join(new.select(*on).distinct(), on, "left_anti"))
+    """The rows of a new scan, and those of the old one whose keys it hasn't. The keys meet in as many tasks as the rows ask for."""
+    n = max(_parts(old), _parts(new))
+    return new.unionByName(old.repartition(n, *on).join(new.select(*on).repartition(n, *on).distinct(), on, "left_anti"))
 
 
 def scan_lists(scan: DataFrame, by: str, item: str, confidence_col: str) -> DataFrame:

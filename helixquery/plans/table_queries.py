@@ -70,7 +70,8 @@ PATENTS = f"WITH {_PATENTS} SELECT *, CASE WHEN total IS NULL THEN 'unknown' WHE
 
 def evidence_lists(spark: SparkSession, d: str) -> DataFrame:
     """A scan of even orders that replaces those of an older one of all, by priority class: numbers and customers of each class."""
-    old = evidence(spark, d).join(V.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey") % 50).alias("item")), "o_orderkey")
+    items = V.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey") % 50).alias("item"))
+    old = literature.with_items(evidence(spark, d).drop("patents"), items, ["o_orderkey"])
     new = old.where("o_orderkey % 2 = 0").withColumn("confidence", F.when(F.col("confidence") == "UNKNOWN", "CONFIRMED").otherwise(F.col("confidence")))
     return literature.scan_lists(literature.merged_scans(old, new, ["o_orderkey"]), "o_orderpriority", "item", "confidence")
 

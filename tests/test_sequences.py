@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helixquery.functions import codes as C
 from helixquery.functions import sequences as S
-from helixquery.operators import intervals, kmers, membership, offtarget, scoring, search, shards, vocabulary
+from helixquery.operators import intervals, kmers, literature, membership, offtarget, scoring, search, shards, vocabulary
 
 
 def one(spark, expr, **values):
@@ -304,3 +304,16 @@ def test_blind_search_takes_long_texts_in_small_batches(spark, monkeypatch):
     got = {r["pattern_no"]: r["n"] for r in shards.blind_counts(docs, "id", "t", ["ana", "ú", "a a", "q"], b"k").collect()}
     assert got == {0: 2_000_000, 1: 2_000_000}
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_scans_merge_in_as_many_tasks_as_their_rows_ask_for(spark, monkeypatch):
+    """Keys met in spark.sql.shuffle.partitions tasks, whose sorts grew with the input."""
+    monkeypatch.setattr(literature, "PART_ROWS", 20)
+    old = spark.range(400).select(F.when(F.col("id") != 7, F.col("id") % 200).alias("k"), F.lit("old").alias("c"))
+    new = spark.createDataFrame([(2, "new"), (2, "new too"), (None, "new"), (500, "new")], "k long, c string")
+    got = literature.merged_scans(old, new, ["k"])
+    want = [(i % 200 if i != 7 else None, "old") for i in range(400) if i % 200 != 2] + [(2, "new"), (2, "new too"), (None, "new"), (500, "new")]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert got._jdf.queryExecution().executedPlan().toString().count(", 20)") >= 2  # exchanges: 400 rows, 20 a task
+    items = spark.createDataFrame([(5, "x"), (5, "y"), (None, "z")] + [(i, "w") for i in range(200, 300)], "k long, item string")
+    assert sorted(map(tuple, literature.with_items(old.where("k = 5"), items, ["k"]).collect())) == [(5, "old", "x"), (5, "old", "x"), (5, "old", "y"), (5, "old", "y")]
