@@ -79,7 +79,7 @@ def patents(total_by_source: dict[str, Column]) -> Column:
 
 
 #: Rows of a side that a task of a join sorts in the mean.
-PART_ROWS = 250_000
+PART_ROWS = 500_000
 
 
 def _parts(rows: DataFrame) -> int:
