@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from helixquery import storage
 from helixquery.operators import intervals, offtarget, ordered, scoring, sections, shards, vocabulary
 
 
@@ -165,6 +166,81 @@ def test_term_graph_equals_plain_counts(spark, monkeypatch, block, pairs):
     assert got == want
 
 
+@pytest.mark.parametrize("buckets,pairs", [(1, 1_000_000), (1, 3), (3, 3), (5, 40), (8, 1)])
+def test_number_pairs_equal_plain_counts(spark, monkeypatch, buckets, pairs):
+    monkeypatch.setattr(vocabulary, "PAIRS", pairs)
+    r = random.Random(buckets)
+    units = [(sorted({0, *r.sample(range(30), r.randint(0, 12))}), r.randint(0, 2), r.randint(1, 3)) for _ in range(40)] + [([], 1, 1), ([2**31 - 1, 7][::-1], 5, 5), ([7, 2**31 - 1], 1, 0)]
+    want = {}
+    for tokens, s, f in units:
+        for i, a in enumerate(tokens):
+            for b in tokens[i + 1 :]:
+                x, y = want.get((a, b), (0, 0))
+                want[a, b] = x + s, y + f
+    df = spark.createDataFrame(units, "t array<int>, s long, f long")
+    for least, below in ((0.0, float("inf")), (9.0, 30.0)):
+        got = [tuple(x) for x in vocabulary.number_pairs(df, "t", {"s": 3.0, "f": 1.0}, least, below, buckets).collect()]
+        assert sorted(got) == sorted((*e, *n) for e, n in want.items() if least <= 3 * n[0] + n[1] < below)
+
+
+def _graph_of(spark, files, min_weight, k):
+    """The graph by plain counts and a plain choice, and the pairs that all units make."""
+    counts = {}
+    for text in files:
+        for a in (terms := sorted(set(text.split()))):
+            for b in terms[terms.index(a) + 1 :]:
+                counts[a, b] = counts.get((a, b), 0) + 1
+    own = {}
+    for text in files:
+        for a in set(text.split()):
+            own[a] = own.get(a, 0) + 4
+    no = {a: i for i, a in enumerate(sorted(a for a in own if own[a] >= min_weight))}
+    edges = [(no[a], no[b], a, b, 4.0 * n) for (a, b), n in counts.items() if 4.0 * n >= min_weight]
+    df = spark.createDataFrame([e[:2] for e in edges], "a long, b long")
+    ties = {(x[0], x[1]): x[2] for x in df.select("a", "b", F.xxhash64("a", "b")).collect()}
+    used, want = dict.fromkeys(own, 0), set()
+    for i, j, a, b, w in sorted(edges, key=lambda e: (-e[4], ties[e[:2]])):
+        if used[a] < k and used[b] < k:
+            used[a], used[b] = used[a] + 1, used[b] + 1
+            want.add((a, b, w, counts[a, b], counts[a, b]))
+    return want
+
+
+@pytest.mark.parametrize("level,few,bits", [(0, 30, 7), (300, 2_000_000, 1 << 24)])
+def test_term_graph_by_levels_equals_a_plain_choice(spark, monkeypatch, level, few, bits):
+    for name, value in (("LEVEL", level), ("FEW_EDGES", few), ("BITS", bits)):
+        monkeypatch.setattr(vocabulary, name, value)
+    r = random.Random(level + few)
+    words = [f"t{i:02d}" for i in range(60)]
+    files = [" ".join(w for i, w in enumerate(words) if r.random() < 1.5 / (1 + i / 3)) for _ in range(50)]
+    got = {tuple(x) for x in vocabulary.term_graph(spark.createDataFrame([(f"{i}.txt", x) for i, x in enumerate(files)], "path string, content string"), 8.0, 3).collect()}
+    assert got == _graph_of(spark, files, 8.0, 3) and len(got) > 20
+
+
+def test_term_graph_makes_no_pairs_of_full_terms(spark, monkeypatch):
+    """Terms of every file are full among themselves before rarer ones come in; all pairs of all files were made and shuffled before."""
+    made = []
+
+    def counted(units, *a, put=vocabulary.number_pairs):
+        made.extend(len(x["tokens"]) * (len(x["tokens"]) - 1) // 2 for x in units.collect())
+        return put(units, *a)
+
+    monkeypatch.setattr(vocabulary, "number_pairs", counted)
+    monkeypatch.setattr(vocabulary, "LEVEL", 0, raising=False)
+    files = [" ".join([f"of{i:02d}" for i in range(20)] + [f"rare{n // 2}"]) for n in range(64)]
+    got = {tuple(x) for x in vocabulary.term_graph(spark.createDataFrame([(f"{i}.txt", x) for i, x in enumerate(files)], "path string, content string"), 8.0, 2).collect()}
+    assert {x[2] for x in got} == {256.0}
+    assert got == _graph_of(spark, files, 8.0, 2)
+    assert sum(made) < 32 * 21 * 20 // 2  # each text is there twice
+
+
+def test_term_graph_leaves_no_tables_of_pairs(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(storage, "shared_folder", lambda session: str(tmp_path))
+    files = [(f"{i}.txt", f"alpha beta gamma w{i // 2}") for i in range(8)]
+    assert vocabulary.term_graph(spark.createDataFrame(files, "path string, content string"), 8.0, 10).count() == 15
+    assert {x.name.rsplit("-", 1)[0] for x in tmp_path.iterdir()} <= {"kept", "ordered", "term-numbers", "used-terms"}
+
+
 @pytest.mark.parametrize("line,language,name", [
     ("  pub mod x;", "rs", "pub mod x;"), ("impl<T> Foo for T {", "rs", "impl<T> Foo for T"), ("pub(crate) fn f() {", "rs", "pub(crate) fn f()"), ("  fn f() {", "rs", None), ("// --- part", "rs", "// --- part"),
     ("async def f(x):", "py", "async def f(x)"), ("  def f():", "py", None), ("# === a", "py", "# === a"), ("-module(x).", "erl", "-module(x)."), ("handle_call(X) ->", "erl", "handle_call()"), ("two words(", "erl", None), ("Var(", "erl", None),
